@@ -117,17 +117,14 @@ def dedupe_lines(text: Column) -> Column:
         lambda x, i: F.struct(lower_tr(fold_blanks(x)).alias("key"), i.alias("i"), x.alias("line")),
     )
     ordered = F.array_sort(keyed)
-    paired = F.transform(
-        F.arrays_zip(ordered.alias("cur"),
-                     F.concat(F.array(F.lit(None).cast("string")), ordered["key"]).alias("prev")),
-        lambda z: z,
-    )
+    before = F.concat(F.array(F.lit(None).cast("string")), ordered["key"])
+    paired = F.arrays_zip(ordered.alias("cur"), before.alias("prev"))
     kept = F.filter(
         paired,
-        lambda z: z["0"].isNotNull()
-        & ((F.length(z["0"]["key"]) <= REPEAT_MIN) | z["1"].isNull() | (z["1"] != z["0"]["key"])),
+        lambda z: z["cur"].isNotNull()
+        & ((F.length(z["cur"]["key"]) <= REPEAT_MIN) | z["prev"].isNull() | (z["prev"] != z["cur"]["key"])),
     )
-    back = F.array_sort(F.transform(kept, lambda z: F.struct(z["0"]["i"].alias("i"), z["0"]["line"].alias("line"))))
+    back = F.array_sort(F.transform(kept, lambda z: F.struct(z["cur"]["i"].alias("i"), z["cur"]["line"].alias("line"))))
     return _join(back["line"])
 
 
@@ -141,10 +138,10 @@ def drop_orphan_intros(text: Column) -> Column:
     paired = F.arrays_zip(filled.alias("cur"), following.alias("next"))
     kept = F.filter(
         paired,
-        lambda z: z["0"].isNotNull()
-        & (~F.regexp_replace(z["0"]["line"], r"(?U)\s+\z", "").endswith(":") | z["1"].rlike("(?U)" + LIST_ITEM)),
+        lambda z: z["cur"].isNotNull()
+        & (~F.regexp_replace(z["cur"]["line"], r"(?U)\s+\z", "").endswith(":") | z["next"].rlike("(?U)" + LIST_ITEM)),
     )
-    back = F.array_sort(F.concat(F.transform(kept, lambda z: z["0"]), blank))
+    back = F.array_sort(F.concat(F.transform(kept, lambda z: z["cur"]), blank))
     return _join(back["line"])
 
 
