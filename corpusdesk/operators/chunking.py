@@ -82,26 +82,33 @@ def _accepted(heads: Column) -> Column:
     return F.aggregate(heads, start, step)["taken"]
 
 
-def article_sections(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``norm``, ``preamble`` and ``sections``, an array of
-    STRUCT(no, prefix, pos, body), with one element per accepted heading."""
-    df = df.withColumn("norm", normalize_text(F.col(text)))
-    df = df.withColumn("pieces", F.split("norm", _SPLIT_HEADS))
-    df = df.withColumn("taken", _accepted(_heads(F.col("pieces"))))
+def _sections_of(norm: Column) -> Column:
+    """STRUCT(preamble, sections) of a normalised text."""
+
+    def cut(pieces: Column, taken: Column) -> Column:
+        def section(t: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(taken, k + 1)["i"], F.size(pieces))
+            return F.struct(
+                t["no"].alias("no"), t["prefix"].alias("prefix"), t["pos"].alias("pos"),
+                F.array_join(F.slice(pieces, t["i"] + 1, end - t["i"]), "").alias("body"),
+            )
 
-    def section(t: Column, k: Column) -> Column:
-        end = F.coalesce(F.get("taken", k + 1)["i"], F.size("pieces"))
+        first = F.coalesce(F.get(taken, F.lit(0))["i"], F.size(pieces))
         return F.struct(
-            t["no"].alias("no"), t["prefix"].alias("prefix"), t["pos"].alias("pos"),
-            F.array_join(F.slice("pieces", t["i"] + 1, end - t["i"]), "").alias("body"),
+            F.array_join(F.slice(pieces, F.lit(1), first), "").alias("preamble"),
+            F.transform(taken, section).alias("sections"),
         )
 
-    first = F.coalesce(F.get("taken", F.lit(0))["i"], F.size("pieces"))
-    return (
-        df.withColumn("preamble", F.array_join(F.slice("pieces", F.lit(1), first), ""))
-        .withColumn("sections", F.transform("taken", section))
-        .drop("pieces", "taken")
-    )
+    return let(F.split(norm, _SPLIT_HEADS), lambda pieces: let(_accepted(_heads(pieces)), lambda taken: cut(pieces, taken)))
+
+
+def article_sections(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``norm``, ``preamble`` and ``sections``, an array of
+    STRUCT(no, prefix, pos, body), with one element per accepted heading."""
+    found = let(normalize_text(F.col(text)), lambda norm: F.struct(norm.alias("norm"), _sections_of(norm).alias("s")))
+    return df.withColumn("_found", found).withColumns(
+        {"norm": F.col("_found.norm"), "preamble": F.col("_found.s.preamble"), "sections": F.col("_found.s.sections")}
+    ).drop("_found")
 
 
 def article_split(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -192,21 +199,18 @@ def paragraph_pack(body: Column, p: ChunkParams = CHUNK) -> Column:
     return F.when(F.length(body) <= p.article_max, F.array(body)).otherwise(split_up)
 
 
-def chunk_articles(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p: ChunkParams = CHUNK) -> DataFrame:
-    """(doc, chunk_index, content, meta) with one chunk per article or part of it."""
-    df = article_sections(df, text)
-    blocks = F.concat(F.array("preamble"), F.transform("sections", lambda s: s["body"]))
-    df = df.withColumn("chapters", F.transform(blocks, lambda b: last_chapter(b, p)))
+def _article_chunks(norm: Column, preamble: Column, sections: Column, p: ChunkParams) -> Column:
+    """ARRAY of STRUCT(content, meta) for one document."""
+    blocks = F.concat(F.array(preamble), F.transform(sections, lambda s: s["body"]))
 
-    def parts(s: Column, k: Column) -> Column:
-        # ``substring`` counts from 1, so the window ends just before pos + 1.
+    def article(s: Column, k: Column, chapters: Column) -> Column:
         begin = F.greatest(s["pos"] - p.title_window, F.lit(0))
-        title = article_title(F.substring("norm", begin + 1, s["pos"] - begin), p)
-        chapter = F.try_element_at(F.filter(F.slice("chapters", F.lit(1), k + 1), lambda c: c.isNotNull()), F.lit(-1))
+        title = article_title(F.substring(norm, begin + 1, s["pos"] - begin), p)
+        chapter = F.try_element_at(F.filter(F.slice(chapters, F.lit(1), k + 1), lambda c: c.isNotNull()), F.lit(-1))
         label = F.concat(F.when(s["prefix"] != "", F.concat(s["prefix"], F.lit(" "))).otherwise(""),
                          F.lit("MADDE "), s["no"])
 
-        def chunk(ctx: Column) -> Column:
+        def parts(ctx: Column) -> Column:
             bodies, name = ctx["bodies"], ctx["title"]
 
             def part(b: Column, j: Column) -> Column:
@@ -218,22 +222,35 @@ def chunk_articles(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p:
                 meta = F.struct(
                     F.lit(p.version).alias("v"), F.lit("madde").alias("kind"), s["no"].alias("madde_no"),
                     F.nullif(s["prefix"], F.lit("")).alias("madde_prefix"), F.nullif(name, F.lit("")).alias("baslik"),
-                    chapter.alias("bolum"), j.alias("part"), F.size(bodies).alias("part_count"),
+                    ctx["chapter"].alias("bolum"), j.alias("part"), F.size(bodies).alias("part_count"),
                 ).cast(META_TYPE)
                 return F.struct(content.alias("content"), meta.alias("meta"))
 
             return F.transform(bodies, part)
 
-        return let(F.struct(paragraph_pack(strip(s["body"]), p).alias("bodies"), title.alias("title")), chunk)
+        return let(F.struct(paragraph_pack(strip(s["body"]), p).alias("bodies"), title.alias("title"),
+                            chapter.alias("chapter")), parts)
 
-    articles = F.flatten(F.transform("sections", parts))
-    opening = strip(F.col("preamble"))
+    articles = let(
+        F.transform(blocks, lambda b: last_chapter(b, p)),
+        lambda chapters: F.flatten(F.transform(sections, lambda s, k: article(s, k, chapters))),
+    )
+    opening = strip(preamble)
     first_meta = F.from_json(F.lit('{"v":%d,"kind":"preamble"}' % p.version), META_TYPE)
     kept_opening = F.when(
-        (F.length(opening) > p.preamble_min) & (F.size("sections") > 0),
+        (F.length(opening) > p.preamble_min) & (F.size(sections) > 0),
         F.array(F.struct(opening.alias("content"), first_meta.alias("meta"))),
     ).otherwise(F.array().cast(f"array<struct<content:string,meta:{META_TYPE}>>"))
-    return df.select(doc_id, F.posexplode(F.concat(kept_opening, articles)).alias("chunk_index", "c")).select(
+    return F.concat(kept_opening, articles)
+
+
+def chunk_articles(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p: ChunkParams = CHUNK) -> DataFrame:
+    """(doc, chunk_index, content, meta) with one chunk per article or part of it."""
+    chunks = let(
+        normalize_text(F.col(text)),
+        lambda norm: let(_sections_of(norm), lambda d: _article_chunks(norm, d["preamble"], d["sections"], p)),
+    )
+    return df.select(doc_id, F.posexplode(chunks).alias("chunk_index", "c")).select(
         doc_id, "chunk_index", "c.content", "c.meta"
     )
 
@@ -242,14 +259,16 @@ def chunk_words(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 size: int = CHUNK.words, overlap: int = CHUNK.overlap) -> DataFrame:
     """(doc, chunk_index, content): windows of ``size`` words that share ``overlap``."""
     step = size - overlap
-    df = df.withColumn("words", F.regexp_extract_all(F.col(text), F.lit(r"(?U)\S+"), F.lit(0)))
-    n = F.size("words")
-    last = F.greatest(F.ceil((n - overlap) / step).cast("int") - 1, F.lit(0))
-    windows = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: F.array_join(F.slice("words", i * step + 1, F.lit(size)), " "),
-    )
-    return df.where(n > 0).select(doc_id, F.posexplode(windows).alias("chunk_index", "content"))
+
+    def windows(words: Column) -> Column:
+        last = F.greatest(F.ceil((F.size(words) - overlap) / step).cast("int") - 1, F.lit(0))
+        return F.when(F.size(words) > 0, F.transform(
+            F.sequence(F.lit(0), last),
+            lambda i: F.array_join(F.slice(words, i * step + 1, F.lit(size)), " "),
+        ))
+
+    words = F.regexp_extract_all(F.col(text), F.lit(r"(?U)\S+"), F.lit(0))
+    return df.select(doc_id, F.posexplode(let(words, windows)).alias("chunk_index", "content"))
 
 
 def _split_by_size(text: str, size: int, overlap: int, separators: tuple[str, ...]) -> Iterator[str]:
