@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from corpusdesk.functions.text import html_to_text, lines_of, lower_tr, strip
+from corpusdesk.functions.text import html_to_text, let, lines_of, lower_tr, strip
 from corpusdesk.params import QUERY, QueryParams
 
 # Java flags: ignore case, multi-line anchors on \n only, Unicode classes.
@@ -137,8 +137,9 @@ def strip_boilerplate(text: Column) -> Column:
 def search_text(raw: Column, p: QueryParams = QUERY) -> Column:
     """Cleaned text, or the raw one when cleaning left too little; at most max_chars."""
     raw = F.coalesce(raw, F.lit(""))
-    clean = strip_boilerplate(trim_quoted(raw))
-    return F.substring(F.when(F.length(clean) < p.min_chars, strip(raw)).otherwise(clean), 1, p.max_chars)
+    chosen = let(strip_boilerplate(trim_quoted(raw)),
+                 lambda clean: F.when(F.length(clean) < p.min_chars, strip(raw)).otherwise(clean))
+    return F.substring(chosen, 1, p.max_chars)
 
 
 def trusted_intent(intent: Column, confidence: Column, p: QueryParams = QUERY) -> Column:
@@ -153,49 +154,64 @@ def sub_queries(text: Column, subject: Column) -> Column:
 
 def parse_intent(raw: Column) -> Column:
     """STRUCT(intent, confidence, requires_email) from a classifier's raw answer."""
-    clean = strip(raw)
-    unfenced = F.array_join(F.filter(F.split(clean, "\n"), lambda s: ~s.startswith("```")), "\n")
-    clean = F.when(clean.startswith("```"), unfenced).otherwise(clean)
-    block = F.regexp_extract(clean, r'(\{[^{}]*"intent"[^{}]*\})', 1)
-    data = F.try_parse_json(F.when(block != "", block).otherwise(clean))
-    given = F.try_variant_get(data, "$.confidence", "string")
-    has_confidence = F.try_variant_get(data, "$.confidence", "variant").isNotNull()
-    number = F.when(has_confidence, given.try_cast("double")).otherwise(F.lit(0.7))
-    usable = F.startswith(F.schema_of_variant(data), F.lit("OBJECT")) & number.isNotNull()
-    usable = F.coalesce(usable, F.lit(False))
-    has_intent = F.try_variant_get(data, "$.intent", "variant").isNotNull()
-    intent = F.when(has_intent, F.try_variant_get(data, "$.intent", "string")).otherwise("other")
-    intent = F.when(usable, intent).otherwise("general_question")
-    return F.struct(
-        intent.alias("intent"),
-        F.when(usable, number).otherwise(F.lit(0.5)).alias("confidence"),
-        F.coalesce(intent.isin(*MAIL_INTENTS), F.lit(False)).alias("requires_email"),
-    )
+
+    def unfence(clean: Column) -> Column:
+        lines = F.filter(F.split(clean, "\n"), lambda s: ~s.startswith("```"))
+        return F.when(clean.startswith("```"), F.array_join(lines, "\n")).otherwise(clean)
+
+    def block(clean: Column) -> Column:
+        found = F.regexp_extract(clean, r'(\{[^{}]*"intent"[^{}]*\})', 1)
+        return F.coalesce(F.nullif(found, F.lit("")), clean)
+
+    def read(data: Column) -> Column:
+        def given(name: str) -> Column:
+            return F.try_variant_get(data, f"$.{name}", "variant").isNotNull()
+
+        number = F.when(given("confidence"), F.try_variant_get(data, "$.confidence", "string").try_cast("double")
+                        ).otherwise(F.lit(0.7))
+        usable = F.coalesce(F.startswith(F.schema_of_variant(data), F.lit("OBJECT")) & number.isNotNull(), F.lit(False))
+        name = F.when(given("intent"), F.try_variant_get(data, "$.intent", "string")).otherwise("other")
+        return F.struct(F.when(usable, name).otherwise("general_question").alias("intent"),
+                        F.when(usable, number).otherwise(F.lit(0.5)).alias("confidence"))
+
+    answer = let(F.try_parse_json(let(let(strip(raw), unfence), block)), read)
+    return let(answer, lambda a: F.struct(
+        a["intent"].alias("intent"), a["confidence"].alias("confidence"),
+        F.coalesce(a["intent"].isin(*MAIL_INTENTS), F.lit(False)).alias("requires_email")))
 
 
 def reply_json_block(raw: Column) -> Column:
     """The JSON part of a reply: fences removed, first brace to last brace."""
-    clean = strip(raw)
-    fences = F.split(clean, "```")
-    after_json = F.split(F.split(clean, "```json", 2)[1], "```", 2)[0]
-    clean = (
-        F.when(clean.contains("```json"), after_json)
-        .when(F.size(fences) >= 3, fences[1])
-        .otherwise(clean)
-    )
-    braces = F.regexp_extract(clean, r"(?s)(\{.*\})", 1)
-    return F.when(braces != "", braces).otherwise(strip(clean))
+
+    def unfence(clean: Column) -> Column:
+        fences = F.split(clean, "```")
+        after_json = F.split(F.split(clean, "```json", 2)[1], "```", 2)[0]
+        return (
+            F.when(clean.contains("```json"), after_json)
+            .when(F.size(fences) >= 3, fences[1])
+            .otherwise(clean)
+        )
+
+    def braces(clean: Column) -> Column:
+        found = F.regexp_extract(clean, r"(?s)(\{.*\})", 1)
+        return F.when(found != "", found).otherwise(strip(clean))
+
+    return let(let(strip(raw), unfence), braces)
 
 
 def parse_reply(raw: Column, subject: Column) -> Column:
     """STRUCT(subject, body) from a model's reply; raw text when it is no JSON object."""
-    data = F.from_json(reply_json_block(raw), "map<string,string>", {"allowUnquotedControlChars": "true"})
+    parsed = F.from_json(reply_json_block(raw), "map<string,string>", {"allowUnquotedControlChars": "true"})
     default = F.concat(F.lit("Re: "), F.coalesce(F.nullif(subject, F.lit("")), F.lit("Yanıt")))
 
-    def field(name: str, fallback: Column) -> Column:
-        return F.when(F.coalesce(F.map_contains_key(data, name), F.lit(False)), F.try_element_at(data, F.lit(name))).otherwise(fallback)
+    def read(data: Column) -> Column:
+        def field(name: str, fallback: Column) -> Column:
+            given = F.coalesce(F.map_contains_key(data, name), F.lit(False))
+            return F.when(given, F.try_element_at(data, F.lit(name))).otherwise(fallback)
+
+        return F.struct(field("subject", default).alias("subject"), field("body", raw).alias("body"))
 
-    return F.struct(field("subject", default).alias("subject"), field("body", raw).alias("body"))
+    return let(parsed, read)
 
 
 def sanitize_reply(body: Column, sender: Column) -> Column:
@@ -214,17 +230,16 @@ def sanitize_reply(body: Column, sender: Column) -> Column:
     for slot in NAME_SLOTS:
         out = F.regexp_replace(out, F.lit("(?iU)" + slot), literal)
     greeting = F.concat(F.lit("Sayın "), name, F.lit(","))
-    lines = lines_of(F.regexp_replace(out, r"(?U)\A\s+", ""))
-    first = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
     greet = r"(?iU)^\s*Sayın\s+[^,\n]{1,60},?\s*(.*)$"
-    rest = F.when(first.rlike(greet), strip(F.regexp_extract(first, greet, 1))).otherwise(first)
-    tail = F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1)))
-    parts = F.concat(
-        F.array(greeting),
-        F.when(rest != "", F.array(rest)).otherwise(F.array().cast("array<string>")),
-        tail,
-    )
-    joined = F.array_join(parts, "\n")
+
+    def greeted(lines: Column) -> Column:
+        tail = F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1)))
+        rest = let(lines[0], lambda first: F.when(
+            first.rlike(greet), strip(F.regexp_extract(first, greet, 1))).otherwise(first))
+        kept = let(rest, lambda r: F.when(r != "", F.array(r)).otherwise(F.array().cast("array<string>")))
+        return F.array_join(F.concat(F.array(greeting), kept, tail), "\n")
+
+    joined = let(lines_of(F.regexp_replace(out, r"(?U)\A\s+", "")), greeted)
     return strip(F.regexp_replace(joined, r"(?U)(\n[^\S\n]*)(?:\n[^\S\n]*)+(?=\n)", "$1"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from corpusdesk.functions.text import fold_blanks, lines_of, lower_tr, strip
+from corpusdesk.functions.text import fold_blanks, let, lines_of, lower_tr, strip
 
 # Masks and patterns, applied in this order (specific before general).
 PII_PATTERNS = {
@@ -84,11 +84,13 @@ def _join(lines: Column) -> Column:
 def strip_pii_requests(text: Column) -> Column:
     """Drop lines that ask for personal data; prose that merely mentions it stays."""
 
-    def stays(line: Column) -> Column:
-        bare = F.regexp_replace(line, PLACEHOLDER, "")
+    def asks(bare: Column) -> Column:
         naked = strip(bare)
-        asks = naked.rlike(_IGNORE_CASE + f"(?:{REQUEST_MARK})") | (F.length(naked) < SHORT_LINE)
-        return ~(bare.rlike(_IGNORE_CASE + f"(?:{PII_TERMS})") & asks)
+        looks_like = F.regexp_like(naked, F.lit(_IGNORE_CASE + f"(?:{REQUEST_MARK})")) | (F.length(naked) < SHORT_LINE)
+        return bare.rlike(_IGNORE_CASE + f"(?:{PII_TERMS})") & looks_like
+
+    def stays(line: Column) -> Column:
+        return ~let(F.regexp_replace(line, PLACEHOLDER, ""), asks)
 
     return _join(F.filter(lines_of(text), stays))
 
@@ -116,33 +118,42 @@ def dedupe_lines(text: Column) -> Column:
         lines_of(text),
         lambda x, i: F.struct(lower_tr(fold_blanks(x)).alias("key"), i.alias("i"), x.alias("line")),
     )
-    ordered = F.array_sort(keyed)
-    before = F.concat(F.array(F.lit(None).cast("string")), ordered["key"])
-    paired = F.arrays_zip(ordered.alias("cur"), before.alias("prev"))
-    kept = F.filter(
-        paired,
-        lambda z: z["cur"].isNotNull()
-        & ((F.length(z["cur"]["key"]) <= REPEAT_MIN) | z["prev"].isNull() | (z["prev"] != z["cur"]["key"])),
-    )
-    back = F.array_sort(F.transform(kept, lambda z: F.struct(z["cur"]["i"].alias("i"), z["cur"]["line"].alias("line"))))
-    return _join(back["line"])
+
+    def first_ones(ordered: Column) -> Column:
+        before = F.concat(F.array(F.lit(None).cast("string")), ordered["key"])
+        paired = F.arrays_zip(ordered.alias("cur"), before.alias("prev"))
+        kept = F.filter(
+            paired,
+            lambda z: z["cur"].isNotNull()
+            & ((F.length(z["cur"]["key"]) <= REPEAT_MIN) | z["prev"].isNull() | (z["prev"] != z["cur"]["key"])),
+        )
+        back = F.transform(kept, lambda z: F.struct(z["cur"]["i"].alias("i"), z["cur"]["line"].alias("line")))
+        return _join(F.array_sort(back)["line"])
+
+    return let(F.array_sort(keyed), first_ones)
 
 
 def drop_orphan_intros(text: Column) -> Column:
     """Drop a line ending in a colon unless a list item or a "key:" line follows."""
     numbered = F.transform(lines_of(text), lambda x, i: F.struct(i.alias("i"), x.alias("line")))
-    filled = F.filter(numbered, lambda e: strip(e["line"]) != "")
-    blank = F.filter(numbered, lambda e: strip(e["line"]) == "")
-    following = F.concat(F.slice(filled["line"], F.lit(2), F.greatest(F.size(filled), F.lit(1))),
-                         F.array(F.lit("")))
-    paired = F.arrays_zip(filled.alias("cur"), following.alias("next"))
-    kept = F.filter(
-        paired,
-        lambda z: z["cur"].isNotNull()
-        & (~F.regexp_replace(z["cur"]["line"], r"(?U)\s+\z", "").endswith(":") | z["next"].rlike("(?U)" + LIST_ITEM)),
-    )
-    back = F.array_sort(F.concat(F.transform(kept, lambda z: z["cur"]), blank))
-    return _join(back["line"])
+
+    def without_orphans(all_lines: Column) -> Column:
+        filled = F.filter(all_lines, lambda e: strip(e["line"]) != "")
+        blank = F.filter(all_lines, lambda e: strip(e["line"]) == "")
+
+        def keep(full: Column) -> Column:
+            following = F.concat(F.slice(full["line"], F.lit(2), F.greatest(F.size(full), F.lit(1))), F.array(F.lit("")))
+            paired = F.arrays_zip(full.alias("cur"), following.alias("next"))
+            kept = F.filter(
+                paired,
+                lambda z: z["cur"].isNotNull()
+                & (~z["cur"]["line"].rlike(r"(?U):\s*\z") | z["next"].rlike("(?U)" + LIST_ITEM)),
+            )
+            return F.transform(kept, lambda z: z["cur"])
+
+        return _join(F.array_sort(F.concat(let(filled, keep), blank))["line"])
+
+    return let(numbered, without_orphans)
 
 
 def sanitize_draft(text: Column) -> Column:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from corpusdesk.params import SEARCH
 
@@ -29,12 +30,18 @@ STOP_WORDS = (
 ).split()
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind ``value`` once inside a larger expression.
+
+    Without it an expression that a formula names three times is computed three
+    times, and once per element when the formula is a lambda over an array.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lines_of(text: Column) -> Column:
-    """Lines without their ends; one final line break adds no empty line."""
-    trimmed = F.regexp_replace(text, f"(?:{LINE_BREAK})\\z", "")
-    return F.when(F.length(text) == 0, F.array().cast(ArrayType(StringType()))).otherwise(
-        F.split(trimmed, LINE_BREAK)
-    )
+    """Lines without their ends; one final line break adds no further line."""
+    return F.split(F.regexp_replace(text, f"(?:{LINE_BREAK})\\z", ""), LINE_BREAK)
 
 
 def strip(text: Column) -> Column:

@@ -7,12 +7,12 @@ text goes in, one ``posexplode`` comes out, in the task that read the file.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusdesk.functions.text import normalize_text, strip, word_count
+from corpusdesk.functions.text import let, normalize_text, strip, word_count
 from corpusdesk.params import CHUNK, ChunkParams
 
 # Article heading, chapter heading, paragraph mark, end of sentence.
@@ -34,11 +34,6 @@ META_TYPE = (
 )
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind ``value`` once inside a larger expression."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _empty(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 

@@ -31,11 +31,25 @@ def sub(x: str, pattern: str, new: str) -> str:
     return f"regexp_replace({x}, {lit(pattern)}, {lit(new)}, 'g')"
 
 
+WORD_ID = "\x01" + ID + "\x02"
+WORD_NAME = ("\x01[A-ZÇĞİÖŞÜ][a-zçğıöşü]{2,}\x02(?:\\s+\x01[A-ZÇĞİÖŞÜ][a-zçğıöşü]{2,}\x02){1,2}")
+
+
+def delimit(x: str) -> str:
+    """Put marks around every word, so that a limit takes up no character of its own."""
+    return sub(x, r"([\p{L}\p{N}_]+)", "\x01\\1\x02")
+
+
+def undelimit(x: str) -> str:
+    return sub(x, "[\x01\x02]", "")
+
+
 def mask(x: str) -> str:
-    for before, core, new in PII:
+    x = undelimit(sub(delimit(x), WORD_ID, PII[0][2]))
+    for before, core, new in PII[1:3]:
         for _ in range(2):
             x = sub(x, before + core + NOT_WORD_END, r"\1" + new + r"\3")
-    return x
+    return undelimit(sub(delimit(x), WORD_NAME, PII[3][2]))
 
 
 def has_pii(x: str) -> str:
