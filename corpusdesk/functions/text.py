@@ -156,6 +156,21 @@ def normalize_text(text: Column) -> Column:
 def tokenize(text: Column, stem: int = SEARCH.stem) -> Column:
     """Lexemes in text order: letter/digit runs, lower case, stop words out, cut to a stem."""
     raw = F.regexp_extract_all(lower_tr(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    stops = F.array(*[F.lit(w) for w in STOP_WORDS])
-    kept = F.filter(raw, lambda t: ~F.array_contains(stops, t))
+    kept = F.filter(raw, lambda t: ~t.isin(*STOP_WORDS))
     return F.transform(kept, lambda t: F.substring(t, 1, stem))
+
+
+def runs(tokens: Column) -> Column:
+    """ARRAY of STRUCT(lexeme, tf): the distinct tokens of one text with their counts.
+
+    Sorting brings equal tokens together, so counting needs no exchange of rows.
+    """
+
+    def count(s: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
+        return let(starts, lambda at: F.transform(at, lambda p, k: F.struct(
+            F.get(s, p - 1).alias("lexeme"), (F.coalesce(F.get(at, k + 1), F.size(s) + 1) - p).alias("tf"))))
+
+    empty = F.array().cast("array<struct<lexeme:string,tf:int>>")
+    return let(F.array_sort(tokens), lambda s: F.when(F.size(s) == 0, empty).otherwise(count(s)))

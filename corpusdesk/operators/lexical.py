@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from corpusdesk.functions.text import tokenize
+from corpusdesk.functions.text import let, runs, tokenize
 from corpusdesk.params import SEARCH
 
 PI2_6 = 1.64493406685   # limit of 1 + 1/4 + 1/9 + ...
@@ -13,13 +13,12 @@ SALTS = 8
 
 
 def build_postings(chunks: DataFrame, chunk_id: str = "chunk_id", content: str = "content") -> DataFrame:
-    """(lexeme, chunk_id, tf, len).  All words of a chunk sit in one task, so the
-    count is complete before the shuffle and equal lexemes of many chunks never meet."""
-    tokens = chunks.select(chunk_id, tokenize(F.col(content)).alias("tokens"))
-    words = tokens.select(chunk_id, F.size("tokens").alias("len"), F.explode("tokens").alias("lexeme"))
-    return words.groupBy(chunk_id, "lexeme").agg(
-        F.count(F.lit(1)).cast("int").alias("tf"), F.first("len").alias("len")
-    ).select("lexeme", chunk_id, "tf", "len")
+    """(lexeme, chunk_id, tf, len).  A chunk's words are counted inside its row, so
+    building the index moves no data at all."""
+    counted = let(tokenize(F.col(content)), lambda t: F.struct(F.size(t).alias("len"), runs(t).alias("words")))
+    rows = chunks.select(chunk_id, counted.alias("c"))
+    return rows.select(chunk_id, F.col("c.len").alias("len"), F.explode("c.words").alias("w")).select(
+        "w.lexeme", chunk_id, "w.tf", "len")
 
 
 def document_frequencies(postings: DataFrame) -> DataFrame:
@@ -79,13 +78,6 @@ def lexical_topk(queries: DataFrame, postings: DataFrame, keys: list[str], k: in
 
 def relevant_postings(chunks: DataFrame, queries: DataFrame, keys: list[str],
                       chunk_id: str = "chunk_id", content: str = "content") -> DataFrame:
-    """Postings of only those lexemes that some query asks for.
-
-    For a one-off batch this avoids shuffling an index that is mostly unused.
-    """
+    """Postings of only those lexemes that some query asks for, for a one-off batch."""
     wanted = query_lexemes(queries, keys).select("lexeme").distinct()
-    tokens = chunks.select(chunk_id, tokenize(F.col(content)).alias("tokens"))
-    words = tokens.select(chunk_id, F.size("tokens").alias("len"), F.explode("tokens").alias("lexeme"))
-    return words.groupBy(chunk_id, "lexeme").agg(
-        F.count(F.lit(1)).cast("int").alias("tf"), F.first("len").alias("len")
-    ).join(wanted, "lexeme", "left_semi").select("lexeme", chunk_id, "tf", "len")
+    return build_postings(chunks, chunk_id, content).join(wanted, "lexeme", "left_semi")

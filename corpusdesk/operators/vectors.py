@@ -103,7 +103,9 @@ def _scan_topk(queries, chunks, keys, k, chunk_id, vec) -> DataFrame:
                 continue
             ids = batch[chunk_id].to_numpy()
             dist = np.round(1.0 - matrix @ _unit(batch[vec]).T, 9)
-            for q in range(n):
+            # A query needs work only if this batch beats its k-th best so far.
+            worst = np.array([d[-1] if len(d) == k else np.inf for d, _ in kept])
+            for q in np.flatnonzero(dist.min(axis=1) <= worst):
                 d = np.concatenate([kept[q][0], dist[q]])
                 i = np.concatenate([kept[q][1].astype(ids.dtype), ids])
                 pick = _best(d, i, k)
@@ -121,7 +123,8 @@ def _scan_topk(queries, chunks, keys, k, chunk_id, vec) -> DataFrame:
 def _cell_topk(queries, chunks, keys, k, chunk_id, vec, probe: int | None,
                pivots: int = 256, slice_rows: int = 20_000) -> DataFrame:
     spark = chunks.sparkSession
-    # A fixed number of pivots, picked by hash: the driver holds pivots * dim numbers.
+    # At most a fixed number of pivots, picked by hash: the driver holds pivots * dim numbers.
+    pivots = min(pivots, int(chunks.count() ** 0.5) + 1)
     picked = chunks.orderBy(F.md5(F.col(chunk_id).cast("string")), chunk_id).limit(pivots).toPandas()
     if picked.empty:
         return _scan_topk(queries.limit(0), chunks, keys, k, chunk_id, vec)
@@ -189,15 +192,17 @@ def _cell_topk(queries, chunks, keys, k, chunk_id, vec, probe: int | None,
         if q.empty or c.empty:
             return pd.DataFrame({name: [] for name in [*keys, chunk_id, "distance"]})
         units, ids = _unit(c[vec]), c[chunk_id].to_numpy()
-        out = []
+        rows, picks, dists = [], [], []
         # Blocks of queries bound the distance matrix.
         for at in range(0, len(q), 256):
-            block = q.iloc[at:at + 256]
-            dist = np.round(1.0 - _unit(block[vec]) @ units.T, 9)
+            dist = np.round(1.0 - _unit(q[vec].iloc[at:at + 256]) @ units.T, 9)
             for row, d in enumerate(dist):
                 pick = _best(d, ids, k)
-                out.append(block.iloc[[row] * len(pick)][keys].assign(**{chunk_id: ids[pick], "distance": d[pick]}))
-        return pd.concat(out, ignore_index=True)
+                rows.append(np.full(len(pick), at + row))
+                picks.append(ids[pick])
+                dists.append(d[pick])
+        out = q[keys].iloc[np.concatenate(rows)].reset_index(drop=True)
+        return out.assign(**{chunk_id: np.concatenate(picks), "distance": np.concatenate(dists)})
 
     found = left.select(*group, *keys, vec).groupBy(*group).cogroup(
         right.select(*group, chunk_id, vec).groupBy(*group)

@@ -9,12 +9,12 @@ from corpusdesk.operators import chunking, corpus
 from corpusdesk.operators.windows import asof_join
 from corpusdesk.plans import derive, oracle as o
 from corpusdesk.plans.q_sources import _windows
-from corpusdesk.plans.registry import duck, frame, query, table
+from corpusdesk.plans.registry import duck, frame, query, table, texts
 
 
 @query("""select doc_id, text as plain, text as with_mark, replace(replace(text, 'ß', 's'), 'ñ', 'n') as single_byte from documents""")
 def decode_text(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     # Latin letters of these texts have the same bytes in ISO-8859-1 and in cp1254.
     simple = F.replace(F.replace(F.col("text"), F.lit("ß"), F.lit("s")), F.lit("ñ"), F.lit("n"))
     return docs.select(
@@ -63,7 +63,7 @@ def route_extractor(spark, sf):
 
 @query(f"select page_id, {o.html('html')} as text from pages")
 def html_to_text(spark, sf):
-    return table(spark, sf, "pages").select("page_id", tx.html_to_text(F.col("html")).alias("text"))
+    return texts(spark, sf, "pages").select("page_id", tx.html_to_text(F.col("html")).alias("text"))
 
 
 _RAW = "select doc_id, replace(replace(text, '. ', concat('.', chr(13), chr(10), chr(9))), 'tion ', concat('tion-', chr(10))) as text from {documents}"
@@ -92,7 +92,7 @@ _REG_DUCK = f"""(select doc_id, array_to_string(list_transform(string_split(text
 
 def regulation(spark, sf):
     heading = _regulation_heading("", "i").replace("//", "div")
-    return table(spark, sf, "documents").selectExpr(
+    return texts(spark, sf).selectExpr(
         "doc_id", f"array_join(transform(split(text, '\\n'), (l, i) -> concat({heading}, l)), '\\n') as text")
 
 
@@ -155,7 +155,7 @@ def chapter_asof(spark, sf):
  from (select doc_id, text, unnest(case when length(text) <= 2500 then [0] else range(0, cast(ceil(length(text) / 1800.0) as bigint)) end) as part
  from documents) x""")
 def paragraph_pack(spark, sf):
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         "doc_id", F.posexplode(chunking.paragraph_pack(F.col("text"))).alias("part", "body"))
 
 
@@ -190,23 +190,23 @@ def chunk_articles(spark, sf):
 
 @query(_windows(500, 50))
 def chunk_words(spark, sf):
-    return chunking.chunk_words(table(spark, sf, "documents"))
+    return chunking.chunk_words(texts(spark, sf))
 
 
 @query()
 def chunk_chars(spark, sf):
     """Character-budget chunks: recursive splitting has no SQL form."""
-    return chunking.chunk_chars(table(spark, sf, "documents"))
+    return chunking.chunk_chars(texts(spark, sf))
 
 
 @query("select min(doc_id) as doc_id, text from documents group by text")
 def dedupe_documents(spark, sf):
-    return corpus.dedupe_documents(table(spark, sf, "documents")).select("doc_id", "text")
+    return corpus.dedupe_documents(texts(spark, sf)).select("doc_id", "text")
 
 
 @query("select sha256(text) as sha256, min(doc_id) as keep_id, count(*) as copies from documents group by text having count(*) > 1")
 def duplicate_report(spark, sf):
-    return corpus.duplicate_report(table(spark, sf, "documents"))
+    return corpus.duplicate_report(texts(spark, sf))
 
 
 @query("""select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity from lineitem qualify row_number() over (
@@ -220,7 +220,7 @@ def dedupe_chunks(spark, sf):
 @query("""select min(doc_id) as doc_id, sha256(text) as sha256 from documents d where lang <> 'en'
  and not exists (select 1 from documents s where s.lang = 'en' and s.text = d.text) group by text""")
 def incremental_import(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     return corpus.incremental_import(docs.where("lang <> 'en'"), docs.where("lang = 'en'"))
 
 
@@ -228,7 +228,7 @@ def incremental_import(spark, sf):
  cast(sum(case when held then n else n - 1 end) as bigint) as skipped from (select text, count(*) as n,
  exists (select 1 from documents s where s.lang = 'en' and s.text = d.text) as held from documents d group by text) x""")
 def import_counts(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     return corpus.import_counts(docs, docs.where("lang = 'en'"))
 
 
@@ -238,7 +238,7 @@ _LANES = ", ".join(f"sum(cast(('0x' || substr(h, {1 + 12 * i}, 12)) as bigint)):
 @query(f"""select n as documents, sha256(concat_ws(':', n, l0, l1, l2, l3, 'chunk_overlap=50;chunk_size=500;chunker=3;dimensions=64')) as stamp
  from (select count(*) as n, {_LANES} from (select sha256(concat(doc_id, ':', text)) as h from documents) x) y""")
 def corpus_stamp(spark, sf):
-    return corpus.corpus_stamp(table(spark, sf, "documents"),
+    return corpus.corpus_stamp(texts(spark, sf),
                                {"chunk_size": 500, "chunk_overlap": 50, "dimensions": 64, "chunker": 3})
 
 
@@ -257,7 +257,7 @@ def validate_tags(spark, sf):
 @query(f"""select concat(c.doc_id, '-', c.chunk_index) as chunk_id, c.doc_id, c.chunk_index, d.source as tags,
  cast(len({o.words('c.content')}) as int) as word_count from ({_windows(500, 50)}) c join documents d using (doc_id)""")
 def chunk_rows(spark, sf):
-    docs = table(spark, sf, "documents").withColumn("tags", F.array("source"))
+    docs = texts(spark, sf).withColumn("tags", F.array("source"))
     rows = chunking.chunk_rows(chunking.chunk_words(docs), docs)
     return rows.select("chunk_id", "doc_id", "chunk_index", F.array_join("tags", ",").alias("tags"), "word_count")
 
@@ -284,7 +284,7 @@ def index_status(spark, sf):
  (select doc_id, count(*) as n, cast(sum(length(content)) as bigint) as c from ({_windows(500, 50, "lang <> 'fr'")}) x group by doc_id) b full join
  (select doc_id, count(*) as n, cast(sum(length(content)) as bigint) as c from ({_windows(200, 20, "lang <> 'de'")}) x group by doc_id) a using (doc_id)""")
 def chunk_stats(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     return corpus.chunk_stats(chunking.chunk_words(docs.where("lang <> 'fr'")),
                               chunking.chunk_words(docs.where("lang <> 'de'"), size=200, overlap=20))
 

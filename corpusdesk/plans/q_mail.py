@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusdesk.functions import mail
 from corpusdesk.operators import mailbox
 from corpusdesk.plans import derive, oracle as o
-from corpusdesk.plans.registry import duck, frame, query, table
+from corpusdesk.plans.registry import duck, frame, query, table, texts
 
 
 def _in(words) -> str:
@@ -52,8 +52,8 @@ def auto_reply_filter(spark, sf):
 @query(f"""select page_id, case when coalesce(text, '') <> '' then text else {o.html('html')} end as body
  from pages left join (select doc_id, case when lang = 'en' then '' else text end as text from documents) d on page_id = doc_id""")
 def body_fallback(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.when(F.col("lang") == "en", "").otherwise(F.col("text")).alias("text"))
-    pages = table(spark, sf, "pages")
+    docs = texts(spark, sf).select("doc_id", F.when(F.col("lang") == "en", "").otherwise(F.col("text")).alias("text"))
+    pages = texts(spark, sf, "pages")
     return pages.join(docs, pages.page_id == docs.doc_id, "left").select(
         "page_id", mail.body_or_html(F.col("text"), F.col("html")).alias("body"))
 

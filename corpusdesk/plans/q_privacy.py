@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusdesk.functions import pii
 from corpusdesk.operators import retention
 from corpusdesk.plans import derive, oracle as o
-from corpusdesk.plans.registry import duck, frame, query, table
+from corpusdesk.plans.registry import duck, frame, query, table, texts
 
 
 @query(f"select doc_id, {o.mask('text')} as text from {duck(derive.PII_DOCS)}")
@@ -17,7 +17,7 @@ def mask_pii(spark, sf):
 
 @query(f"select doc_id, {o.has_pii('text')} as has_pii from documents")
 def has_pii(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", pii.has_pii(F.col("text")).alias("has_pii"))
+    return texts(spark, sf).select("doc_id", pii.has_pii(F.col("text")).alias("has_pii"))
 
 
 def _count(i: int) -> str:

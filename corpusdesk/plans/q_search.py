@@ -10,7 +10,7 @@ from corpusdesk.operators import fusion, lexical, vectors
 from corpusdesk.operators.corpus import tags_or_empty
 from corpusdesk.params import SEARCH
 from corpusdesk.plans import oracle as o, search as plan
-from corpusdesk.plans.registry import duck, frame, query, table
+from corpusdesk.plans.registry import duck, frame, query, table, texts
 
 P = replace(SEARCH, dim=64)
 KEYS = ["query_id", "sub_no"]
@@ -25,7 +25,7 @@ _VECTORS = "select vec_id as query_id, 0 as sub_no, reverse(embedding) as vec fr
 
 
 def corpus(spark, sf) -> plan.Corpus:
-    docs, emb = table(spark, sf, "documents"), table(spark, sf, "embeddings")
+    docs, emb = texts(spark, sf), table(spark, sf, "embeddings")
     chunks = docs.join(emb, docs.doc_id == emb.vec_id, "left").select(
         F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.col("doc_id").alias("chunk_index"),
         F.col("text").alias("content"), F.array("source").alias("tags"), F.col("embedding").alias("vec"))
@@ -125,7 +125,7 @@ def vector_topk_ann(spark, sf):
 def tokenize(spark, sf):
     from corpusdesk.functions.text import tokenize as tokens
 
-    return table(spark, sf, "documents").select("doc_id", F.array_join(tokens(F.col("text")), " ").alias("lexemes"))
+    return texts(spark, sf).select("doc_id", F.array_join(tokens(F.col("text")), " ").alias("lexemes"))
 
 
 _POST = f"""with words as (select doc_id as chunk_id, len(ts) as len, unnest(ts) as lexeme from (select doc_id, {o.tokens('text')} as ts from documents) t),
@@ -201,7 +201,7 @@ def degrade_legs(spark, sf):
 @query(f"{search_sql()} select query_id, chunk_id, score from boosted")
 def tag_bonus(spark, sf):
     q, c, legs = _legs(spark, sf)
-    tags = table(spark, sf, "documents").select(
+    tags = texts(spark, sf).select(
         F.col("doc_id").alias("chunk_id"),
         tags_or_empty(F.concat(F.lit('["'), F.col("source"), F.lit('"]'))).alias("tags"))
     gated = fusion.scope_gate(fusion.rrf_fuse(legs), fusion.query_stats(q, legs), P.max_distance)
@@ -217,7 +217,7 @@ def rerank_topn(spark, sf):
     q, c, legs = _legs(spark, sf)
     gated = fusion.scope_gate(fusion.rrf_fuse(legs), fusion.query_stats(q, legs), P.max_distance)
     base = fusion.tag_bonus(gated, q.select("query_id", "intent").distinct(), c.chunks)
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("n_chars").cast("double").alias("chars"))
+    docs = texts(spark, sf).select(F.col("doc_id").alias("chunk_id"), F.col("n_chars").cast("double").alias("chars"))
     scores = base.where("query_id % 3 <> 1").join(docs, "chunk_id").select("query_id", "chunk_id", F.col("chars").alias("score"))
     return fusion.rerank_topn(base, scores).select("query_id", "chunk_id", "position", F.round("score", 6).alias("score"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusdesk.functions.text import decode_text
 from corpusdesk.operators import chunking, corpus
 from corpusdesk.plans import derive, oracle as o
-from corpusdesk.plans.registry import duck, frame, query, table
+from corpusdesk.plans.registry import duck, frame, query, table, texts
 from corpusdesk.sources import files, tables
 from corpusdesk.sources.workdir import new_path
 
@@ -16,7 +16,7 @@ from corpusdesk.sources.workdir import new_path
  from documents""")
 def read_jsonl_kb(spark, sf):
     path = new_path(spark, "kb")
-    table(spark, sf, "documents").select(
+    texts(spark, sf).select(
         F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"),
         F.when(F.col("lang") == "en", F.array("source")).alias("tags"), F.col("text").alias("content"),
     ).write.json(path)
@@ -26,7 +26,7 @@ def read_jsonl_kb(spark, sf):
 @query("select doc_id, length(text) as chars, md5(text) as digest, true as has_name from documents")
 def read_files(spark, sf):
     path = new_path(spark, "files")
-    table(spark, sf, "documents").select("doc_id", "text").write.json(path)
+    texts(spark, sf).select("doc_id", "text").write.json(path)
     accepted, _ = files.read_files(spark, path + "/*.json")
     rows = accepted.select("name", F.explode(F.split(decode_text(F.col("content")), "\n")).alias("line")).where("line <> ''")
     parsed = rows.select("name", F.from_json("line", "doc_id bigint, text string").alias("r"))
@@ -48,7 +48,7 @@ def _windows(size: int, overlap: int, where: str = "true") -> str:
 
 @query(_windows(500, 50, "lang in ('fr', 'es')") + " union all " + _windows(200, 20, "lang in ('en', 'de')"))
 def replace_chunks(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     outcomes = docs.select("doc_id", F.when(F.col("lang").isin("fr", "es"), "embedding failed").alias("error"))
     return tables.replace_chunks(chunking.chunk_words(docs), chunking.chunk_words(docs, size=200, overlap=20), outcomes)
 
@@ -71,7 +71,7 @@ def append_mail_log(spark, sf):
  from documents d join labels l using (doc_id) where l.quality <> case when d.n_chars > 1000 then 1 else 0 end""")
 def export_errors_jsonl(spark, sf):
     path = new_path(spark, "errors")
-    joined = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select(
+    joined = texts(spark, sf).join(table(spark, sf, "labels"), "doc_id").select(
         "doc_id", F.col("quality").alias("expected"), F.when(F.col("n_chars") > 1000, 1).otherwise(0).alias("got"), "text")
     files.export_jsonl(joined.where("expected <> got"), path)
     return spark.read.schema("doc_id bigint, expected int, got int, text string").json(path)
@@ -83,6 +83,6 @@ def baseline_store(spark, sf):
     path = new_path(spark, "baseline")
     results = table(spark, sf, "labels").where("quality = 1").select(
         F.lit("labels").alias("suite"), F.col("doc_id").alias("question_id"), (F.col("doc_id") % 10).cast("int").alias("pos"))
-    mark = corpus.corpus_stamp(table(spark, sf, "documents"), {"chunk_size": 500}).first()["stamp"]
+    mark = corpus.corpus_stamp(texts(spark, sf), {"chunk_size": 500}).first()["stamp"]
     tables.write_baseline(results, F.lit(mark), path)
     return tables.read_baseline(spark, path, "labels", mark).select("suite", "question_id", "pos")
