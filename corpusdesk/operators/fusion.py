@@ -58,9 +58,11 @@ def scope_gate(fused: DataFrame, stats: DataFrame, max_distance: float = SEARCH.
 
 
 def tag_bonus(fused: DataFrame, intents: DataFrame, chunk_tags: DataFrame, bonus: float = SEARCH.intent_bonus) -> DataFrame:
-    """Add ``bonus`` once where the query's intent is among the chunk's tags."""
-    tagged = fused.join(chunk_tags.select("chunk_id", "tags"), "chunk_id", "left").join(
-        intents.select("query_id", "intent"), "query_id", "left")
+    """Add ``bonus`` once where the query's intent is among the chunk's tags.
+
+    Further columns of ``chunk_tags`` come along, so one join fetches them all.
+    """
+    tagged = fused.join(chunk_tags, "chunk_id").join(intents.select("query_id", "intent"), "query_id", "left")
     hit = F.coalesce(F.array_contains("tags", F.col("intent")), F.lit(False))
     return tagged.withColumn("score", F.round(F.col("score") + F.when(hit, bonus).otherwise(0.0), 9)).drop("tags", "intent")
 

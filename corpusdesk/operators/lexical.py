@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusdesk.functions.text import let, runs, tokenize
 from corpusdesk.params import SEARCH
+from corpusdesk.sources.workdir import fits
 
 PI2_6 = 1.64493406685   # limit of 1 + 1/4 + 1/9 + ...
 WORD_WEIGHT = 0.1       # weight of an unlabelled word
-SALTS = 8
+SALTS = 32
+MAX_BROADCAST_LEXEMES = 200_000   # rows of (keys, lexeme), some 10 MB
 
 
 def build_postings(chunks: DataFrame, chunk_id: str = "chunk_id", content: str = "content") -> DataFrame:
@@ -38,46 +40,44 @@ def query_lexemes(queries: DataFrame, keys: list[str], text: str = "text") -> Da
     )
 
 
-def _matches(lexemes: DataFrame, postings: DataFrame, chunk_id: str, salts: int) -> DataFrame:
-    """Join on (lexeme, salt): a lexeme that occurs in a third of all chunks is
-    spread over ``salts`` tasks; the query side, the small one, is repeated."""
+def _matches(lexemes: DataFrame, postings: DataFrame, chunk_id: str, salts: int, max_broadcast: int) -> DataFrame:
+    """Postings of the lexemes that queries ask for.
+
+    A checked number of query rows is broadcast, and the index stays where it
+    is.  A larger query set is joined on (lexeme, salt): a lexeme that occurs in
+    a third of all chunks is spread over ``salts`` tasks, and the query side,
+    still the smaller one, is repeated.
+    """
+    if fits(lexemes, max_broadcast):
+        return postings.join(F.broadcast(lexemes), "lexeme")
     spread = postings.withColumn("salt", F.pmod(F.xxhash64(chunk_id), F.lit(salts)).cast("int"))
     repeated = lexemes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(repeated, ["lexeme", "salt"])
 
 
 def chunk_matches(queries: DataFrame, chunks: DataFrame, keys: list[str], chunk_id: str = "chunk_id",
-                  content: str = "content", salts: int = SALTS) -> DataFrame:
+                  content: str = "content", salts: int = SALTS,
+                  max_broadcast: int = MAX_BROADCAST_LEXEMES) -> DataFrame:
     """(keys, chunk_id, shared): chunks that share any lexeme with the query."""
     postings = build_postings(chunks, chunk_id, content)
-    found = _matches(query_lexemes(queries, keys), postings, chunk_id, salts)
+    found = _matches(query_lexemes(queries, keys), postings, chunk_id, salts, max_broadcast)
     return found.groupBy(*keys, chunk_id).agg(F.count(F.lit(1)).alias("shared"))
 
 
 def lexical_topk(queries: DataFrame, postings: DataFrame, keys: list[str], k: int = SEARCH.pool,
-                 chunk_id: str = "chunk_id", salts: int = SALTS) -> DataFrame:
+                 chunk_id: str = "chunk_id", salts: int = SALTS,
+                 max_broadcast: int = MAX_BROADCAST_LEXEMES) -> DataFrame:
     """(keys, chunk_id, score, rank): the k best chunks of every query.
 
     score = sum over shared lexemes of 0.1 * H2(tf) / (pi^2/6), divided by the
     number of query lexemes and by 1 + ln(len); H2(n) = 1 + 1/4 + ... + 1/n^2.
     """
-    weighted = postings.withColumn(
-        "weight",
-        WORD_WEIGHT / PI2_6
-        * F.aggregate(F.sequence(F.lit(1), F.col("tf")), F.lit(0.0),
-                      lambda a, i: a + F.lit(1.0) / (i.cast("double") * i.cast("double")))
-        / (1 + F.log(F.col("len").cast("double"))),
-    ).select("lexeme", chunk_id, "weight")
-    found = _matches(query_lexemes(queries, keys), weighted, chunk_id, salts)
-    scored = found.groupBy(*keys, chunk_id).agg(
-        F.round(F.sum(F.col("weight") / F.col("n_lexemes")), 9).alias("score")
-    )
+    h2 = F.when(F.col("tf") == 1, 1.0).otherwise(
+        F.aggregate(F.sequence(F.lit(1), F.col("tf")), F.lit(0.0),
+                    lambda a, i: a + F.lit(1.0) / (i.cast("double") * i.cast("double"))))
+    weight = WORD_WEIGHT / PI2_6 * h2 / (1 + F.log(F.col("len").cast("double")))
+    weighted = postings.select("lexeme", chunk_id, weight.alias("weight"))
+    found = _matches(query_lexemes(queries, keys), weighted, chunk_id, salts, max_broadcast)
+    scored = found.groupBy(*keys, chunk_id).agg(F.round(F.sum(F.col("weight") / F.col("n_lexemes")), 9).alias("score"))
     best = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc(chunk_id))
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
-
-def relevant_postings(chunks: DataFrame, queries: DataFrame, keys: list[str],
-                      chunk_id: str = "chunk_id", content: str = "content") -> DataFrame:
-    """Postings of only those lexemes that some query asks for, for a one-off batch."""
-    wanted = query_lexemes(queries, keys).select("lexeme").distinct()
-    return build_postings(chunks, chunk_id, content).join(wanted, "lexeme", "left_semi")

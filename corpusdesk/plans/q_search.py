@@ -10,6 +10,7 @@ from corpusdesk.operators import fusion, lexical, vectors
 from corpusdesk.operators.corpus import tags_or_empty
 from corpusdesk.params import SEARCH
 from corpusdesk.plans import oracle as o, search as plan
+from corpusdesk.sources.workdir import settle
 from corpusdesk.plans.registry import duck, frame, query, table, texts
 
 P = replace(SEARCH, dim=64)
@@ -152,12 +153,19 @@ def lexical_match(spark, sf):
 @query(f"{search_sql()} select query_id, sub_no, chunk_id, score, rank from lexr")
 def lexical_topk(spark, sf):
     q, c = queries(spark, sf), corpus(spark, sf)
-    return lexical.lexical_topk(q, lexical.relevant_postings(c.chunks, q, KEYS), KEYS)
+    return lexical.lexical_topk(q, lexical.build_postings(c.chunks), KEYS)
+
+
+@query(f"{search_sql()} select query_id, sub_no, chunk_id, score, rank from lexr")
+def lexical_topk_salted(spark, sf):
+    """The same for question sets beyond the broadcast limit."""
+    q, c = queries(spark, sf), corpus(spark, sf)
+    return lexical.lexical_topk(q, lexical.build_postings(c.chunks), KEYS, max_broadcast=0)
 
 
 def _legs(spark, sf, subjects=True):
-    q, c = queries(spark, sf, subjects), corpus(spark, sf)
-    return q, c, plan.candidates(q, c, P)
+    q, c = settle(queries(spark, sf, subjects), "queries"), corpus(spark, sf)
+    return q, c, settle(plan.candidates(q, c, P), "legs")
 
 
 @query(f"{search_sql(subjects=False)} select * from fused")
@@ -216,7 +224,7 @@ def rerank_topn(spark, sf):
     """Outside scores (here text lengths) exist for some questions only."""
     q, c, legs = _legs(spark, sf)
     gated = fusion.scope_gate(fusion.rrf_fuse(legs), fusion.query_stats(q, legs), P.max_distance)
-    base = fusion.tag_bonus(gated, q.select("query_id", "intent").distinct(), c.chunks)
+    base = fusion.tag_bonus(gated, q.select("query_id", "intent").distinct(), c.chunks.select("chunk_id", "tags"))
     docs = texts(spark, sf).select(F.col("doc_id").alias("chunk_id"), F.col("n_chars").cast("double").alias("chars"))
     scores = base.where("query_id % 3 <> 1").join(docs, "chunk_id").select("query_id", "chunk_id", F.col("chars").alias("score"))
     return fusion.rerank_topn(base, scores).select("query_id", "chunk_id", "position", F.round("score", 6).alias("score"))

@@ -27,24 +27,27 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, key: str) -> DataFrame:
     """Give every core a share of a table that arrives in fewer pieces than there are cores.
 
-    Text work is bound by the processor.  A large table has many splits and is left as it is.
+    Text work is bound by the processor.  A large table has many splits and is left
+    as it is.  Spreading by the row key lets later groupings by that key stay in place.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
 
 
 def texts(spark: SparkSession, sf: str, name: str = "documents") -> DataFrame:
-    return spread(table(spark, sf, name))
+    return spread(table(spark, sf, name), TEXT_KEYS[name])
 
 
 def frame(spark: SparkSession, sf: str, sql: str) -> DataFrame:
     """Run SQL in which {name} stands for a given table."""
     names = set(re.findall(r"\{(\w+)\}", sql))
-    text_tables = ("documents", "pages")
-    return spark.sql(sql, **{n: texts(spark, sf, n) if n in text_tables else table(spark, sf, n) for n in names})
+    return spark.sql(sql, **{n: texts(spark, sf, n) if n in TEXT_KEYS else table(spark, sf, n) for n in names})
 
 
 def duck(sql: str) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusdesk.operators import fusion, lexical, vectors
 from corpusdesk.params import SEARCH, SearchParams
+from corpusdesk.sources.workdir import settle
 
 
 @dataclass
@@ -30,7 +31,7 @@ def candidates(queries: DataFrame, corpus: Corpus, p: SearchParams = SEARCH,
     if use_words:
         postings = corpus.postings
         if postings is None:
-            postings = lexical.relevant_postings(corpus.chunks, queries, keys)
+            postings = lexical.build_postings(corpus.chunks)
         lex = lexical.lexical_topk(queries, postings, keys, p.pool)
     return fusion.merge_legs(vec, lex)
 
@@ -41,20 +42,25 @@ def rank_candidates(queries: DataFrame, legs: DataFrame, corpus: Corpus, p: Sear
     document_id, chunk_index, score, rank)."""
     gated = fusion.scope_gate(fusion.rrf_fuse(legs, p.rrf_k), fusion.query_stats(queries, legs), p.max_distance)
     intents = queries.groupBy("query_id").agg(F.max("intent").alias("intent"))
-    boosted = fusion.tag_bonus(gated, intents, corpus.chunks, p.intent_bonus)
-    placed = fusion.rerank_topn(boosted, scores, p.rerank_top_n).join(
-        corpus.chunks.select("chunk_id", "document_id", "chunk_index"), "chunk_id")
+    attributes = corpus.chunks.select("chunk_id", "document_id", "chunk_index", "tags")
+    boosted = fusion.tag_bonus(gated, intents, attributes, p.intent_bonus)
+    placed = fusion.rerank_topn(boosted, scores, p.rerank_top_n)
     return fusion.diversify(placed, p.top_k, p.per_document, [F.asc("position")]).drop("position")
 
 
 def search(queries: DataFrame, corpus: Corpus, p: SearchParams = SEARCH, scores: DataFrame | None = None,
            use_vectors: bool = True, use_words: bool = True) -> DataFrame:
-    """Ranked hits without text; ``queries``: query_id, sub_no, text, intent, vec."""
+    """Ranked hits without text; ``queries``: query_id, sub_no, text, intent, vec.
+
+    The questions and their candidates (at most two lists of ``pool`` rows each)
+    are read by several steps and are settled; the corpus is read once per list.
+    """
+    queries = settle(queries, "queries")
     legs = candidates(queries, corpus, p, use_vectors, use_words)
     if legs is None:
         return corpus.chunks.limit(0).selectExpr(
             "cast(null as bigint) query_id", "chunk_id", "document_id", "chunk_index", "0d score", "0 rank")
-    return rank_candidates(queries, legs, corpus, p, scores)
+    return rank_candidates(queries, settle(legs, "legs"), corpus, p, scores)
 
 
 def contexts(queries: DataFrame, corpus: Corpus, p: SearchParams = SEARCH, max_chars: int | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local_fallback: dict[str, str] = {}
 
@@ -29,3 +29,19 @@ def shared_root(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A path below the shared root that nobody has used yet."""
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` below the shared root and go on from the written table.
+
+    For small frames that several later steps read: it is computed once, its
+    size becomes known to the optimizer, and a lost executor costs nothing.
+    """
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fits(df: DataFrame, max_rows: int) -> bool:
+    """Does the frame have at most ``max_rows`` rows?  Reads no more than that."""
+    return df.limit(max_rows + 1).count() <= max_rows
