@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusdesk.functions import pii
-from corpusdesk.functions.text import fold_blanks, lines_of, lower_tr
+from corpusdesk.functions.text import fold_blanks, let, lines_of, lower_tr
 
 KS = (1, 3, 7)
 TOLERANCE = 1
@@ -95,9 +95,8 @@ def regression_gate(diff: DataFrame, same_stamp: Column, tolerance: int = TOLERA
 
 def recall_by_group(results: DataFrame, group: str, methods: list[str], k: int) -> DataFrame:
     """recall@k per group and TOTAL, one column per method."""
-    table = results.rollup(group).pivot("method", methods).agg(
-        F.round(F.avg(_hit(k).cast("double")), 4))
-    return table.withColumn(group, F.coalesce(group, F.lit("TOTAL")))
+    shares = [F.round(F.avg(F.when(F.col("method") == m, _hit(k).cast("double"))), 4).alias(m) for m in methods]
+    return results.rollup(group).agg(*shares).withColumn(group, F.coalesce(group, F.lit("TOTAL")))
 
 
 def method_compare(results: DataFrame, methods: list[str], ks: tuple[int, ...] = KS) -> DataFrame:
@@ -230,3 +229,27 @@ def labelled_intents(docs: DataFrame, questions: DataFrame, tags: str = "tags",
     """Questions whose intent occurs as a tag of some visible document."""
     present = docs.select(F.explode(tags).alias(intent)).distinct()
     return questions.join(present, intent, "left_semi")
+
+
+def containing_documents(passages: DataFrame, docs: DataFrame, words: int = 3) -> DataFrame:
+    """(question_id, doc_id) of documents that contain a passage word for word.
+
+    ``passages`` has (question_id, passage), ``docs`` (doc_id, text).  Candidates
+    share a run of ``words`` words from the inside of the passage, found by an
+    equi-join; they are then compared in full.  A passage needs words + 2 words.
+    """
+    def tokens(c: str) -> Column:
+        return F.regexp_extract_all(F.col(c), F.lit(r"\S+"), F.lit(0))
+
+    def run(w: Column, start: Column) -> Column:
+        return F.array_join(F.slice(w, start, F.lit(words)), " ")
+
+    anchors = passages.select("question_id", run(tokens("passage"), F.lit(2)).alias("anchor"))
+    shingles = docs.select("doc_id", F.explode(let(
+        tokens("text"),
+        lambda w: F.when(F.size(w) >= words, F.array_distinct(
+            F.transform(F.sequence(F.lit(1), F.size(w) - words + 1), lambda i: run(w, i)))),
+    )).alias("anchor"))
+    pairs = shingles.join(anchors, "anchor").select("question_id", "doc_id").distinct()
+    return pairs.join(passages, "question_id").join(docs, "doc_id").where(
+        F.contains("text", F.col("passage"))).select("question_id", "doc_id")

@@ -34,18 +34,18 @@ def synthetic_message_id(spark, sf):
         F.col("mid"), F.encode("html", "UTF-8"), "example.org").alias("message_id"))
 
 
-@query("""select conv_id, turn, role from conversations where not (role = 'system' or conv_id % 5 = 0
- or (role = 'assistant' and conv_id % 5 = 1) or conv_id % 5 = 2)""")
+@query("""select conv_id, turn, role from conversations where not (role = 'system' or length(text) > 900
+ or (role = 'assistant' and turn < 3) or turn = 6)""")
 def auto_reply_filter(spark, sf):
     rows = table(spark, sf, "conversations").withColumn(
         "headers",
-        F.when(F.col("conv_id") % 5 == 0, F.create_map(F.lit("precedence"), F.lit("Bulk")))
+        F.when(F.length("text") > 900, F.create_map(F.lit("precedence"), F.lit("Bulk")))
         .when(F.col("role") == "system", F.create_map(F.lit("auto-submitted"), F.lit("auto-replied")))
         .otherwise(F.create_map(F.lit("precedence"), F.lit("normal"))),
     ).withColumn(
         "sender",
-        F.when((F.col("role") == "assistant") & (F.col("conv_id") % 5 == 1), "No-Reply@example.org")
-        .when(F.col("conv_id") % 5 == 2, "mailer-daemon@example.org").otherwise("a@example.org"))
+        F.when((F.col("role") == "assistant") & (F.col("turn") < 3), "No-Reply@example.org")
+        .when(F.col("turn") == 6, "mailer-daemon@example.org").otherwise("a@example.org"))
     return mailbox.keep_personal(rows).select("conv_id", "turn", "role")
 
 

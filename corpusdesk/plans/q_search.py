@@ -19,8 +19,8 @@ KEYS = ["query_id", "sub_no"]
 # Benchmark passages are the questions, the first turn of a conversation is the
 # subject.  Reversed embeddings serve as question vectors; the subjects of some
 # questions have none.  Questions that hold only signs have no lexical match.
-_QUERIES = """select b.item_id as query_id, case when b.item_id % 4 = 3 then '%%% ###' else b.text end as text,
- case when b.item_id % 4 = 3 then null else c.text end as subject, concat('src', cast(b.item_id % 20 as string)) as intent
+_QUERIES = """select b.item_id as query_id, case when substring(b.text, 1, 1) in ('T', 'O') then '%%% ###' else b.text end as text,
+ case when substring(b.text, 1, 1) in ('T', 'O') then null else c.text end as subject, concat('src', cast(b.item_id % 20 as string)) as intent
  from {benchmark} b left join (select conv_id, text from {conversations} where turn = 0 and role = 'user') c on c.conv_id = b.item_id"""
 _VECTORS = "select vec_id as query_id, 0 as sub_no, reverse(embedding) as vec from {embeddings}"
 
@@ -217,16 +217,17 @@ def tag_bonus(spark, sf):
 
 
 @query(f"""{search_sql()}, ordered as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as old_rank from boosted),
- scored as (select r.*, case when old_rank <= 20 and query_id % 3 <> 1 then n_chars end as new_score from ordered r join documents on doc_id = chunk_id)
+ scored as (select r.*, case when old_rank <= 20 and query_id in (select query_id from subs where sub_no = 1) then n_chars end as new_score from ordered r join documents on doc_id = chunk_id)
  select query_id, chunk_id, row_number() over (partition by query_id order by old_rank <= 20 desc, new_score desc nulls last, old_rank) as position,
  round(coalesce(new_score, score), 6) as score from scored""")
 def rerank_topn(spark, sf):
-    """Outside scores (here text lengths) exist for some questions only."""
+    """Outside scores (here text lengths) exist for questions with a subject only."""
     q, c, legs = _legs(spark, sf)
     gated = fusion.scope_gate(fusion.rrf_fuse(legs), fusion.query_stats(q, legs), P.max_distance)
     base = fusion.tag_bonus(gated, q.select("query_id", "intent").distinct(), c.chunks.select("chunk_id", "tags"))
     docs = texts(spark, sf).select(F.col("doc_id").alias("chunk_id"), F.col("n_chars").cast("double").alias("chars"))
-    scores = base.where("query_id % 3 <> 1").join(docs, "chunk_id").select("query_id", "chunk_id", F.col("chars").alias("score"))
+    subject = q.where("sub_no = 1").select("query_id").distinct()
+    scores = base.join(subject, "query_id", "left_semi").join(docs, "chunk_id").select("query_id", "chunk_id", F.col("chars").alias("score"))
     return fusion.rerank_topn(base, scores).select("query_id", "chunk_id", "position", F.round("score", 6).alias("score"))
 
 
