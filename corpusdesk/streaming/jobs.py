@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusdesk.params import IDLE_SECONDS, POLL_SECONDS
 from corpusdesk.sources.workdir import new_path
@@ -50,7 +51,8 @@ def run_latest(stream: DataFrame, path: str, mode: str) -> DataFrame:
         seen.append(batch_id)
 
     run_batches(stream, path, write, mode)
-    versions = stream.sparkSession.read.schema(stream.schema.add("version", "bigint")).parquet(path)
+    schema = StructType([*stream.schema.fields, StructField("version", LongType())])
+    versions = stream.sparkSession.read.schema(schema).parquet(path)
     if mode == "complete":
         return versions.where(F.col("version") == max(seen, default=0)).drop("version")
     return versions
