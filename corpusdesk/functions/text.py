@@ -13,6 +13,10 @@ DOCX_MIME = "application/vnd.openxmlformats-officedocument.wordprocessingml.docu
 # Line separators that end a line in the source data's convention.
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
+# The characters that count as white space at either end of a text.
+WHITE_SPACE = "".join(map(chr, (
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
 # The Windows-1254 code page differs from Latin-1 here.
 CP1254_80_9F = {
     0x80: "€", 0x82: "‚", 0x83: "ƒ", 0x84: "„", 0x85: "…", 0x86: "†", 0x87: "‡", 0x88: "ˆ",
@@ -46,7 +50,7 @@ def lines_of(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim white space of every kind, not only blanks."""
-    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def fold_blanks(text: Column) -> Column:
@@ -140,13 +144,13 @@ def html_to_text(html: Column) -> Column:
 def normalize_text(text: Column) -> Column:
     """Even out white space but keep line ends, which structure detection relies on."""
     out = text
+    for old, new in (("\r\n", "\n"), ("\r", "\n"), ("\xa0", " "), ("\u200b", "")):
+        out = F.replace(out, F.lit(old), F.lit(new))
+    # Each pattern starts with what is rare and matches only where something changes.
     for pattern, new in (
-        (r"\r\n?", "\n"),
-        (r"\x{A0}", " "),
-        (r"\x{200B}", ""),
-        (r"(?U)(\w)-\n(?=[a-zçğıöşü])", "$1"),
-        (r"[ \t]+", " "),
-        (r" *\n *", "\n"),
+        (r"(?U)-\n(?<=\w-\n)(?=[a-zçğıöşü])", ""),
+        (r"\t[ \t]*| [ \t]+", " "),
+        (r" ?\n ?", "\n"),
         (r"\n{3,}", "\n\n"),
     ):
         out = F.regexp_replace(out, pattern, new)

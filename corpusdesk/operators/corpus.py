@@ -71,9 +71,13 @@ def import_counts(incoming: DataFrame, store: DataFrame, text: str = "text") ->
 
 
 def incremental_import(incoming: DataFrame, store: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per new content, the lowest id of its copies."""
-    fresh = new_documents(incoming.select(doc_id, text), store, text)
-    return fresh.groupBy("sha256").agg(F.min(doc_id).alias(doc_id))
+    """(sha256, doc_id): one row per new content, the lowest id of its copies.
+
+    Copies are reduced to one row map-side before anything is joined.
+    """
+    known = with_hash(store.select(text), text).select("sha256").distinct()
+    return first_of_each(incoming, doc_id, text).join(known, "sha256", "left_anti").select(
+        "sha256", F.col("keep_id").alias(doc_id))
 
 
 def dedupe_rows(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

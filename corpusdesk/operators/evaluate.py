@@ -231,7 +231,7 @@ def labelled_intents(docs: DataFrame, questions: DataFrame, tags: str = "tags",
     return questions.join(present, intent, "left_semi")
 
 
-def containing_documents(passages: DataFrame, docs: DataFrame, words: int = 3) -> DataFrame:
+def containing_documents(passages: DataFrame, docs: DataFrame, words: int = 5) -> DataFrame:
     """(question_id, doc_id) of documents that contain a passage word for word.
 
     ``passages`` has (question_id, passage), ``docs`` (doc_id, text).  Candidates

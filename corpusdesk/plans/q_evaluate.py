@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusdesk.functions import mail
-from corpusdesk.operators import evaluate as ev, fusion, lexical, vectors
+from corpusdesk.operators import evaluate as ev, vectors
 from corpusdesk.plans import derive, oracle as o, search as plan
-from corpusdesk.plans.q_mail import _in
 from corpusdesk.plans.q_search import KEYS, P, _question_vectors, _vector_chunks, corpus, queries, search_sql
 from corpusdesk.plans.registry import duck, frame, query, table, texts
 from corpusdesk.sources.workdir import settle
@@ -28,8 +26,9 @@ def _results(spark, sf):
     q = settle(queries(spark, sf, subjects=False), "queries")
     c = corpus(spark, sf)
     gold = settle(_gold(spark, sf), "gold").withColumnRenamed("doc_id", "chunk_id").withColumn("match", F.lit(True))
-    words = lexical.lexical_topk(q, lexical.build_postings(c.chunks), KEYS, P.top_k)
-    hybrid = plan.search(q, c, P)
+    legs = settle(plan.candidates(q, c, P), "legs")
+    words = legs.where((F.col("leg") == "lex") & (F.col("rank") <= P.top_k))
+    hybrid = plan.rank_candidates(q, legs, c, P)
     out = None
     for name, hits in zip(METHODS, (words, hybrid)):
         judged = hits.select(F.col("query_id").alias("question_id"), "chunk_id", "rank").join(gold, ["question_id", "chunk_id"], "left")

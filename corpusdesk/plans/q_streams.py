@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusdesk.functions import mail
 from corpusdesk.operators import fusion, mailbox
 from corpusdesk.plans import derive, oracle as o, search as plan
-from corpusdesk.plans.q_desk import CARD_EVENTS, CARDS_SQL, SESSIONS_SQL, TRIM_SQL, _GAP, _shown, shown_cards
+from corpusdesk.plans.q_desk import CARDS_SQL, SESSIONS_SQL, TRIM_SQL, _GAP, _shown, shown_cards
 from corpusdesk.plans.q_mail import _MAIL
 from corpusdesk.plans.q_search import KEYS, P, corpus
 from corpusdesk.plans.registry import duck, query, table
@@ -16,17 +16,10 @@ from corpusdesk.sources.workdir import new_path, settle
 from corpusdesk.streaming import jobs, state
 
 
-def _files(spark, sf, name, parts=8, by=None):
-    """The table as several files, as a stream would find them."""
-    path = new_path(spark, f"stream-{name}")
-    df = table(spark, sf, name)
-    df.repartition(parts, *([by] if by else [])).write.parquet(path)
-    return path, df.schema
-
-
-def _stream(spark, sf, name, max_files=10, by=None):
-    path, schema = _files(spark, sf, name, by=by)
-    return poll_files(spark, path, schema, max_files=max_files)
+def _stream(spark, sf, name, max_files=10):
+    """The given table itself as a stream of files."""
+    # A pattern, because a stream's path must be a folder or a pattern.
+    return poll_files(spark, f"{sf}/{name}.parque[t]", table(spark, sf, name).schema, max_files=max_files)
 
 
 def _events(spark, sf, **kw):
@@ -53,9 +46,7 @@ def stream_ingest(spark, sf):
 
 @query("select distinct event_id, event_type from events")
 def stream_dedupe(spark, sf):
-    path, schema = _files(spark, sf, "events")
-    table(spark, sf, "events").repartition(8).write.mode("append").parquet(path)
-    twice = poll_files(spark, path, schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    twice = _events(spark, sf).union(_events(spark, sf))
     # Files come in any order of time, so the delay spans the whole table.
     out = jobs.run_to_table(jobs.dedupe(twice, "event_id", "ts", "60 days"), new_path(spark, "deduped"))
     return out.select("event_id", "event_type")
@@ -83,22 +74,17 @@ def intent_counts_stream(spark, sf):
 
 @query(CARDS_SQL)
 def live_cards_stream(spark, sf):
-    own = jobs.state_session(spark)
-    events = _events(own, sf, max_files=4)
-    rows = events.select("user_id", "event_id", F.unix_micros("ts").alias("us"), "event_type", "props").selectExpr(
-        "user_id", "event_id", "us",
-        f"case when event_type in ('click', 'purchase') then {derive.INTENT} end as intent",
+    rows = _events(spark, sf).selectExpr(
+        "user_id", "event_id", "ts", f"case when event_type in ('click', 'purchase') then {derive.INTENT} end as intent",
         "case when event_type = 'signup' then 'PENDING_APPROVAL' end as state",
         "case when event_type <> 'error' then props end as content")
-    updates = jobs.run_latest(state.live_cards(rows), new_path(spark, "cards"), "update")
-    # Every batch that touched a conversation wrote its card; the last one counts.
-    latest = updates.groupBy("user_id").agg(F.max_by(F.struct("intent", "state", "content", "last_ts", "events"), "events").alias("c"))
-    return shown_cards(latest.select("user_id", "c.*"))
+    cards = jobs.live_cards(rows, "user_id", "ts", "event_id", {c: c for c in ("intent", "state", "content")})
+    return shown_cards(jobs.run_latest(cards, new_path(spark, "cards"), "complete"))
 
 
 @query(TRIM_SQL.replace("select conv_id, turn, role from", "select conv_id, cast(turn as bigint) as turn from"))
 def history_stream(spark, sf):
-    """Files are cut by conversation and read in one batch, so that messages are trimmed in order."""
+    """Histories in state, trimmed to 5 messages and 1500 characters as messages arrive."""
     own = jobs.state_session(spark)
     rows = _stream(own, sf, "conversations").select("conv_id", "turn", (F.length("text") + 20).cast("bigint").alias("size"))
     updates = jobs.run_latest(state.trimmed_histories(rows, 5, 1500), new_path(spark, "histories"), "update")

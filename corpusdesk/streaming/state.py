@@ -1,4 +1,4 @@
-"""Stateful operators: live conversation cards and trimmed histories."""
+"""Trimmed conversation histories kept in state."""
 
 from __future__ import annotations
 
@@ -9,43 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from corpusdesk.params import MAX_HISTORY_CHARS, MAX_MESSAGES
-
-CARD_FIELDS = ("intent", "state", "content")
-CARD_SCHEMA = "user_id bigint, intent string, state string, content string, last_ts timestamp, events bigint"
-
-
-class Cards(StatefulProcessor):
-    """The latest value of each field per conversation.
-
-    State is one row: per field its value and the order of the event that set it.
-    Rows may arrive in any order and in any number of batches.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = ", ".join(f"{f} string, {f}_at bigint" for f in CARD_FIELDS)
-        self._card = handle.getValueState("card", f"{fields}, last_us bigint, events bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        old = self._card.get() if self._card.exists() else None
-        card = list(old) if old else [None, -1] * len(CARD_FIELDS) + [0, 0]
-        for batch in rows:
-            for i, field in enumerate(CARD_FIELDS):
-                set_ = batch[batch[field].notna()]
-                if len(set_):
-                    row = set_.loc[set_["event_id"].idxmax()]
-                    if row["event_id"] > card[2 * i + 1]:
-                        card[2 * i], card[2 * i + 1] = row[field], int(row["event_id"])
-            card[-2] = max(card[-2], int(batch["us"].max()))
-            card[-1] += len(batch)
-        self._card.update(tuple(card))
-        yield pd.DataFrame({
-            "user_id": [key[0]], **{f: [card[2 * i]] for i, f in enumerate(CARD_FIELDS)},
-            "last_ts": [pd.Timestamp(card[-2], unit="us")], "events": [card[-1]],
-        })
-
-    def close(self) -> None:
-        pass
-
+from corpusdesk.streaming.jobs import thin
 
 HISTORY_SCHEMA = "conv_id bigint, turns array<bigint>, version bigint"
 
@@ -85,14 +49,13 @@ class History(StatefulProcessor):
         pass
 
 
-def live_cards(events: DataFrame) -> DataFrame:
-    """``events``: user_id, event_id, us (microseconds), intent, state, content."""
-    return events.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=Cards(), outputStructType=CARD_SCHEMA, outputMode="Update", timeMode="None")
-
-
 def trimmed_histories(messages: DataFrame, max_messages: int = MAX_MESSAGES, max_chars: int = MAX_HISTORY_CHARS) -> DataFrame:
-    """``messages``: conv_id, turn, size (length of the message as JSON)."""
-    return messages.groupBy("conv_id").transformWithStateInPandas(
+    """``messages``: conv_id, turn, size (length of the message as JSON).
+
+    A message that is not among the newest of its own batch cannot be among the
+    newest of all, so a busy conversation is cut before rows are exchanged.
+    """
+    newest = thin(messages, lambda rows: rows.sort_values("turn").groupby("conv_id").tail(max_messages))
+    return newest.groupBy("conv_id").transformWithStateInPandas(
         statefulProcessor=History(max_messages, max_chars), outputStructType=HISTORY_SCHEMA,
         outputMode="Update", timeMode="None")
