@@ -16,14 +16,20 @@ def read_kb(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def split_by_size(files: DataFrame, max_mb: int = MAX_UPLOAD_MB) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) of files or uploads with a ``length``.  The reject frame reads no bodies."""
+    reason = F.when(F.col("length") == 0, "empty file").when(F.col("length") > max_mb * 1024 * 1024, "file too large")
+    return files.where(reason.isNull()), files.where(reason.isNotNull()).drop("content").withColumn("reject_reason", reason)
+
+
 def read_files(spark: SparkSession, path: str, max_mb: int = MAX_UPLOAD_MB) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) files.  The reject frame never reads file bodies."""
+    """(accepted, rejected) files below ``path``.
+
+    Spark lists no empty files, so those are in neither frame; uploads that
+    arrive as rows go through ``split_by_size``, which names them.
+    """
     files = spark.read.format("binaryFile").load(path)
-    reason = F.when(F.col("length") == 0, "empty file").when(F.col("length") > max_mb * 1024 * 1024, "file too large")
-    name = F.element_at(F.split("path", "/"), -1).alias("name")
-    accepted = files.where(reason.isNull()).select("path", name, "length", "content")
-    rejected = files.where(reason.isNotNull()).select("path", name, "length", reason.alias("reject_reason"))
-    return accepted, rejected
+    return split_by_size(files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", "content"), max_mb)
 
 
 def export_jsonl(df: DataFrame, path: str) -> None:

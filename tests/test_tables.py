@@ -109,7 +109,11 @@ def test_files_over_the_limit_are_rejected(spark, tmp_path):
     (tmp_path / "c.txt").write_bytes(b"x" * (1024 * 1024 + 1))
     good, bad = files.read_files(spark, str(tmp_path), max_mb=1)
     assert [r["name"] for r in good.collect()] == ["a.txt"]
-    assert {r["name"]: r["reject_reason"] for r in bad.collect()} == {"b.txt": "empty file", "c.txt": "file too large"}
+    assert {r["name"]: r["reject_reason"] for r in bad.collect()} == {"c.txt": "file too large"}
+    uploads = spark.createDataFrame([("a", 1), ("b", 0), ("c", 2 ** 21)], "name string, length long")
+    good, bad = files.split_by_size(uploads, max_mb=1)
+    assert {r["name"]: r["reject_reason"] for r in bad.collect()} == {"b": "empty file", "c": "file too large"}
+    assert [r["name"] for r in good.collect()] == ["a"]
 
 
 def test_knowledge_base_skips_blank_lines(spark, tmp_path):
