@@ -20,9 +20,9 @@ BADGE_CAP = 200
 
 
 def _one_row(parts: list[DataFrame]) -> DataFrame:
-    """Several one-row aggregates side by side, joined on a constant key."""
-    keyed = [p.withColumn("_one", F.lit(1)) for p in parts]
-    return reduce(lambda a, b: a.join(F.broadcast(b), "_one"), keyed).drop("_one")
+    """Several one-row aggregates as the columns of one row, without a join."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
 def dashboard_stats(drafts: DataFrame, logs: DataFrame, docs: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
@@ -46,9 +46,8 @@ def intent_breakdown(intents: DataFrame, now: Column, days: int = 7) -> DataFram
 
 def share_of_max(breakdown: DataFrame, count: str = "n") -> DataFrame:
     """Bar length in percent of the largest count."""
-    top = breakdown.agg(F.max(count).alias("_top")).withColumn("_one", F.lit(1))
-    return breakdown.withColumn("_one", F.lit(1)).join(F.broadcast(top), "_one").drop("_one").withColumn(
-        "percent", F.round(F.least(F.lit(100.0), F.col(count) / F.greatest("_top", F.lit(1)) * 100), 6)).drop("_top")
+    top = breakdown.agg(F.greatest(F.max(count), F.lit(1))).scalar()
+    return breakdown.withColumn("percent", F.round(F.least(F.lit(100.0), F.col(count) / top * 100), 6))
 
 
 def activity_feed(intents: DataFrame, limit: int = 50) -> DataFrame:

@@ -38,14 +38,13 @@ def route_department(requests: DataFrame, departments: DataFrame, mailboxes: Dat
 
 def auto_approve(replies: DataFrame, settings: DataFrame, now: Column) -> DataFrame:
     """PILOT approves by itself, CO_PILOT waits for a review.  ``settings`` is one row."""
-    pilot = F.col("mode") == "PILOT"
-    one = settings.select("mode").limit(1).withColumn("_one", F.lit(1))
-    return replies.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one").withColumns({
+    pilot = settings.agg(F.first("mode")).scalar() == "PILOT"
+    return replies.withColumns({
         "status": F.when(pilot, "APPROVED").otherwise("PENDING_REVIEW"),
         "auto_approved": pilot,
         "reviewed_by": F.when(~pilot, F.col("reviewed_by")),
         "reviewed_at": F.when(pilot, now).otherwise(F.col("reviewed_at")),
-    }).drop("mode")
+    })
 
 
 def draft_queries(drafts: DataFrame, labels: DataFrame, collected: str = "collected") -> DataFrame:

@@ -241,7 +241,7 @@ TRIM_SQL = """select conv_id, turn, role from (select *, row_number() over (part
 
 @query(TRIM_SQL)
 def trim_history(spark, sf):
-    """The limits of the reference cut nothing here, so smaller ones are set: 5 messages, 1500 characters."""
+    """The default limits cut nothing in these tables, so smaller ones are set: 5 messages, 1500 characters."""
     rows = table(spark, sf, "conversations").withColumn("encoded", F.concat(F.col("text"), F.lit(" " * 20)))
     return history.trim_history(rows, "conv_id", "turn", max_messages=5, max_chars=1500).select("conv_id", "turn", "role")
 
