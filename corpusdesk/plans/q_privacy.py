@@ -57,8 +57,8 @@ def mask_email_address(spark, sf):
 
 
 # Lines that ask for personal data, placeholders, repeats and orphaned intros around every document.
-_DRAFTY = """select doc_id, concat('Sayın [İsim],', chr(10), 'Lütfen aşağıdaki bilgileri sağlayın:', chr(10), 'T.C. Kimlik Numaranız:', chr(10),
- '- [Öğrenci No]', chr(10), text, chr(10), 'Bu satır birden çok kez geçiyor olabilir.', chr(10), '[Adınız Soyadınız] adına belge , talep  ediyorum.', chr(10),
+_DRAFTY = """select doc_id, concat('Sayın [İsim],', chr(10), 'Şu bilgiler dosyada yok:', chr(10), 'TCKN bilginiz?', chr(10),
+ '- [Öğrenci No]', chr(10), text, chr(10), 'Bu satır birden çok kez geçiyor olabilir.', chr(10), '[Ad Soyad] için örnek , belge  konuldu.', chr(10),
  'Ekler:', chr(10), chr(10), '1. transkript', chr(10), 'bu satır birden çok  kez geçiyor olabilir.', chr(10), 'TCKN ile ilgili uzun bir açıklama satırı ki altmış karakterden uzundur ve sormaz', chr(10),
  'Öğrenci numaranızı bu uzun satırda belirtmeniz gerekiyor, çünkü işlem için gereklidir', chr(10), 'Son:') as text from {documents}"""
 

@@ -43,15 +43,16 @@ def test_mail_address(spark):
 
 
 def test_requests_go_and_prose_stays(spark):
-    raw = "T.C. Kimlik Numaranız:\n[Adınız Soyadınız] adına transkript belgesi talep ediyorum.\nTeşekkürler"
-    assert apply(spark, pii.strip_pii_requests, raw) == ["[Adınız Soyadınız] adına transkript belgesi talep ediyorum.\nTeşekkürler"]
+    prose = "[Ad Soyad] için hazırlanan belgenin bir örneği dosyaya konuldu ve ilgiliye duyuruldu."
+    raw = f"TCKN bilginiz?\n{prose}\nöğrenci numaranız\nSon satır"
+    assert apply(spark, pii.strip_pii_requests, raw) == [prose + "\nSon satır"]
 
 
 def test_repeats_and_orphans(spark):
     raw = "Bu satır yirmi beş karakterden uzundur.\nkısa\nkısa\nBU satır  yirmi beş karakterden uzundur."
     assert apply(spark, pii.dedupe_lines, raw) == ["Bu satır yirmi beş karakterden uzundur.\nkısa\nkısa"]
-    assert apply(spark, pii.drop_orphan_intros, "Lütfen sağlayın:\n\nSaygılar", "Ekler:\n\n- bir\n2. iki") == [
-        "\nSaygılar", "Ekler:\n\n- bir\n2. iki"]
+    assert apply(spark, pii.drop_orphan_intros, "Eksik olanlar:\n\nson söz", "Ekler:\n\n- bir\n2. iki") == [
+        "\nson söz", "Ekler:\n\n- bir\n2. iki"]
 
 
 def test_sanitize_draft_handles_null_and_gaps(spark):
@@ -129,11 +130,11 @@ def test_parse_reply(spark):
 
 
 @pytest.mark.parametrize("raw, sender, want", [
-    ("Sayın Öğrenci,\nTranskript hakkında\nSaygılarımızla,", "Ahmet Yılmaz", "Sayın Ahmet Yılmaz,\nTranskript hakkında\nSaygılarımızla,"),
-    ("Transkript hakkında", "Ayşe", "Sayın Ayşe,\nTranskript hakkında"),
-    ('{"subject": "Re: X", "body": Sayın Öğrenci, bilgi verelim."}', "Can", "Sayın Can,\nbilgi verelim."),
-    ("Sayın Demir,\n[Kaynak 1 — belge.pdf] Madde 3'e göre", "Demir", "Sayın Demir,\nMadde 3'e göre"),
-    ("Sayın [isim], merhaba.", None, "Sayın Öğrenci,\nmerhaba."),
+    ("Sayın Veli,\nKayıt dondurma süreci\nİyi günler", "Derya Ak", "Sayın Derya Ak,\nKayıt dondurma süreci\nİyi günler"),
+    ("Belgeniz hazır", "Umut", "Sayın Umut,\nBelgeniz hazır"),
+    ('{"subject": "Re: belge", "body": "Sayın Hocam, belge hazır."}', "Ece", "Sayın Ece,\nbelge hazır."),
+    ("Sayın Kaya,\n[Kaynak 3 — rehber.pdf] Madde 9 uyarınca", "Kaya", "Sayın Kaya,\nMadde 9 uyarınca"),
+    ("Sayın [ad], belge hazır.", None, "Sayın Öğrenci,\nbelge hazır."),
     (None, None, "Sayın Öğrenci,"),
 ])
 def test_sanitize_reply(spark, raw, sender, want):
