@@ -40,15 +40,24 @@ def query_lexemes(queries: DataFrame, keys: list[str], text: str = "text") -> Da
     )
 
 
-def _matches(lexemes: DataFrame, postings: DataFrame, chunk_id: str, salts: int, max_broadcast: int) -> DataFrame:
-    """Postings of the lexemes that queries ask for.
-
-    A checked number of query rows is broadcast, and the index stays where it
-    is.  A larger query set is joined on (lexeme, salt): a lexeme that occurs in
-    a third of all chunks is spread over ``salts`` tasks, and the query side,
+def _matches(lexemes: DataFrame, postings: DataFrame, chunk_id: str, salts: int, max_broadcast: int,
+             placed: bool) -> DataFrame:
+    """Postings of the lexemes that queries ask for, once per query that asks.
+
+    A checked number of query rows is broadcast.  Matches are then summed per
+    query and chunk, and a batch of queries makes many more matches than there
+    are postings.  So the wanted postings are moved to their chunk first, unless
+    they lie there already (``placed``: the table is bucketed or partitioned by
+    chunk id); sums and the cut to the best k need no exchange of matches.
+
+    A larger query set is joined on (lexeme, salt): a lexeme that occurs in a
+    third of all chunks is spread over ``salts`` tasks, and the query side,
     still the smaller one, is repeated.
     """
     if fits(lexemes, max_broadcast):
+        if not placed:
+            wanted = F.broadcast(lexemes.select("lexeme").distinct())
+            postings = postings.join(wanted, "lexeme", "left_semi").repartition(chunk_id)
         return postings.join(F.broadcast(lexemes), "lexeme")
     spread = postings.withColumn("salt", F.pmod(F.xxhash64(chunk_id), F.lit(salts)).cast("int"))
     repeated = lexemes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -57,16 +66,16 @@ def _matches(lexemes: DataFrame, postings: DataFrame, chunk_id: str, salts: int,
 
 def chunk_matches(queries: DataFrame, chunks: DataFrame, keys: list[str], chunk_id: str = "chunk_id",
                   content: str = "content", salts: int = SALTS,
-                  max_broadcast: int = MAX_BROADCAST_LEXEMES) -> DataFrame:
+                  max_broadcast: int = MAX_BROADCAST_LEXEMES, placed: bool = False) -> DataFrame:
     """(keys, chunk_id, shared): chunks that share any lexeme with the query."""
     postings = build_postings(chunks, chunk_id, content)
-    found = _matches(query_lexemes(queries, keys), postings, chunk_id, salts, max_broadcast)
+    found = _matches(query_lexemes(queries, keys), postings, chunk_id, salts, max_broadcast, placed)
     return found.groupBy(*keys, chunk_id).agg(F.count(F.lit(1)).alias("shared"))
 
 
 def lexical_topk(queries: DataFrame, postings: DataFrame, keys: list[str], k: int = SEARCH.pool,
                  chunk_id: str = "chunk_id", salts: int = SALTS,
-                 max_broadcast: int = MAX_BROADCAST_LEXEMES) -> DataFrame:
+                 max_broadcast: int = MAX_BROADCAST_LEXEMES, placed: bool = False) -> DataFrame:
     """(keys, chunk_id, score, rank): the k best chunks of every query.
 
     score = sum over shared lexemes of 0.1 * H2(tf) / (pi^2/6), divided by the
@@ -77,7 +86,7 @@ def lexical_topk(queries: DataFrame, postings: DataFrame, keys: list[str], k: in
                     lambda a, i: a + F.lit(1.0) / (i.cast("double") * i.cast("double"))))
     weight = WORD_WEIGHT / PI2_6 * h2 / (1 + F.log(F.col("len").cast("double")))
     weighted = postings.select("lexeme", chunk_id, weight.alias("weight"))
-    found = _matches(query_lexemes(queries, keys), weighted, chunk_id, salts, max_broadcast)
+    found = _matches(query_lexemes(queries, keys), weighted, chunk_id, salts, max_broadcast, placed)
     scored = found.groupBy(*keys, chunk_id).agg(F.round(F.sum(F.col("weight") / F.col("n_lexemes")), 9).alias("score"))
     best = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc(chunk_id))
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

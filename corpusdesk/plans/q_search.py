@@ -11,7 +11,7 @@ from corpusdesk.operators.corpus import tags_or_empty
 from corpusdesk.params import SEARCH
 from corpusdesk.plans import oracle as o, search as plan
 from corpusdesk.sources.workdir import settle
-from corpusdesk.plans.registry import duck, frame, query, table, texts
+from corpusdesk.plans.registry import duck, frame, is_small, query, table, texts
 
 P = replace(SEARCH, dim=64)
 KEYS = ["query_id", "sub_no"]
@@ -32,7 +32,7 @@ def corpus(spark, sf) -> plan.Corpus:
         F.col("text").alias("content"), F.array("source").alias("tags"), F.col("embedding").alias("vec"))
     labels = docs.groupBy(F.col("source").alias("document_id")).agg(
         F.lit("").alias("description"), F.concat(F.first("source"), F.lit(".pdf")).alias("filename"))
-    return plan.Corpus(chunks, labels)
+    return plan.Corpus(chunks, labels, placed=is_small(table(spark, sf, "documents")))
 
 
 def queries(spark, sf, subjects: bool = True):
@@ -147,13 +147,14 @@ def document_frequencies(spark, sf):
  select item_id as query_id, chunk_id, count(*) as shared from q join post using (lexeme) group by all""")
 def lexical_match(spark, sf):
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return lexical.chunk_matches(q, corpus(spark, sf).chunks, ["query_id"])
+    c = corpus(spark, sf)
+    return lexical.chunk_matches(q, c.chunks, ["query_id"], placed=c.placed)
 
 
 @query(f"{search_sql()} select query_id, sub_no, chunk_id, score, rank from lexr")
 def lexical_topk(spark, sf):
     q, c = queries(spark, sf), corpus(spark, sf)
-    return lexical.lexical_topk(q, lexical.build_postings(c.chunks), KEYS)
+    return lexical.lexical_topk(q, lexical.build_postings(c.chunks), KEYS, placed=c.placed)
 
 
 @query(f"{search_sql()} select query_id, sub_no, chunk_id, score, rank from lexr")

@@ -27,14 +27,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def is_small(df: DataFrame) -> bool:
+    """Does the table arrive in fewer pieces than there are cores?"""
+    return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core a share of a table that arrives in fewer pieces than there are cores.
+    """Give every core a share of a small table.
 
     Text work is bound by the processor.  A large table has many splits and is left
     as it is.  Spreading by the row key lets later groupings by that key stay in place.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if is_small(df) else df
 
 
 TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}

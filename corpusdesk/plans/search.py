@@ -14,11 +14,13 @@ from corpusdesk.sources.workdir import settle
 @dataclass
 class Corpus:
     """``chunks``: chunk_id, document_id, chunk_index, content, tags, vec.
-    ``documents``: document_id, description, filename.  Both already visible."""
+    ``documents``: document_id, description, filename.  Both already visible.
+    ``placed``: chunks are bucketed or partitioned by chunk id."""
 
     chunks: DataFrame
     documents: DataFrame
     postings: DataFrame | None = None
+    placed: bool = False
 
 
 def candidates(queries: DataFrame, corpus: Corpus, p: SearchParams = SEARCH,
@@ -32,7 +34,7 @@ def candidates(queries: DataFrame, corpus: Corpus, p: SearchParams = SEARCH,
         postings = corpus.postings
         if postings is None:
             postings = lexical.build_postings(corpus.chunks)
-        lex = lexical.lexical_topk(queries, postings, keys, p.pool)
+        lex = lexical.lexical_topk(queries, postings, keys, p.pool, placed=corpus.placed)
     return fusion.merge_legs(vec, lex)
 
 

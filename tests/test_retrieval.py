@@ -96,6 +96,17 @@ def test_lexical_score_by_hand_and_both_joins_agree(spark):
     assert score[1] == pytest.approx(part / (1 + math.log(2)), abs=1e-9)
 
 
+def test_matches_are_summed_where_the_chunk_lies(spark):
+    chunks = corpus(spark, *[f"ortak kelime{i % 7}" for i in range(200)]).repartition(4)
+    q = spark.createDataFrame([(1, "ortak"), (2, "kelime3 ortak")], "query_id long, text string")
+    moved = lexical.lexical_topk(q, lexical.build_postings(chunks), KEYS)
+    lying = lexical.lexical_topk(q, lexical.build_postings(chunks.repartition(4, "chunk_id")), KEYS, placed=True)
+    plan = lying._jdf.queryExecution().executedPlan().toString()
+    # One exchange places the chunks, one gathers the best per query.
+    assert "hashpartitioning(query_id" in plan and plan.count("Exchange hashpartitioning") == 2
+    assert sorted(map(tuple, moved.collect())) == sorted(map(tuple, lying.collect()))
+
+
 def test_word_present_in_every_chunk(spark):
     chunks = corpus(spark, *[f"ortak kelime{i % 7}" for i in range(500)])
     q = spark.createDataFrame([(1, "ortak"), (2, "kelime3 ortak")], "query_id long, text string")
