@@ -10,8 +10,8 @@ from corpusdesk.params import SEARCH
 
 DOCX_MIME = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
 
-# Line separators that end a line in the source data's convention.
-LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+# What ends a line besides a line feed; the pair comes first.
+LINE_ENDS = ("\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")
 
 # The characters that count as white space at either end of a text.
 WHITE_SPACE = "".join(map(chr, (
@@ -45,7 +45,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def lines_of(text: Column) -> Column:
     """Lines without their ends; one final line break adds no further line."""
-    return F.split(F.regexp_replace(text, f"(?:{LINE_BREAK})\\z", ""), LINE_BREAK)
+    out = text
+    for end in LINE_ENDS:
+        out = F.replace(out, F.lit(end), F.lit("\n"))
+    return let(out, lambda t: F.split(
+        F.when(t.endswith("\n"), F.left(t, F.length(t) - 1)).otherwise(t), "\n"))
 
 
 def strip(text: Column) -> Column:
