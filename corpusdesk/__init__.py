@@ -1,3 +1,10 @@
 """corpusdesk: document-corpus, hybrid-search and case-mail analytics on PySpark."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Task functions travel with the job, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

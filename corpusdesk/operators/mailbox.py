@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusdesk.functions import mail
-from corpusdesk.functions.text import strip
 from corpusdesk.params import QUERY, QueryParams
 
 
@@ -51,7 +50,3 @@ def draft_queries(drafts: DataFrame, labels: DataFrame, collected: str = "collec
     """Adds subject (the intent's label) and text (collected values, else the label)."""
     named = drafts.join(F.broadcast(labels), "intent", "left").withColumn("subject", F.coalesce("label", "intent"))
     return named.withColumn("text", mail.draft_query(F.col(collected), F.col("subject"))).drop("label")
-
-
-def nonblank(df: DataFrame, column: str) -> DataFrame:
-    return df.where(strip(F.coalesce(F.col(column), F.lit(""))) != "")

@@ -79,3 +79,11 @@ def test_failed_mails_are_set_aside(spark, tmp_path):
                                         "id", F.when(F.col("body") == "", "body missing"))
     assert [tuple(r) for r in done.select("id", "status").collect()] == [(1, "PENDING_REVIEW")]
     assert [tuple(r) for r in failed.select("id", "status", "last_error").collect()] == [(2, "ANALYSIS_FAILED", "body missing")]
+
+
+def test_task_functions_travel_with_the_job():
+    from pyspark import cloudpickle
+
+    import corpusdesk
+
+    assert corpusdesk.__name__ in cloudpickle.list_registry_pickle_by_value()
