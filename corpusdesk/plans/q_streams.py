@@ -9,10 +9,10 @@ from corpusdesk.operators import fusion, mailbox
 from corpusdesk.plans import derive, oracle as o, search as plan
 from corpusdesk.plans.q_desk import CARDS_SQL, SESSIONS_SQL, TRIM_SQL, _GAP, _shown, shown_cards
 from corpusdesk.plans.q_mail import _MAIL
-from corpusdesk.plans.q_search import KEYS, P, corpus
+from corpusdesk.plans.q_search import P, corpus
 from corpusdesk.plans.registry import duck, query, table
 from corpusdesk.sources.files import poll_files
-from corpusdesk.sources.workdir import new_path, settle
+from corpusdesk.sources.workdir import new_path
 from corpusdesk.streaming import jobs, state
 
 

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusdesk.params import IDLE_SECONDS, POLL_SECONDS
-from corpusdesk.sources.workdir import new_path
 
 # Fixed values: (window, requests allowed) per kind of client request.
 RATE_LIMITS = {"chat": ("1 minute", 20), "login": ("1 minute", 5), "session": ("1 hour", 30), "upload": ("1 hour", 20)}
@@ -55,7 +54,9 @@ def run_latest(stream: DataFrame, path: str, mode: str) -> DataFrame:
     schema = StructType([*stream.schema.fields, StructField("version", LongType())])
     versions = stream.sparkSession.read.schema(schema).parquet(path)
     if mode == "complete":
-        return versions.where(F.col("version") == max(seen, default=0)).drop("version")
+        # A run that found no new input goes on from the last version written.
+        last = max(seen) if seen else versions.agg(F.max("version")).first()[0]
+        return versions.where(F.col("version") == last).drop("version")
     return versions
 
 
@@ -137,8 +138,12 @@ def analyze_batches(mails: DataFrame, path: str, analyze: Callable[[DataFrame],
             received.unpersist()
 
     run_batches(mails, path, handle)
-    return (spark.read.schema(written["done"]).parquet(f"{path}/done"),
-            spark.read.schema(written["failed"]).parquet(f"{path}/failed"))
+
+    def table(part: str) -> DataFrame:
+        reader = spark.read.schema(written[part]) if part in written else spark.read
+        return reader.parquet(f"{path}/{part}")
+
+    return table("done"), table("failed")
 
 
 def state_session(spark: SparkSession) -> SparkSession:

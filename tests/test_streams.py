@@ -42,7 +42,10 @@ def test_running_counts_equal_the_batch(spark, tmp_path):
     for part in (range(200, 400), range(0, 200)):
         write(spark, src, rows(part), "x")
     stream = poll_files(spark, str(src), spark.createDataFrame([], SCHEMA).schema, max_files=1)
-    got = jobs.run_latest(jobs.daily_intents(stream, "kind", "ts", "10 days"), new_path(spark, "t-daily"), "complete")
+    out = new_path(spark, "t-daily")
+    first = jobs.run_latest(jobs.daily_intents(stream, "kind", "ts", "10 days"), out, "complete").collect()
+    got = jobs.run_latest(jobs.daily_intents(stream, "kind", "ts", "10 days"), out, "complete")
+    assert sorted(map(tuple, first)) == sorted(map(tuple, got.collect()))      # a second run finds nothing new
     want = spark.read.parquet(str(src)).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "kind").agg(F.count("*").alias("n"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
@@ -75,8 +78,11 @@ def test_failed_mails_are_set_aside(spark, tmp_path):
     src = tmp_path / "src"
     spark.createDataFrame([(1, "RECEIVED", "x"), (2, "RECEIVED", ""), (3, "REPLIED", "y")], "id long, status string, body string").write.parquet(str(src))
     mails = poll_files(spark, str(src), spark.read.parquet(str(src)).schema)
-    done, failed = jobs.analyze_batches(mails, new_path(spark, "t-analyze"), lambda d: d.select("id", F.lit("PENDING_REVIEW").alias("status")),
-                                        "id", F.when(F.col("body") == "", "body missing"))
+    out = new_path(spark, "t-analyze")
+    run = lambda: jobs.analyze_batches(mails, out, lambda d: d.select("id", F.lit("PENDING_REVIEW").alias("status")),
+                                       "id", F.when(F.col("body") == "", "body missing"))
+    run()
+    done, failed = run()
     assert [tuple(r) for r in done.select("id", "status").collect()] == [(1, "PENDING_REVIEW")]
     assert [tuple(r) for r in failed.select("id", "status", "last_error").collect()] == [(2, "ANALYSIS_FAILED", "body missing")]
 
