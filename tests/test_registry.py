@@ -7,6 +7,7 @@ import pytest
 from oracle_check import compare, connect
 
 import __spark_entry__ as entry_points
+from corpusdesk.plans import catalog
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
@@ -17,7 +18,7 @@ def duck():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_equals_sql(spark, duck, name):
     ok, message = compare(spark, SF_DIR, name, entry_points.queries()[name], entry_points.oracle_sql().get(name), duck)
     assert ok, message
@@ -28,4 +29,4 @@ def test_entry(spark):
 
 
 def test_only_two_queries_lack_sql():
-    assert set(entry_points.queries()) - set(entry_points.oracle_sql()) == {"chunk_chars", "vector_topk_ann"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"chunk_chars", "vector_topk_ann"}
