@@ -80,9 +80,25 @@ def add_columns(df: DataFrame, fields: list[StructField], make: Callable[[], Blo
     return src.mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, make: Callable[[], Callable[[list[bytes | None]], list[bool]]], text: str = "text") -> DataFrame:
+    """The rows of ``df`` whose whole text passes; ``make`` runs once in each task.  Rows stay where they are."""
+    schema = df.schema
+    place = df.columns.index(text)
+
+    def run(batches):
+        test = make()
+        for batch in batches:
+            for start, part in blocks(batch.column(place).cast(pa.large_string())):
+                kept = batch.slice(start, len(part)).filter(pa.array(test(part), pa.bool_()))
+                if kept.num_rows:
+                    yield kept
+
+    return df.mapInArrow(run, schema)
+
+
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
     """Is crc32 of the id as text, modulo ``parts``, equal to ``part``?  A null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % parts == part
 
 
-__all__ = ["BLOCK_BYTES", "BLOCK_ROWS", "add_columns", "blocks", "documents", "held_out", "settle", "without", "worker_store"]
+__all__ = ["BLOCK_BYTES", "BLOCK_ROWS", "add_columns", "blocks", "documents", "held_out", "keep_rows", "settle", "without", "worker_store"]

@@ -74,14 +74,14 @@ def targets(sources: DataFrame, weights=WEIGHTS, budget: float = BUDGET, repeats
 
 def mix(docs: DataFrame, keep: list[str], key: str = "doc_id", source: str = "source", text: str = "text",
         weights=WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS) -> DataFrame:
-    """``keep`` plus size, source_size, target, taken and finish, the virtual time at which the document is first used up.
+    """``keep`` plus size, source_size, weight, target, taken and finish, the virtual time at which the document is first used up.
 
     Each document gives ``taken`` words, repeats counted; of the document at which
     the budget ends only the first words are taken.  A null source is a source of
     its own, after all others; null texts have size and taken 0.  Rows with the same
     key stand next to each other and count each; an empty table gives no rows.
     """
-    kept = without(keep, ["size", "source_size", "target", "taken", "finish"])
+    kept = without(keep, ["size", "source_size", "weight", "target", "taken", "finish"])
     rows = docs.select(*kept, F.col(key).alias("__key"), F.col(source).cast("string").alias("source__"), F.col(text).cast("string").alias("__text"))
     rows = rows.select(*kept, "__key", "source__", F.coalesce(F.concat(F.lit("s"), "source__"), F.lit("n")).alias("__s"),
                        size_of(F.col("__text")).alias("size"), F.md5(F.coalesce(F.col("__key").cast("string"), F.lit(""))).alias("__h"),
@@ -96,11 +96,11 @@ def mix(docs: DataFrame, keep: list[str], key: str = "doc_id", source: str = "so
     # of what the source gives in each pass: what is left for this document, between nothing and all of it
     given = lambda p: F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - (p * F.col("source_size") + F.col("__upto") - F.col("size"))))
     taken = sum((given(p) for p in range(1, repeats)), given(0)).cast("long")
-    return queued.select(*kept, "size", "source_size", "target", taken.alias("taken"), (F.col("__upto") / F.col("weight")).alias("finish"))
+    return queued.select(*kept, "size", "source_size", "weight", "target", taken.alias("taken"), (F.col("__upto") / F.col("weight")).alias("finish"))
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir), ["doc_id"]).drop("finish")
+    return mix(documents(spark, sf_dir), ["doc_id"]).drop("weight", "finish")
 
 
 #: The same in SQL: the sums are taken over each source's whole queue.
@@ -125,3 +125,27 @@ SELECT doc_id, size, source_size, target,
      + greatest(0, least(size, CAST(floor(target) AS BIGINT) - (source_size + upto - size))) AS taken
 FROM q
 """
+
+
+def mixed_documents(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
+                    weights=WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS) -> DataFrame:
+    """The rows of the mix with the columns of ``docs``, range-sorted by virtual finish time.
+
+    A document that the mix takes twice is two rows.  The document at which the budget
+    of its source ends is cut behind the last word that is taken; documents of which
+    no word is taken are left out.
+    """
+    columns = docs.columns
+    # under names of its own, so that no column of docs can clash
+    held = docs.select(*(F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(columns)))
+    name = {c: f"__c{i}" for i, c in enumerate(columns)}
+    mixed = mix(held, held.columns, name[key], name[source], name[text], weights, budget, repeats)
+    body = name[text]
+    rows = mixed.where("taken > 0").withColumn("__pass", F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)))
+    left = F.col("taken") - F.col("__pass") * F.col("size")
+    words = F.regexp_extract_all(F.col(body), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.when(left >= F.col("size"), F.col(body)).otherwise(F.array_join(F.slice(words, F.lit(1), left.cast("int")), ""))
+    at = F.col("finish") + F.col("__pass") * F.col("source_size") / F.col("weight")
+    rows = rows.select(*(c for c in held.columns if c != body), cut.alias(body), at.alias("__at"))
+    ordered = rows.repartitionByRange("__at").sortWithinPartitions("__at")
+    return ordered.select(*(F.col(name[c]).cast(docs.schema[c].dataType).alias(c) for c in columns))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField
 
-from corpusdesk.llm.common import add_columns, blocks, documents, settle, worker_store
+from corpusdesk.llm.common import add_columns, blocks, documents, keep_rows, settle, worker_store
 
 MIN_WORDS = 10  # fewer words fail
 MAX_REPEATED = 20  # per cent of words inside repeated windows
@@ -211,6 +211,13 @@ def judge_quality(docs: DataFrame, references: dict, keep: list[str], text: str
     return add_columns(docs, FIELDS, lambda: Judge(held.value).rows, keep, text)
 
 
+def keep_good(docs: DataFrame, references: dict, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``judge_quality`` keeps, with all their columns."""
+    held = docs.sparkSession.sparkContext.broadcast(references)
+    place = [f.name for f in FIELDS].index("kept")
+    return keep_rows(docs, lambda: lambda texts, rows=Judge(held.value).rows: rows(texts)[place], text)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return judge_quality(docs, language_references(docs), ["doc_id"])

@@ -168,22 +168,27 @@ def link(points: np.ndarray, radius: int = RADIUS) -> np.ndarray:
 # --- on Spark -------------------------------------------------------------------
 
 
-def near_links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, root): points of the distinct ``points`` (fp) with a neighbour within ``radius``, once per shard that sees them."""
+def near_links(points: DataFrame, radius: int = RADIUS, bits: int = BITS) -> DataFrame:
+    """(fp, root): points of the distinct ``points`` (fp) with a neighbour within ``radius``, once per shard that sees them.
+
+    Only the low ``bits`` are a fingerprint; what is above them is the number of a
+    table, and points of different tables never meet.
+    """
+    low = np.uint64(2 ** bits - 1)
     n = points.count()
     depth = min(MAX_SHARDS, max(1, -(-n // SHARD)))
     depth = (depth - 1).bit_length()
     share = min(1.0, PER_SHARD * 2 ** depth / max(1, n))
     chosen = points.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else points
-    sample = np.sort(np.array([r.fp for r in chosen.select("fp").collect()], np.int64).view(np.uint64)) if depth else np.zeros(0, np.uint64)
+    sample = np.sort(np.array([r.fp for r in chosen.select("fp").collect()], np.int64).view(np.uint64) & low) if depth else np.zeros(0, np.uint64)
     tree = points.sparkSession.sparkContext.broadcast(build_tree(sample, depth, radius))
 
     def deal(batches):
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for shard, rows in route(fps, tree.value, radius):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(rows), shard, np.int64)), pa.array(fps[rows].view(np.int64))], names=["shard", "fp"])
+            table = (fps >> np.uint64(bits)).astype(np.int64) << 32 if bits < BITS else np.zeros(len(fps), np.int64)
+            for shard, rows in route(fps & low, tree.value, radius):
+                yield pa.RecordBatch.from_arrays([pa.array(table[rows] + shard), pa.array(fps[rows].view(np.int64))], names=["shard", "fp"])
 
     def inside(part: pd.DataFrame) -> pd.DataFrame:
         fps = np.unique(part["fp"].to_numpy(np.int64).view(np.uint64))

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField
 
-from corpusdesk.llm.common import add_columns, documents, held_out, worker_store
+from corpusdesk.llm.common import add_columns, documents, held_out, keep_rows, worker_store
 
 TRAIN_ROWS = 8_000  # about so many labelled rows, chosen by a hash of the id, teach the model
 TRAIN_CHARS = 20_000  # rows that teach are at most so long
@@ -298,6 +298,17 @@ def score_toxicity(docs: DataFrame, model: dict | None, keep: list[str], text: s
     A null or empty text is scored like a text without known words.  Without a model
     (no labelled rows of both kinds) every score is 0.
     """
+    return add_columns(docs, FIELDS, scorer_of(docs, model), keep, text)
+
+
+def keep_clean(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not predicted to be toxic, with all their columns."""
+    make = scorer_of(docs, model)
+    return keep_rows(docs, lambda: lambda texts, rows=make(): [p == 0 for p in rows(texts)[1]], text)
+
+
+def scorer_of(docs: DataFrame, model: dict | None):
+    """A maker of the function from a block of texts to FIELDS; workers keep the words they have met."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     made = model["id"] if model else None
 
@@ -309,7 +320,7 @@ def score_toxicity(docs: DataFrame, model: dict | None, keep: list[str], text: s
             store.update(of=made, scorer=Scorer(held.value))
         return store["scorer"].rows
 
-    return add_columns(docs, FIELDS, make, keep, text)
+    return make
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
