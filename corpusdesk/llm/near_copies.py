@@ -115,12 +115,13 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     tied = settle(found.join(nodes.select("x", "least"), found["node"] == nodes["x"]).select("x", "label", "least"), "tied")
     lowest = settle(tied.groupBy("label").agg(F.min(F.struct(F.col("least").isNull(), "least", "x")).alias("m")), "lowest")
     losers = tied.join(lowest, "label").where("x <> m.x").select("x")
-    keepers = settle(nodes.select("x", "least").join(losers, "x", "left_anti"), "keepers")
-    held = docs.withColumn("__x", F.unhex(F.md5(body))).join(keepers, (F.col("__x") == F.col("x")) & F.col(key).eqNullSafe(F.col("least")))
-    repeated = settle(prints.groupBy("k", "x").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "x"), "repeated")
-    held = held.select(*docs.columns, "__x")
+    keepers = settle(nodes.select(F.col("x").alias("__kx"), F.col("least").alias("__kk")).join(losers, F.col("__kx") == F.col("x"), "left_anti"), "keepers")
+    kept = F.col(f"`{key}`").eqNullSafe(F.col("__kk")) & (F.unhex(F.md5(body)) == F.col("__kx"))
+    held = docs.join(keepers, kept)
+    repeated = settle(prints.groupBy(F.col("k").alias("__rk"), F.col("x").alias("__rx")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"), "repeated")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     if repeated.isEmpty():
-        return held.select(*docs.columns)
-    again = F.col(key).eqNullSafe(repeated["k"]) & (F.col("__x") == repeated["x"])
-    once = held.join(repeated, again, "left_semi").groupBy(F.col(key).alias("__k"), "__x").agg(F.first(F.struct(*docs.columns)).alias("__r")).select("__r.*")
-    return held.join(repeated, again, "left_anti").select(*docs.columns).unionByName(once)
+        return held.select(*columns)
+    again = F.col("__kk").eqNullSafe(F.col("__rk")) & (F.col("__kx") == F.col("__rx"))
+    once = held.join(repeated, again, "left_semi").groupBy("__kk", "__kx").agg(F.first(F.struct(*columns)).alias("__r")).select("__r.*")
+    return held.join(repeated, again, "left_anti").select(*columns).unionByName(once)

@@ -79,8 +79,12 @@ def join(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.cumsum(sizes) - sizes
 
 
-def pooled(answers: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    return np.maximum.reduceat(answers, starts, axis=0)
+def inside(answers: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Rules out the places from which a filter would reach into the next text."""
+    ends = np.append(starts[1:], len(answers))
+    for j in range(1, width):
+        answers[ends - j] = -np.inf
+    return answers
 
 
 class Network:
@@ -123,7 +127,7 @@ class Network:
                 ends = np.append(starts[1:], len(ids))
                 held, tops = [], {}
                 for k in WIDTHS:
-                    a = self.answers(x, k)
+                    a = inside(self.answers(x, k), starts, k)
                     tops[k] = np.array([s + a[s:t].argmax(axis=0) for s, t in zip(starts, ends)])
                     held.append(np.take_along_axis(a, tops[k], axis=0))
                 h = np.concatenate(held, axis=1)
@@ -169,7 +173,7 @@ def logits(frozen: dict, adds: np.ndarray, ids: np.ndarray, starts: np.ndarray)
         total = frozen["b"][k] + adds[ids, column:column + FILTERS]
         for j in range(1, k):
             total[:-j] += adds[ids[j:], column + j * FILTERS:column + (j + 1) * FILTERS]
-        held.append(pooled(total, starts))
+        held.append(np.maximum.reduceat(inside(total, starts, k), starts, axis=0))
         column += k * FILTERS
     return np.tanh(np.concatenate(held, axis=1)) @ frozen["out"] + frozen["bias"]
 
