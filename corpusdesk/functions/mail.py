@@ -90,7 +90,7 @@ def body_or_html(body: Column, html: Column) -> Column:
 
 
 def message_id_or_generated(message_id: Column, raw: Column, domain: str) -> Column:
-    made = F.concat(F.lit("<generated-"), F.md5(F.substring(raw, 1, 500)), F.lit(f"@{domain}>"))
+    made = F.concat(F.lit("<generated-"), F.md5(raw), F.lit(f"@{domain}>"))
     return F.coalesce(F.nullif(F.trim(message_id), F.lit("")), made)
 
 
@@ -103,9 +103,26 @@ def is_auto_reply(headers: Column, sender: Column) -> Column:
     return marked | precedence.isin(*BULK_PRECEDENCE) | F.lower(F.coalesce(sender, F.lit(""))).rlike(AUTO_SENDER)
 
 
+# Zone names of mail dates and their offsets.
+ZONES = (
+    ("GMT|UTC|UT|Z", "+0000"), ("EST", "-0500"), ("EDT", "-0400"), ("CST", "-0600"), ("CDT", "-0500"),
+    ("MST", "-0700"), ("MDT", "-0600"), ("PST", "-0800"), ("PDT", "-0700"),
+)
+
+
 def to_naive_utc(stamp: Column, default: Column) -> Column:
-    """RFC 2822 style date with an offset -> UTC without zone (session zone UTC)."""
-    bare = F.regexp_replace(stamp, r"^[A-Za-z]{3},\s*|\s*\([^)]*\)\s*$", "")
+    """RFC 2822 style date -> UTC without zone (session zone UTC).
+
+    The day name, a comment and the seconds may be missing, the zone may be a name,
+    and a year of two digits belongs to 1950-2049.
+    """
+    bare = F.regexp_replace(stamp, r"^\s*[A-Za-z]{3},\s*|\s*\([^)]*\)\s*$", "")
+    bare = F.trim(F.regexp_replace(bare, r"\s+", " "))
+    bare = F.regexp_replace(bare, r"^(\d{1,2} [A-Za-z]{3}) ([0-4]\d) ", "$1 20$2 ")
+    bare = F.regexp_replace(bare, r"^(\d{1,2} [A-Za-z]{3}) ([5-9]\d) ", "$1 19$2 ")
+    bare = F.regexp_replace(bare, r"( \d{1,2}:\d{2})(?= |$)", "$1:00")
+    for names, offset in ZONES:
+        bare = F.regexp_replace(bare, rf" (?:{names})$", f" {offset}")
     parsed = F.coalesce(
         F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss Z")),
         F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss")),

@@ -74,7 +74,7 @@ def mask_email_address(address: Column) -> Column:
 
 
 def pseudonymize(address: Column) -> Column:
-    return F.sha2(F.lower(F.trim(address)), 256)
+    return F.sha2(F.lower(strip(address)), 256)
 
 
 def _join(lines: Column) -> Column:

@@ -26,12 +26,19 @@ CP1254_80_9F = {
 CP1254_LETTERS = {0xD0: "Ğ", 0xDD: "İ", 0xDE: "Ş", 0xF0: "ğ", 0xFD: "ı", 0xFE: "ş"}
 CP1254_UNDEFINED = r"[\x{81}\x{8D}\x{8E}\x{8F}\x{90}\x{9D}\x{9E}]"
 
-# Turkish stop words of the Snowball project.
-STOP_WORDS = (
-    "acaba ama aslında az bazı belki biri birkaç birşey biz bu çok çünkü da daha de defa diye eğer en "
-    "gibi hem hep hepsi her hiç için ile ise kez ki kim mı mu mü nasıl ne neden nerde nerede nereye "
-    "niçin niye o sanki şey siz şu tüm ve veya ya yani"
-).split()
+# Stop words of the Snowball project; the Turkish list in full, of the others the most frequent words.
+STOP_LISTS = {
+    "tr": (
+        "acaba ama aslında az bazı belki biri birkaç birşey biz bu çok çünkü da daha de defa diye eğer en "
+        "gibi hem hep hepsi her hiç için ile ise kez ki kim mı mu mü nasıl ne neden nerde nerede nereye "
+        "niçin niye o sanki şey siz şu tüm ve veya ya yani"
+    ).split(),
+    "en": "a an and are as at be been but by for from had has have he her his i in is it its not of on or she that the their they this to was were which with you".split(),
+    "de": "aber als am an auch auf aus bei bin bis das dass dem den der des die ein eine einem einen einer er es für hat ich im in ist mit nach nicht oder sich sie so und von war wie zu zum zur".split(),
+    "fr": "au aux avec ce ces dans de des du elle en est et il je la le les leur lui mais ne nous on ou par pas pour qu que qui sa se son sur un une vous".split(),
+    "es": "al como con de del el ella en es esta este la las lo los más me mi no o para pero por que se si sin su sus un una y ya".split(),
+}
+STOP_WORDS = sorted(set().union(*STOP_LISTS.values()))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -91,12 +98,11 @@ def file_suffix(name: Column) -> Column:
 def sniff_type(data: Column, name: Column, declared: Column) -> Column:
     """STRUCT(mime, reject_reason): decided by content; the claim only ever admits text."""
     head = F.hex(F.substring(data, 1, 5))
-    sample = F.substring(data, 1, 8192)
-    as_latin = F.decode(sample, "ISO-8859-1")
+    as_latin = F.decode(data, "ISO-8859-1")
     looks_text = (
-        (F.length(sample) > 0)
+        (F.length(data) > 0)
         & ~as_latin.rlike(r"[\x00-\x08\x0E-\x1F\x7F]")
-        & (F.is_valid_utf8(sample.cast("string")) | ~as_latin.rlike(CP1254_UNDEFINED))
+        & (F.is_valid_utf8(data.cast("string")) | ~as_latin.rlike(CP1254_UNDEFINED))
     )
     suffix = file_suffix(name)
     by_suffix = (
@@ -161,11 +167,14 @@ def normalize_text(text: Column) -> Column:
     return strip(out)
 
 
-def tokenize(text: Column, stem: int = SEARCH.stem) -> Column:
-    """Lexemes in text order: letter/digit runs, lower case, stop words out, cut to a stem."""
+def tokenize(text: Column, stem: int | None = SEARCH.stem, lang: str | None = None) -> Column:
+    """Lexemes in text order: letter/digit runs, lower case, stop words out, whole or cut to a stem.
+
+    The stop words are those of ``lang``, of all listed languages by default.
+    """
     raw = F.regexp_extract_all(lower_tr(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    kept = F.filter(raw, lambda t: ~t.isin(*STOP_WORDS))
-    return F.transform(kept, lambda t: F.substring(t, 1, stem))
+    kept = F.filter(raw, lambda t: ~t.isin(*(STOP_LISTS[lang] if lang else STOP_WORDS)))
+    return kept if stem is None else F.transform(kept, lambda t: F.substring(t, 1, stem))
 
 
 def runs(tokens: Column) -> Column:

@@ -105,9 +105,11 @@ def log_range(logs: DataFrame, start: Column, end: Column) -> DataFrame:
     return logs.where(F.col("sent_at").between(start, end) & F.col("deleted_at").isNull())
 
 
-def pending_badges(drafts: DataFrame, incoming: DataFrame, cap: int = BADGE_CAP) -> DataFrame:
+def pending_badges(drafts: DataFrame, incoming: DataFrame, cap: int | None = None) -> DataFrame:
+    """One row (drafts, incoming) of open items; a badge with little room shows at most ``cap``."""
     def badge(df: DataFrame, state: str, name: str) -> DataFrame:
-        return df.agg(F.least(F.count_if(F.col("status") == state), F.lit(cap)).alias(name))
+        n = F.count_if(F.col("status") == state)
+        return df.agg((n if cap is None else F.least(n, F.lit(cap))).alias(name))
 
     return _one_row([badge(drafts, "PENDING_APPROVAL", "drafts"), badge(incoming, "PENDING_REVIEW", "incoming")])
 

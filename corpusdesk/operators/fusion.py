@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusdesk.functions.mail import sub_queries
 from corpusdesk.params import SEARCH
+from corpusdesk.sources.workdir import settle
 
 
 def expand_queries(queries: DataFrame, text: str = "text", subject: str = "subject") -> DataFrame:
@@ -105,7 +106,12 @@ def diversify(ranked: DataFrame, k: int = SEARCH.top_k, per_document: int = SEAR
 
 
 def hydrate_hits(hits: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """Fetch content and label (description, else file name) of the final rows."""
+    """Fetch content and label (description, else file name) of the final rows.
+
+    The hits, a few rows per query, are written first: their size is then known, and
+    they travel to the chunks instead of all chunks to them.
+    """
+    hits = settle(hits, "hits")
     label = F.coalesce(F.nullif(F.col("description"), F.lit("")), F.col("filename")).alias("label")
     return hits.join(chunks.select("chunk_id", "content"), "chunk_id").join(
         docs.select("document_id", label), "document_id")

@@ -28,10 +28,16 @@ def trim_history(messages: DataFrame, key: str, turn: str, encoded: str = "encod
 
 
 def history_arrays(messages: DataFrame, key: str, turn: str, role: str, content: str,
-                   max_messages: int = MAX_MESSAGES) -> DataFrame:
-    """(key, messages): ordered array of masked messages, the newest ``max_messages``."""
-    newest = Window.partitionBy(key).orderBy(F.desc(turn))
-    recent = messages.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= max_messages)
+                   max_messages: int | None = None) -> DataFrame:
+    """(key, messages): ordered array of the masked messages of a conversation.
+
+    The array is as long as the conversation; ``max_messages`` keeps the newest ones
+    only, for callers that must bound it.
+    """
+    recent = messages
+    if max_messages is not None:
+        newest = Window.partitionBy(key).orderBy(F.desc(turn))
+        recent = messages.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= max_messages)
     entry = F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(content).alias("content"))
     gathered = recent.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("messages"))
     return gathered.withColumn("messages", F.transform("messages", lambda m: F.struct(

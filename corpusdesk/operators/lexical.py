@@ -27,9 +27,23 @@ def document_frequencies(postings: DataFrame) -> DataFrame:
     return postings.groupBy("lexeme").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurrences"))
 
 
-def write_postings(postings: DataFrame, table: str, buckets: int) -> None:
-    """Bucketed by lexeme, so that later joins on the lexeme need no shuffle of the index."""
-    postings.write.mode("overwrite").bucketBy(buckets, "lexeme").sortBy("lexeme").saveAsTable(table)
+def write_index(postings: DataFrame, table: str, path: str, buckets: int, chunk_id: str = "chunk_id") -> DataFrame:
+    """The postings with their weights as a table below ``path``, bucketed by chunk id and sorted by lexeme.
+
+    Searches that read it sum the scores of a chunk where its bucket lies (pass
+    ``placed=True``) and skip row groups without a wanted lexeme.
+    """
+    placed = weighted(postings, chunk_id).repartition(buckets, chunk_id)
+    placed.write.mode("overwrite").option("path", path).bucketBy(buckets, chunk_id).sortBy("lexeme").saveAsTable(table)
+    return postings.sparkSession.table(table)
+
+
+def weighted(postings: DataFrame, chunk_id: str = "chunk_id") -> DataFrame:
+    """(lexeme, chunk_id, tf, len, weight): weight is 0.1 * H2(tf) / (pi^2/6) / (1 + ln(len)), H2(n) = 1 + 1/4 + ... + 1/n^2."""
+    h2 = F.when(F.col("tf") == 1, 1.0).otherwise(
+        F.aggregate(F.sequence(F.lit(1), F.col("tf")), F.lit(0.0),
+                    lambda a, i: a + F.lit(1.0) / (i.cast("double") * i.cast("double"))))
+    return postings.withColumn("weight", WORD_WEIGHT / PI2_6 * h2 / (1 + F.log(F.col("len").cast("double"))))
 
 
 def query_lexemes(queries: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -64,11 +78,19 @@ def _matches(lexemes: DataFrame, postings: DataFrame, chunk_id: str, salts: int,
     return spread.join(repeated, ["lexeme", "salt"])
 
 
-def chunk_matches(queries: DataFrame, chunks: DataFrame, keys: list[str], chunk_id: str = "chunk_id",
-                  content: str = "content", salts: int = SALTS,
-                  max_broadcast: int = MAX_BROADCAST_LEXEMES, placed: bool = False) -> DataFrame:
-    """(keys, chunk_id, shared): chunks that share any lexeme with the query."""
-    postings = build_postings(chunks, chunk_id, content)
+def matching_chunks(queries: DataFrame, postings: DataFrame, chunk_id: str = "chunk_id", text: str = "text") -> DataFrame:
+    """(chunk_id): chunks that share a lexeme with any of the queries; each chunk once, no pairs."""
+    wanted = queries.select(F.explode(F.array_distinct(tokenize(F.col(text)))).alias("lexeme")).distinct()
+    return postings.join(wanted, "lexeme", "left_semi").select(chunk_id).distinct()
+
+
+def chunk_matches(queries: DataFrame, postings: DataFrame, keys: list[str], chunk_id: str = "chunk_id",
+                  salts: int = SALTS, max_broadcast: int = MAX_BROADCAST_LEXEMES, placed: bool = False) -> DataFrame:
+    """(keys, chunk_id, shared): chunks that share any lexeme with the query.
+
+    As many rows as there are matches, nearly all pairs for questions of common words:
+    for few queries only.  ``matching_chunks`` is the form without pairs.
+    """
     found = _matches(query_lexemes(queries, keys), postings, chunk_id, salts, max_broadcast, placed)
     return found.groupBy(*keys, chunk_id).agg(F.count(F.lit(1)).alias("shared"))
 
@@ -78,15 +100,12 @@ def lexical_topk(queries: DataFrame, postings: DataFrame, keys: list[str], k: in
                  max_broadcast: int = MAX_BROADCAST_LEXEMES, placed: bool = False) -> DataFrame:
     """(keys, chunk_id, score, rank): the k best chunks of every query.
 
-    score = sum over shared lexemes of 0.1 * H2(tf) / (pi^2/6), divided by the
-    number of query lexemes and by 1 + ln(len); H2(n) = 1 + 1/4 + ... + 1/n^2.
+    score = sum of the weights of shared lexemes, divided by the number of query
+    lexemes.  ``postings`` is an index (see ``write_index``) or the bare postings.
+    ``placed`` says that all postings of a chunk lie in one partition by chunk id.
     """
-    h2 = F.when(F.col("tf") == 1, 1.0).otherwise(
-        F.aggregate(F.sequence(F.lit(1), F.col("tf")), F.lit(0.0),
-                    lambda a, i: a + F.lit(1.0) / (i.cast("double") * i.cast("double"))))
-    weight = WORD_WEIGHT / PI2_6 * h2 / (1 + F.log(F.col("len").cast("double")))
-    weighted = postings.select("lexeme", chunk_id, weight.alias("weight"))
-    found = _matches(query_lexemes(queries, keys), weighted, chunk_id, salts, max_broadcast, placed)
+    rows = postings if "weight" in postings.columns else weighted(postings, chunk_id)
+    found = _matches(query_lexemes(queries, keys), rows.select("lexeme", chunk_id, "weight"), chunk_id, salts, max_broadcast, placed)
     scored = found.groupBy(*keys, chunk_id).agg(F.round(F.sum(F.col("weight") / F.col("n_lexemes")), 9).alias("score"))
     best = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc(chunk_id))
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

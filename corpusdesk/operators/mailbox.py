@@ -8,9 +8,17 @@ from corpusdesk.functions import mail
 from corpusdesk.params import QUERY, QueryParams
 
 
-def dedupe_messages(incoming: DataFrame, store: DataFrame, message_id: str = "message_id") -> DataFrame:
-    """Unseen messages, one row per id.  Ids are reduced map-side before the join."""
-    return incoming.dropDuplicates([message_id]).join(store.select(message_id), message_id, "left_anti")
+def dedupe_messages(incoming: DataFrame, store: DataFrame, message_id: str = "message_id",
+                    order: tuple[str, ...] = ()) -> DataFrame:
+    """Unseen messages, one row per id: the first one by ``order`` (arrival, then row id).
+
+    Rows of the same place in the order are told apart by their content.  Rows are
+    reduced map-side before the join.
+    """
+    rest = [c for c in incoming.columns if c not in order and c != message_id]
+    stamp = F.struct(*order, F.xxhash64(*rest)) if rest else F.struct(*order, F.lit(0))
+    first = incoming.groupBy(message_id).agg(F.min_by(F.struct(*incoming.columns), stamp).alias("_first")).select("_first.*")
+    return first.join(store.select(message_id), message_id, "left_anti")
 
 
 def keep_personal(mails: DataFrame, headers: str = "headers", sender: str = "sender") -> DataFrame:

@@ -57,9 +57,10 @@ def audit_transitions(history: DataFrame, allowed: DataFrame, entity: str, ts: s
     """Status changes that ``allowed`` does not list.
 
     An entity with very many changes is cut into buckets (see ``last_before``);
-    the fixed transition table is broadcast.
+    the fixed transition table is broadcast.  Rows without an entity have no history
+    to compare with and are no violations.
     """
-    changes = last_before(history, [entity], [ts, row_id], "status", "from_status", bucket).where(
+    changes = last_before(history.where(F.col(entity).isNotNull()), [entity], [ts, row_id], "status", "from_status", bucket).where(
         "from_status is not null and from_status <> status")
     return changes.withColumnRenamed("status", "to_status").join(
         F.broadcast(allowed), ["from_status", "to_status"], "left_anti")

@@ -25,14 +25,25 @@ from corpusdesk.params import SEARCH
 
 MAX_BROADCAST_BYTES = 32 * 1024 * 1024
 SLACK = 1e-6   # keeps rounding from ruling out a cell
+MERGE = 64
+BLOCK_QUERIES, BLOCK_ROWS = 256, 4096   # a block of distances is never larger
 
 
 def check_embeddings(df: DataFrame, dim: int, vec: str = "vec") -> tuple[DataFrame, DataFrame]:
     """(usable rows, quarantined rows with a reason)."""
-    reason = F.when(F.col(vec).isNull(), "vector missing").when(F.size(vec) != dim, "wrong dimension")
+    reason = unusable(F.col(vec), dim)
     return df.where(reason.isNull()), df.where(reason.isNotNull()).withColumn("reason", reason)
 
 
+def unusable(vec: Column, dim: int) -> Column:
+    """Why a vector has no cosine distance; null for a usable one."""
+    odd = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return (
+        F.when(vec.isNull(), "vector missing").when(F.size(vec) != dim, "wrong dimension")
+        .when(odd, "element missing or not finite").when(F.forall(vec, lambda x: x == 0), "zero vector")
+    )
+
+
 def cosine_distance(a: Column, b: Column) -> Column:
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -56,8 +67,11 @@ def _best(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _rank(found: DataFrame, keys: list[str], chunk_id: str, k: int) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.asc("distance"), F.asc(chunk_id))
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """The k best of a query in two steps: every task hands on k rows of it, so they are first cut in MERGE parts."""
+    by = [F.asc("distance"), F.asc(chunk_id)]
+    part = found.withColumn("_part", F.pmod(F.xxhash64(chunk_id), F.lit(MERGE)))
+    some = part.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*by))).where(F.col("rank") <= k).drop("_part")
+    return some.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where(F.col("rank") <= k)
 
 
 def _schema(queries: DataFrame, chunks: DataFrame, keys: list[str], chunk_id: str) -> str:
@@ -68,20 +82,26 @@ def _schema(queries: DataFrame, chunks: DataFrame, keys: list[str], chunk_id: st
 def vector_topk(queries: DataFrame, chunks: DataFrame, keys: list[str], dim: int, k: int = SEARCH.pool,
                 chunk_id: str = "chunk_id", vec: str = "vec",
                 max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """(keys, chunk_id, distance, rank): exact k nearest, ties by chunk id."""
-    queries = queries.where(F.col(vec).isNotNull()).select(*keys, vec)
-    chunks = chunks.where(F.col(vec).isNotNull()).select(chunk_id, vec)
+    """(keys, chunk_id, distance, rank): exact k nearest, ties by chunk id.
+
+    Vectors that ``check_embeddings`` would set aside, on either side, are left out.
+    """
+    queries = queries.where(unusable(F.col(vec), dim).isNull()).select(*keys, vec)
+    chunks = chunks.where(unusable(F.col(vec), dim).isNull()).select(chunk_id, vec)
     room = max_broadcast_bytes // (8 * dim)
     if queries.limit(room + 1).count() <= room:
         return _scan_topk(queries, chunks, keys, k, chunk_id, vec)
     return _cell_topk(queries, chunks, keys, k, chunk_id, vec, probe=None)
 
 
-def vector_topk_ann(queries: DataFrame, chunks: DataFrame, keys: list[str], k: int = SEARCH.pool,
+def vector_topk_ann(queries: DataFrame, chunks: DataFrame, keys: list[str], dim: int, k: int = SEARCH.pool,
                     chunk_id: str = "chunk_id", vec: str = "vec", pivots: int = 64, probe: int = 16) -> DataFrame:
-    """Approximate k nearest: only the ``probe`` cells nearest to the query are searched."""
-    queries = queries.where(F.col(vec).isNotNull()).select(*keys, vec)
-    chunks = chunks.where(F.col(vec).isNotNull()).select(chunk_id, vec)
+    """Approximate k nearest: only the ``probe`` cells nearest to the query are searched.
+
+    Unusable vectors are left out as in ``vector_topk``.
+    """
+    queries = queries.where(unusable(F.col(vec), dim).isNull()).select(*keys, vec)
+    chunks = chunks.where(unusable(F.col(vec), dim).isNull()).select(chunk_id, vec)
     return _cell_topk(queries, chunks, keys, k, chunk_id, vec, probe=probe, pivots=pivots)
 
 
@@ -99,17 +119,19 @@ def _scan_topk(queries, chunks, keys, k, chunk_id, vec) -> DataFrame:
         n = len(matrix)
         kept: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, dtype=object))] * n
         for batch in batches:
-            if batch.empty:
-                continue
-            ids = batch[chunk_id].to_numpy()
-            dist = np.round(1.0 - matrix @ _unit(batch[vec]).T, 9)
-            # A query needs work only if this batch beats its k-th best so far.
-            worst = np.array([d[-1] if len(d) == k else np.inf for d, _ in kept])
-            for q in np.flatnonzero(dist.min(axis=1) <= worst):
-                d = np.concatenate([kept[q][0], dist[q]])
-                i = np.concatenate([kept[q][1].astype(ids.dtype), ids])
-                pick = _best(d, i, k)
-                kept[q] = (d[pick], i[pick])
+            for at in range(0, len(batch), BLOCK_ROWS):
+                part = batch.iloc[at:at + BLOCK_ROWS]
+                ids, units = part[chunk_id].to_numpy(), _unit(part[vec]).T
+                for first in range(0, n, BLOCK_QUERIES):
+                    dist = np.round(1.0 - matrix[first:first + BLOCK_QUERIES] @ units, 9)
+                    # A query needs work only if these rows beat its k-th best so far.
+                    worst = np.array([d[-1] if len(d) == k else np.inf for d, _ in kept[first:first + BLOCK_QUERIES]])
+                    for row in np.flatnonzero(dist.min(axis=1) <= worst):
+                        q = first + row
+                        d = np.concatenate([kept[q][0], dist[row]])
+                        i = np.concatenate([kept[q][1].astype(ids.dtype), ids])
+                        pick = _best(d, i, k)
+                        kept[q] = (d[pick], i[pick])
         sizes = [len(d) for d, _ in kept]
         if sum(sizes):
             out = labels.iloc[np.repeat(np.arange(n), sizes)].reset_index(drop=True)
@@ -194,8 +216,8 @@ def _cell_topk(queries, chunks, keys, k, chunk_id, vec, probe: int | None,
         units, ids = _unit(c[vec]), c[chunk_id].to_numpy()
         rows, picks, dists = [], [], []
         # Blocks of queries bound the distance matrix.
-        for at in range(0, len(q), 256):
-            dist = np.round(1.0 - _unit(q[vec].iloc[at:at + 256]) @ units.T, 9)
+        for at in range(0, len(q), BLOCK_QUERIES):
+            dist = np.round(1.0 - _unit(q[vec].iloc[at:at + BLOCK_QUERIES]) @ units.T, 9)
             for row, d in enumerate(dist):
                 pick = _best(d, ids, k)
                 rows.append(np.full(len(pick), at + row))

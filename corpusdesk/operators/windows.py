@@ -22,10 +22,14 @@ def last_before(df: DataFrame, keys: list[str], order: list[str], value: str, ou
     ends = df.groupBy(*keys, "_bucket").agg(F.max_by(value, stamp).alias("_end"))
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.withColumn("_carried", F.last("_end", ignorenulls=True).over(earlier)).drop("_end")
+    # null-safe, so that rows with a null key or place are kept
+    names = {k: f"_key{i}" for i, k in enumerate([*keys, "_bucket"])}
+    carried = carried.withColumnsRenamed(names)
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
     return (
-        inside.join(carried, [*keys, "_bucket"])
+        inside.join(carried, same)
         .withColumn(out, F.coalesce("_inside", "_carried"))
-        .drop("_inside", "_carried", "_bucket")
+        .drop("_inside", "_carried", "_bucket", *names.values())
     )
 
 
@@ -34,14 +38,18 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_order: st
     """Each left row with the latest right ``value`` before it (or at it, if inclusive).
 
     ``bucket`` maps the ordering Column to its bucket.  Left rows need no unique id.
+    A left row with a null key or time is kept and finds nothing.
     """
+    for c in (*keys, right_order):
+        right = right.where(F.col(c).isNotNull())
     side_left, side_right = (1, 0) if inclusive else (0, 1)
     kind = {f.name: f.dataType for f in right.schema.fields}[value]
     l_rows = left.withColumns({"_at": F.col(left_order), "_side": F.lit(side_left), "_value": F.lit(None).cast(kind)})
     r_rows = right.select(*keys, F.col(right_order).alias("_at"), F.lit(side_right).alias("_side"), F.col(value).alias("_value"))
     both = l_rows.unionByName(r_rows, allowMissingColumns=True)
     looked = last_before(both, keys, ["_at", "_side"], "_value", out, bucket(F.col("_at")))
-    return looked.where(F.col("_side") == side_left).drop("_at", "_side", "_value")
+    found = F.when(F.col("_at").isNotNull(), F.col(out))
+    return looked.where(F.col("_side") == side_left).withColumn(out, found).drop("_at", "_side", "_value")
 
 
 def sessions(events: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:

@@ -31,7 +31,7 @@ class SearchParams:
     per_document: int = 3
     rerank_top_n: int = 20
     context_chars: int = 2500
-    stem: int = 5               # letters kept of a token
+    stem: int | None = None     # letters kept of a token; None keeps it whole
 
 
 @dataclass(frozen=True)

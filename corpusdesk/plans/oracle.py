@@ -98,10 +98,7 @@ def words(x: str) -> str:
 
 def tokens(x: str) -> str:
     stops = "[" + ", ".join(lit(w) for w in STOP_WORDS) + "]"
-    return (
-        f"list_transform(list_filter(regexp_extract_all({lower_tr(x)}, '[\\p{{L}}\\p{{N}}]+'), "
-        f"lambda t: not list_contains({stops}, t)), lambda t: left(t, 5))"
-    )
+    return f"list_filter(regexp_extract_all({lower_tr(x)}, '[\\p{{L}}\\p{{N}}]+'), lambda t: not list_contains({stops}, t))"
 
 
 def stamp(x: str) -> str:

@@ -39,7 +39,7 @@ _SNIFF = """select doc_id, case lang when 'en' then concat(source, '.pdf') when
  case when left(body, 5) <> '%PDF-' and left(body, 4) <> concat('PK', chr(3), chr(4)) then reason end as reject_reason
  from (select doc_id, name, body, case when name like '%.pdf' then 'signature missing'
  when name like '%.bin' and declared not like 'text/%' then 'type unknown'
- when instr(hex(encode(body))[:16384], '01') > 0 and regexp_matches(hex(encode(body))[:16384], '^(..)*?01') then 'binary content'
+ when contains(body, chr(1)) then 'binary content'
  end as reason from {duck(_SNIFF)}) x""")
 def sniff_type(spark, sf):
     rows = frame(spark, sf, _SNIFF)
@@ -140,13 +140,15 @@ def article_title(spark, sf):
 
 
 @query("""select p.event_id, p.user_id, coalesce(v.event_id, -1) as last_view from
- (select * from events where event_type = 'purchase') p asof left join (select * from events where event_type = 'view') v
+ (select event_id, case when event_id % 17 <> 0 then user_id end as user_id, case when event_id % 19 <> 0 then ts end as ts
+  from events where event_type = 'purchase') p asof left join (select * from events where event_type = 'view') v
  on p.user_id = v.user_id and p.ts > v.ts""")
 def chapter_asof(spark, sf):
-    """The as-of lookup on events: the latest view before each purchase of a user."""
+    """The as-of lookup on events: the latest view before each purchase of a user; some purchases lack user or time."""
     ev = table(spark, sf, "events")
     views = ev.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id"))
-    buys = ev.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    buys = ev.where("event_type = 'purchase'").select(
+        "event_id", F.when(F.col("event_id") % 17 != 0, F.col("user_id")).alias("user_id"), F.when(F.col("event_id") % 19 != 0, F.col("ts")).alias("ts"))
     out = asof_join(buys, views, ["user_id"], "ts", "ts", "view_id", "last_view", lambda c: F.date_trunc("day", c))
     return out.select("event_id", "user_id", F.coalesce("last_view", F.lit(-1)).alias("last_view"))
 
@@ -199,9 +201,12 @@ def chunk_chars(spark, sf):
     return chunking.chunk_chars(texts(spark, sf))
 
 
-@query("select min(doc_id) as doc_id, text from documents group by text")
+@query("""select min(doc_id) as doc_id, text from documents where doc_id % 31 <> 0 group by text
+ union all select doc_id, null from documents where doc_id % 31 = 0""")
 def dedupe_documents(spark, sf):
-    return corpus.dedupe_documents(texts(spark, sf)).select("doc_id", "text")
+    """Some documents have no text; they stay."""
+    docs = texts(spark, sf).select("doc_id", F.when(F.col("doc_id") % 31 != 0, F.col("text")).alias("text"))
+    return corpus.dedupe_documents(docs)
 
 
 @query("select sha256(text) as sha256, min(doc_id) as keep_id, count(*) as copies from documents group by text having count(*) > 1")

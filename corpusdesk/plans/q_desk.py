@@ -92,8 +92,8 @@ def get_live(spark, sf):
     return corpus.get_live(frame(spark, sf, derive.DOCS), "source", "src5").select("doc_id", "lang")
 
 
-@query(f"""select least((select count(*) from {D} d where status = 'PENDING_APPROVAL'), 200) as drafts,
- least((select count(*) from {I} i where status = 'PENDING_REVIEW'), 200) as incoming""")
+@query(f"""select (select count(*) from {D} d where status = 'PENDING_APPROVAL') as drafts,
+ (select count(*) from {I} i where status = 'PENDING_REVIEW') as incoming""")
 def pending_badges(spark, sf):
     return desk.pending_badges(frame(spark, sf, derive.DRAFTS), frame(spark, sf, derive.INCOMING))
 

@@ -163,7 +163,7 @@ def draft_quality(spark, sf):
 
 
 @query("""with near as (select q.vec_id, q.label % 2 = 0 as in_scope, min(round(1 - list_cosine_similarity(list_reverse(q.embedding)::double[], c.embedding::double[]), 9)) as nearest
- from embeddings q join benchmark b on b.item_id = q.vec_id, embeddings c group by all)
+ from embeddings q, embeddings c group by all)
  select threshold, round(100 * avg(case when nearest > threshold then 1.0 else 0 end) filter (where in_scope), 4) as in_scope_lost,
  round(100 * avg(case when nearest > threshold then 1.0 else 0 end) filter (where not in_scope), 4) as out_of_scope_caught
  from near, (values (0.47::double), (0.5::double), (0.55::double), (0.6::double), (0.65::double)) t(threshold) group by threshold""")

@@ -14,20 +14,21 @@ def _in(words) -> str:
     return ", ".join(o.lit(w) for w in words)
 
 
-@query(f"""select message_id, min(id) as id from {duck(derive.INCOMING)} where intent_type <> 'complaint'
+@query(f"""select message_id, min(id) as id, arg_min(intent_type, id) as intent_type from {duck(derive.INCOMING)} where intent_type <> 'complaint'
  and message_id not in (select message_id from {duck(derive.INCOMING)} where intent_type = 'complaint') group by message_id""")
 def dedupe_messages(spark, sf):
-    """Every message arrives twice; complaints are in the store already."""
-    all_ = frame(spark, sf, derive.INCOMING).select("message_id", "id", "intent_type")
+    """Every message arrives twice, the second time later and as another type; complaints are in the store already."""
+    all_ = frame(spark, sf, derive.INCOMING).select("message_id", "id", "intent_type", F.lit(1).alias("arrival"))
     store = all_.where("intent_type = 'complaint'")
-    return mailbox.dedupe_messages(all_.unionByName(all_), store).select("message_id", "id")
+    late = all_.withColumns({"intent_type": F.lit("late"), "arrival": F.lit(2)})
+    return mailbox.dedupe_messages(late.unionByName(all_), store, order=("arrival", "id")).select("message_id", "id", "intent_type")
 
 
 _RAW_MAIL = "select page_id, html, case when page_id > 100 then concat('  <m', cast(page_id as string), '>') else '  ' end as mid from {pages}"
 
 
 @query(f"""select page_id, case when trim(mid) <> '' then trim(mid) else
- concat('<generated-', md5(unhex(left(hex(encode(html)), 1000))), '@example.org>') end as message_id from {duck(_RAW_MAIL)} r""")
+ concat('<generated-', md5(html), '@example.org>') end as message_id from {duck(_RAW_MAIL)} r""")
 def synthetic_message_id(spark, sf):
     rows = frame(spark, sf, _RAW_MAIL)
     return rows.select("page_id", mail.message_id_or_generated(
@@ -61,12 +62,18 @@ def body_fallback(spark, sf):
 _DATES = """select o_orderkey, o_orderdate, o_orderstatus, o_orderpriority from {orders}"""
 
 
-@query(f"""select o_orderkey, {o.stamp("case o_orderstatus when 'F' then o_orderdate + interval '9' hour when 'O' then o_orderdate + interval '12' hour else timestamp '2000-01-01 00:00:00' end")} as received_at from orders""")
+@query(f"""select o_orderkey, {o.stamp("case when o_orderpriority like '1%' then o_orderdate + interval '12' hour when o_orderpriority like '2%' then o_orderdate + interval '17' hour "
+ "when o_orderpriority like '3%' then o_orderdate + interval '9' hour + interval '30' minute when o_orderstatus = 'F' then o_orderdate + interval '9' hour "
+ "when o_orderstatus = 'O' then o_orderdate + interval '12' hour else timestamp '2000-01-01 00:00:00' end")} as received_at from orders""")
 def to_naive_utc(spark, sf):
     rows = table(spark, sf, "orders")
     day = F.date_format("o_orderdate", "d MMM yyyy")
+    # zone names, no seconds, two-digit years
     stamp = (
-        F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("Mon, "), day, F.lit(" 12:00:00 +0300 (TRT)")))
+        F.when(F.col("o_orderpriority").startswith("1"), F.concat(F.lit("Tue, "), day, F.lit(" 12:00:00 GMT")))
+        .when(F.col("o_orderpriority").startswith("2"), F.concat(F.date_format("o_orderdate", "d MMM yy"), F.lit(" 12:00:00 EST")))
+        .when(F.col("o_orderpriority").startswith("3"), F.concat(day, F.lit("  12:30 +0300")))
+        .when(F.col("o_orderstatus") == "F", F.concat(F.lit("Mon, "), day, F.lit(" 12:00:00 +0300 (TRT)")))
         .when(F.col("o_orderstatus") == "O", F.concat(day, F.lit(" 12:00:00")))
         .otherwise("yesterday"))
     out = mail.to_naive_utc(stamp, F.lit("2000-01-01 00:00:00").cast("timestamp"))

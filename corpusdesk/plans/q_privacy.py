@@ -139,7 +139,7 @@ def sanitize_draft(spark, sf):
 @query("select c_custkey, sha256(lower(trim(concat(' ', c_name, '@Example.org ')))) as digest from customer")
 def pseudonymize(spark, sf):
     return table(spark, sf, "customer").select(
-        "c_custkey", pii.pseudonymize(F.concat(F.lit(" "), F.col("c_name"), F.lit("@Example.org "))).alias("digest"))
+        "c_custkey", pii.pseudonymize(F.concat(F.lit(" \t"), F.col("c_name"), F.lit("@Example.org\r\n"))).alias("digest"))
 
 
 @query("select c_custkey, c_name as name, c_mktsegment as segment, true as hidden from customer")

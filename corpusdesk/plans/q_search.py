@@ -11,18 +11,20 @@ from corpusdesk.operators.corpus import tags_or_empty
 from corpusdesk.params import SEARCH
 from corpusdesk.plans import oracle as o, search as plan
 from corpusdesk.sources.workdir import settle
-from corpusdesk.plans.registry import duck, frame, is_small, query, table, texts
+from corpusdesk.plans.registry import duck, frame, index, query, table, texts
 
 P = replace(SEARCH, dim=64)
 KEYS = ["query_id", "sub_no"]
 
 # Benchmark passages are the questions, the first turn of a conversation is the
-# subject.  Reversed embeddings serve as question vectors; the subjects of some
-# questions have none.  Questions that hold only signs have no lexical match.
-_QUERIES = """select b.item_id as query_id, case when substring(b.text, 1, 1) in ('T', 'O') then '%%% ###' else b.text end as text,
- case when substring(b.text, 1, 1) in ('T', 'O') then null else c.text end as subject, concat('src', cast(b.item_id % 20 as string)) as intent
- from {benchmark} b left join (select conv_id, text from {conversations} where turn = 0 and role = 'user') c on c.conv_id = b.item_id"""
-_VECTORS = "select vec_id as query_id, 0 as sub_no, reverse(embedding) as vec from {embeddings}"
+# subject.  Reversed embeddings serve as question vectors; subjects have none.
+# Further questions that hold only signs, one per intent under ids of their own
+# (below zero), have no lexical match and so meet the gate.
+_QUERIES = """(select b.item_id as query_id, b.text as text, c.text as subject, concat('src', cast(b.item_id % 20 as string)) as intent
+ from {benchmark} b left join (select conv_id, text from {conversations} where turn = 0 and role = 'user') c on c.conv_id = b.item_id
+ union all select -1 - min(item_id), '%%% ###', null, concat('src', cast(item_id % 20 as string)) from {benchmark} group by item_id % 20)"""
+_VECTORS = """(select vec_id as query_id, 0 as sub_no, reverse(embedding) as vec from {embeddings}
+ union all select -1 - vec_id, 0, reverse(embedding) from {embeddings})"""
 
 
 def corpus(spark, sf) -> plan.Corpus:
@@ -32,14 +34,14 @@ def corpus(spark, sf) -> plan.Corpus:
         F.col("text").alias("content"), F.array("source").alias("tags"), F.col("embedding").alias("vec"))
     labels = docs.groupBy(F.col("source").alias("document_id")).agg(
         F.lit("").alias("description"), F.concat(F.first("source"), F.lit(".pdf")).alias("filename"))
-    return plan.Corpus(chunks, labels, placed=is_small(table(spark, sf, "documents")))
+    return plan.Corpus(chunks, labels, postings=index(spark, sf, lambda: lexical.build_postings(chunks)), placed=True)
 
 
 def queries(spark, sf, subjects: bool = True):
-    q = frame(spark, sf, _QUERIES)
+    q = frame(spark, sf, f"select * from {_QUERIES} q")
     q = q if subjects else q.withColumn("subject", F.lit(None).cast("string"))
     subs = fusion.expand_queries(q)
-    return subs.join(frame(spark, sf, _VECTORS), KEYS, "left").select("query_id", "sub_no", "text", "intent", "vec")
+    return subs.join(frame(spark, sf, f"select * from {_VECTORS} v"), KEYS, "left").select("query_id", "sub_no", "text", "intent", "vec")
 
 
 def search_sql(subjects: bool = True, use_vectors: bool = True, use_words: bool = True, k: int = 7, bonus: bool = True) -> str:
@@ -52,7 +54,8 @@ def search_sql(subjects: bool = True, use_vectors: bool = True, use_words: bool
     if use_words:
         legs.append("select query_id, sub_no, 'lex' as leg, chunk_id, rank, score as raw from lexr")
     return f"""with subs as (select query_id, 0 as sub_no, text, intent from {q} b where trim(text) <> ''{second}),
- q as (select subs.*, list_reverse(embedding)::double[] as vec from subs left join embeddings on vec_id = query_id and sub_no = 0),
+ q as (select subs.*, list_reverse(embedding)::double[] as vec from subs left join embeddings on vec_id = case when query_id < 0 then -1 - query_id else query_id end and sub_no = 0),
+ intents as (select query_id, max(intent) as intent from q group by query_id),
  chunks as (select doc_id as chunk_id, source as document_id, doc_id as chunk_index, text as content, embedding::double[] as vec
   from documents left join embeddings on vec_id = doc_id),
  toks as (select chunk_id, {o.tokens('content')} as ts from chunks),
@@ -73,8 +76,8 @@ def search_sql(subjects: bool = True, use_vectors: bool = True, use_words: bool
   (select count(*) from legs l where l.query_id = q.query_id and leg = 'lex') as lexical_hits from q group by query_id),
  gated as (select * from fused where query_id not in (select query_id from stats
   where vector_ran and (nearest is null or nearest > 0.6) and lexical_hits = 0)),
- boosted as (select g.query_id, g.chunk_id, document_id, chunk_index, round(score + case when concat('src', g.query_id % 20) = document_id
-  then {0.003 if bonus else 0.0} else 0 end, 9) as score from gated g join chunks using (chunk_id)),
+ boosted as (select g.query_id, g.chunk_id, document_id, chunk_index, round(score + case when intent = document_id
+  then {0.003 if bonus else 0.0} else 0 end, 9) as score from gated g join chunks using (chunk_id) left join intents using (query_id)),
  capped as (select *, row_number() over (partition by query_id, document_id order by score desc, chunk_id) as in_doc from boosted),
  hits as (select query_id, chunk_id, document_id, chunk_index, score, row_number() over (partition by query_id
   order by in_doc > 3, score desc, chunk_id) as rank from capped qualify rank <= {k})"""
@@ -83,6 +86,7 @@ def search_sql(subjects: bool = True, use_vectors: bool = True, use_words: bool
 @query("""select vec_id, case when vec is null then 'vector missing' when len(vec) <> 64 then 'wrong dimension' else '' end as reason
  from (select vec_id, case when label = 3 then null when label = 5 then list_slice(embedding, 1, 10) else embedding end as vec from embeddings) x""")
 def check_embeddings(spark, sf):
+    """Missing and short vectors; the tests have the other reasons."""
     rows = table(spark, sf, "embeddings").withColumn(
         "vec", F.when(F.col("label") == 5, F.slice("embedding", 1, 10)).when(F.col("label") != 3, F.col("embedding")))
     good, bad = vectors.check_embeddings(rows, 64)
@@ -90,17 +94,23 @@ def check_embeddings(spark, sf):
 
 
 def _question_vectors(spark, sf):
-    return frame(spark, sf, "select v.* from (" + _VECTORS + ") v join {benchmark} b on b.item_id = v.query_id")
+    """All embeddings, reversed, are questions."""
+    return frame(spark, sf, "select vec_id as query_id, 0 as sub_no, reverse(embedding) as vec from {embeddings}")
 
 
 _VEC_SQL = """select query_id, sub_no, chunk_id, round(distance, 6) as distance, rank from (select *, row_number() over (
  partition by query_id order by distance, chunk_id) as rank from (select q.vec_id as query_id, 0 as sub_no, c.vec_id as chunk_id,
  round(1 - list_cosine_similarity(list_reverse(q.embedding)::double[], c.embedding::double[]), 9) as distance
- from embeddings q join benchmark b on b.item_id = q.vec_id, embeddings c) x qualify rank <= 50) y"""
+ from embeddings q, embeddings c) x qualify rank <= 50) y"""
 
 
 def _vector_chunks(spark, sf):
-    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"))
+    """All embeddings and, under ids below zero, vectors that cannot be compared: null, short, zero, not finite."""
+    good = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"))
+    zeros = F.transform("vec", lambda x: F.lit(0).cast("float"))
+    bad = (F.when(F.col("chunk_id") % 4 == 0, F.slice("vec", 1, 10)).when(F.col("chunk_id") % 4 == 1, zeros)
+           .when(F.col("chunk_id") % 4 == 2, F.transform("vec", lambda x: F.lit("NaN").cast("float"))))
+    return good.unionByName(good.select((-1 - F.col("chunk_id")).alias("chunk_id"), bad.alias("vec")))
 
 
 @query(_VEC_SQL)
@@ -119,7 +129,7 @@ def vector_topk_cells(spark, sf):
 @query()
 def vector_topk_ann(spark, sf):
     """Approximate neighbours: a test compares them with the exact ones."""
-    return vectors.vector_topk_ann(_question_vectors(spark, sf), _vector_chunks(spark, sf), KEYS)
+    return vectors.vector_topk_ann(_question_vectors(spark, sf), _vector_chunks(spark, sf), KEYS, 64)
 
 
 @query(f"select doc_id, array_to_string({o.tokens('text')}, ' ') as lexemes from documents")
@@ -143,25 +153,25 @@ def document_frequencies(spark, sf):
     return lexical.document_frequencies(lexical.build_postings(corpus(spark, sf).chunks))
 
 
-@query(f"""{_POST}, q as (select item_id, unnest(list_distinct({o.tokens('text')})) as lexeme from benchmark)
- select item_id as query_id, chunk_id, count(*) as shared from q join post using (lexeme) group by all""")
+@query(f"""{_POST}, q as (select unnest(list_distinct({o.tokens('text')})) as lexeme from benchmark)
+ select distinct chunk_id from q join post using (lexeme)""")
 def lexical_match(spark, sf):
+    """Chunks that any question matches; the shared words of each pair are an option."""
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    c = corpus(spark, sf)
-    return lexical.chunk_matches(q, c.chunks, ["query_id"], placed=c.placed)
+    return lexical.matching_chunks(q, corpus(spark, sf).postings)
 
 
 @query(f"{search_sql()} select query_id, sub_no, chunk_id, score, rank from lexr")
 def lexical_topk(spark, sf):
     q, c = queries(spark, sf), corpus(spark, sf)
-    return lexical.lexical_topk(q, lexical.build_postings(c.chunks), KEYS, placed=c.placed)
+    return lexical.lexical_topk(q, c.postings, KEYS, placed=c.placed)
 
 
 @query(f"{search_sql()} select query_id, sub_no, chunk_id, score, rank from lexr")
 def lexical_topk_salted(spark, sf):
     """The same for question sets beyond the broadcast limit."""
     q, c = queries(spark, sf), corpus(spark, sf)
-    return lexical.lexical_topk(q, lexical.build_postings(c.chunks), KEYS, max_broadcast=0)
+    return lexical.lexical_topk(q, c.postings, KEYS, max_broadcast=0)
 
 
 def _legs(spark, sf, subjects=True):
@@ -236,7 +246,7 @@ def rerank_topn(spark, sf):
  from (select *, row_number() over (partition by query_id, document_id order by distance, chunk_id) as in_doc from (
  select q.vec_id as query_id, c.vec_id as chunk_id, c.label as document_id,
  round(1 - list_cosine_similarity(list_reverse(q.embedding)::double[], c.embedding::double[]), 9) as distance
- from embeddings q join benchmark b on b.item_id = q.vec_id, embeddings c) x
+ from embeddings q, embeddings c) x
  qualify row_number() over (partition by query_id order by distance, chunk_id) <= 50) y qualify rank <= 7) z""")
 def diversify(spark, sf):
     found = vectors.vector_topk(_question_vectors(spark, sf), _vector_chunks(spark, sf), KEYS, 64)

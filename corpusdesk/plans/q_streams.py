@@ -16,10 +16,14 @@ from corpusdesk.sources.workdir import new_path
 from corpusdesk.streaming import jobs, state
 
 
-def _stream(spark, sf, name, max_files=10):
-    """The given table itself as a stream of files."""
-    # A pattern, because a stream's path must be a folder or a pattern.
-    return poll_files(spark, f"{sf}/{name}.parque[t]", table(spark, sf, name).schema, max_files=max_files)
+FILES = 12
+
+
+def _stream(spark, sf, name, max_files=3):
+    """The given table as a stream of FILES files in mixed order, a few of them per micro-batch."""
+    feed = new_path(spark, f"feed-{name}")
+    table(spark, sf, name).repartition(FILES).write.parquet(feed)
+    return poll_files(spark, feed, table(spark, sf, name).schema, max_files=max_files)
 
 
 def _events(spark, sf, **kw):
@@ -32,7 +36,7 @@ def poll_source(spark, sf):
     return out.select("event_id", "user_id", "event_type", _shown("ts"))
 
 
-@query(f"""select page_id, concat('<generated-', md5(unhex(left(hex(encode(html)), 1000))), '@example.org>') as message_id,
+@query(f"""select page_id, concat('<generated-', md5(html), '@example.org>') as message_id,
  {o.html('html')} as body, '2024-01-01 09:30:00' as received_at from pages""")
 def stream_ingest(spark, sf):
     """Poll, generate missing ids, take text from HTML, convert dates, append."""

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusdesk.operators import lexical
+from corpusdesk.sources.workdir import new_path
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -27,18 +31,26 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def is_small(df: DataFrame) -> bool:
-    """Does the table arrive in fewer pieces than there are cores?"""
-    return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core a share of a table that arrives in fewer pieces than there are cores.
 
+    Text work is bound by the processor.  This is about the test tables of one file
+    only: operators never depend on it, and a table with many splits is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core a share of a small table.
 
-    Text work is bound by the processor.  A large table has many splits and is left
-    as it is.  Spreading by the row key lets later groupings by that key stay in place.
+def index(spark: SparkSession, sf: str, postings: Callable[[], DataFrame]) -> DataFrame:
+    """The lexical index of a folder's documents: written once in a session, then read.
+
+    Its name follows from the files, so other or newer files get an index of their own.
     """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if is_small(df) else df
+    files = sorted(table(spark, sf, "documents").inputFiles())
+    name = "index_" + hashlib.md5("\n".join([spark.sparkContext.applicationId, *files]).encode()).hexdigest()
+    if not spark.catalog.tableExists(name):
+        lexical.write_index(postings(), name, new_path(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return spark.table(name)
 
 
 TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}

@@ -15,7 +15,7 @@ from corpusdesk.sources.workdir import settle
 class Corpus:
     """``chunks``: chunk_id, document_id, chunk_index, content, tags, vec.
     ``documents``: document_id, description, filename.  Both already visible.
-    ``placed``: chunks are bucketed or partitioned by chunk id."""
+    ``postings``: an index of the chunks, ``placed`` if it is bucketed by chunk id."""
 
     chunks: DataFrame
     documents: DataFrame

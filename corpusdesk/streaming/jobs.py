@@ -40,24 +40,26 @@ def poll_forever(stream: DataFrame, path: str, seconds: int = POLL_SECONDS):
 
 
 def run_latest(stream: DataFrame, path: str, mode: str) -> DataFrame:
-    """For complete and update modes: one table version per micro-batch.
+    """For complete and update modes: table versions by micro-batch.
 
-    A batch that is run again after a failure overwrites its own version.
+    A batch that is run again after a failure overwrites its own version.  In complete
+    mode a version holds all there is, so only the last two are kept: a batch never
+    writes over the one before it.
     """
-    seen: list[int] = []
+    kept = 2 if mode == "complete" else None
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-        seen.append(batch_id)
+        place = batch_id % kept if kept else batch_id
+        batch.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{path}/place={place}")
 
     run_batches(stream, path, write, mode)
-    schema = StructType([*stream.schema.fields, StructField("version", LongType())])
-    versions = stream.sparkSession.read.schema(schema).parquet(path)
+    schema = StructType([*stream.schema.fields, StructField("batch", LongType())])
+    versions = stream.sparkSession.read.option("recursiveFileLookup", "true").schema(schema).parquet(path)
     if mode == "complete":
-        # A run that found no new input goes on from the last version written.
-        last = max(seen) if seen else versions.agg(F.max("version")).first()[0]
-        return versions.where(F.col("version") == last).drop("version")
-    return versions
+        # the last version that holds rows, also after a run that found no new input
+        last = versions.agg(F.max("batch")).first()[0]
+        return versions.where(F.col("batch") == F.lit(last)).drop("batch")
+    return versions.drop("batch")
 
 
 def thin(stream: DataFrame, keep: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:

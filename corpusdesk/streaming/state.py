@@ -18,7 +18,9 @@ class History(StatefulProcessor):
     """The newest messages of a conversation within both limits.
 
     The list state never holds more than ``max_messages`` rows, and each batch is
-    cut to that number before it is merged.
+    cut to that number before it is merged.  Messages may come in any order: what is
+    older than a message that has been left out is beyond the limits as well, so the
+    newest turn left out is kept too.
     """
 
     def __init__(self, max_messages: int, max_chars: int) -> None:
@@ -27,20 +29,28 @@ class History(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._kept = handle.getListState("kept", "turn bigint, size bigint")
         self._version = handle.getValueState("version", "n bigint")
+        self._floor = handle.getValueState("floor", "turn bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         kept = [(int(t), int(s)) for t, s in self._kept.get()]
+        floor = self._floor.get()[0] if self._floor.exists() else None
         for batch in rows:
             kept += [(int(t), int(s)) for t, s in zip(batch["turn"], batch["size"])]
-            kept = sorted(set(kept))[-self._max_messages:]
+            kept = sorted({m for m in kept if floor is None or m[0] > floor})
+            if len(kept) > self._max_messages:
+                floor = kept[-self._max_messages - 1][0]
+                kept = kept[-self._max_messages:]
         total, fitting = 0, []
         for turn, size in reversed(kept):
             total += size + 2
             if fitting and total > self._max_chars:
+                floor = turn
                 break
             fitting.append((turn, size))
         fitting.reverse()
         self._kept.put(fitting)
+        if floor is not None:
+            self._floor.update((floor,))
         version = (self._version.get()[0] if self._version.exists() else 0) + 1
         self._version.update((version,))
         yield pd.DataFrame({"conv_id": [key[0]], "turns": [[t for t, _ in fitting]], "version": [version]})

@@ -61,7 +61,7 @@ def test_no_queries_give_no_rows(vector_case):
 
 def test_approximate_recall(vector_case):
     queries, chunks, want = vector_case
-    got = ranked(vectors.vector_topk_ann(queries, chunks, KEYS, 20, probe=8))
+    got = ranked(vectors.vector_topk_ann(queries, chunks, KEYS, 16, 20, probe=8))
     hits = sum(len(set(got.get(q, [])) & set(w)) for q, w in want.items())
     assert hits / (20 * len(want)) > 0.8
 
@@ -83,6 +83,20 @@ def test_hostile_questions_never_fail(spark):
     assert got == {9: [0]}
 
 
+def test_unusable_vectors_change_nothing(spark, vector_case):
+    queries, chunks, want = vector_case
+    odd = [[0.0] * 16, [1.0] * 5, [float("nan")] * 16, [float("inf")] + [1.0] * 15, [None] + [1.0] * 15, None]
+    bad = spark.createDataFrame([(1000 + i, v) for i, v in enumerate(odd)], "chunk_id long, vec array<double>")
+    asked = queries.unionByName(bad.withColumnRenamed("chunk_id", "query_id"))
+    more = chunks.unionByName(bad)
+    for limit in (vectors.MAX_BROADCAST_BYTES, 0):
+        assert ranked(vectors.vector_topk(asked, more, KEYS, 16, 20, max_broadcast_bytes=limit)) == want
+    good, quarantined = vectors.check_embeddings(more, 16)
+    assert good.count() == 900 and sorted(r["reason"] for r in quarantined.collect()) == sorted([
+        "zero vector", "wrong dimension", "vector missing", *["element missing or not finite"] * 3])
+    assert vectors.vector_topk_ann(asked, more, KEYS, 16, 20).select("query_id").distinct().count() == 40
+
+
 def test_lexical_score_by_hand_and_both_joins_agree(spark):
     chunks = corpus(spark, "alfa alfa beta", "beta gama", "delta")
     q = spark.createDataFrame([(1, "alfa beta alfa")], "query_id long, text string")
@@ -96,21 +110,23 @@ def test_lexical_score_by_hand_and_both_joins_agree(spark):
     assert score[1] == pytest.approx(part / (1 + math.log(2)), abs=1e-9)
 
 
-def test_matches_are_summed_where_the_chunk_lies(spark):
+def test_matches_are_summed_where_the_chunk_lies(spark, tmp_path):
     chunks = corpus(spark, *[f"ortak kelime{i % 7}" for i in range(200)]).repartition(4)
     q = spark.createDataFrame([(1, "ortak"), (2, "kelime3 ortak")], "query_id long, text string")
     moved = lexical.lexical_topk(q, lexical.build_postings(chunks), KEYS)
-    lying = lexical.lexical_topk(q, lexical.build_postings(chunks.repartition(4, "chunk_id")), KEYS, placed=True)
+    index = lexical.write_index(lexical.build_postings(chunks), "index_of_matches", str(tmp_path / "index"), 4)
+    lying = lexical.lexical_topk(q, index, KEYS, placed=True)
     plan = lying._jdf.queryExecution().executedPlan().toString()
-    # One exchange places the chunks, one gathers the best per query.
-    assert "hashpartitioning(query_id" in plan and plan.count("Exchange hashpartitioning") == 2
+    # The scores are summed where the buckets lie; one exchange gathers the best per query.
+    assert "hashpartitioning(query_id" in plan and plan.count("Exchange hashpartitioning") == 1
     assert sorted(map(tuple, moved.collect())) == sorted(map(tuple, lying.collect()))
 
 
 def test_word_present_in_every_chunk(spark):
     chunks = corpus(spark, *[f"ortak kelime{i % 7}" for i in range(500)])
     q = spark.createDataFrame([(1, "ortak"), (2, "kelime3 ortak")], "query_id long, text string")
-    got = lexical.chunk_matches(q, chunks, KEYS, max_broadcast=0)
+    got = lexical.chunk_matches(q, lexical.build_postings(chunks), KEYS, max_broadcast=0)
+    assert lexical.matching_chunks(q, lexical.build_postings(chunks)).count() == 500
     assert got.groupBy("query_id").count().orderBy("query_id").collect()[0]["count"] == 500
 
 

@@ -74,6 +74,18 @@ def test_histories_over_several_batches(spark, tmp_path):
     assert {r["conv_id"]: list(r["t"]) for r in last} == {1: [5, 6, 7, 8], 2: [5, 6, 7, 8]}
 
 
+def test_histories_in_any_order_of_arrival(spark, tmp_path):
+    own = jobs.state_session(spark)
+    src = tmp_path / "src"
+    schema = "conv_id long, turn long, size long"
+    # turn 5 leaves no room for turn 2, so the short turn 1 that comes last is out as well
+    for turns in ([(2, 30), (5, 10)], [(6, 20)], [(1, 1)]):
+        own.createDataFrame([(1, t, s) for t, s in turns], schema).coalesce(1).write.mode("append").parquet(str(src))
+    stream = poll_files(own, str(src), own.createDataFrame([], schema).schema, max_files=1)
+    out = jobs.run_latest(state.trimmed_histories(stream, max_messages=6, max_chars=48), new_path(spark, "t-order"), "update")
+    assert list(out.groupBy("conv_id").agg(F.max_by("turns", "version").alias("t")).first()["t"]) == [5, 6]
+
+
 def test_failed_mails_are_set_aside(spark, tmp_path):
     src = tmp_path / "src"
     spark.createDataFrame([(1, "RECEIVED", "x"), (2, "RECEIVED", ""), (3, "REPLIED", "y")], "id long, status string, body string").write.parquet(str(src))
@@ -87,6 +99,21 @@ def test_failed_mails_are_set_aside(spark, tmp_path):
     assert [tuple(r) for r in failed.select("id", "status", "last_error").collect()] == [(2, "ANALYSIS_FAILED", "body missing")]
 
 
+def test_registered_streams_take_several_batches(spark):
+    import os
+
+    import pytest
+
+    from corpusdesk.plans import q_streams
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    seen = []
+    path = new_path(spark, "t-batches")
+    jobs.run_batches(q_streams._events(spark, "/root/testdata/sf0.001"), path, lambda batch, i: seen.append(i))
+    assert len(seen) == q_streams.FILES // 3
+
+
 def test_task_functions_travel_with_the_job():
     from pyspark import cloudpickle
 

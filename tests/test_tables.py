@@ -79,6 +79,37 @@ def test_duplicates_with_one_content_in_a_third_of_all_rows(spark):
     assert tuple(corpus.import_counts(docs, store).first()) == (194, 106)
 
 
+def test_documents_without_text_are_no_copies(spark):
+    docs = spark.createDataFrame([(1, None), (2, None), (3, "a"), (4, "a"), (5, "")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus.dedupe_documents(docs).collect()) == [1, 2, 3, 5]
+
+
+def test_copies_do_not_move_the_texts(spark):
+    docs = spark.createDataFrame([(i, "same" if i % 3 == 0 else f"t{i}") for i in range(300)], "doc_id long, text string")
+    plan = corpus.dedupe_documents(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_asof_keeps_rows_without_key_or_time(spark):
+    from corpusdesk.operators.windows import asof_join
+
+    left = spark.createDataFrame([(1, "a", 10), (2, None, 10), (3, "a", None), (4, "b", 5)], "id long, k string, t long")
+    right = spark.createDataFrame([("a", 3, "x"), (None, 3, "y"), ("a", None, "z"), ("b", 5, "w")], "k string, t long, v string")
+    out = asof_join(left, right, ["k"], "t", "t", "v", "found", lambda c: c.cast("long") - c.cast("long") % 4)
+    assert sorted((r.id, r.found) for r in out.collect()) == [(1, "x"), (2, None), (3, None), (4, None)]
+
+
+def test_first_arrival_of_a_message_stays(spark):
+    from corpusdesk.operators import mailbox
+
+    rows = [("m", 2, "late"), ("m", 1, "first"), ("n", 1, "only"), ("o", 1, "known")]
+    incoming = spark.createDataFrame(rows, "message_id string, at long, body string")
+    store = spark.createDataFrame([("o",)], "message_id string")
+    for n in (1, 4):
+        got = mailbox.dedupe_messages(incoming.repartition(n), store, order=("at",)).collect()
+        assert sorted((r.message_id, r.body) for r in got) == [("m", "first"), ("n", "only")]
+
+
 def test_stamp_follows_content_and_settings(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     stamp = lambda d, s: corpus.corpus_stamp(d, s).first()["stamp"]

@@ -165,8 +165,9 @@ def test_tags(spark):
 
 
 def test_tokens(spark):
-    assert apply(spark, tx.tokenize, "Öğrencilerin TRANSKRİPT ve 2024/1 belgesi") == [["öğren", "trans", "2024", "1", "belge"]]
-    got = apply(spark, lambda c: tx.runs(tx.tokenize(c)), "a b a c a", "", "ve")
+    assert apply(spark, tx.tokenize, "Öğrencilerin TRANSKRİPT ve 2024/1 belgesi") == [["öğrencilerin", "transkript", "2024", "1", "belgesi"]]
+    assert apply(spark, lambda c: tx.tokenize(c, stem=5, lang="tr"), "Öğrencilerin TRANSKRİPT ve the") == [["öğren", "trans", "the"]]
+    got = apply(spark, lambda c: tx.runs(tx.tokenize(c, lang="tr")), "a b a c a", "", "ve")
     assert [[tuple(x) for x in g] for g in got] == [[("a", 3), ("b", 1), ("c", 1)], [], []]
 
 
