@@ -134,35 +134,45 @@ def extractor_for(data: Column, name: Column, mime: Column) -> Column:
     )
 
 
+# Patterns of a simple HTML body and what stands for them.
+HTML_PATTERNS = (
+    (r"(?is)<script[^>]*>.*?</script>", ""),
+    (r"(?is)<style[^>]*>.*?</style>", ""),
+    (r"(?i)<br\s*/?>", "\n"),
+    (r"(?i)</?p[^>]*>", "\n"),
+    (r"<[^>]+>", ""),
+)
+# The entities that are resolved, in this order.
+HTML_ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'))
+BLANK_LINES = (r"\n{3,}", "\n\n")
+
+# Characters and patterns that are evened out.  Each pattern starts with
+# what is rare and matches only where something changes.
+EVEN_CHARACTERS = (("\r\n", "\n"), ("\r", "\n"), ("\xa0", " "), ("\u200b", ""))
+EVEN_PATTERNS = (
+    (r"(?U)-\n(?<=\w-\n)(?=[a-zçğıöşü])", ""),
+    (r"\t[ \t]*| [ \t]+", " "),
+    (r" ?\n ?", "\n"),
+    BLANK_LINES,
+)
+
+
 def html_to_text(html: Column) -> Column:
     """Readable text of a simple HTML body."""
     out = html
-    for pattern, new in (
-        (r"(?is)<script[^>]*>.*?</script>", ""),
-        (r"(?is)<style[^>]*>.*?</style>", ""),
-        (r"(?i)<br\s*/?>", "\n"),
-        (r"(?i)</?p[^>]*>", "\n"),
-        (r"<[^>]+>", ""),
-    ):
+    for pattern, new in HTML_PATTERNS:
         out = F.regexp_replace(out, pattern, new)
-    # The entities that are resolved, in this order.
-    for entity, new in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')):
+    for entity, new in HTML_ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(new))
-    return strip(F.regexp_replace(out, r"\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(out, *BLANK_LINES))
 
 
 def normalize_text(text: Column) -> Column:
     """Even out white space but keep line ends, which structure detection relies on."""
     out = text
-    for old, new in (("\r\n", "\n"), ("\r", "\n"), ("\xa0", " "), ("\u200b", "")):
+    for old, new in EVEN_CHARACTERS:
         out = F.replace(out, F.lit(old), F.lit(new))
-    # Each pattern starts with what is rare and matches only where something changes.
-    for pattern, new in (
-        (r"(?U)-\n(?<=\w-\n)(?=[a-zçğıöşü])", ""),
-        (r"\t[ \t]*| [ \t]+", " "),
-        (r" ?\n ?", "\n"),
-        (r"\n{3,}", "\n\n"),
-    ):
+    for pattern, new in EVEN_PATTERNS:
         out = F.regexp_replace(out, pattern, new)
     return strip(out)
 

@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusdesk.functions import pii
-from corpusdesk.functions.text import fold_blanks, let, lines_of, lower_tr
+from corpusdesk.functions.text import fold_blanks, let, lines_of, lower_tr, strip
 
 KS = (1, 3, 7)
+SALTS = 16
+SHORT_BLOCKS = 8
 TOLERANCE = 1
 ADOPT_NET = 5
 
@@ -235,21 +237,40 @@ def containing_documents(passages: DataFrame, docs: DataFrame, words: int = 5) -
     """(question_id, doc_id) of documents that contain a passage word for word.
 
     ``passages`` has (question_id, passage), ``docs`` (doc_id, text).  Candidates
-    share a run of ``words`` words from the inside of the passage, found by an
-    equi-join; they are then compared in full.  A passage needs words + 2 words.
+    share a run of words from the inside of the passage, found by an equi-join; they
+    are then compared in full.  The run has ``words`` words, or all but the first and
+    last word of a shorter passage.  Passages of one or two words have no inside; they
+    are looked for in every document, a block of them at a time.  A blank passage is
+    contained nowhere.  Runs that are frequent are spread over ``SALTS`` tasks.
     """
+    passages = passages.where(strip(F.col("passage")) != "")
     def tokens(c: str) -> Column:
         return F.regexp_extract_all(F.col(c), F.lit(r"\S+"), F.lit(0))
 
-    def run(w: Column, start: Column) -> Column:
-        return F.array_join(F.slice(w, start, F.lit(words)), " ")
-
-    anchors = passages.select("question_id", run(tokens("passage"), F.lit(2)).alias("anchor"))
-    shingles = docs.select("doc_id", F.explode(let(
-        tokens("text"),
-        lambda w: F.when(F.size(w) >= words, F.array_distinct(
-            F.transform(F.sequence(F.lit(1), F.size(w) - words + 1), lambda i: run(w, i)))),
-    )).alias("anchor"))
-    pairs = shingles.join(anchors, "anchor").select("question_id", "doc_id").distinct()
-    return pairs.join(passages, "question_id").join(docs, "doc_id").where(
-        F.contains("text", F.col("passage"))).select("question_id", "doc_id")
+    sized = passages.withColumn("n", F.least(F.size(tokens("passage")) - 2, F.lit(words)))
+    found = None
+    lengths = [r.n for r in sized.select("n").distinct().collect()]  # at most words + 2 numbers
+    for n in sorted(x for x in lengths if x > 0):
+        asked = sized.where(F.col("n") == n)
+        anchors = asked.select("question_id", F.array_join(F.slice(tokens("passage"), 2, n), " ").alias("anchor"),
+                               F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        shingles = docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"), F.explode(let(
+            tokens("text"),
+            lambda w: F.when(F.size(w) >= n, F.array_distinct(F.transform(
+                F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))),
+        )).alias("anchor"))
+        pairs = shingles.join(anchors, ["anchor", "salt"]).select("question_id", "doc_id").distinct()
+        one = pairs.join(asked.select("question_id", "passage"), "question_id").join(docs, "doc_id").where(
+            F.contains("text", F.col("passage"))).select("question_id", "doc_id")
+        found = one if found is None else found.unionByName(one)
+    if any(x <= 0 for x in lengths):
+        blocks = sized.where("n <= 0").groupBy(F.pmod(F.xxhash64("question_id"), F.lit(SHORT_BLOCKS)).alias("block")).agg(
+            F.collect_list(F.struct("question_id", "passage")).alias("asked"))
+        for block in blocks.toLocalIterator():
+            asked = F.array(*(F.struct(F.lit(q).alias("question_id"), F.lit(p).alias("passage")) for q, p in block["asked"]))
+            hits = docs.select("doc_id", F.explode(F.filter(asked, lambda a: F.contains(F.col("text"), a["passage"]))).alias("a"))
+            one = hits.select("a.question_id", "doc_id")
+            found = one if found is None else found.unionByName(one)
+    if found is None:
+        return passages.select("question_id").join(docs.select("doc_id").limit(0), F.lit(False))
+    return found

@@ -53,6 +53,29 @@ def first_hit_pos(spark, sf):
     return _results(spark, sf).withColumn("pos", F.coalesce("pos", F.lit(-1)))
 
 
+@query(f"""{search_sql()} select b.item_id as question_id, coalesce((select min(rank) - 1 from hits h where h.query_id = b.item_id
+ and h.document_id = concat('src', b.item_id % 20)), -1) as pos from benchmark b""")
+def first_tag_pos(spark, sf):
+    """The same with a tag as the target: the first hit whose tags hold the question's intent."""
+    q, c = settle(queries(spark, sf), "queries"), corpus(spark, sf)
+    hits = plan.search(q, c, P).select(F.col("query_id").alias("question_id"), "chunk_id", "rank")
+    intents = q.groupBy(F.col("query_id").alias("question_id")).agg(F.max("intent").alias("intent"))
+    judged = hits.join(c.chunks.select("chunk_id", "tags"), "chunk_id").join(intents, "question_id")
+    out = ev.first_hit_pos(_questions(spark, sf), judged, F.array_contains("tags", F.col("intent")))
+    return out.withColumn("pos", F.coalesce("pos", F.lit(-1)))
+
+
+_SHORT = """select item_id * 10 + n as question_id, array_join(slice(split(text, ' '), 3, n), ' ') as passage
+ from {benchmark} lateral view explode(array(1, 2, 3, 5, 6)) t as n"""
+
+
+@query("""select distinct question_id, doc_id from (select item_id * 10 + n as question_id, array_to_string(string_split(text, ' ')[3:2 + n], ' ') as passage
+ from benchmark, (values (1), (2), (3), (5), (6)) t(n)) p join documents d on contains(d.text, p.passage) where trim(passage) <> ''""")
+def containing_documents(spark, sf):
+    """Passages of one to six words; the gold of the metrics has longer ones."""
+    return ev.containing_documents(frame(spark, sf, _SHORT), texts(spark, sf).select("doc_id", "text"))
+
+
 @query(f"""{_RESULTS} select suite, method, count(*) as n, """ + ", ".join(
     f"count(*) filter (where {_hit(k)}) as hits_{k}, round(avg(case when {_hit(k)} then 1.0 else 0 end), 4) as recall_{k}" for k in ev.KS)
     + " from results group by suite, method")

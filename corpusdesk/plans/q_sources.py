@@ -13,14 +13,17 @@ from corpusdesk.sources.workdir import new_path
 
 
 @query("""select concat('doc ', doc_id) as title, case when lang = 'en' then source else '' end as tags, text as content
- from documents""")
+ from documents where source <> 'src3' union all select 'rejected', '', '{"title": "src3' from documents where source = 'src3'""")
 def read_jsonl_kb(spark, sf):
     path = new_path(spark, "kb")
-    texts(spark, sf).select(
+    entry = F.to_json(F.struct(
         F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"),
-        F.when(F.col("lang") == "en", F.array("source")).alias("tags"), F.col("text").alias("content"),
-    ).write.json(path)
-    return files.read_kb(spark, path).select("title", F.array_join("tags", ",").alias("tags"), "content")
+        F.when(F.col("lang") == "en", F.array("source")).alias("tags"), F.col("text").alias("content")))
+    # documents of one source are cut short and so are broken lines
+    texts(spark, sf).select(F.when(F.col("source") == "src3", F.concat(F.lit('{"title": "'), "source")).otherwise(entry)).write.text(path)
+    good, rejected = files.read_kb(spark, path)
+    return good.select("title", F.array_join("tags", ",").alias("tags"), "content").unionByName(
+        rejected.select(F.lit("rejected").alias("title"), F.lit("").alias("tags"), F.col("line").alias("content")))
 
 
 @query("select doc_id, length(text) as chars, md5(text) as digest, true as has_name from documents")

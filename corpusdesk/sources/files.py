@@ -9,11 +9,17 @@ from corpusdesk.params import MAX_FETCH_PER_POLL, MAX_UPLOAD_MB
 KB_SCHEMA = "title string, tags array<string>, content string"
 
 
-def read_kb(spark: SparkSession, path: str) -> DataFrame:
-    """Knowledge-base JSON lines; blank lines are skipped, missing tags are empty."""
-    return spark.read.schema(KB_SCHEMA).json(path).select(
-        "title", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "content"
-    )
+def read_kb(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(entries, rejected lines) of knowledge-base JSON lines.
+
+    Blank lines are skipped and missing tags are empty; a line that is no such object
+    is rejected as it stands.
+    """
+    rows = spark.read.schema(KB_SCHEMA + ", broken string").option("columnNameOfCorruptRecord", "broken").json(path)
+    good = rows.where("broken is null").select(
+        "title", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "content")
+    # Spark reads no file for the sake of this column alone
+    return good, rows.where("broken is not null").select(F.coalesce("broken", "title").alias("line"))
 
 
 def split_by_size(files: DataFrame, max_mb: int = MAX_UPLOAD_MB) -> tuple[DataFrame, DataFrame]:

@@ -206,6 +206,7 @@ def test_containing_documents_equals_plain_search(spark):
     rng = random.Random(2)
     texts = [" ".join(rng.choice("abcde") for _ in range(60)) for _ in range(40)]
     passages = [t[10:40] for t in texts[:15]] + ["yok " * 10]
+    passages += ["a", "b c", "e d a", "a b c d", "a a a a a", "a b a b a b", "zz", "c zz", "a zz b"]
     got = containing_documents(
         spark.createDataFrame(list(enumerate(passages)), "question_id long, passage string"),
         spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))

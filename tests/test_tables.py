@@ -148,10 +148,11 @@ def test_files_over_the_limit_are_rejected(spark, tmp_path):
 
 
 def test_knowledge_base_skips_blank_lines(spark, tmp_path):
-    lines = [json.dumps({"title": "t", "content": "c"}), "", json.dumps({"title": "u", "tags": ["x", "y"], "content": "d"})]
+    lines = [json.dumps({"title": "t", "content": "c"}), "", json.dumps({"title": "u", "tags": ["x", "y"], "content": "d"}), '{"title": "v', "[1"]
     (tmp_path / "kb.jsonl").write_text("\n".join(lines))
-    rows = files.read_kb(spark, str(tmp_path / "kb.jsonl")).orderBy("title").collect()
-    assert [(r["title"], r["tags"]) for r in rows] == [("t", []), ("u", ["x", "y"])]
+    good, rejected = files.read_kb(spark, str(tmp_path / "kb.jsonl"))
+    assert [(r["title"], r["tags"]) for r in good.orderBy("title").collect()] == [("t", []), ("u", ["x", "y"])]
+    assert sorted(r["line"] for r in rejected.collect()) == ["[1", '{"title": "v']
 
 
 def test_baseline_of_another_corpus_is_not_used(spark, tmp_path):
