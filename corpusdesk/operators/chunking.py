@@ -7,6 +7,7 @@ text goes in, one ``posexplode`` comes out, in the task that read the file.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -271,10 +272,13 @@ def _split_by_size(text: str, size: int, overlap: int, separators: tuple[str, ..
     sep = next((s for s in separators if s == "" or s in text), "")
     finer = separators[separators.index(sep) + 1:] if sep in separators else ()
     pieces = list(text) if sep == "" else [p for p in text.split(sep) if p]
-    held: list[str] = []
+    held: deque[str] = deque()
+    letters = 0  # of the pieces held
 
-    def width(parts: list[str]) -> int:
-        return sum(map(len, parts)) + len(sep) * max(len(parts) - 1, 0)
+    def width(more: int = 0) -> int:
+        """Of the pieces held, and of one more of so many letters."""
+        n = len(held) + (more > 0)
+        return letters + more + len(sep) * max(n - 1, 0)
 
     def joined() -> Iterator[str]:
         body = sep.join(held).strip()
@@ -284,14 +288,16 @@ def _split_by_size(text: str, size: int, overlap: int, separators: tuple[str, ..
     for piece in pieces:
         if len(piece) > size and finer:
             yield from joined()
-            held = []
+            held.clear()
+            letters = 0
             yield from _split_by_size(piece, size, overlap, finer)
             continue
-        if held and width(held + [piece]) > size:
+        if held and width(len(piece)) > size:
             yield from joined()
-            while held and (width(held) > overlap or width(held + [piece]) > size):
-                held.pop(0)
+            while held and (width() > overlap or width(len(piece)) > size):
+                letters -= len(held.popleft())
         held.append(piece)
+        letters += len(piece)
     yield from joined()
 
 
