@@ -126,10 +126,21 @@ def vector_topk_cells(spark, sf):
     return out.withColumn("distance", F.round("distance", 6))
 
 
-@query()
+@query("""with good as (select vec_id as chunk_id, embedding::double[] as v from embeddings),
+ pivots as (select row_number() over (order by md5(cast(chunk_id as varchar)), chunk_id) - 1 as cell, v from good
+  qualify cell < least(64, cast(floor(sqrt((select count(*) from good))) as int) + 1)),
+ cells as (select g.chunk_id, g.v, p.cell from good g, pivots p qualify row_number() over (
+  partition by g.chunk_id order by list_cosine_similarity(g.v, p.v) desc, p.cell) = 1),
+ asked as (select vec_id as query_id, list_reverse(embedding)::double[] as v from embeddings),
+ visits as (select a.query_id, a.v, p.cell from asked a, pivots p where p.cell in (select cell from cells)
+  qualify row_number() over (partition by a.query_id order by list_cosine_similarity(a.v, p.v) desc, p.cell) <= 16),
+ found as (select query_id, chunk_id, round(1 - list_cosine_similarity(visits.v, cells.v), 9) as distance from visits join cells using (cell))
+ select query_id, 0 as sub_no, chunk_id, round(distance, 6) as distance, row_number() over (partition by query_id order by found.distance, chunk_id) as rank
+ from found qualify rank <= 50""")
 def vector_topk_ann(spark, sf):
-    """Approximate neighbours: a test compares them with the exact ones."""
-    return vectors.vector_topk_ann(_question_vectors(spark, sf), _vector_chunks(spark, sf), KEYS, 64)
+    """Approximate neighbours: the steps in SQL; a test compares them with the exact ones."""
+    out = vectors.vector_topk_ann(_question_vectors(spark, sf), _vector_chunks(spark, sf), KEYS, 64)
+    return out.withColumn("distance", F.round("distance", 6))
 
 
 @query(f"select doc_id, array_to_string({o.tokens('text')}, ' ') as lexemes from documents")

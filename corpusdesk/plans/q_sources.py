@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusdesk.functions.text import decode_text
+from corpusdesk.functions.text import decode_text, normalize_text, sniff_type
 from corpusdesk.operators import chunking, corpus
 from corpusdesk.plans import derive, oracle as o
 from corpusdesk.plans.registry import duck, frame, query, table, texts
 from corpusdesk.sources import files, tables
-from corpusdesk.sources.workdir import new_path
+from corpusdesk.sources.workdir import new_path, settle
 
 
 @query("""select concat('doc ', doc_id) as title, case when lang = 'en' then source else '' end as tags, text as content
@@ -56,6 +56,37 @@ def replace_chunks(spark, sf):
     return tables.replace_chunks(chunking.chunk_words(docs), chunking.chunk_words(docs, size=200, overlap=20), outcomes)
 
 
+def _cut(rows: str, size: int, overlap: int) -> str:
+    step = size - overlap
+    return f"""select doc_id, cast(i as int) as chunk_index, array_to_string(w[i * {step} + 1 : i * {step} + {size}], ' ') as content
+ from (select doc_id, w, unnest(range(0, greatest(cast(ceil((len(w) - {overlap}) / {step}.0) as bigint), 1))) as i
+ from (select doc_id, {o.words('body')} as w from {rows} r) a where len(w) > 0) b"""
+
+
+@query(f"""with uploads as (select doc_id, text as body, source = 'src5' as broken, {o.normalize('text')} as even from documents),
+ good as (select min(doc_id) as doc_id, even as body from uploads where not broken group by even),
+ others as (select doc_id, body from uploads where doc_id not in (select doc_id from good))
+ {_cut('good', 200, 20)} union all {_cut('others', 500, 50)}""")
+def index_documents(spark, sf):
+    """Uploads to chunk table: sniff, decode, normalise, drop copies, chunk, replace.
+
+    Documents whose upload is rejected or a copy keep the chunks they had.
+    """
+    path, docs = new_path(spark, "indexed"), texts(spark, sf)
+    tables.write_chunks(chunking.chunk_words(docs), path, 8)
+    body = F.when(F.col("source") == "src5", F.concat("text", F.lit("\x01"))).otherwise(F.col("text"))
+    uploads = docs.select("doc_id", F.encode(body, "UTF-8").alias("content"), F.concat("source", F.lit(".txt")).alias("name"))
+    sniffed = uploads.withColumn("reason", sniff_type(F.col("content"), F.col("name"), F.lit("text/plain"))["reject_reason"])
+    even = sniffed.where("reason is null").select("doc_id", normalize_text(decode_text(F.col("content"))).alias("text"))
+    fresh = corpus.dedupe_documents(even)
+    kept = settle(fresh.select("doc_id", F.lit(True).alias("kept")), "kept")
+    outcomes = settle(sniffed.select("doc_id", "reason").join(kept, "doc_id", "left").select(
+        "doc_id", F.coalesce("reason", F.when(F.col("kept").isNull(), "copy")).alias("error")), "outcomes")
+    new = chunking.chunk_words(fresh, size=200, overlap=20)
+    tables.replace_chunks_in_table(spark, path, new, outcomes, 8, new_path(spark, "staged"))
+    return spark.read.parquet(path).select("doc_id", "chunk_index", "content")
+
+
 _CONV_LOG = """select conv_id * 1000 + turn as draft_id, concat('  User', cast(conv_id as string), '@Example.org ') as recipient,
  role as subject, concat(text, ' ara +90 532 111 22 33') as body, timestamp '2024-01-30 00:00:00' as sent_at from {conversations}"""
 

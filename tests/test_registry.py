@@ -28,5 +28,5 @@ def test_entry(spark):
     assert entry_points.entry(spark).columns
 
 
-def test_only_two_queries_lack_sql():
-    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"chunk_chars", "vector_topk_ann"}
+def test_only_one_query_lacks_sql():
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"chunk_chars"}
