@@ -197,6 +197,21 @@ def apply_edits(spark, sf):
     return after.join(flag, "id", "left").select("id", "subject", "body", F.coalesce("refused", F.lit(False)).alias("refused"))
 
 
+_MAIL_EDITS = """select event_id as id, case when value > 10 then concat('re: ', event_type) end as reply_subject, case when value > 20 then 'staff' end as sender_name
+ from {events} where value > 5"""
+
+
+@query(f"""select i.id, case when editable then coalesce(e.reply_subject, i.reply_subject) else i.reply_subject end as reply_subject,
+ case when editable then coalesce(e.sender_name, i.sender_name) else i.sender_name end as sender_name, e.id is not null and not editable as refused
+ from (select *, status = 'PENDING_REVIEW' as editable from {I} x) i left join {duck(_MAIL_EDITS)} e using (id)""")
+def apply_mail_edits(spark, sf):
+    """The same for incoming mails, which have other columns and states."""
+    mails, edits = frame(spark, sf, derive.INCOMING), frame(spark, sf, _MAIL_EDITS)
+    after, refused = status.apply_edits(mails, edits, "incoming", ["reply_subject", "sender_name"])
+    flag = refused.select("id", F.lit(True).alias("refused"))
+    return after.join(flag, "id", "left").select("id", "reply_subject", "sender_name", F.coalesce("refused", F.lit(False)).alias("refused"))
+
+
 _REVIEWS_D = """select o_orderkey as id, case when o_totalprice > 150000 then 'approve' else 'reject' end as action, 'admin' as reviewer, o_orderpriority as note from {orders} where o_totalprice > 100000"""
 _REVIEWS_I = """select event_id as id, case when value > 20 then 'reanalyze' when value > 10 then 'skip' else 'approve' end as action, 'admin' as reviewer, case when value > 15 then 'not needed' else '' end as note
  from {events} where value > 5"""

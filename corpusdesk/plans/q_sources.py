@@ -37,6 +37,16 @@ def read_files(spark, sf):
                          F.endswith("name", F.lit(".json")).alias("has_name"))
 
 
+@query("""select doc_id, case when strlen(body) = 0 then 'empty file' when strlen(body) > 2048 then 'file too large' else '' end as reason
+ from (select doc_id, case when source = 'src1' then '' else text end as body from documents) d""")
+def split_uploads(spark, sf):
+    """Uploads that are empty or above the limit, here 2 KB, go to the reject frame."""
+    body = F.when(F.col("source") == "src1", F.lit("")).otherwise(F.col("text"))
+    uploads = texts(spark, sf).select("doc_id", body.alias("content")).withColumn("length", F.octet_length("content"))
+    good, rejected = files.split_by_size(uploads, max_mb=2 / 1024)
+    return good.select("doc_id", F.lit("").alias("reason")).unionByName(rejected.select("doc_id", F.col("reject_reason").alias("reason")))
+
+
 @query(f"select doc_id, lang, source from {duck(derive.DOCS)} where deleted_at is null and status = 'INDEXED'")
 def visible_docs(spark, sf):
     return corpus.visible(frame(spark, sf, derive.DOCS)).select("doc_id", "lang", "source")

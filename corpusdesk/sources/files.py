@@ -22,7 +22,7 @@ def read_kb(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return good, rows.where("broken is not null").select(F.coalesce("broken", "title").alias("line"))
 
 
-def split_by_size(files: DataFrame, max_mb: int = MAX_UPLOAD_MB) -> tuple[DataFrame, DataFrame]:
+def split_by_size(files: DataFrame, max_mb: float = MAX_UPLOAD_MB) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) of files or uploads with a ``length``.  The reject frame reads no bodies."""
     reason = F.when(F.col("length") == 0, "empty file").when(F.col("length") > max_mb * 1024 * 1024, "file too large")
     return files.where(reason.isNull()), files.where(reason.isNotNull()).drop("content").withColumn("reject_reason", reason)
