@@ -22,9 +22,16 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 
 
 def worker_store(name: str) -> dict:
-    """A dict that lives as long as the Python worker, so that later tasks find it filled."""
+    """A dict that outlives a task, so that later tasks of the Python worker find it filled.
+
+    A worker keeps that of one operator at a time: the stores of a pipeline's earlier
+    stages would only take memory.
+    """
     home = sys.modules.setdefault("corpusdesk_worker_store", types.ModuleType("corpusdesk_worker_store"))
-    return home.__dict__.setdefault("stores", {}).setdefault(name, {})
+    stores = home.__dict__.setdefault("stores", {})
+    if name not in stores:
+        stores.clear()
+    return stores.setdefault(name, {})
 
 
 def blocks(texts: pa.Array) -> Iterator[tuple[int, list[bytes | None]]]:

@@ -12,8 +12,6 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections import Counter
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField
@@ -30,7 +28,7 @@ CALIBRATES = 5  # one in so many rows calibrates instead
 CLEAN_WEIGHT = 3.0  # a clean text that is called toxic weighs so many toxic ones that are missed
 MIN_TOXIC = 15  # a language needs so many toxic rows for a threshold of its own
 COMMON = 150  # words that tell a language
-WORDS = 300_000  # words that a worker keeps
+WORDS = 200_000  # words that a worker keeps
 
 #: ASCII other than digits and letters becomes a blank; A-Z become a-z.
 TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -50,30 +48,9 @@ def features(word: bytes) -> list[int]:
     return out
 
 
-class Lookup:
-    """Words -> rows of a table of feature indices (0: no embedding), padded to equal width."""
-
-    def __init__(self, known: dict[int, int]):
-        self.known = known
-        self.forget()
-
-    def forget(self) -> None:
-        self.index: dict[bytes, int] = {b"": 0}
-        self.rows: list[list[int]] = [[0] * (1 + len(PREFIXES))]
-
-    def learn(self, words: set[bytes]) -> list[bytes]:
-        new = [w for w in words if w not in self.index]
-        get, width = self.known.get, 1 + len(PREFIXES)
-        for w in new:
-            self.index[w] = len(self.rows)
-            row = [get(f, 0) for f in features(w)]
-            self.rows.append(row + [0] * (width - len(row)))
-        return new
-
-
 def join(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Word numbers of all texts, each followed by blanks so that every filter fits, and where each text begins."""
-    gap = np.zeros(max(WIDTHS), np.int64)
+    gap = np.zeros(max(WIDTHS), np.int32)
     parts = [x for d in docs for x in (d, gap)]
     sizes = np.array([len(d) + len(gap) for d in docs])
     return np.concatenate(parts), np.cumsum(sizes) - sizes
@@ -196,34 +173,35 @@ def train(rows: DataFrame, text: str = "text", label: str = "toxic", lang: str =
     known = known.select(F.col(text).cast("string").alias("text"), F.col(label).cast("int").alias("label"),
                          F.col(lang).cast("string").alias("lang"), F.pmod(F.xxhash64(key, text), F.lit(1 << 40)).alias("h"))
     share = min(1.0, TRAIN_ROWS / max(1, known.count()))
-    sample = sorted(((r.h, r.text.encode(), r.label, r.lang) for r in known.where(F.col("h") < int(share * (1 << 40))).collect()), key=lambda r: r[:3])
-    y = np.array([r[2] for r in sample], float)
-    fits = np.arange(len(sample)) % CALIBRATES != 0
-    if not sample or not 0 < y[fits].sum() < fits.sum():
+    # texts become numbers of words at once: the driver holds a few bytes per word of the sample
+    index: dict[bytes, int] = {b"": 0}
+    docs, labels, langs = [], [], []
+    for r in known.where(F.col("h") < int(share * (1 << 40))).orderBy("h", "text").toLocalIterator():
+        words = words_of(r.text.encode())
+        docs.append(np.fromiter((index.setdefault(w, len(index)) for w in words), np.int32, len(words)))
+        labels.append(r.label)
+        langs.append(r.lang)
+    y = np.array(labels, float)
+    fits = np.arange(len(docs)) % CALIBRATES != 0
+    if not docs or not 0 < y[fits].sum() < fits.sum():
         return None
-    texts = [words_of(r[1]) for r in sample]
-    df, df_toxic = Counter(), Counter()
-    for words, toxic, fit in zip(texts, y, fits):
-        if fit:
-            seen = {f for w in set(words) for f in features(w)}
-            df.update(seen)
-            if toxic:
-                df_toxic.update(seen)
-    frequent = sorted(f for f, n in df.items() if n >= MIN_DOCS)
-    known_features = {f: i for i, f in enumerate(frequent, 1)}
-    t, c = np.array([df_toxic[f] for f in frequent]), np.array([df[f] for f in frequent])
-    odds = np.log((t + 0.5) / (y[fits].sum() + 1)) - np.log((c - t + 0.5) / ((1 - y[fits]).sum() + 1))
-    prior = np.concatenate(([0], np.clip(odds * c / (c + 10), -4, 4) * 0.25))
-    lookup = Lookup(known_features)
-    lookup.learn({w for words in texts for w in words})
-    table = np.array(lookup.rows)
-    docs = [np.fromiter(map(lookup.index.__getitem__, words), np.int64, len(words)) for words in texts]
+    hashes = feature_hashes(index)
+    frequent, n, n_toxic = feature_counts(hashes, docs, fits, y)
+    odds = np.log((n_toxic + 0.5) / (y[fits].sum() + 1)) - np.log((n - n_toxic + 0.5) / ((1 - y[fits]).sum() + 1))
+    prior = np.concatenate(([0], np.clip(odds * n / (n + 10), -4, 4) * 0.25))
+    # feature hash -> index of its embedding; 0 for rare ones and for the gaps of short words
+    place = np.searchsorted(frequent, hashes).clip(max=max(len(frequent) - 1, 0))
+    table = np.where((hashes >= 0) & (frequent[place] == hashes), place + 1, 0) if len(frequent) else np.zeros_like(hashes)
     network = Network(len(frequent) + 1, prior)
     network.fit([d for d, f in zip(docs, fits) if f], table, y[fits])
-    model = network.freeze() | {"id": uuid.uuid4().hex, "features": known_features} | common_words(texts, [r[3] for r in sample])
-    checks = np.flatnonzero(~fits) if (~fits).sum() and 0 < y[~fits].sum() < (~fits).sum() else np.arange(len(sample))
-    scorer = Scorer(model)
-    values, guessed = scorer.values([texts[i] for i in checks])
+    frozen = network.freeze()
+    model = frozen | {"id": uuid.uuid4().hex, "features": {int(h): i for i, h in enumerate(frequent, 1)}} | common_words(index, docs, langs)
+    checks = np.flatnonzero(~fits) if (~fits).sum() and 0 < y[~fits].sum() < (~fits).sum() else np.arange(len(docs))
+    adds = np.concatenate([frozen["adds"][table[i:i + 20_000]].sum(axis=1) for i in range(0, len(table), 20_000)])
+    tells = np.zeros((len(index), len(model["langs"])), np.float32)
+    for w, told in model["tells"].items():
+        tells[index[w]] = told
+    values, guessed = judged(model, adds, tells, [docs[i] for i in checks])
     toxic = y[checks] > 0
     model["cuts"] = {None: cut(values, toxic)}
     for i in range(len(model["langs"])):
@@ -233,56 +211,96 @@ def train(rows: DataFrame, text: str = "text", label: str = "toxic", lang: str =
     return model
 
 
-def common_words(texts: list[list[bytes]], langs: list[str | None]) -> dict:
+def feature_hashes(words) -> np.ndarray:
+    """One row of feature hashes per word, in their order; -1 where a word is too short."""
+    width = 1 + len(PREFIXES)
+    out = np.full((len(words), width), -1, np.int64)
+    for i, w in enumerate(words):
+        if w:
+            found = features(w)
+            out[i, :len(found)] = found
+    return out
+
+
+def feature_counts(hashes: np.ndarray, docs: list[np.ndarray], fits: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the features of at least MIN_DOCS rows that fit, rows of each, toxic rows of each)."""
+    def seen(chosen) -> tuple[np.ndarray, np.ndarray]:
+        parts = [np.unique(hashes[np.unique(docs[i])]) for i in chosen]
+        return np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    found, n = seen(np.flatnonzero(fits))
+    frequent = (found >= 0) & (n >= MIN_DOCS)
+    found, n = found[frequent], n[frequent]
+    toxic, n_toxic = seen(np.flatnonzero(fits & (y > 0)))
+    counts = np.zeros(len(found), np.int64)
+    common, at, of = np.intersect1d(found, toxic, return_indices=True)
+    counts[at] = n_toxic[of]
+    return found, n, counts
+
+
+def common_words(index: dict[bytes, int], docs: list[np.ndarray], langs: list[str | None]) -> dict:
     """{"langs", "tells": word -> log share by language} of the common words of each language."""
-    counts: dict[str, Counter] = {}
-    for words, lang in zip(texts, langs):
-        if lang is not None:
-            counts.setdefault(lang, Counter()).update(words)
-    names = sorted(k for k, c in counts.items() if c)
-    common = sorted({w for k in names for w, _ in sorted(counts[k].items(), key=lambda x: (-x[1], x[0]))[:COMMON]})
-    shares = np.array([[(counts[k][w] + 0.5) / (sum(counts[k].values()) + 1) for k in names] for w in common])
-    return {"langs": names, "tells": dict(zip(common, np.log(shares).astype(np.float32))) if common else {}}
+    words = list(index)
+    counts: dict[str, np.ndarray] = {}
+    for ids, lang in zip(docs, langs):
+        if lang is not None and len(ids):
+            counts.setdefault(lang, np.zeros(len(words), np.int32))
+            np.add.at(counts[lang], ids, 1)
+    names = sorted(counts)
+    common = sorted({i for k in names for i in sorted(np.argpartition(-counts[k], min(COMMON, len(words) - 1))[:COMMON].tolist())})
+    shares = np.array([[(counts[k][i] + 0.5) / (counts[k].sum() + 1) for k in names] for i in common])
+    return {"langs": names, "tells": {words[i]: t for i, t in zip(common, np.log(shares).astype(np.float32))} if common else {}}
+
+
+def judged(model: dict, adds: np.ndarray, tells: np.ndarray, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(logit, guessed language or -1) of texts as word numbers."""
+    ids, starts = join(docs)
+    out = logits(model, adds, ids, starts)
+    if not tells.shape[1]:
+        return out, np.full(len(docs), -1)
+    told = np.add.reduceat(tells[ids], starts, axis=0)
+    return out, np.where((told != 0).any(axis=1), told.argmax(axis=1), -1)
 
 
 class Scorer:
+    """Scores texts; of each word it has met it keeps what the word adds to the filters and tells about languages."""
+
     def __init__(self, model: dict):
-        self.model, self.lookup = model, Lookup(model["features"])
-        self.n_langs = len(model["langs"])
+        self.model, self.n_langs = model, len(model["langs"])
         self.forget()
 
     def forget(self) -> None:
-        self.lookup.forget()
-        self.adds = np.zeros((1, self.model["adds"].shape[1]), np.float32)
-        self.tells = np.zeros((1, self.n_langs), np.float32)
+        self.index: dict[bytes, int] = {b"": 0}
+        self.adds = np.zeros((1024, self.model["adds"].shape[1]), np.float32)
+        self.tells = np.zeros((1024, self.n_langs), np.float32)
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.lookup.index) + len(words) > WORDS:
+        new = [w for w in words if w not in self.index]
+        if len(self.index) + len(new) > WORDS:
             self.forget()
-        done = len(self.lookup.rows)
-        new = self.lookup.learn(words)
-        need = len(self.lookup.rows)
+            new = [w for w in words if w]
+        first, need = len(self.index), len(self.index) + len(new)
         if need > len(self.adds):
-            grown = max(need, 2 * len(self.adds))
-            self.adds = np.concatenate((self.adds, np.zeros((grown - len(self.adds), self.adds.shape[1]), np.float32)))
-            self.tells = np.concatenate((self.tells, np.zeros((grown - len(self.tells), self.n_langs), np.float32)))
-        for a in range(done, need, 20_000):
-            b = min(need, a + 20_000)
-            self.adds[a:b] = self.model["adds"][np.array(self.lookup.rows[a:b])].sum(axis=1)
-        none = np.zeros(self.n_langs, np.float32)
-        for i, w in enumerate(new, done):
-            self.tells[i] = self.model["tells"].get(w, none)
+            more = max(need, len(self.adds) * 3 // 2) - len(self.adds)
+            self.adds = np.concatenate((self.adds, np.zeros((more, self.adds.shape[1]), np.float32)))
+            self.tells = np.concatenate((self.tells, np.zeros((more, self.n_langs), np.float32)))
+        get, tells, width = self.model["features"].get, self.model["tells"], 1 + len(PREFIXES)
+        for a in range(0, len(new), 20_000):
+            part = new[a:a + 20_000]
+            rows = np.zeros((len(part), width), np.int64)
+            for i, w in enumerate(part):
+                self.index[w] = first + a + i
+                found = [get(f, 0) for f in features(w)]
+                rows[i, :len(found)] = found
+                if w in tells:
+                    self.tells[first + a + i] = tells[w]
+            self.adds[first + a:first + a + len(part)] = self.model["adds"][rows].sum(axis=1)
 
     def values(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """(logit, guessed language or -1) of each text."""
         self.learn(set().union(*texts))
-        get = self.lookup.index.__getitem__
-        ids, starts = join([np.fromiter(map(get, words), np.int64, len(words)) for words in texts])
-        out = logits(self.model, self.adds, ids, starts)
-        if not self.n_langs:
-            return out, np.full(len(texts), -1)
-        told = np.add.reduceat(self.tells[ids], starts, axis=0)
-        return out, np.where((told != 0).any(axis=1), told.argmax(axis=1), -1)
+        get = self.index.__getitem__
+        return judged(self.model, self.adds, self.tells, [np.fromiter(map(get, words), np.int64, len(words)) for words in texts])
 
     def rows(self, texts: list[bytes | None]) -> list[list]:
         out, guessed = self.values([words_of(t) for t in texts])
