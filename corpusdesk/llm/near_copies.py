@@ -6,8 +6,8 @@ half of Hamming space.  So a text gets ``TABLES`` short fingerprints of its
 distinct words; near copies are within ``RADIUS`` bits in at least one of them.
 The trees of ``simhash`` find the groups of each table.  A group is never turned
 into pairs: its members are paired with one member that differs from table to
-table, the nearest few of these pairs are compared shingle by shingle, and those
-that reach the similarity are links.
+table, so a text has TABLES pairs at most.  They are compared shingle by shingle,
+and those that reach the similarity are links.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from functools import partial
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField
 
 from corpusdesk.llm.common import add_columns, settle, worker_store
@@ -24,7 +24,6 @@ from corpusdesk.llm.simhash import components, group_points, near_links
 TABLES, TABLE_BITS, RADIUS = 12, 48, 2
 LONGS = TABLES * TABLE_BITS // 64
 MAX_BITS = TABLES * TABLE_BITS * 0.14  # pairs that differ in more bits of all tables are far from the similarity
-NEAREST = 3  # pairs of a text that are compared
 SHINGLE, SIMILARITY = 5, 0.8
 WORDS = 300_000  # words whose hashes a worker keeps
 
@@ -68,9 +67,16 @@ def shingle_hashes(text: bytes | None, size: int = SHINGLE) -> list[int]:
 
 
 def codes(f):
-    """The table's number above its bits, for all tables; ``f`` is the array of longs as bits of one string."""
-    bits = F.concat(*(F.lpad(F.conv(F.lpad(F.hex(F.get(f, F.lit(i))), 16, "0"), 16, 2), 64, "0") for i in range(LONGS)))
-    return [(F.conv(F.substring(bits, 1 + t * TABLE_BITS, TABLE_BITS), 2, 10).cast("long") + F.lit(t << TABLE_BITS)) for t in range(TABLES)]
+    """The table's number above its bits, for all tables; ``f`` holds the tables' bits one after another."""
+    out = []
+    for t in range(TABLES):
+        i, skip = divmod(t * TABLE_BITS, 64)
+        code = F.shiftrightunsigned(F.shiftleft(F.get(f, F.lit(i)), skip), 64 - TABLE_BITS)
+        beyond = skip + TABLE_BITS - 64  # bits that stand in the next long
+        if beyond > 0:
+            code = code.bitwiseOR(F.shiftrightunsigned(F.get(f, F.lit(i + 1)), 64 - beyond))
+        out.append(code + F.lit(t << TABLE_BITS))
+    return out
 
 
 def bits_apart(a, b):
@@ -98,10 +104,8 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     # one member of each group, another one in every table
     middle = members.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("g", "x").alias("h"), "x", "f")).alias("c"))
     middle = settle(middle.where("n > 1").select("g", F.col("c.x").alias("b"), F.col("c.f").alias("fb")), "middle")
-    pairs = members.join(middle, "g").where("x <> b").select(F.col("x").alias("a"), "b", bits_apart(F.col("f"), F.col("fb")).alias("d")).where(F.col("d") <= MAX_BITS).distinct()
-    near = Window.partitionBy("a").orderBy("d", "b")
-    pairs = settle(pairs.withColumn("place", F.row_number().over(near)).where(F.col("place") <= NEAREST)
-                   .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    pairs = members.join(middle, "g").where("x <> b").select(F.col("x").alias("a"), "b", bits_apart(F.col("f"), F.col("fb")).alias("d")).where(F.col("d") <= MAX_BITS)
+    pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     # their shingles
     needed = settle(pairs.select(F.col("a").alias("x")).union(pairs.select("b")).distinct().join(nodes.select("x", "least"), "x"), "needed")
     asked = rows.withColumnRenamed("x", "y").join(needed, F.col("k").eqNullSafe(F.col("least")) & (F.col("y") == F.col("x"))).select("x", "text").dropDuplicates(["x"])
