@@ -26,6 +26,7 @@ from corpusdesk.llm.common import add_columns, documents, settle
 SHINGLE, SEED, BITS, RADIUS = 3, 42, 64, 2
 SHARD = 2_000  # points a shard should hold before its borders are added
 MAX_SHARDS = 16_384  # the tree stays this small; above it shards grow
+FULL = 1 << 16  # points of a shard that one group compares within seconds; of fuller shards, parts meet in pairs
 PER_SHARD = 64  # points of the sample for each shard
 LEAF = 384  # points that are compared in full
 CHUNK = 1 << 16
@@ -196,7 +197,23 @@ def near_links(points: DataFrame, radius: int = RADIUS, bits: int = BITS) -> Dat
         grouped = np.flatnonzero(np.bincount(root, minlength=len(fps))[root] > 1)
         return pd.DataFrame({"fp": fps[grouped].view(np.int64), "root": fps[root[grouped]].view(np.int64)})
 
-    return points.select("fp").mapInArrow(deal, "shard long, fp long").groupBy("shard").applyInPandas(inside, "fp long, root long")
+    dealt = settle(points.select("fp").mapInArrow(deal, "shard long, fp long"), "dealt")
+    return meet(dealt).groupBy("shard", "one", "other").applyInPandas(inside, "fp long, root long")
+
+
+def meet(dealt: DataFrame) -> DataFrame:
+    """(shard, one, other, fp): groups of at most about FULL points in which all pairs of a shard meet.
+
+    No vantage point divides a dense ball, such as the points of very many near copies.
+    A shard that holds more points than FULL is cut into parts by a hash, and each pair
+    of parts is a group; all other shards are one group.
+    """
+    full = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FULL)
+    # two parts of n / k points make a group
+    full = settle(full.select("shard", F.ceil(2 * F.col("n") / FULL).cast("int").alias("k")), "full")
+    rows = dealt.join(full, "shard", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    return rows.select("shard", F.least("part", "q").alias("one"), F.greatest("part", "q").alias("other"), "fp")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -77,8 +77,10 @@ def test_every_near_pair_meets_in_a_shard(depth):
     assert homes == set(range(len(points))) and met == pairs
 
 
-def test_groups_over_many_shards(spark, monkeypatch):
+@pytest.mark.parametrize("full", (60, 1 << 16))
+def test_groups_over_many_shards(spark, monkeypatch, full):
     monkeypatch.setattr(simhash, "SHARD", 100)
+    monkeypatch.setattr(simhash, "FULL", full)
     points = cloud(1200, 6, tight=0.8)
     signed = points.view(np.int64).tolist()
     frame = spark.createDataFrame([(p,) for p in signed], "fp long").repartition(4)
