@@ -8,13 +8,21 @@ The trees of ``simhash`` find the groups of each table.  A group is never turned
 into pairs: its members are paired with one member that differs from table to
 table, so a text has TABLES pairs at most.  They are compared shingle by shingle,
 and those that reach the similarity are links.
+
+That ties most copies cheaply but promises nothing, so an exact join follows for
+texts that are not tied to each other yet.  Two texts of the similarity share a
+shingle among the first fifth of both, in any order of shingles that is the same
+for all texts (prefix filter); common shingles come last in it, so few texts meet
+without reason.  Pairs that share enough of those are compared as well.
 """
 
 from __future__ import annotations
 
+import math
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField
 
@@ -26,6 +34,9 @@ LONGS = TABLES * TABLE_BITS // 64
 MAX_BITS = TABLES * TABLE_BITS * 0.14  # pairs that differ in more bits of all tables are far from the similarity
 SHINGLE, SIMILARITY = 5, 0.8
 WORDS = 300_000  # words whose hashes a worker keeps
+SAMPLE, SAMPLE_SHARE = 4_000, 100  # so many texts, or one in so many if that is more, tell which shingles are common
+COMMON_IN, COMMON = 8, 200_000  # common: in so many texts of the sample; so many are told apart at most.  Only the order depends on it
+SMALL = 100_000  # rows of ids that may be broadcast
 
 
 class WordHashes(dict):
@@ -55,15 +66,119 @@ def wide_print(text: bytes | None) -> list[int]:
     return np.packbits(2 * ones > len(rows)).view(">i8").tolist()
 
 
-def shingle_hashes(text: bytes | None, size: int = SHINGLE) -> list[int]:
-    """32-bit hashes of the distinct shingles; a shorter text is one shingle, a text without words has none."""
-    import xxhash
-
+def shingles_of(text: bytes | None, size: int = SHINGLE) -> list[bytes]:
+    """A shorter text is one shingle, a text without words has none."""
     words = (text or b"").lower().split()
     if not words:
         return []
-    found = map(b" ".join, zip(*(words[k:] for k in range(size)))) if len(words) >= size else [b" ".join(words)]
-    return np.unique(np.fromiter(map(partial(xxhash.xxh32_intdigest, seed=1), found), np.uint32)).view(np.int32).tolist()
+    return list(map(b" ".join, zip(*(words[k:] for k in range(size))))) if len(words) >= size else [b" ".join(words)]
+
+
+def shingle_hashes(text: bytes | None, size: int = SHINGLE) -> list[int]:
+    """32-bit hashes of the distinct shingles."""
+    import xxhash
+
+    found = map(partial(xxhash.xxh32_intdigest, seed=1), shingles_of(text, size))
+    return np.unique(np.fromiter(found, np.uint32)).view(np.int32).tolist()
+
+
+def long_hashes(text: bytes | None) -> np.ndarray:
+    """64-bit hashes of the distinct shingles, sorted; [0] for a text without words."""
+    import xxhash
+
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, shingles_of(text)), np.uint64)).view(np.int64) if (text or b"").split() else np.zeros(1, np.int64)
+
+
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first hashes in the order of all texts: a text of this similarity has one of them among its own first ones.
+
+    ``common`` (sorted) come last, those with the highest ``counts`` at the end.
+    """
+    n = len(hashes)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        hashes = hashes[np.lexsort((hashes, np.where(common[at] == hashes, counts[at], 0)))]
+    return hashes[:n - needed_of(n, similarity) + 1]
+
+
+def needed_of(n: int, similarity: float) -> int:
+    """Shingles that a text of ``n`` has to share at least."""
+    return max(1, math.ceil(similarity * n - 1e-9))
+
+
+def only_shared(batches):
+    """Rows, sorted by their first column, whose first value another row has as well."""
+    last, given = None, False
+    for batch in batches:
+        s = batch.column(0).to_numpy()
+        if not len(s):
+            continue
+        same = s[1:] == s[:-1]
+        goes_on = last is not None and last.column(0)[0].as_py() == s[0]
+        if goes_on and not given:
+            yield last
+        kept = np.concatenate(([goes_on], same)) | np.concatenate((same, [False]))
+        if kept.any():
+            yield batch.filter(pa.array(kept))
+        last, given = batch.slice(len(s) - 1), bool(kept[-1])
+
+
+def common_shingles(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of shingles that many texts of a sample have."""
+    share = min(1.0, max(SAMPLE / max(1, n), 1 / SAMPLE_SHARE))
+    some = rows.where(F.pmod(F.xxhash64("x"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    told = add_columns(some, [StructField("s", ArrayType(LongType()))], lambda: lambda texts: [[long_hashes(t).tolist() for t in texts]], [])
+    counts = settle(told.select(F.explode("s").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON_IN), "common")
+    least, held = 0, 0
+    for r in sorted(counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("m")).collect(), reverse=True):
+        if held + r.m > COMMON:
+            break
+        least, held = r.n, held + r.m
+    found = sorted((r.s, r.n) for r in counts.where(F.col("n") >= least).collect()) if held else []
+    return np.array([s for s, _ in found], np.int64), np.array([c for _, c in found], np.int64)
+
+
+def untied_pairs(rows: DataFrame, tied: DataFrame, n: int, similarity: float) -> DataFrame:
+    """(a, b): all pairs of texts that can have the similarity and are not ``tied`` (node, label) to each other."""
+    held = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, n))
+
+    def make():
+        def block(texts):
+            found = [long_hashes(t) for t in texts]
+            return [[prefix(h, similarity, *held.value).tolist() for h in found], [len(h) for h in found]]
+
+        return block
+
+    fields = [StructField("p", ArrayType(LongType())), StructField("n", IntegerType())]
+    found = add_columns(rows, fields, make, ["x"]).groupBy("x").agg(F.first("p").alias("p"), F.first("n").alias("n"))
+    found = settle(found.withColumn("id", F.xxhash64("x")), "prefixes")
+    flat = found.select(F.explode("p").alias("s"), "id").repartition("s").sortWithinPartitions("s")
+    shared = settle(flat.mapInArrow(only_shared, "s long, id long"), "shared")
+    labels = found.select("id", "x", "n").join(tied, F.col("x") == F.col("node"), "left").select("id", "x", "n", F.coalesce("label", "x").alias("g"))
+    shared = settle(shared.join(labels, "id").select("s", "g", "x", "n"), "shared-labels")
+    # first which groups meet: the many members of a group are not held against each other
+    cells = settle(shared.groupBy("s", "g").agg(F.min("n").alias("low"), F.max("n").alias("high")), "cells")
+    a, b = (cells.select("s", *(F.col(c).alias(c + t) for c in ("g", "low", "high"))) for t in "ab")
+    near = (F.col("higha") >= similarity * F.col("lowb") - 1e-9) & (F.col("highb") >= similarity * F.col("lowa") - 1e-9)
+    meet = a.join(b, "s").where((F.col("ga") < F.col("gb")) & near).select("s", "ga", "gb")
+    a, b = (shared.select("s", F.col("g").alias("g" + t), F.col("x").alias(t), F.col("n").alias("n" + t)) for t in "ab")
+    sizes = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9
+    both = meet.join(a, ["s", "ga"]).join(b, ["s", "gb"]).where(sizes).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
+    # what lies behind the first ones of a text can add no more than that
+    rest = F.ceil(similarity * F.greatest("na", "nb") - 1e-9) - 1
+    return settle(both.where(F.col("c") + rest >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b"), "untied")
+
+
+def alike(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose shingles have the similarity."""
+    needed = settle(pairs.select(F.col("a").alias("x")).union(pairs.select("b")).distinct().join(nodes.select("x", "least"), "x"), "needed")
+    sought = F.broadcast(needed) if needed.count() <= SMALL else needed
+    asked = rows.withColumnRenamed("x", "y").join(sought, F.col("k").eqNullSafe(F.col("least")) & (F.col("y") == F.col("x"))).select("x", "text")
+    fields = [StructField("s", ArrayType(IntegerType()))]
+    shingles = settle(add_columns(asked, fields, lambda: lambda texts: [[shingle_hashes(t) for t in texts]], ["x"]).dropDuplicates(["x"]), "shingles")
+    left, right = shingles.select(F.col("x").alias("a"), F.col("s").alias("sa")), shingles.select(F.col("x").alias("b"), F.col("s").alias("sb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n"))
+    return settle(both.where(F.col("n") >= similarity * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b"), "near-links")
 
 
 def codes(f):
@@ -106,16 +221,13 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     middle = settle(middle.where("n > 1").select("g", F.col("c.x").alias("b"), F.col("c.f").alias("fb")), "middle")
     pairs = members.join(middle, "g").where("x <> b").select(F.col("x").alias("a"), "b", bits_apart(F.col("f"), F.col("fb")).alias("d")).where(F.col("d") <= MAX_BITS)
     pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    # their shingles
-    needed = settle(pairs.select(F.col("a").alias("x")).union(pairs.select("b")).distinct().join(nodes.select("x", "least"), "x"), "needed")
-    asked = rows.withColumnRenamed("x", "y").join(needed, F.col("k").eqNullSafe(F.col("least")) & (F.col("y") == F.col("x"))).select("x", "text").dropDuplicates(["x"])
-    fields = [StructField("s", ArrayType(IntegerType()))]
-    shingles = settle(add_columns(asked, fields, lambda: lambda texts: [[shingle_hashes(t) for t in texts]], ["x"]), "shingles")
-    left, right = shingles.select(F.col("x").alias("a"), F.col("s").alias("sa")), shingles.select(F.col("x").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n"))
-    links = settle(both.where(F.col("n") >= similarity * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b"), "near-links")
-    # the smallest key of each group
+    links = alike(pairs, rows, nodes, similarity)
     found = settle(components(links), "components")
+    # all that these did not tie
+    more = alike(untied_pairs(rows, found, nodes.count(), similarity), rows, nodes, similarity)
+    if not more.isEmpty():
+        found = settle(components(links.union(more)), "components")
+    # the smallest key of each group
     tied = settle(found.join(nodes.select("x", "least"), found["node"] == nodes["x"]).select("x", "label", "least"), "tied")
     lowest = settle(tied.groupBy("label").agg(F.min(F.struct(F.col("least").isNull(), "least", "x")).alias("m")), "lowest")
     losers = tied.join(lowest, "label").where("x <> m.x").select("x")

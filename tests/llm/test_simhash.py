@@ -164,3 +164,38 @@ def test_copies_among_odd_rows(edge, nothing):
     assert blank == [0]
     assert {t for _, t in rows if t and t.strip(" \t\n\x0b\x0c\r")} == {r.text for r in edge.where(F.trim("text") != "").collect()} - {"   \n\t "}
     assert near_copies.drop_near_copies(nothing).collect() == []
+
+
+def kept_by_hand(texts):
+    """The smallest number of each group of texts that share 0.8 of their shingles."""
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            n = len(a & sets[j])
+            if n >= 0.8 * (len(a) + len(sets[j]) - n):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return [i for i in range(len(texts)) if find(i) == i]
+
+
+def test_copies_that_are_only_alike_to_a_common_base(spark):
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(3000)}" for _ in range(300)]
+    texts = [" ".join(base)]
+    for v in range(200):
+        words = list(base)
+        for i in rng.sample(range(5, 295), 5):
+            words[i] = f"new{v}x{i}"
+        texts.append(" ".join(words))
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = kept_by_hand(texts)
+    assert len(want) < 20
+    assert sorted(r.doc_id for r in near_copies.drop_near_copies(docs).collect()) == want
