@@ -24,10 +24,9 @@ MIN_WORDS = 10  # fewer words fail
 MAX_REPEATED = 20  # per cent of words inside repeated windows
 WINDOW = 5
 COMMON = 40  # words in a reference
-MIN_SHARE = 100  # a reference language holds at least 1 / MIN_SHARE of all words: so there are at most so many
 CLASS_CHARS, CLASS_LIMIT = 200, 0.3  # guard and largest distance of the character classes
 WORD_WORDS, WORD_LIMIT = 100, 0.4  # the same for common words
-PRUNE = 200_000
+PRUNE = 200_000  # different words that a task counts before it hands them on
 CLASSES = ("lower", "upper", "letter", "digit", "space", "mark", "symbol", "control")
 
 # Characters that count as symbols.
@@ -96,15 +95,25 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def language_references(docs: DataFrame, lang: str = "lang", text: str = "text") -> dict:
-    """{"classes": languages x CLASSES, "words": [{word: share}]} of languages that hold a hundredth of all words.
+    """{"classes": languages x CLASSES, "words": [{word: share}]} of all languages that have words.
 
     All documents with a language count.  Each task sums its own documents and
-    hands on one row per language and class and its heavy words, so a busy
-    language is summed before anything moves.
+    hands on one row per language and class and one per word, so a busy
+    language is summed before anything moves; words that do not fit into memory
+    go on before the others.
     """
 
     def count(batches):
-        classes, words, lost = {}, {}, Counter()
+        classes, words, totals, held = {}, {}, Counter(), 0
+
+        def made(rows):
+            columns = list(zip(*rows)) or [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()))],
+                                              names=["lang", "kind", "word", "n"])
+
+        def seen():
+            return made([(k, len(CLASSES) + 1, w.decode(), n) for k, mine in words.items() for w, n in mine.items()])
+
         for batch in batches:
             langs = batch.column(0)
             for start, part in blocks(batch.column(1)):
@@ -112,38 +121,33 @@ def language_references(docs: DataFrame, lang: str = "lang", text: str = "text")
                     if k is None or not t:
                         continue
                     classes[k] = classes.get(k, 0) + class_counts(t)
-                    held = words.setdefault(k, Counter())
-                    held.update(t.lower().split())
-                    held[b""] = 0
-                    if len(held) > PRUNE:
-                        lost[k] += 1
-                        words[k] = Counter({w: n for w, n in held.items() if n > lost[k]})
-                        words[k][None] = held[None] + sum(n for n in held.values() if n <= lost[k])
-        rows = [(k, i, "", int(n)) for k, c in classes.items() for i, n in enumerate(c)]
-        for k, held in words.items():
-            total = sum(held.values())
-            rows.append((k, len(CLASSES), "", total))
-            rows += [(k, len(CLASSES) + 1, w.decode(), n) for w, n in held.items() if w and n * 1000 >= total]
-        columns = list(zip(*rows)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()))],
-                                         names=["lang", "kind", "word", "n"])
+                    mine, found = words.setdefault(k, Counter()), t.lower().split()
+                    held -= len(mine)
+                    mine.update(found)
+                    held += len(mine)
+                    totals[k] += len(found)
+                    if held > PRUNE:
+                        yield seen()
+                        words, held = {}, 0
+        yield seen()
+        yield made([(k, i, "", int(n)) for k, c in classes.items() for i, n in enumerate(c)] + [(k, len(CLASSES), "", n) for k, n in totals.items()])
 
     found = (docs.select(F.col(lang).cast("string"), F.col(text).cast("string")).mapInArrow(count, "lang string, kind int, word string, n long")
              .groupBy("lang", "kind", "word").agg(F.sum("n").alias("n")))
     found = settle(found, "quality-references")
     sizes = found.where(F.col("kind") == len(CLASSES)).select("lang", F.col("n").alias("total"))
-    all_words = sizes.agg(F.sum("total")).first()[0] or 0
-    big = {r.lang: r.total for r in sizes.where(F.col("total") * MIN_SHARE >= all_words).collect() if r.total}
+    big = {r.lang: r.total for r in sizes.collect() if r.total}
     if not big:
         return {"langs": [], "classes": np.zeros((0, len(CLASSES))), "words": []}
-    place = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "word"))
-    best = (found.where(F.col("lang").isin(list(big))).withColumn("place", place)
-            .where((F.col("kind") < len(CLASSES)) | ((F.col("kind") > len(CLASSES)) & (F.col("place") <= COMMON))).collect())
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    common = found.where(F.col("kind") > len(CLASSES)).withColumn("place", place).where(F.col("place") <= COMMON).drop("place")
+    best = [r for r in found.where(F.col("kind") < len(CLASSES)).union(common).collect() if r.lang in big]
     langs = sorted(big)
+    row = {k: i for i, k in enumerate(langs)}
     classes = np.zeros((len(langs), len(CLASSES)))
     words: list[dict] = [{} for _ in langs]
     for r in best:
-        i = langs.index(r.lang)
+        i = row[r.lang]
         if r.kind < len(CLASSES):
             classes[i, r.kind] = r.n
         else:

@@ -73,3 +73,21 @@ def test_verdicts(spark, corpus, edge, nothing):
     none = quality.language_references(nothing)
     assert none["langs"] == [] and quality.judge_quality(nothing, none, ["doc_id"]).collect() == []
     assert all(r.kept != r.base_failed for r in quality.judge_quality(edge, none, ["doc_id"]).collect())
+
+
+def test_rare_languages_have_references(spark):
+    rng = random.Random(8)
+    words = {"en": [f"{a}{b}" for a in "river stone house light".split() for b in "abcdefgh"], "ar": "بيت نهر حجر ضوء كتاب باب شمس قمر ليل نهار".split()}
+    text = lambda lang: " ".join(rng.choice(words[lang]) + str(rng.randint(0, 9)) * (rng.random() < 0.1) for _ in range(150))
+    rows = [(i, text("ar" if i < 4 else "en"), "ar" if i < 4 else "en") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    references = quality.language_references(docs)
+    assert references["langs"] == ["ar", "en"]
+    assert quality.keep_good(docs, references).count() == 600
+
+
+def test_words_that_do_not_fit_go_on(spark, corpus, monkeypatch):
+    want = quality.language_references(corpus)
+    monkeypatch.setattr(quality, "PRUNE", 10)
+    got = quality.language_references(corpus)
+    assert got["langs"] == want["langs"] and got["words"] == want["words"]
