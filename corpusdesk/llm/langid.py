@@ -15,18 +15,18 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from corpusdesk.llm.common import add_columns, blocks, documents, held_out, settle, worker_store
 
-TRAIN_ROWS = 20_000  # about so many rows, chosen by a hash of the id, teach the model
-GRAMS = 60_000  # trigrams in the model
-RARE_LANG = 1_000  # a language needs one in so many of the rows that teach
+LANG_ROWS = 5_000  # about so many rows of each language, chosen by a hash of the id, teach the model; all of a smaller one
+GRAMS, LANG_GRAMS = 60_000, 3_000  # trigrams in the model: each language gives its share of GRAMS, at least LANG_GRAMS
 SWITCH = 12.0
 OTHER_SCRIPT = -60.0
 ALPHA = 0.5
-WORDS = 300_000  # words whose scores a worker keeps
+WORDS = 300_000  # words whose scores a worker keeps, fewer beyond 30 languages
+CELLS = 30_000_000  # words times languages that are looked at in one go
 UNKNOWN = "und"
 
 # First code point of ranges of scripts; "" holds what is none of these.
@@ -63,20 +63,19 @@ def trigrams(word: str) -> list[str]:
 
 def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id") -> dict:
     """The model of rows with a language; counts are summed in each task before they move."""
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    n = known.count()
-    share = min(1.0, TRAIN_ROWS / max(1, n))
-    some = known.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else known
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.pmod(F.xxhash64(key), F.lit(1 << 30)).alias("h"))
+    sizes = settle(known.groupBy("lang").agg(F.count(F.lit(1)).alias("size")), "language-sizes")
+    some = known.join(F.broadcast(sizes), "lang").where(F.col("h") * F.col("size") < F.lit(LANG_ROWS << 30))
 
     def count(batches):
-        words, rows = {}, Counter()
+        words = {}
         for batch in batches:
             langs = batch.column(0)
             for start, part in blocks(batch.column(1)):
                 for k, t in zip(langs.slice(start, len(part)).to_pylist(), part):
                     words.setdefault(k, Counter()).update(t.translate(TO_WORDS).split())
-                    rows[k] += 1
-        out = [(k, "row", "", n) for k, n in rows.items()]
+        out = []
         for k, held in words.items():
             grams, scripts = Counter(), Counter()
             for w, n in held.items():
@@ -89,23 +88,27 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
         columns = list(zip(*out)) or [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(),) * 3 + (pa.int64(),))], names=["lang", "kind", "item", "n"])
 
-    counts = settle(some.select(F.col(lang).cast("string"), F.col(text).cast("string"))
+    counts = settle(some.select("lang", "text")
                     .mapInArrow(count, "lang string, kind string, item string, n long")
                     .groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "language-counts")
-    rows = counts.where("kind = 'row'")
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    langs = sorted(r.lang for r in rows.where(F.col("n") * RARE_LANG >= total).collect())
-    mine = counts.where(F.col("lang").isin(langs)) if langs else counts.limit(0)
-    best = mine.where("kind = 'gram'").groupBy("item").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "item").limit(GRAMS)
+    mine = counts.where("kind = 'gram'")
+    langs = sorted(r.lang for r in mine.select("lang").distinct().collect())
+    each = max(LANG_GRAMS, GRAMS // max(1, len(langs)))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "item"))
+    best = mine.withColumn("rank", rank).where(F.col("rank") <= each).select("item").distinct()
+    found = mine.join(best, "item", "left_semi").collect()
     place = {k: i for i, k in enumerate(langs)}
     grams: dict[str, int] = {}
-    table = np.zeros((GRAMS + 1, len(langs)))
-    for r in mine.where("kind = 'gram'").join(best, "item", "left_semi").collect():
-        table[grams.setdefault(r["item"], len(grams)), place[r.lang]] = r.n
-    table = table[:len(grams) + 1]  # the last row is that of unknown trigrams
-    logs = np.log((table + ALPHA) / (table.sum(0) + ALPHA * len(table)))
+    for r in found:
+        grams.setdefault(r["item"], len(grams))
+    table = np.zeros((len(grams) + 1, len(langs)))  # the last row is that of unknown trigrams
+    for r in found:
+        table[grams[r["item"]], place[r.lang]] = r.n
+    totals = np.maximum(1, table.sum(0))
+    floor = ALPHA / totals.max(initial=1)  # the same for all: a trigram that no language knows must not speak for a small one
+    logs = np.log((table / totals + floor) / (1 + floor * len(table)))
     scripts: dict[str, np.ndarray] = {}
-    for r in mine.where("kind = 'script'").collect():
+    for r in counts.where("kind = 'script'").collect():
         scripts.setdefault(r["item"], np.zeros(len(langs)))[place[r.lang]] = r.n
     per_lang = sum(scripts.values()) if scripts else np.ones(len(langs))
     masks = {s: np.where(n >= 0.01 * per_lang, 0.0, OTHER_SCRIPT) for s, n in scripts.items() if (n >= 0.01 * per_lang).any()}
@@ -160,7 +163,7 @@ class Labeller:
         self.letters = np.zeros(1024, np.int32)
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.index) + len(words) > WORDS:
+        if len(self.index) + len(words) > WORDS * min(1, 30 / max(1, len(self.langs))):
             self.forget()
         new = [w for w in words if w not in self.index]
         first = len(self.index)
@@ -193,6 +196,9 @@ class Labeller:
     def rows(self, texts: list[bytes | None]) -> list[list]:
         """[language, score, number of spans, spans as (language, first word, words)] of each text."""
         words = [(t or b"").translate(TO_WORDS).split() for t in texts]
+        if len(texts) > 1 and sum(map(len, words)) * len(self.langs) > CELLS:
+            half = len(texts) // 2
+            return [a + b for a, b in zip(self.rows(texts[:half]), self.rows(texts[half:]))]
         self.learn(set().union(*words))
         sizes = [len(w) for w in words]
         ids = np.fromiter((i for w in words for i in map(self.index.__getitem__, w)), np.int64, sum(sizes))

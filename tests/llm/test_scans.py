@@ -175,3 +175,23 @@ def test_next_characters_add_up_to_one():
 def test_thresholds_lie_in_the_middle_of_the_gap():
     assert urlfilter.threshold(np.array([0.0, 0.2, 0.4, 0.5]), np.array([False, False, True, True])) == pytest.approx(0.3)
     assert urlfilter.threshold(np.array([1.0, 2.0]), np.array([True, True])) == 0.0
+
+
+def test_rare_languages_are_learnt(spark):
+    rng = random.Random(9)
+    rare = "ilma vesi kivi talo yksi puu lumi metsä".split()
+    rows = [(i, prose(rng, EN, 8), "en") for i in range(4000)] + [(4000 + i, prose(rng, rare, 8), "fi") for i in range(3)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    assert model["langs"] == ["en", "fi"]
+    asked = [(1, prose(rng, rare, 10)), (2, prose(rng, EN, 10)), (3, "zzz qqq xxx " + prose(rng, EN, 6))]
+    got = {r.doc_id: r.lang_pred for r in langid.label_languages(spark.createDataFrame(asked, "doc_id long, text string"), model, ["doc_id"]).collect()}
+    assert got == {1: "fi", 2: "en", 3: "en"}
+
+
+def test_trigrams_are_chosen_per_language(spark, monkeypatch):
+    monkeypatch.setattr(langid, "GRAMS", 40)
+    if hasattr(langid, "LANG_GRAMS"):
+        monkeypatch.setattr(langid, "LANG_GRAMS", 20)
+    rows = [(i, " ".join(EN), "en") for i in range(200)] + [(200 + i, "ilma vesi kivi", "fi") for i in range(5)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    assert {"ilm", "ves", "kiv"} <= set(model["grams"])
