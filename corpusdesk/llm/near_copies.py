@@ -31,7 +31,7 @@ from corpusdesk.llm.simhash import components, group_points, near_links
 
 TABLES, TABLE_BITS, RADIUS = 12, 48, 2
 LONGS = TABLES * TABLE_BITS // 64
-MAX_BITS = TABLES * TABLE_BITS * 0.14  # pairs that differ in more bits of all tables are far from the similarity
+MAX_BITS = TABLES * TABLE_BITS * 0.14  # pairs of a group that differ in more bits of all tables are left to the exact join
 SHINGLE, SIMILARITY = 5, 0.8
 WORDS = 300_000  # words whose hashes a worker keeps
 SAMPLE, SAMPLE_SHARE = 4_000, 100  # so many texts, or one in so many if that is more, tell which shingles are common

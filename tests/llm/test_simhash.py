@@ -199,3 +199,17 @@ def test_copies_that_are_only_alike_to_a_common_base(spark):
     want = kept_by_hand(texts)
     assert len(want) < 20
     assert sorted(r.doc_id for r in near_copies.drop_near_copies(docs).collect()) == want
+
+
+def test_copies_with_another_block(spark):
+    rng = random.Random(22)
+    texts = []
+    for i in range(60):
+        words = [f"w{min(int(rng.paretovariate(0.7)), 5000)}" for _ in range(rng.randint(100, 400))]
+        more = [f"w{min(int(rng.paretovariate(0.7)), 5000)}" for _ in range(len(words) // 6)]
+        cut = len(words) - len(words) // 6
+        texts += [" ".join(words), " ".join((words + more, words[:cut], words[:cut] + more[:len(words) // 20])[i % 3])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = kept_by_hand(texts)
+    assert len(want) <= 80
+    assert sorted(r.doc_id for r in near_copies.drop_near_copies(docs).collect()) == want
