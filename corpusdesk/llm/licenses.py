@@ -8,6 +8,8 @@ One automaton finds the seeds of all notices in a text; around each hit the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -84,10 +86,18 @@ class Scanner:
         found = []
         for notice, parts in windows.items():
             for a, b in parts:
-                for m in self.patterns[notice].finditer(line, a, min(b, len(line))):
+                for m in self.matches(notice, line, a, min(b, len(line))):
                     found.append((notice, *m.span(), sum(m.fuzzy_counts)))
         return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 
+    def matches(self, notice: str, line: str, a: int, b: int) -> Iterator:
+        """All matches from ``a`` to ``b``; the pattern finds the best one first, whatever stands before it."""
+        least = len(notice) - len(notice) // EDITED
+        while b - a >= least and (m := self.patterns[notice].search(line, a, b)):
+            yield from self.matches(notice, line, a, m.start())
+            yield m
+            a = m.end()
+
     def row(self, text: bytes | None) -> tuple:
         words = (text or b"").translate(TO_WORDS).split()
         padded = b" " + b" ".join(words) + b" "

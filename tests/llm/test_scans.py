@@ -195,3 +195,8 @@ def test_trigrams_are_chosen_per_language(spark, monkeypatch):
     rows = [(i, " ".join(EN), "en") for i in range(200)] + [(200 + i, "ilma vesi kivi", "fi") for i in range(5)]
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
     assert {"ilm", "ves", "kiv"} <= set(model["grams"])
+
+
+def test_a_damaged_notice_before_an_exact_one_has_its_span():
+    spans = licenses.Scanner().row(b"released undr the mit license released under the mit license released under teh mit license")[-1]
+    assert [s[1] for s in spans if s[0] == "mit" and s[2] - s[1] >= 4] == [0, 5, 10]
