@@ -1,5 +1,6 @@
 """The queries of this subpackage and the SQL that checks them."""
 
+from corpusdesk.llm.alignment import op13_token_alignment
 from corpusdesk.llm.langid import op6_language_id
 from corpusdesk.llm.licenses import op5_license_scan
 from corpusdesk.llm.merkle import OP9_SQL, op9_document_fingerprints
@@ -13,5 +14,6 @@ from corpusdesk.llm.urlfilter import op7_url_filter
 
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_token_counts, op3_quality_rules, op4_simhash_dedup, op5_license_scan,
-    op6_language_id, op7_url_filter, op8_source_mixing, op9_document_fingerprints, op10_toxicity)}
+    op6_language_id, op7_url_filter, op8_source_mixing, op9_document_fingerprints, op10_toxicity,
+    op13_token_alignment)}
 ORACLES = {"op8_source_mixing": OP8_SQL, "op9_document_fingerprints": OP9_SQL}
