@@ -42,6 +42,18 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more; what lies outside the shared root stays."""
+    for df in tables:
+        spark = df.sparkSession
+        folders = {f.rpartition("/")[0] for f in df.inputFiles()}
+        for folder in folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            root = spark._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
+            if path.toUri().getPath().startswith(root.toUri().getPath().rstrip("/") + "/"):
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fits(df: DataFrame, max_rows: int) -> bool:
     """Does the frame have at most ``max_rows`` rows?  Reads no more than that."""
     return df.limit(max_rows + 1).count() <= max_rows
