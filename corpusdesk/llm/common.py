@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructField, StructType
 
-from corpusdesk.sources.workdir import settle
+from corpusdesk.sources.workdir import discard, settle
 
 #: Rows and bytes of text that Python code looks at in one go.
 BLOCK_ROWS, BLOCK_BYTES = 512, 4 << 20
@@ -108,4 +108,4 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % parts == part
 
 
-__all__ = ["BLOCK_BYTES", "BLOCK_ROWS", "add_columns", "blocks", "documents", "held_out", "keep_rows", "settle", "without", "worker_store"]
+__all__ = ["BLOCK_BYTES", "BLOCK_ROWS", "add_columns", "blocks", "discard", "documents", "held_out", "keep_rows", "settle", "without", "worker_store"]

@@ -13,7 +13,11 @@ That ties most copies cheaply but promises nothing, so an exact join follows for
 texts that are not tied to each other yet.  Two texts of the similarity share a
 shingle among the first fifth of both, in any order of shingles that is the same
 for all texts (prefix filter); common shingles come last in it, so few texts meet
-without reason.  Pairs that share enough of those are compared as well.
+without reason.  The texts of a shingle are held against each other inside a task: their
+lengths, the place of the shingle and a bit map of all shingles bound what two of them
+can have in common.  A task hands on one row per text, the group that it may belong to, and
+never pairs.  The groups of all shingles make clusters, in which the full sets of shingles
+are compared; only links that join two groups leave the task.
 """
 
 from __future__ import annotations
@@ -22,12 +26,13 @@ import math
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField
 
-from corpusdesk.llm.common import add_columns, settle, worker_store
-from corpusdesk.llm.simhash import components, group_points, near_links
+from corpusdesk.llm.common import add_columns, discard, settle, worker_store
+from corpusdesk.llm.simhash import Forest, components, group_points, near_links
 
 TABLES, TABLE_BITS, RADIUS = 12, 48, 2
 LONGS = TABLES * TABLE_BITS // 64
@@ -37,6 +42,9 @@ WORDS = 300_000  # words whose hashes a worker keeps
 SAMPLE, SAMPLE_SHARE = 4_000, 100  # so many texts, or one in so many if that is more, tell which shingles are common
 COMMON_IN, COMMON = 8, 200_000  # common: in so many texts of the sample; so many are told apart at most.  Only the order depends on it
 SMALL = 100_000  # rows of ids that may be broadcast
+MAP_BITS = 1_024  # bits of the map of a text's shingles
+FULL, SIDE = 8_192, 512  # texts of a shingle that one group compares; texts of a block inside it
+SET_TEXTS, SET_SHINGLES = 2_048, 1 << 20  # texts, or their shingles, whose sets one group compares
 
 
 class WordHashes(dict):
@@ -138,35 +146,195 @@ def common_shingles(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([s for s, _ in found], np.int64), np.array([c for _, c in found], np.int64)
 
 
-def untied_pairs(rows: DataFrame, tied: DataFrame, n: int, similarity: float) -> DataFrame:
-    """(a, b): all pairs of texts that can have the similarity and are not ``tied`` (node, label) to each other."""
+def bit_map(hashes: np.ndarray) -> list[int]:
+    """For each of MAP_BITS whether an odd number of shingles falls on it: two maps differ in no more bits than the sets in shingles."""
+    odd = np.bincount(hashes.view(np.uint64).astype(np.int64) & (MAP_BITS - 1), minlength=MAP_BITS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64).tolist()
+
+
+def may_be_alike(n, rest, maps, m, rest_m, maps_m, similarity: float) -> np.ndarray:
+    """Can texts (one per row, against one per column) have the similarity?
+
+    ``n`` is the number of shingles and ``rest`` how many of them stand from the common one on.
+    That one is held to be the first one that the two share: if it is not, they pass where the first one is.
+    """
+    total = (n[:, None] + m[None, :]).astype(np.float64)
+    shared = similarity / (1 + similarity) * total - 1e-9
+    found = np.minimum(rest[:, None], rest_m[None, :]) >= shared
+    rows, cols = np.nonzero(found)
+    for i in range(0, len(rows), 1 << 16):
+        r, c = rows[i:i + (1 << 16)], cols[i:i + (1 << 16)]
+        apart = np.bitwise_count(maps[r] ^ maps_m[c]).sum(axis=1, dtype=np.int64)
+        found[r, c] = total[r, c] - apart >= 2 * shared[r, c]
+    return found
+
+
+def meet_by_shingle(group, n, rest, maps, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that may be alike to a row of another group, the first row of the groups that may be one) of one shingle's rows."""
+    names, group = np.unique(group, return_inverse=True)
+    order = np.argsort(n, kind="stable")
+    n, rest, maps, sorted_group = n[order], rest[order], maps[order], group[order]
+    forest, met = Forest(len(names)), np.zeros(len(n), bool)
+    for i in range(0, len(n), SIDE):
+        a = slice(i, min(i + SIDE, len(n)))
+        for j in range(i, len(n), SIDE):
+            b = slice(j, min(j + SIDE, len(n)))
+            if n[a][-1] < similarity * n[j] - 1e-9:
+                break
+            needed = similarity / (1 + similarity) * (n[i] + n[j]) - 1e-9
+            if min(rest[a].max(), rest[b].max()) < needed:
+                continue
+            found = may_be_alike(n[a], rest[a], maps[a], n[b], rest[b], maps[b], similarity)
+            found &= sorted_group[a][:, None] != sorted_group[b][None, :]
+            rows, cols = np.nonzero(found)
+            met[i + rows] = met[j + cols] = True
+            forest.unite(sorted_group[i + rows], sorted_group[j + cols])
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    first = np.full(len(names), len(n))
+    np.minimum.at(first, group, np.arange(len(n)))
+    return met[back], first[forest.find(group)]
+
+
+def cut_full(rows: DataFrame, key: str, weight, full: int, by: str) -> DataFrame:
+    """``rows`` with (one, other): all pairs of rows of a ``key`` meet in a group; a key with more than ``full`` is cut into parts by the hash of ``by``."""
+    sizes = rows.groupBy(key).agg(weight.alias("size")).where(F.col("size") > full)
+    parts = settle(sizes.select(key, F.ceil(2 * F.col("size") / full).cast("int").alias("k")), "full")
+    rows = rows.join(parts, key, "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(by), F.col("k")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    return rows.withColumns({"one": F.least("part", "q"), "other": F.greatest("part", "q")}).drop("k", "part", "q")
+
+
+def candidates(shared: DataFrame, similarity: float) -> DataFrame:
+    """(x, g, r): texts that may be alike to one of another group, with a group that theirs may be one with.
+
+    ``shared`` has (s, x, g, n, rest, map) for each shingle ``s`` at the beginning of text x of group g.
+    """
+    names = ["s", "one", "other", "x", "g", "n", "rest", "map"]
+
+    def run(batches):
+        held = None
+
+        def groups(table, last):
+            """Rows up to the last key, which may go on in the next batch."""
+            keys = np.stack([table.column(c).to_numpy() for c in names[:3]])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            stop = table.num_rows if last else int(cuts[-1]) if len(cuts) else 0
+            return [0, *(int(c) for c in cuts if c < stop), *([stop] if stop else [])], stop
+
+        def solve(table, cuts):
+            x, g = table.column("x").combine_chunks(), table.column("g").combine_chunks()
+            number = np.unique(np.array(g.to_pylist(), object), return_inverse=True)[1]
+            n, rest = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "rest"))
+            maps = table.column("map").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, MAP_BITS // 64)
+            out_x, out_r = [], []
+            for i, j in zip(cuts, cuts[1:]):
+                if number[i:j].min() == number[i:j].max():
+                    continue
+                met, first = meet_by_shingle(number[i:j], n[i:j], rest[i:j], maps[i:j], similarity)
+                rows = np.flatnonzero(met)
+                out_x.append(i + rows)
+                out_r.append(i + first[rows])
+            if out_x:
+                at = pa.array(np.concatenate(out_x))
+                yield pa.RecordBatch.from_arrays([x.take(at), g.take(at), g.take(pa.array(np.concatenate(out_r)))], names=["x", "g", "r"])
+
+        for batch in batches:
+            held = pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks() if held is not None else pa.Table.from_batches([batch])
+            cuts, stop = groups(held, False)
+            if stop:
+                yield from solve(held.slice(0, stop).combine_chunks(), cuts)
+                held = held.slice(stop)
+        if held is not None and held.num_rows:
+            cuts, _ = groups(held, True)
+            yield from solve(held.combine_chunks(), cuts)
+
+    dealt = cut_full(shared, "s", F.count(F.lit(1)), FULL, "x").select(*names)
+    dealt = dealt.repartition("s", "one", "other").sortWithinPartitions("s", "one", "other")
+    return dealt.mapInArrow(run, "x binary, g binary, r binary").distinct()
+
+
+def links_inside(group: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of the similarity that join different groups, as few as it takes."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    order = np.argsort(sizes, kind="stable")
+    flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)[1]
+    n = sizes[order]
+    start = np.cumsum(n) - n
+    names, group = np.unique(group[order], return_inverse=True)
+    forest, mark, out = Forest(len(names)), np.zeros(int(flat.max()) + 1, bool), []
+    for i in range(len(n) - 1):
+        stop = int(np.searchsorted(n, n[i] / similarity + 1e-6, side="right"))
+        if stop <= i + 1:
+            continue
+        root = forest.find(group)
+        others = np.flatnonzero(root[i + 1:stop] != root[i]) + i + 1
+        if not len(others):
+            continue
+        mine = flat[start[i]:start[i] + n[i]]
+        mark[mine] = True
+        if len(others) * 2 > stop - i - 1:  # most of the run: it is read as it stands
+            both = np.add.reduceat(mark[flat[start[i + 1]:start[stop - 1] + n[stop - 1]]], start[i + 1:stop] - start[i + 1], dtype=np.int64)[others - i - 1]
+        else:
+            both = np.array([np.count_nonzero(mark[flat[start[j]:start[j] + n[j]]]) for j in others], np.int64)
+        mark[mine] = False
+        alike = others[both >= similarity * (n[i] + n[others] - both) - 1e-9]
+        _, first = np.unique(root[alike], return_index=True)
+        for j in alike[first]:
+            out.append((int(order[i]), int(order[j])))
+        forest.unite(np.full(len(alike), group[i]), group[alike])
+    return out
+
+
+def untied_links(rows: DataFrame, nodes: DataFrame, tied: DataFrame, n: int, similarity: float) -> DataFrame:
+    """(a, b): links that join texts which are not ``tied`` (node, label) to each other, so that nothing of the similarity stays apart."""
     held = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, n))
 
     def make():
         def block(texts):
             found = [long_hashes(t) for t in texts]
-            return [[prefix(h, similarity, *held.value).tolist() for h in found], [len(h) for h in found]]
+            return [[prefix(h, similarity, *held.value).tolist() for h in found], [len(h) for h in found], [bit_map(h) for h in found]]
 
         return block
 
-    fields = [StructField("p", ArrayType(LongType())), StructField("n", IntegerType())]
-    found = add_columns(rows, fields, make, ["x"]).groupBy("x").agg(F.first("p").alias("p"), F.first("n").alias("n"))
+    fields = [StructField("p", ArrayType(LongType())), StructField("n", IntegerType()), StructField("map", ArrayType(LongType()))]
+    found = add_columns(rows, fields, make, ["x"]).groupBy("x").agg(*(F.first(c).alias(c) for c in ("p", "n", "map")))
     found = settle(found.withColumn("id", F.xxhash64("x")), "prefixes")
-    flat = found.select(F.explode("p").alias("s"), "id").repartition("s").sortWithinPartitions("s")
-    shared = settle(flat.mapInArrow(only_shared, "s long, id long"), "shared")
-    labels = found.select("id", "x", "n").join(tied, F.col("x") == F.col("node"), "left").select("id", "x", "n", F.coalesce("label", "x").alias("g"))
-    shared = settle(shared.join(labels, "id").select("s", "g", "x", "n"), "shared-labels")
-    # first which groups meet: the many members of a group are not held against each other
-    cells = settle(shared.groupBy("s", "g").agg(F.min("n").alias("low"), F.max("n").alias("high")), "cells")
-    a, b = (cells.select("s", *(F.col(c).alias(c + t) for c in ("g", "low", "high"))) for t in "ab")
-    near = (F.col("higha") >= similarity * F.col("lowb") - 1e-9) & (F.col("highb") >= similarity * F.col("lowa") - 1e-9)
-    meet = a.join(b, "s").where((F.col("ga") < F.col("gb")) & near).select("s", "ga", "gb")
-    a, b = (shared.select("s", F.col("g").alias("g" + t), F.col("x").alias(t), F.col("n").alias("n" + t)) for t in "ab")
-    sizes = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9
-    both = meet.join(a, ["s", "ga"]).join(b, ["s", "gb"]).where(sizes).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
-    # what lies behind the first ones of a text can add no more than that
-    rest = F.ceil(similarity * F.greatest("na", "nb") - 1e-9) - 1
-    return settle(both.where(F.col("c") + rest >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b"), "untied")
+    flat = found.select(F.posexplode("p").alias("pos", "s"), "id").select("s", "id", "pos").repartition("s").sortWithinPartitions("s")
+    shared = settle(flat.mapInArrow(only_shared, "s long, id long, pos int"), "shared")
+    labels = found.select("id", "x", "n", "map").join(tied, F.col("x") == F.col("node"), "left").select("id", "x", "n", "map", F.coalesce("label", "x").alias("g"))
+    told = settle(shared.join(labels, "id").select("s", "x", "g", "n", (F.col("n") - F.col("pos")).alias("rest"), "map"), "shared-labels")
+    discard(found, shared)
+    may = settle(candidates(told, similarity), "candidates")
+    discard(told)
+    clusters = settle(components(may.select(F.col("g").alias("a"), F.col("r").alias("b"))), "clusters")
+    members = settle(may.select("x", "g").distinct().join(clusters, F.col("g") == F.col("node")).select("x", "g", F.col("label").alias("c")), "members")
+    sets = settle(shingle_sets(members, rows, nodes), "sets")
+    dealt = cut_full(sets, "c", F.greatest(F.count(F.lit(1)) * (SET_SHINGLES // SET_TEXTS), F.sum(F.size("s"))), SET_SHINGLES, "x")
+    # small clusters share a task's group
+    many = max(1, (sets.agg(F.sum(F.size("s") + F.lit(SET_SHINGLES // SET_TEXTS))).first()[0] or 0) // SET_SHINGLES)
+    dealt = dealt.withColumn("bucket", F.when(F.col("other") == 0, F.pmod(F.xxhash64("c"), F.lit(many))).otherwise(F.xxhash64("c", "one", "other")))
+
+    def verify(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, cluster in part.groupby(["c", "one", "other"], sort=False):
+            x, s = cluster["x"].tolist(), [np.asarray(v, np.int64) for v in cluster["s"]]
+            number = np.unique(np.array(cluster["g"].tolist(), object), return_inverse=True)[1]
+            out += [(x[i], x[j]) for i, j in links_inside(number, s, similarity)]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    links = settle(dealt.groupBy("bucket").applyInPandas(verify, "a binary, b binary"), "untied")
+    discard(may, clusters, members, sets)
+    return links
+
+
+def shingle_sets(members: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``members`` (x and more) with ``s``, the hashes of the distinct shingles."""
+    needed = settle(members.join(nodes.select("x", "least"), "x"), "needed")
+    sought = F.broadcast(needed) if needed.count() <= SMALL else needed
+    asked = rows.withColumnRenamed("x", "y").join(sought, F.col("k").eqNullSafe(F.col("least")) & (F.col("y") == F.col("x"))).select(*members.columns, "text")
+    fields = [StructField("s", ArrayType(LongType()))]
+    return add_columns(asked, fields, lambda: lambda texts: [[long_hashes(t).tolist() for t in texts]], members.columns).dropDuplicates(["x"])
 
 
 def alike(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -207,8 +375,8 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     in key and text one stays.  A null text counts as empty; texts without words are
     copies of each other; a null key is the largest.  An empty table stays empty.
     """
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(key).alias("k"), body.alias("text")).withColumn("x", F.unhex(F.md5("text")))
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    rows = docs.select(F.col(f"`{key}`").alias("k"), body.alias("text")).withColumn("x", F.unhex(F.md5("text")))
     prints = settle(add_columns(rows, [StructField("f", ArrayType(LongType()))], lambda: lambda texts: [[wide_print(t) for t in texts]], ["k", "x"]), "prints")
     nodes = settle(prints.groupBy("x").agg(F.min("k").alias("least"), F.first("f").alias("f")), "nodes")
     # members of each table's groups
@@ -223,8 +391,9 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     links = alike(pairs, rows, nodes, similarity)
     found = settle(components(links), "components")
+    discard(points, labels, members, middle, pairs)
     # all that these did not tie
-    more = alike(untied_pairs(rows, found, nodes.count(), similarity), rows, nodes, similarity)
+    more = untied_links(rows, nodes, found, nodes.count(), similarity)
     if not more.isEmpty():
         found = settle(components(links.union(more)), "components")
     # the smallest key of each group
@@ -232,12 +401,14 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     lowest = settle(tied.groupBy("label").agg(F.min(F.struct(F.col("least").isNull(), "least", "x")).alias("m")), "lowest")
     losers = tied.join(lowest, "label").where("x <> m.x").select("x")
     keepers = settle(nodes.select(F.col("x").alias("__kx"), F.col("least").alias("__kk")).join(losers, F.col("__kx") == F.col("x"), "left_anti"), "keepers")
-    kept = F.col(f"`{key}`").eqNullSafe(F.col("__kk")) & (F.unhex(F.md5(body)) == F.col("__kx"))
-    held = docs.join(keepers, kept)
-    repeated = settle(prints.groupBy(F.col("k").alias("__rk"), F.col("x").alias("__rx")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"), "repeated")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # under names of its own, so that no column of docs can clash
+    whole = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("doc")
+    held = docs.select(F.col(f"`{key}`").alias("k"), F.unhex(F.md5(body)).alias("x"), whole)
+    held = held.join(keepers, F.col("k").eqNullSafe(F.col("__kk")) & (F.col("x") == F.col("__kx"))).select("k", "x", "doc")
+    repeated = settle(prints.groupBy(F.col("k").alias("__rk"), F.col("x").alias("__rx")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
+    columns = [F.col(f"doc.c{i}").alias(c) for i, c in enumerate(docs.columns)]
     if repeated.isEmpty():
         return held.select(*columns)
-    again = F.col("__kk").eqNullSafe(F.col("__rk")) & (F.col("__kx") == F.col("__rx"))
-    once = held.join(repeated, again, "left_semi").groupBy("__kk", "__kx").agg(F.first(F.struct(*columns)).alias("__r")).select("__r.*")
-    return held.join(repeated, again, "left_anti").select(*columns).unionByName(once)
+    again = F.col("k").eqNullSafe(F.col("__rk")) & (F.col("x") == F.col("__rx"))
+    once = held.join(repeated, again, "left_semi").groupBy("k", "x").agg(F.first("doc").alias("doc"))
+    return held.join(repeated, again, "left_anti").select("doc").unionByName(once.select("doc")).select(*columns)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField
 
-from corpusdesk.llm.common import add_columns, documents, settle
+from corpusdesk.llm.common import add_columns, discard, documents, settle
 
 SHINGLE, SEED, BITS, RADIUS = 3, 42, 64, 2
 SHARD = 2_000  # points a shard should hold before its borders are added
@@ -235,11 +235,12 @@ def components(edges: DataFrame) -> DataFrame:
     before, now = None, mark(e)
     while now[0] and now != before:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = settle(both.where("v > u").join(settle(least, "least"), "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        least = settle(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        large = settle(both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "large")
         lowest = settle(large.groupBy("a").agg(F.min("b").alias("m")), "lowest")
         small = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lowest.select("a", "m"))
-        e = tidy(small)
+        done, e = e, tidy(small)
+        discard(done, least, large, lowest)
         before, now = now, mark(e)
     return e.select(F.col("a").alias("node"), F.col("b").alias("label")).union(e.select("b", "b").distinct())
 

@@ -213,3 +213,88 @@ def test_copies_with_another_block(spark):
     want = kept_by_hand(texts)
     assert len(want) <= 80
     assert sorted(r.doc_id for r in near_copies.drop_near_copies(docs).collect()) == want
+
+
+def alike_by_hand(sets, similarity=0.8):
+    return {(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])}
+
+
+def some_sets(seed, families, members, size):
+    rng = random.Random(seed)
+    out = []
+    for _ in range(families):
+        base = [rng.getrandbits(60) for _ in range(rng.randint(1, size))]
+        for _ in range(members):
+            out.append(set(base[rng.randint(0, len(base) // 8):]) | {rng.getrandbits(60) for _ in range(rng.randint(0, max(1, len(base) // 6)))})
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_bounds_let_every_pair_through_where_it_first_meets(seed):
+    sets = some_sets(seed, 12, 9, 60)
+    arrays = [np.sort(np.array(list(s), np.int64)) for s in sets]
+    none = np.zeros(0, np.int64)
+    first = [near_copies.prefix(a, 0.8, none, none).tolist() for a in arrays]
+    maps = np.array([near_copies.bit_map(a) for a in arrays], np.int64).view(np.uint64)
+    n = np.array([len(a) for a in arrays])
+    for i, j in alike_by_hand(sets):
+        s = min(set(first[i]) & set(first[j]))
+        rest = [n[k] - first[k].index(s) for k in (i, j)]
+        assert near_copies.may_be_alike(n[[i]], np.array(rest[:1]), maps[[i]], n[[j]], np.array(rest[1:]), maps[[j]], 0.8).all()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_links_inside_a_cluster(seed):
+    sets = some_sets(seed + 10, 10, 12, 40)
+    groups_before = [i // 3 if i % 12 < 6 else 1000 + i for i in range(len(sets))]
+    found = near_copies.links_inside(np.array(groups_before), [np.array(sorted(s), np.int64) for s in sets], 0.8)
+    pairs = alike_by_hand(sets)
+    assert all((max(p), min(p)) in pairs for p in found) and len(found) < len(sets)
+
+    def classes(links):
+        root = list(groups_before)
+        for a, b in links:
+            x, y = root[a], root[b]
+            root = [min(x, y) if r in (x, y) else r for r in root]
+        return [root.index(r) for r in root]
+
+    assert classes(found) == classes(pairs)
+
+
+def test_one_line_in_many_short_texts_gives_no_pairs(spark, monkeypatch):
+    """Twice the texts that share a line or a base: about twice the rows at every step, and the same rows kept as by brute force."""
+    rng = random.Random(5)
+    line = "this very line stands in all of these short texts as it does"
+    monkeypatch.setattr(near_copies, "FULL", 100)
+    monkeypatch.setattr(near_copies, "SET_SHINGLES", 1 << 14)
+    monkeypatch.setattr(near_copies, "SET_TEXTS", 64)
+    base = [f"b{i}" for i in range(120)]
+    texts = [f"{line} {' '.join(f'w{rng.randrange(10 ** 6)}' for _ in range(rng.randint(1, 30)))}" for _ in range(1200)]
+    for v in range(300):
+        words = list(base)
+        for i in rng.sample(range(5, 115), rng.randint(1, 3)):
+            words[i] = f"new{v}x{i}"
+        texts.append(" ".join(words))
+    counts = {}
+    settle = near_copies.settle
+
+    def counted(df, name):
+        out = settle(df, name)
+        counts[size].setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "settle", counted)
+    for size in (750, 1500):
+        counts[size] = {}
+        part = texts[::1500 // size]
+        docs = spark.createDataFrame(list(enumerate(part)), "doc_id long, text string").repartition(4)
+        kept = sorted(r.doc_id for r in near_copies.drop_near_copies(docs).collect())
+        assert kept == kept_by_hand(part)
+    for name, rows in counts[1500].items():
+        assert sum(rows) <= max(3_000, 3 * sum(counts[750].get(name, [0]))), (name, rows, counts[750].get(name))
+
+
+def test_columns_called_like_ours(spark):
+    rows = [(1, "a b c d e f g", 1, 2, "x"), (2, "a b c d e f g", 3, 4, "y"), (2, "a b c d e f g", 5, 6, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __kx long, __n long, doc string")
+    assert near_copies.drop_near_copies(docs).collect() == docs.where("doc_id = 1").collect()
