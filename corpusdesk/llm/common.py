@@ -103,9 +103,21 @@ def keep_rows(df: DataFrame, make: Callable[[], Callable[[list[bytes | None]], l
     return df.mapInArrow(run, schema)
 
 
+def file_order(docs: DataFrame) -> list[Column] | None:
+    """The order in which the rows of a written table stand in its files; None if ``docs`` is not read from files."""
+    from pyspark.errors import AnalysisException
+
+    order = [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+    try:
+        docs.select(*order)
+    except AnalysisException:
+        return None
+    return order
+
+
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
     """Is crc32 of the id as text, modulo ``parts``, equal to ``part``?  A null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % parts == part
 
 
-__all__ = ["BLOCK_BYTES", "BLOCK_ROWS", "add_columns", "blocks", "discard", "documents", "held_out", "keep_rows", "settle", "without", "worker_store"]
+__all__ = ["BLOCK_BYTES", "BLOCK_ROWS", "add_columns", "blocks", "discard", "documents", "file_order", "held_out", "keep_rows", "settle", "without", "worker_store"]

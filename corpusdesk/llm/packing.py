@@ -20,7 +20,7 @@ import zlib
 from collections import deque
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusdesk.llm.common import blocks, documents, worker_store
@@ -209,17 +209,22 @@ class Packer:
         return out
 
 
-def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, order: list[Column] | None = None) -> DataFrame:
     """(key, start, length, ids_crc32, doc_tokens, sequence_id, offset), one row per piece.
 
     ``vocabulary`` is the path of the tokenizer file on all machines.  Documents
-    are taken in the order of ``key`` (null first, ties by text).  A null or empty
+    are taken in the ``order`` given, else in that of ``key`` (null first, ties by a hash
+    of the text, so that equal keys are spread, and by the text).  A null or empty
     text is one piece that holds END alone; repeated rows are packed each; a text
     longer than a window lies in several pieces; an empty table gives no rows.
     """
     kind = docs.schema[key].dataType
     schema = StructType([StructField(key, kind)] + [StructField(n, LongType()) for n in PIECE])
-    ordered = docs.select(F.col(key), F.col(text).cast("string").alias("__text")).repartitionByRange(F.col(key)).sortWithinPartitions(key, "__text")
+    body = F.col(text).cast("string")
+    order = [F.col(key), F.xxhash64(body), body] if order is None else order
+    names = [f"__order{i}" for i in range(min(2, len(order)))]  # a range needs no whole texts
+    rows = docs.select(F.col(key), body.alias("__text"), *(o.alias(n) for o, n in zip(order, names)))
+    ordered = rows.repartitionByRange(*names).sortWithinPartitions(*names, "__text").select(key, "__text")
 
     def run(batches):
         import pyarrow as pa

@@ -24,7 +24,7 @@ def test_queries(spark, name):
 
 def test_one_query_per_operator():
     names = [n.split("_")[0] for n in registry.QUERIES]
-    assert sorted(names) == sorted(f"op{i}" for i in range(1, 11)) and "pipeline" in entry_points.queries()
+    assert sorted(names) == sorted(f"op{i}" for i in range(1, 14)) and "pipeline" in entry_points.queries()
 
 
 def test_stages(spark):

@@ -127,3 +127,15 @@ def test_little_padding(corpus):
     rows = packing.pack(corpus.coalesce(1), WORDS, length=512).collect()
     total = sum(r.length for r in rows)
     assert len({r.sequence_id for r in rows}) <= -(-total // 512) + 1
+
+
+def test_order_of_a_written_table(spark, edge, tmp_path):
+    """Pieces follow the rows of the files, equal keys or not; without files the key tells the order."""
+    from corpusdesk.llm.common import file_order
+
+    edge.coalesce(1).orderBy("text").write.parquet(str(tmp_path / "t"))
+    written = spark.read.parquet(str(tmp_path / "t"))
+    assert file_order(edge) is None and file_order(written)
+    rows = packing.pack(written, WORDS, order=file_order(written)).orderBy("sequence_id", "offset").collect()
+    heads = [r.doc_id for r in rows if r.start == 0]
+    assert heads == [r.doc_id for r in written.collect()]
