@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusdesk.llm import mixing, packing, quality, toxicity
-from corpusdesk.llm.common import documents, settle
+from corpusdesk.llm.common import discard, documents, file_order, settle
 from corpusdesk.llm.near_copies import drop_near_copies
 
 
@@ -35,10 +35,10 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in fixed windows."""
+    """The pieces of all documents in fixed windows, in the order in which the mix was written."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), order=file_order(docs))
 
 
 STAGES = [("quality_rules", quality_rules), ("toxicity", toxicity_filter), ("near_dedup", near_dedup),
@@ -49,7 +49,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, done = documents(spark, sf_dir), []
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), name)
+        discard(*done)
+        done = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
