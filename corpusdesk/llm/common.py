@@ -14,7 +14,7 @@ from pyspark.sql.types import StructField, StructType
 from corpusdesk.sources.workdir import discard, settle
 
 #: Rows and bytes of text that Python code looks at in one go.
-BLOCK_ROWS, BLOCK_BYTES = 512, 4 << 20
+BLOCK_ROWS, BLOCK_BYTES = 512, 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:

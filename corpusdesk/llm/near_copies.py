@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -43,7 +44,8 @@ SAMPLE, SAMPLE_SHARE = 4_000, 100  # so many texts, or one in so many if that is
 COMMON_IN, COMMON = 8, 200_000  # common: in so many texts of the sample; so many are told apart at most.  Only the order depends on it
 SMALL = 100_000  # rows of ids that may be broadcast
 MAP_BITS = 1_024  # bits of the map of a text's shingles
-FULL, SIDE = 8_192, 512  # texts of a shingle that one group compares; texts of a block inside it
+FULL, SIDE, RUN = 8_192, 512, 32  # texts of a shingle that one group compares; of a block inside it; of a run that is compared with others at once
+ROW_BITS, PLACE_BITS = 24, 22  # of a text's number inside its partition; of a place in a text (later ones count as the last one)
 SET_TEXTS, SET_SHINGLES = 2_048, 1 << 20  # texts, or their shingles, whose sets one group compares
 
 
@@ -157,10 +159,13 @@ def may_be_alike(n, rest, maps, m, rest_m, maps_m, similarity: float) -> np.ndar
 
     ``n`` is the number of shingles and ``rest`` how many of them stand from the common one on.
     That one is held to be the first one that the two share: if it is not, they pass where the first one is.
+    Without ``maps`` only these numbers count.
     """
     total = (n[:, None] + m[None, :]).astype(np.float64)
     shared = similarity / (1 + similarity) * total - 1e-9
     found = np.minimum(rest[:, None], rest_m[None, :]) >= shared
+    if maps is None:
+        return found
     rows, cols = np.nonzero(found)
     for i in range(0, len(rows), 1 << 16):
         r, c = rows[i:i + (1 << 16)], cols[i:i + (1 << 16)]
@@ -169,12 +174,10 @@ def may_be_alike(n, rest, maps, m, rest_m, maps_m, similarity: float) -> np.ndar
     return found
 
 
-def meet_by_shingle(group, n, rest, maps, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that may be alike to a row of another group, the first row of the groups that may be one) of one shingle's rows."""
-    names, group = np.unique(group, return_inverse=True)
+def blocks_that_meet(group, n, rest, maps, similarity: float):
+    """Pairs (rows, other rows) of different groups that may be alike, block by block."""
     order = np.argsort(n, kind="stable")
-    n, rest, maps, sorted_group = n[order], rest[order], maps[order], group[order]
-    forest, met = Forest(len(names)), np.zeros(len(n), bool)
+    n, rest, group, maps = n[order], rest[order], group[order], maps if maps is None else maps[order]
     for i in range(0, len(n), SIDE):
         a = slice(i, min(i + SIDE, len(n)))
         for j in range(i, len(n), SIDE):
@@ -184,16 +187,55 @@ def meet_by_shingle(group, n, rest, maps, similarity: float) -> tuple[np.ndarray
             needed = similarity / (1 + similarity) * (n[i] + n[j]) - 1e-9
             if min(rest[a].max(), rest[b].max()) < needed:
                 continue
-            found = may_be_alike(n[a], rest[a], maps[a], n[b], rest[b], maps[b], similarity)
-            found &= sorted_group[a][:, None] != sorted_group[b][None, :]
-            rows, cols = np.nonzero(found)
-            met[i + rows] = met[j + cols] = True
-            forest.unite(sorted_group[i + rows], sorted_group[j + cols])
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
+            found = may_be_alike(n[a], rest[a], maps if maps is None else maps[a], n[b], rest[b], maps if maps is None else maps[b], similarity)
+            rows, cols = np.nonzero(found & (group[a][:, None] != group[b][None, :]))
+            yield order[i + rows], order[j + cols]
+
+
+def rows_that_meet(cuts: np.ndarray, group, n, rest, similarity: float) -> np.ndarray:
+    """Of the runs between ``cuts``, the rows that may be alike to a row of another group in their run, by numbers alone."""
+    met, sizes = np.zeros(len(n), bool), np.diff(cuts)
+    behind = np.repeat(cuts[1:], sizes) - np.arange(len(n))  # rows from here to the end of the run
+    small = np.repeat(sizes <= RUN, sizes)
+    for d in range(1, min(RUN, int(sizes.max(initial=0)))):
+        i = np.flatnonzero((behind > d) & small)
+        if not len(i):
+            break
+        found = (np.minimum(rest[i], rest[i + d]) >= similarity / (1 + similarity) * (n[i] + n[i + d]) - 1e-9) & (group[i] != group[i + d])
+        met[i[found]] = met[i[found] + d] = True
+    for k in np.flatnonzero(sizes > RUN):
+        run = slice(cuts[k], cuts[k + 1])
+        for rows, others in blocks_that_meet(group[run], n[run], rest[run], None, similarity):
+            met[cuts[k] + rows] = met[cuts[k] + others] = True
+    return met
+
+
+def meet_by_shingle(group, n, rest, maps, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that may be alike to a row of another group, the first row of the groups that may be one) of one shingle's rows."""
+    names, group = np.unique(group, return_inverse=True)
+    forest, met = Forest(len(names)), np.zeros(len(n), bool)
+    for rows, others in blocks_that_meet(group, n, rest, maps, similarity):
+        met[rows] = met[others] = True
+        forest.unite(group[rows], group[others])
     first = np.full(len(names), len(n))
     np.minimum.at(first, group, np.arange(len(n)))
-    return met[back], first[forest.find(group)]
+    return met, first[forest.find(group)]
+
+
+def whole_runs(batches, keys: list[str]):
+    """Tables of whole runs of rows with equal ``keys`` (longs), with the places where runs begin and end."""
+    held = None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        if held is None or not held.num_rows:
+            continue
+        k = np.stack([held.column(c).to_numpy() for c in keys])
+        cuts = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1
+        stop = held.num_rows if batch is None else int(cuts[-1]) if len(cuts) else 0
+        if stop:
+            yield held.slice(0, stop).combine_chunks(), np.concatenate(([0], cuts[cuts < stop], [stop]))
+            held = held.slice(stop)
 
 
 def cut_full(rows: DataFrame, key: str, weight, full: int, by: str) -> DataFrame:
@@ -205,52 +247,43 @@ def cut_full(rows: DataFrame, key: str, weight, full: int, by: str) -> DataFrame
     return rows.withColumns({"one": F.least("part", "q"), "other": F.greatest("part", "q")}).drop("k", "part", "q")
 
 
-def candidates(shared: DataFrame, similarity: float) -> DataFrame:
-    """(x, g, r): texts that may be alike to one of another group, with a group that theirs may be one with.
-
-    ``shared`` has (s, x, g, n, rest, map) for each shingle ``s`` at the beginning of text x of group g.
-    """
-    names = ["s", "one", "other", "x", "g", "n", "rest", "map"]
+def meeting(shared: DataFrame, similarity: float) -> DataFrame:
+    """(s, one, other, number, n, rest): rows of ``shared`` (s, number, group, n, rest) that may be alike to a row of another group with their shingle."""
+    names = ["s", "one", "other", "number", "n", "rest"]
 
     def run(batches):
-        held = None
+        for table, cuts in whole_runs(batches, names[:3]):
+            group, n, rest = (table.column(c).to_numpy().astype(np.int64) for c in ("group", "n", "rest"))
+            met = rows_that_meet(cuts, group, n, rest, similarity)
+            if met.any():
+                yield from table.select(names).filter(pa.array(met)).to_batches()
+
+    dealt = cut_full(shared, "s", F.count(F.lit(1)), FULL, "number").select(*names, "group")
+    dealt = dealt.repartition("s", "one", "other").sortWithinPartitions("s", "one", "other")
+    return dealt.mapInArrow(run, "s long, one int, other int, number long, n int, rest int")
+
 
-        def groups(table, last):
-            """Rows up to the last key, which may go on in the next batch."""
-            keys = np.stack([table.column(c).to_numpy() for c in names[:3]])
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            stop = table.num_rows if last else int(cuts[-1]) if len(cuts) else 0
-            return [0, *(int(c) for c in cuts if c < stop), *([stop] if stop else [])], stop
+def candidates(met: DataFrame, similarity: float) -> DataFrame:
+    """(x, g, r): texts that may be alike to one of another group, with a group that theirs may be one with.
 
-        def solve(table, cuts):
+    ``met`` has (s, one, other, x, g, n, rest, map): text x of group g and the map of its shingles.
+    """
+    def run(batches):
+        for table, cuts in whole_runs(batches, ["s", "one", "other"]):
             x, g = table.column("x").combine_chunks(), table.column("g").combine_chunks()
             number = np.unique(np.array(g.to_pylist(), object), return_inverse=True)[1]
             n, rest = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "rest"))
             maps = table.column("map").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, MAP_BITS // 64)
-            out_x, out_r = [], []
-            for i, j in zip(cuts, cuts[1:]):
-                if number[i:j].min() == number[i:j].max():
-                    continue
-                met, first = meet_by_shingle(number[i:j], n[i:j], rest[i:j], maps[i:j], similarity)
-                rows = np.flatnonzero(met)
-                out_x.append(i + rows)
-                out_r.append(i + first[rows])
-            if out_x:
-                at = pa.array(np.concatenate(out_x))
-                yield pa.RecordBatch.from_arrays([x.take(at), g.take(at), g.take(pa.array(np.concatenate(out_r)))], names=["x", "g", "r"])
-
-        for batch in batches:
-            held = pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks() if held is not None else pa.Table.from_batches([batch])
-            cuts, stop = groups(held, False)
-            if stop:
-                yield from solve(held.slice(0, stop).combine_chunks(), cuts)
-                held = held.slice(stop)
-        if held is not None and held.num_rows:
-            cuts, _ = groups(held, True)
-            yield from solve(held.combine_chunks(), cuts)
-
-    dealt = cut_full(shared, "s", F.count(F.lit(1)), FULL, "x").select(*names)
-    dealt = dealt.repartition("s", "one", "other").sortWithinPartitions("s", "one", "other")
+            here, there = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, j in zip(cuts.tolist(), cuts[1:].tolist()):
+                found, first = meet_by_shingle(number[i:j], n[i:j], rest[i:j], maps[i:j], similarity)
+                rows = np.flatnonzero(found)
+                here.append(i + rows)
+                there.append(i + first[rows])
+            at = pa.array(np.concatenate(here))
+            yield pa.RecordBatch.from_arrays([x.take(at), g.take(at), g.take(pa.array(np.concatenate(there)))], names=["x", "g", "r"])
+
+    dealt = met.repartition("s", "one", "other").sortWithinPartitions("s", "one", "other")
     return dealt.mapInArrow(run, "x binary, g binary, r binary").distinct()
 
 
@@ -299,14 +332,23 @@ def untied_links(rows: DataFrame, nodes: DataFrame, tied: DataFrame, n: int, sim
 
     fields = [StructField("p", ArrayType(LongType())), StructField("n", IntegerType()), StructField("map", ArrayType(LongType()))]
     found = add_columns(rows, fields, make, ["x"]).groupBy("x").agg(*(F.first(c).alias(c) for c in ("p", "n", "map")))
-    found = settle(found.withColumn("id", F.xxhash64("x")), "prefixes")
-    flat = found.select(F.posexplode("p").alias("pos", "s"), "id").select("s", "id", "pos").repartition("s").sortWithinPartitions("s")
-    shared = settle(flat.mapInArrow(only_shared, "s long, id long, pos int"), "shared")
-    labels = found.select("id", "x", "n", "map").join(tied, F.col("x") == F.col("node"), "left").select("id", "x", "n", "map", F.coalesce("label", "x").alias("g"))
-    told = settle(shared.join(labels, "id").select("s", "x", "g", "n", (F.col("n") - F.col("pos")).alias("rest"), "map"), "shared-labels")
-    discard(found, shared)
-    may = settle(candidates(told, similarity), "candidates")
-    discard(told)
+    found = settle(found.withColumn("id", F.monotonically_increasing_id()), "prefixes")  # the written numbers stay
+    # a text's number and a place in it in one long: most rows of the next step are dropped at once
+    row = F.col("id").bitwiseAND((1 << 33) - 1)
+    number = F.shiftleft(F.shiftright("id", 33), ROW_BITS) + row
+    if (found.agg(F.max(row)).first()[0] or 0) >> ROW_BITS:
+        raise ValueError("more texts in one partition than can be numbered: use more partitions")
+    flat = found.select(F.posexplode("p").alias("pos", "s"), number.alias("number"))
+    flat = flat.select("s", (F.shiftleft("number", PLACE_BITS) + F.least("pos", F.lit((1 << PLACE_BITS) - 1))).alias("at")).repartition("s").sortWithinPartitions("s")
+    shared = settle(flat.mapInArrow(only_shared, "s long, at long"), "shared")
+    labels = found.select(number.alias("number"), "x", "n", "map").join(tied, F.col("x") == F.col("node"), "left").select("number", "x", "n", "map", F.coalesce("label", "x").alias("g"))
+    place = F.col("at").bitwiseAND((1 << PLACE_BITS) - 1)
+    told = shared.withColumn("number", F.shiftright("at", PLACE_BITS)).join(labels.select("number", "n", F.xxhash64("g").alias("group")), "number")
+    told = settle(told.select("s", "number", "group", "n", (F.col("n") - place).cast("int").alias("rest")), "told")
+    met = settle(meeting(told, similarity), "met")
+    met = met.join(labels.select("number", "x", "g", "map"), "number")
+    may = settle(candidates(met, similarity), "candidates")
+    discard(found, shared, told)
     clusters = settle(components(may.select(F.col("g").alias("a"), F.col("r").alias("b"))), "clusters")
     members = settle(may.select("x", "g").distinct().join(clusters, F.col("g") == F.col("node")).select("x", "g", F.col("label").alias("c")), "members")
     sets = settle(shingle_sets(members, rows, nodes), "sets")

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -112,7 +113,9 @@ def language_references(docs: DataFrame, lang: str = "lang", text: str = "text")
                                               names=["lang", "kind", "word", "n"])
 
         def seen():
-            return made([(k, len(CLASSES) + 1, w.decode(), n) for k, mine in words.items() for w, n in mine.items()])
+            rows = ((k, len(CLASSES) + 1, w.decode(), n) for k, mine in words.items() for w, n in mine.items())
+            while part := list(islice(rows, 16_384)):
+                yield made(part)
 
         for batch in batches:
             langs = batch.column(0)
@@ -127,9 +130,9 @@ def language_references(docs: DataFrame, lang: str = "lang", text: str = "text")
                     held += len(mine)
                     totals[k] += len(found)
                     if held > PRUNE:
-                        yield seen()
+                        yield from seen()
                         words, held = {}, 0
-        yield seen()
+        yield from seen()
         yield made([(k, i, "", int(n)) for k, c in classes.items() for i, n in enumerate(c)] + [(k, len(CLASSES), "", n) for k, n in totals.items()])
 
     found = (docs.select(F.col(lang).cast("string"), F.col(text).cast("string")).mapInArrow(count, "lang string, kind int, word string, n long")

@@ -28,7 +28,7 @@ CALIBRATES = 5  # one in so many rows calibrates instead
 CLEAN_WEIGHT = 3.0  # a clean text that is called toxic weighs so many toxic ones that are missed
 MIN_TOXIC = 15  # a language needs so many toxic rows for a threshold of its own
 COMMON = 150  # words that tell a language
-WORDS = 200_000  # words that a worker keeps
+WORDS = 120_000  # words that a worker keeps
 
 #: ASCII other than digits and letters becomes a blank; A-Z become a-z.
 TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
