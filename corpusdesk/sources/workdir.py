@@ -6,6 +6,7 @@ master may fall back to a temporary folder of this machine.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,7 +44,10 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete settled tables that nothing reads any more; what lies outside the shared root stays."""
+    """Delete settled tables that nothing reads any more; what lies outside the shared root stays.
+
+    Shuffle files are freed as well: Spark deletes those of plans that the driver no longer holds.
+    """
     for df in tables:
         spark = df.sparkSession
         folders = {f.rpartition("/")[0] for f in df.inputFiles()}
@@ -52,6 +56,9 @@ def discard(*tables: DataFrame) -> None:
             root = spark._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
             if path.toUri().getPath().startswith(root.toUri().getPath().rstrip("/") + "/"):
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:
