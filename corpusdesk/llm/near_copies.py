@@ -35,7 +35,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField
 from corpusdesk.llm.common import add_columns, discard, settle, worker_store
 from corpusdesk.llm.simhash import Forest, components, group_points, near_links
 
-TABLES, TABLE_BITS, RADIUS = 12, 48, 2
+TABLES, TABLE_BITS, RADIUS = 4, 48, 2
 LONGS = TABLES * TABLE_BITS // 64
 MAX_BITS = TABLES * TABLE_BITS * 0.14  # pairs of a group that differ in more bits of all tables are left to the exact join
 SHINGLE, SIMILARITY = 5, 0.8
@@ -345,10 +345,11 @@ def untied_links(rows: DataFrame, nodes: DataFrame, tied: DataFrame, n: int, sim
     place = F.col("at").bitwiseAND((1 << PLACE_BITS) - 1)
     told = shared.withColumn("number", F.shiftright("at", PLACE_BITS)).join(labels.select("number", "n", F.xxhash64("g").alias("group")), "number")
     told = settle(told.select("s", "number", "group", "n", (F.col("n") - place).cast("int").alias("rest")), "told")
+    discard(shared)
     met = settle(meeting(told, similarity), "met")
-    met = met.join(labels.select("number", "x", "g", "map"), "number")
-    may = settle(candidates(met, similarity), "candidates")
-    discard(found, shared, told)
+    discard(told)
+    may = settle(candidates(met.join(labels.select("number", "x", "g", "map"), "number"), similarity), "candidates")
+    discard(found, met)
     clusters = settle(components(may.select(F.col("g").alias("a"), F.col("r").alias("b"))), "clusters")
     members = settle(may.select("x", "g").distinct().join(clusters, F.col("g") == F.col("node")).select("x", "g", F.col("label").alias("c")), "members")
     sets = settle(shingle_sets(members, rows, nodes), "sets")
@@ -421,19 +422,24 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     rows = docs.select(F.col(f"`{key}`").alias("k"), body.alias("text")).withColumn("x", F.unhex(F.md5("text")))
     prints = settle(add_columns(rows, [StructField("f", ArrayType(LongType()))], lambda: lambda texts: [[wide_print(t) for t in texts]], ["k", "x"]), "prints")
     nodes = settle(prints.groupBy("x").agg(F.min("k").alias("least"), F.first("f").alias("f")), "nodes")
+    repeated = settle(prints.groupBy(F.col("k").alias("__rk"), F.col("x").alias("__rx")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
+    discard(prints)
     # members of each table's groups
     cut = nodes.select("x", "f", F.explode(F.array(*codes(F.col("f")))).alias("fp"))
     points = settle(cut.select("fp").distinct(), "points")
-    labels = settle(group_points(near_links(points, RADIUS, TABLE_BITS)), "labels")
+    near = near_links(points, RADIUS, TABLE_BITS)
+    labels = settle(group_points(near), "labels")
     members = settle(cut.join(labels, "fp", "left").select("x", "f", F.coalesce("label", "fp").alias("g")), "members")
+    discard(points, near, labels)
     # one member of each group, another one in every table
     middle = members.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("g", "x").alias("h"), "x", "f")).alias("c"))
     middle = settle(middle.where("n > 1").select("g", F.col("c.x").alias("b"), F.col("c.f").alias("fb")), "middle")
     pairs = members.join(middle, "g").where("x <> b").select(F.col("x").alias("a"), "b", bits_apart(F.col("f"), F.col("fb")).alias("d")).where(F.col("d") <= MAX_BITS)
     pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    discard(members, middle)
     links = alike(pairs, rows, nodes, similarity)
     found = settle(components(links), "components")
-    discard(points, labels, members, middle, pairs)
+    discard(pairs)
     # all that these did not tie
     more = untied_links(rows, nodes, found, nodes.count(), similarity)
     if not more.isEmpty():
@@ -447,7 +453,6 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     whole = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("doc")
     held = docs.select(F.col(f"`{key}`").alias("k"), F.unhex(F.md5(body)).alias("x"), whole)
     held = held.join(keepers, F.col("k").eqNullSafe(F.col("__kk")) & (F.col("x") == F.col("__kx"))).select("k", "x", "doc")
-    repeated = settle(prints.groupBy(F.col("k").alias("__rk"), F.col("x").alias("__rx")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
     columns = [F.col(f"doc.c{i}").alias(c) for i, c in enumerate(docs.columns)]
     if repeated.isEmpty():
         return held.select(*columns)

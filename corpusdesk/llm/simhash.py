@@ -198,7 +198,9 @@ def near_links(points: DataFrame, radius: int = RADIUS, bits: int = BITS) -> Dat
         return pd.DataFrame({"fp": fps[grouped].view(np.int64), "root": fps[root[grouped]].view(np.int64)})
 
     dealt = settle(points.select("fp").mapInArrow(deal, "shard long, fp long"), "dealt")
-    return meet(dealt).groupBy("shard", "one", "other").applyInPandas(inside, "fp long, root long")
+    found = settle(meet(dealt).groupBy("shard", "one", "other").applyInPandas(inside, "fp long, root long"), "links")
+    discard(dealt)
+    return found
 
 
 def meet(dealt: DataFrame) -> DataFrame:
@@ -241,13 +243,13 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lowest.select("a", "m"))
         done, e = e, tidy(small)
         discard(done, least, large, lowest)
+        del done, least, large, lowest, both, small
         before, now = now, mark(e)
     return e.select(F.col("a").alias("node"), F.col("b").alias("label")).union(e.select("b", "b").distinct())
 
 
 def group_points(links: DataFrame) -> DataFrame:
-    """(fp, label) of linked points from the (fp, root) rows of all shards."""
-    links = settle(links, "links")
+    """(fp, label) of linked points from the settled (fp, root) rows of all shards."""
     first = settle(links.groupBy("fp").agg(F.min("root").alias("m")), "first")
     met = links.join(first, "fp").where("root != m").select(F.col("root").alias("a"), F.col("m").alias("b"))
     found = settle(components(met), "components")
