@@ -46,6 +46,7 @@ SMALL = 100_000  # rows of ids that may be broadcast
 MAP_BITS = 1_024  # bits of the map of a text's shingles
 FULL, SIDE, RUN = 8_192, 512, 32  # texts of a shingle that one group compares; of a block inside it; of a run that is compared with others at once
 ROW_BITS, PLACE_BITS = 24, 22  # of a text's number inside its partition; of a place in a text (later ones count as the last one)
+WIDE_BITS, WIDE = 16_384, 4_096  # bits of the maps of texts in clusters; such texts that one group compares
 SET_TEXTS, SET_SHINGLES = 2_048, 1 << 20  # texts, or their shingles, whose sets one group compares
 
 
@@ -148,9 +149,9 @@ def common_shingles(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([s for s, _ in found], np.int64), np.array([c for _, c in found], np.int64)
 
 
-def bit_map(hashes: np.ndarray) -> list[int]:
-    """For each of MAP_BITS whether an odd number of shingles falls on it: two maps differ in no more bits than the sets in shingles."""
-    odd = np.bincount(hashes.view(np.uint64).astype(np.int64) & (MAP_BITS - 1), minlength=MAP_BITS) & 1
+def bit_map(hashes: np.ndarray, bits: int = MAP_BITS) -> list[int]:
+    """For each of ``bits`` whether an odd number of shingles falls on it: two maps differ in no more bits than the sets in shingles."""
+    odd = np.bincount(hashes.view(np.uint64).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(bool)).view(np.int64).tolist()
 
 
@@ -167,8 +168,9 @@ def may_be_alike(n, rest, maps, m, rest_m, maps_m, similarity: float) -> np.ndar
     if maps is None:
         return found
     rows, cols = np.nonzero(found)
-    for i in range(0, len(rows), 1 << 16):
-        r, c = rows[i:i + (1 << 16)], cols[i:i + (1 << 16)]
+    step = (1 << 20) // maps.shape[1]
+    for i in range(0, len(rows), step):
+        r, c = rows[i:i + step], cols[i:i + step]
         apart = np.bitwise_count(maps[r] ^ maps_m[c]).sum(axis=1, dtype=np.int64)
         found[r, c] = total[r, c] - apart >= 2 * shared[r, c]
     return found
@@ -273,7 +275,7 @@ def candidates(met: DataFrame, similarity: float) -> DataFrame:
             x, g = table.column("x").combine_chunks(), table.column("g").combine_chunks()
             number = np.unique(np.array(g.to_pylist(), object), return_inverse=True)[1]
             n, rest = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "rest"))
-            maps = table.column("map").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, MAP_BITS // 64)
+            maps = table.column("map").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)
             here, there = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, j in zip(cuts.tolist(), cuts[1:].tolist()):
                 found, first = meet_by_shingle(number[i:j], n[i:j], rest[i:j], maps[i:j], similarity)
@@ -350,9 +352,12 @@ def untied_links(rows: DataFrame, nodes: DataFrame, tied: DataFrame, n: int, sim
     discard(told)
     may = settle(candidates(met.join(labels.select("number", "x", "g", "map"), "number"), similarity), "candidates")
     discard(found, met)
-    clusters = settle(components(may.select(F.col("g").alias("a"), F.col("r").alias("b"))), "clusters")
-    members = settle(may.select("x", "g").distinct().join(clusters, F.col("g") == F.col("node")).select("x", "g", F.col("label").alias("c")), "members")
-    sets = settle(shingle_sets(members, rows, nodes), "sets")
+    # the same inside the clusters with wide maps, which tell long texts apart
+    wide = shingle_sets(clustered(may), rows, nodes, lambda h: bit_map(h, WIDE_BITS), "map")
+    wide = cut_full(settle(wide.withColumn("s", F.xxhash64("c")), "wide"), "s", F.count(F.lit(1)), WIDE, "x")
+    again = settle(candidates(wide.withColumn("rest", F.col("n")), similarity), "candidates")
+    discard(may)
+    sets = settle(shingle_sets(clustered(again), rows, nodes, lambda h: h.tolist(), "s"), "sets")
     dealt = cut_full(sets, "c", F.greatest(F.count(F.lit(1)) * (SET_SHINGLES // SET_TEXTS), F.sum(F.size("s"))), SET_SHINGLES, "x")
     # small clusters share a task's group
     many = max(1, (sets.agg(F.sum(F.size("s") + F.lit(SET_SHINGLES // SET_TEXTS))).first()[0] or 0) // SET_SHINGLES)
@@ -367,17 +372,28 @@ def untied_links(rows: DataFrame, nodes: DataFrame, tied: DataFrame, n: int, sim
         return pd.DataFrame(out, columns=["a", "b"])
 
     links = settle(dealt.groupBy("bucket").applyInPandas(verify, "a binary, b binary"), "untied")
-    discard(may, clusters, members, sets)
+    discard(again, sets)
     return links
 
 
-def shingle_sets(members: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``members`` (x and more) with ``s``, the hashes of the distinct shingles."""
+def clustered(may: DataFrame) -> DataFrame:
+    """(x, g, c): the texts of ``may`` (x, g, r) and the cluster that their group belongs to."""
+    clusters = settle(components(may.select(F.col("g").alias("a"), F.col("r").alias("b"))), "clusters")
+    return settle(may.select("x", "g").distinct().join(clusters, F.col("g") == F.col("node")).select("x", "g", F.col("label").alias("c")), "clustered")
+
+
+def shingle_sets(members: DataFrame, rows: DataFrame, nodes: DataFrame, make, name: str) -> DataFrame:
+    """``members`` (x and more) with n, the number of distinct shingles, and what ``make`` says of their hashes as ``name``."""
     needed = settle(members.join(nodes.select("x", "least"), "x"), "needed")
     sought = F.broadcast(needed) if needed.count() <= SMALL else needed
     asked = rows.withColumnRenamed("x", "y").join(sought, F.col("k").eqNullSafe(F.col("least")) & (F.col("y") == F.col("x"))).select(*members.columns, "text")
-    fields = [StructField("s", ArrayType(LongType()))]
-    return add_columns(asked, fields, lambda: lambda texts: [[long_hashes(t).tolist() for t in texts]], members.columns).dropDuplicates(["x"])
+
+    def block(texts):
+        found = [long_hashes(t) for t in texts]
+        return [[len(h) for h in found], [make(h) for h in found]]
+
+    fields = [StructField("n", IntegerType()), StructField(name, ArrayType(LongType()))]
+    return add_columns(asked, fields, lambda: block, members.columns).dropDuplicates(["x"])
 
 
 def alike(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
