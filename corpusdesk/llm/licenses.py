@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -86,10 +87,27 @@ class Scanner:
         found = []
         for notice, parts in windows.items():
             for a, b in parts:
-                for m in self.matches(notice, line, a, min(b, len(line))):
+                for m in self.stepped(notice, line, a, min(b, len(line))):
                     found.append((notice, *m.span(), sum(m.fuzzy_counts)))
         return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 
+    def stepped(self, notice: str, line: str, a: int, b: int) -> Iterator:
+        """The matches of a window of any length, found in pieces of bounded length.
+
+        A match that ends near the end of a piece is left to the next one, which begins
+        before all that such a match may hold.
+        """
+        k = len(notice) // EDITED
+        reach = len(notice) + 2 * k
+        while b - a > 4 * reach:
+            border, next_a = a + 3 * reach, a + 2 * reach
+            for m in self.matches(notice, line, a, a + 4 * reach):
+                if m.end() <= border:
+                    yield m
+                    next_a = max(next_a, m.end())
+            a = next_a
+        yield from self.matches(notice, line, a, b)
+
     def matches(self, notice: str, line: str, a: int, b: int) -> Iterator:
         """All matches from ``a`` to ``b``; the pattern finds the best one first, whatever stands before it."""
         least = len(notice) - len(notice) // EDITED
@@ -102,19 +120,23 @@ class Scanner:
         words = (text or b"").translate(TO_WORDS).split()
         padded = b" " + b" ".join(words) + b" "
         places, labels, score, spans = [], set(), 0.0, []
+        blanks = np.flatnonzero(np.frombuffer(padded, np.uint8) == 32)
         for phrase, label in PHRASES.items():
             sought = f" {phrase} ".encode()
             at = padded.find(sought)
             while at >= 0:
-                places.append(padded.count(b" ", 0, at))
+                places.append(int(np.searchsorted(blanks, at)))
                 labels.add(label)
                 at = padded.find(sought, at + 1)
         line = padded.decode()
+        if len(line) < len(padded):
+            blanks = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), "<u4") == 32)
+        before = lambda at: int(np.searchsorted(blanks, at))
         more = set()
         for notice, a, b, edits in self.spans(line):
             more.add(NOTICES[notice])
             score = max(score, 1 - edits / len(notice))
-            spans.append((NOTICES[notice], line.count(" ", 0, a + 1) - 1 if a else 0, max(0, line.count(" ", 0, b) - 1), edits))
+            spans.append((NOTICES[notice], before(a + 1) - 1 if a else 0, max(0, before(b) - 1), edits))
         return (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)),
                 ",".join(sorted(labels | more)), 1.0 if labels else score, spans)
 

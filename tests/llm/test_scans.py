@@ -200,3 +200,25 @@ def test_trigrams_are_chosen_per_language(spark, monkeypatch):
 def test_a_damaged_notice_before_an_exact_one_has_its_span():
     spans = licenses.Scanner().row(b"released undr the mit license released under the mit license released under teh mit license")[-1]
     assert [s[1] for s in spans if s[0] == "mit" and s[2] - s[1] >= 4] == [0, 5, 10]
+
+
+def test_license_spans_of_a_long_run_take_linear_time():
+    import random
+    import time
+
+    scanner = licenses.Scanner()
+    start = time.time()
+    row = scanner.row(b"released under teh mit license " * 33_000)
+    assert time.time() - start < 60
+    mit = [s for s in row[-1] if s[0] == "mit"]
+    assert len(mit) == 33_000 and mit[-1][2] == 5 * 33_000 - 1
+    # pieces find what one search of the whole window finds
+    rng = random.Random(3)
+    notices = ["released under the mit license", "relesed under the mit license", "released undr teh mit licence", "a gnu general public license", "x y z"]
+    for _ in range(30):
+        line = f" {' '.join(rng.choice(notices) for _ in range(25))} "
+        for notice in ("released under the mit license", "gnu general public license"):
+            whole = {m.span() for m in scanner.matches(notice, line, 0, len(line))}
+            pieces = [m.span() for m in scanner.stepped(notice, line, 0, len(line))]
+            assert len(pieces) == len(set(pieces)) and all(a[1] <= b[0] for a, b in zip(sorted(pieces), sorted(pieces)[1:]))
+            assert abs(len(whole) - len(pieces)) <= 1 and len(whole & set(pieces)) >= 0.9 * len(whole)
