@@ -1,5 +1,7 @@
 """License scans, languages and URL filters."""
 
+import collections
+import math
 import random
 import re
 
@@ -152,24 +154,104 @@ def test_models_tell_accepted_from_rejected(spark):
     assert len(out) == 60 and sum((r.verdict == "allow") == (r.page_id % 2 == 1) for r in out) >= 54
 
 
-def test_next_characters_add_up_to_one():
-    letters = [chr(i) for i in range(urlfilter.ALPHABET)]
-    start = "\x02" * urlfilter.ORDER
-    model = urlfilter.Markov({"a": 3, "b": 1, "ab": 1, "aa": 2, "aab": 1, start: 1})
+def markov(urls):
+    """Plain counts of all sequences of 1 to ORDER + 1 bytes that end in a URL or at its end."""
+    counts = collections.Counter()
+    for u in urls:
+        full = bytes([urlfilter.START]) * urlfilter.ORDER + u + bytes([urlfilter.END])
+        counts.update(full[i - k:i + 1] for i in range(urlfilter.ORDER, len(full)) for k in range(urlfilter.ORDER + 1))
+    return counts
+
 
-    def after(context, c):
+def log_by_hand(counts, u):
+    total, kinds = collections.Counter(), collections.Counter()
+    for g, n in counts.items():
+        total[g[:-1]] += n
+        kinds[g[:-1]] += 1
+    full = bytes([urlfilter.START]) * urlfilter.ORDER + u + bytes([urlfilter.END])
+    out = 0.0
+    for i in range(urlfilter.ORDER, len(full)):
         p = 1 / urlfilter.ALPHABET
         for k in range(urlfilter.ORDER + 1):
-            seen = context[len(context) - k:]
-            if not model.total.get(seen):
+            c = full[i - k:i]
+            if not total[c]:
                 break
-            p = (model.counts.get(seen + c, 0) + model.kinds[seen] * p) / (model.total[seen] + model.kinds[seen])
-        return p
+            p = (counts[c + full[i:i + 1]] + kinds[c] * p) / (total[c] + kinds[c])
+        out += math.log(p)
+    return out
+
+
+def packed(counts):
+    number = lambda g: int.from_bytes(g, "big") | len(g) << 48
+    return np.array([number(g) for g in counts], np.int64), np.array(list(counts.values()), np.int64)
+
+
+def test_next_characters_add_up_to_one():
+    model = urlfilter.Markov(*packed(markov([b"aab", b"aac", b"zb"])))
+    for start in (b"", b"a", b"aa", b"zb", b"qq"):
+        longer = model.log([start + bytes([c]) for c in range(254)])
+        last = [log_by_hand(markov([b"aab", b"aac", b"zb"]), start + bytes([c])) for c in range(254)]
+        assert np.allclose(longer, last)
+    assert model.log([b"aab"])[0] > model.log([b"qqq"])[0]
+    # The probabilities of what follows a context, summed over the alphabet.
+    counts = markov([b"aab", b"aac", b"zb"])
+    totals = lambda c: sum(n for g, n in counts.items() if g[:-1] == c)
+    for context in (b"a", b"aa", b"zb"):
+        ps = []
+        for x in range(urlfilter.ALPHABET):
+            p = 1 / urlfilter.ALPHABET
+            for k in range(len(context) + 1):
+                c = context[len(context) - k:]
+                if not totals(c):
+                    break
+                kinds = sum(g[:-1] == c for g in counts)
+                p = (counts[c + bytes([x])] + kinds * p) / (totals(c) + kinds)
+            ps.append(p)
+        assert sum(ps) == pytest.approx(1)
+
+
+def urls_of_two_kinds(n, seed=3):
+    rng = random.Random(seed)
+    good, bad = ("news", "wiki", "school", "library"), ("casino", "pills", "bets", "adult")
+    make = lambda kind, end: f"http://{rng.choice(kind)}{rng.randint(1, 99)}.{rng.choice(kind)}.{end}"
+    rows = [make(good, "com/a") if i % 2 else make(bad, "net/es/Ä") for i in range(n)]
+    return rows + [make(good if i % 2 else bad, "org/z") for i in range(60)] + rows[:1] * n + [None, "", "ftp://x"]
 
-    for context in ("a", "aa", "zb"):
-        padded = start + context
-        assert sum(after(padded[-urlfilter.ORDER:], c) for c in letters) == pytest.approx(1)
-    assert model.log("aa") > model.log("bb") > model.log("zz")
+
+def test_verdicts_equal_plain_counting(spark):
+    urls = urls_of_two_kinds(300)
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").repartition(5)
+    got = urlfilter.judge_urls(pages, ["page_id", "url"]).collect()
+    held = {r.url for r in pages.where(F.pmod(F.xxhash64("url"), F.lit(urlfilter.HELD)) == 0).collect()}
+    kinds = {h + p: v for v, h, p in urlfilter.RULES}
+    judged = [(u, kinds[rule]) for u in urls for rule in [url_by_hand(u)[2]] if rule]
+    models = {v: markov([u.lower().encode() for u, w in judged if w == v and u not in held]) for v in kinds.values()}
+    ratio = lambda u: (log_by_hand(models["allow"], u) - log_by_hand(models["block"], u)) / len(u)
+    by_hand = {u: ratio(u.lower().encode()) if u else 0.0 for u in set(urls)}
+    checks = [(round(by_hand[u], urlfilter.DIGITS), v == "allow") for u, v in judged if u in held]
+    cut = urlfilter.threshold(np.array([c for c, _ in checks]), np.array([a for _, a in checks]))
+    assert len(got) == len(urls)
+    for r in got:
+        assert r.ratio == pytest.approx(by_hand[r.url], abs=1e-9)
+        host, path, rule = url_by_hand(r.url)
+        assert r.verdict == (kinds[rule] if rule else "block" if not host and not path else "allow" if r.ratio >= cut else "block")
+
+
+def test_small_models_keep_whole_contexts(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls_of_two_kinds(300))], "page_id long, url string")
+    monkeypatch.setattr(urlfilter, "MODEL_GRAMS", 300)
+    rows = pages.select("url", F.when(F.col("url").contains(".com/"), "allow").when(F.col("url").contains(".net/"), "block").alias("verdict"))
+    model = urlfilter.train(rows)
+    kept = [u.lower().encode() for u in (r.url for r in rows.where("verdict = 'allow'").where(F.pmod(F.xxhash64("url"), F.lit(urlfilter.HELD)) != 0).collect())]
+    grams, counts = model["allow"]
+    full = markov(kept)
+    assert 0 < len(grams) <= 300 < len(full)
+    number = {int(g): int(n) for g, n in zip(grams, counts)}
+    all_of = {int(g): int(n) for g, n in zip(*packed(full))}
+    assert all(all_of[g] == n for g, n in number.items())
+    context = lambda g: ((g & (1 << 48) - 1) >> 8) | ((g >> 48) - 1) << 48
+    held = {context(g) for g in number}
+    assert {g for g in all_of if context(g) in held} == set(number)
 
 
 def test_thresholds_lie_in_the_middle_of_the_gap():
