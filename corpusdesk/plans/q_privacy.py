@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from corpusdesk.functions import pii
 from corpusdesk.operators import retention
 from corpusdesk.plans import derive, oracle as o
 from corpusdesk.plans.registry import duck, frame, query, table, texts
+from corpusdesk.sources.workdir import new_path
 
 
 @query(f"select doc_id, {o.mask('text')} as text from {duck(derive.PII_DOCS)}")
@@ -164,7 +167,7 @@ _MAILS = """select event_id as id, concat('user', cast(user_id as string)) as se
 _PURGE_AT = "1998-06-01 00:00:00"
 
 
-@query(f"""with now as (select timestamp '{_PURGE_AT}' as now),
+_PURGED_SQL = f"""with now as (select timestamp '{_PURGE_AT}' as now),
  c as (select *, retention_expires_at <= now and deleted_at is null as hit from {duck(_CONVS)} x, now),
  l as (select *, retention_expires_at <= now as hit from {duck(_MAIL_LOGS)} x, now),
  m as (select *, retention_expires_at <= now as hit from {duck(_MAILS)} x, now)
@@ -172,11 +175,18 @@ _PURGE_AT = "1998-06-01 00:00:00"
  coalesce({o.stamp('case when hit then now else deleted_at end')}, '') as deleted_at from c
  union all select 'draft', d.conversation_id, coalesce(case when c.hit then null else d.fields_enc end, ''), cast(d.n as string) from {duck(_CONV_DRAFTS)} d left join c using (conversation_id)
  union all select 'log', id, concat(subject, body_masked), coalesce({o.stamp('case when hit then now end')}, '') from l
- union all select 'incoming', id, case when hit then '' else concat(sender, body_text, body_html, reply_body) end, coalesce({o.stamp('case when hit then now end')}, '') from m""")
+ union all select 'incoming', id, case when hit then '' else concat(sender, body_text, body_html, reply_body) end, coalesce({o.stamp('case when hit then now end')}, '') from m"""
+
+
+@query(_PURGED_SQL)
 def retention_purge(spark, sf):
     now = F.lit(_PURGE_AT).cast("timestamp")
     out = retention.retention_purge(frame(spark, sf, _CONVS), frame(spark, sf, _CONV_DRAFTS),
                                     frame(spark, sf, _MAIL_LOGS), frame(spark, sf, _MAILS), now)
+    return _purged_rows(out)
+
+
+def _purged_rows(out):
     stamp = F.coalesce(F.date_format("deleted_at", "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias("deleted_at")
 
     def rows(df, kind, key, payload, last=stamp):
@@ -201,6 +211,22 @@ def scheduled_purge(spark, sf):
         F.lit(_PURGE_AT).cast("timestamp"))
 
 
+@query(f"""{_PURGED_SQL}
+ union all select 'purged', count(*), 'conversations', '' from c where hit union all select 'purged', count(*), 'logs', '' from l where hit
+ union all select 'purged', count(*), 'incoming', '' from m where hit union all select 'purged again', 0, '', ''""")
+def scheduled_purge_stored(spark, sf):
+    """The stored tables after the daily purge, its counts, and how much a second run finds."""
+    stores = retention.RetentionStores.at(spark, new_path(spark, "purge"), 8)
+    for name, sql in (("conversations", _CONVS), ("drafts", _CONV_DRAFTS), ("logs", _MAIL_LOGS), ("incoming", _MAILS)):
+        getattr(stores, name).write(frame(spark, sf, sql))
+    now = datetime.fromisoformat(_PURGE_AT)
+    counts, again = (retention.scheduled_purge(stores, now, at_once=48) for _ in range(2))
+    said = counts.select(F.lit("purged").alias("kind"), F.col("purged").alias("id"), F.col("table_name").alias("payload"), F.lit("").alias("deleted_at"))
+    more = again.agg(F.sum("purged").alias("id")).select(F.lit("purged again").alias("kind"), "id", F.lit("").alias("payload"), F.lit("").alias("deleted_at"))
+    return _purged_rows(retention.Purged(*(getattr(stores, n).read() for n in ("conversations", "drafts", "logs", "incoming")), counts)).unionByName(
+        said).unionByName(more)
+
+
 _REQUESTED = "select o_orderkey as conversation_id from {orders} where o_totalprice > 400000"
 
 

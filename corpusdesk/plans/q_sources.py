@@ -93,8 +93,8 @@ def index_documents(spark, sf):
     outcomes = settle(sniffed.select("doc_id", "reason").join(kept, "doc_id", "left").select(
         "doc_id", F.coalesce("reason", F.when(F.col("kept").isNull(), "copy")).alias("error")), "outcomes")
     new = chunking.chunk_words(fresh, size=200, overlap=20)
-    tables.replace_chunks_in_table(spark, path, new, outcomes, 8, new_path(spark, "staged"))
-    return spark.read.parquet(path).select("doc_id", "chunk_index", "content")
+    tables.replace_chunks_in_table(spark, path, new, outcomes, 8)
+    return tables.read_chunks(spark, path).select("doc_id", "chunk_index", "content")
 
 
 _CONV_LOG = """select conv_id * 1000 + turn as draft_id, concat('  User', cast(conv_id as string), '@Example.org ') as recipient,

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusdesk.functions.pii import mask_pii, pseudonymize
 from corpusdesk.params import ERROR_CHARS, RETENTION
+from corpusdesk.sources.snapshots import SnapshotTable
 
 
 def replace_chunks(old: DataFrame, new: DataFrame, outcomes: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -26,25 +27,32 @@ def bucket_of(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
+def chunk_table(spark: SparkSession, path: str, buckets: int, doc_id: str = "doc_id") -> SnapshotTable:
+    """The chunk table, laid out by document bucket."""
+    return SnapshotTable(spark, path, bucket_of(F.col(doc_id), buckets).cast("string"))
+
+
 def write_chunks(chunks: DataFrame, path: str, buckets: int, doc_id: str = "doc_id") -> None:
-    """Write the chunk table, laid out by document bucket."""
-    chunks.withColumn("doc_bucket", bucket_of(F.col(doc_id), buckets)).write.mode("overwrite").partitionBy(
-        "doc_bucket").parquet(path)
+    chunk_table(chunks.sparkSession, path, buckets, doc_id).write(chunks)
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    return SnapshotTable(spark, path, F.lit(None)).read()
 
 
 def replace_chunks_in_table(spark: SparkSession, path: str, new: DataFrame, outcomes: DataFrame,
-                            buckets: int, staging: str, doc_id: str = "doc_id") -> None:
-    """Rewrite only the buckets that hold re-indexed documents.
+                            buckets: int, doc_id: str = "doc_id") -> None:
+    """Rewrite only the buckets that hold re-indexed documents, each once.
 
-    The merged rows are written to ``staging`` first: a lost executor or a failed
-    job leaves the table as it was, and the swap overwrites whole buckets.
+    Readers see all of the change or nothing of it: a lost executor or a failed job
+    leaves the table as it was.  Rows of ``outcomes`` without an id change nothing.
     """
-    touched = outcomes.where("error is null").select(bucket_of(F.col(doc_id), buckets).alias("doc_bucket")).distinct()
-    old = spark.read.parquet(path).join(F.broadcast(touched), "doc_bucket", "left_semi").drop("doc_bucket")
-    merged = replace_chunks(old, new, outcomes, doc_id)
-    write_chunks(merged, staging, buckets, doc_id)
-    (spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("doc_bucket").parquet(path))
+    held = chunk_table(spark, path, buckets, doc_id)
+    base = held.current()
+    done = outcomes.where(F.col("error").isNull() & F.col(doc_id).isNotNull())
+    # At most ``buckets`` numbers.
+    touched = [r[0] for r in done.select(held.part).distinct().collect()]
+    held.replace(replace_chunks(held.read(touched, base), new, done, doc_id), touched, base)
 
 
 def log_rows(sent: DataFrame, days: int = RETENTION.log_days) -> DataFrame:

@@ -125,8 +125,8 @@ def test_failed_documents_keep_their_chunks_in_the_table(spark, tmp_path):
     tables.write_chunks(old, path, 4)
     new = spark.createDataFrame([(d, 0, f"new {d}") for d in (3, 4)], "doc_id long, chunk_index int, content string")
     outcomes = spark.createDataFrame([(3, None), (4, "embedding failed " * 200)], "doc_id long, error string")
-    tables.replace_chunks_in_table(spark, path, new, outcomes, 4, str(tmp_path / "staging"))
-    rows = {(r["doc_id"], r["chunk_index"]): r["content"] for r in spark.read.parquet(path).collect()}
+    tables.replace_chunks_in_table(spark, path, new, outcomes, 4)
+    rows = {(r["doc_id"], r["chunk_index"]): r["content"] for r in tables.read_chunks(spark, path).collect()}
     assert rows[(3, 0)] == "new 3" and (3, 1) not in rows
     assert rows[(4, 0)] == "old 4" and len(rows) == 39
     docs = spark.createDataFrame([(3,), (4,)], "doc_id long")
