@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from corpusdesk.functions import mail
@@ -126,3 +128,28 @@ def analyze_batches(spark, sf):
     done, failed = jobs.analyze_batches(mails, new_path(spark, "analyzed"), analyze, "mail_id", missing)
     return done.select("mail_id", "status", F.lit("").alias("last_error"), (F.col("sources") > 0).alias("has_sources")).unionByName(
         failed.select("mail_id", "status", "last_error", F.lit(False).alias("has_sources")))
+
+
+_BROKEN = "conv_id % 53 = 5 and turn = 1"
+
+
+@query(f"""select conv_id * 1000 + turn as mail_id, case when {_BROKEN} then 'ANALYSIS_FAILED' else 'DONE' end as status,
+ case when {_BROKEN} then 3 else 1 end as attempts, case when {_BROKEN} then '[USER_RAISED_EXCEPTION] cannot be read' else '' end as last_error,
+ case when {_BROKEN} then -1 else length(text) end as chars from conversations where turn is not null and conv_id is not null""")
+def analyze_batches_isolated(spark, sf):
+    """Some mails make the analysis throw: they alone are set aside, tried three times and given up."""
+    mails = _stream(spark, sf, "conversations", max_files=6).where("turn is not null and conv_id is not null").selectExpr(
+        "conv_id * 1000 + turn as mail_id", f"{_BROKEN} as broken", "text as body", "'RECEIVED' as status")
+
+    def analyze(batch):
+        chars = F.when(F.col("broken"), F.raise_error(F.lit("cannot be read"))).otherwise(F.length("body"))
+        return batch.select("mail_id", chars.cast("long").alias("chars"))
+
+    path, now = new_path(spark, "isolated"), derive.NOW_EVENTS
+    analysis = jobs.Analysis(spark, path, analyze, "mail_id")
+    start = datetime.fromisoformat(str(now))
+    jobs.analyze_isolated(mails, path + "/stream", analysis, lambda: start)
+    for n in (1, 2):
+        analysis.retry(f"retry{n}", start + timedelta(hours=n))
+    return analysis.outcomes().join(analysis.done(), "mail_id", "left").select(
+        "mail_id", "status", "attempts", F.coalesce("last_error", F.lit("")).alias("last_error"), F.coalesce("chars", F.lit(-1)).alias("chars"))

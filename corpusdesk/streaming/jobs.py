@@ -7,12 +7,15 @@ checkpoint below the shared root, and writes tables there, never to the driver.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from corpusdesk.params import IDLE_SECONDS, POLL_SECONDS
+from corpusdesk.operators.status import retry_outcome
+from corpusdesk.params import ERROR_CHARS, IDLE_SECONDS, MAX_SEND_ATTEMPTS, POLL_SECONDS
+from corpusdesk.sources.workdir import discard, settle
 
 # Fixed values: (window, requests allowed) per kind of client request.
 RATE_LIMITS = {"chat": ("1 minute", 20), "login": ("1 minute", 5), "session": ("1 hour", 30), "upload": ("1 hour", 20)}
@@ -148,6 +151,114 @@ def analyze_batches(mails: DataFrame, path: str, analyze: Callable[[DataFrame],
     return table("done"), table("failed")
 
 
+class Analysis:
+    """Mails through ``analyze``, where a mail that makes it throw is set aside alone.
+
+    A batch is analyzed as a whole.  If that throws, it is cut in two by a hash of the
+    key and each half is tried, down to the single keys that fail: about k log2(n / k)
+    further runs for k failing mails of n.  An analysis that throws for no rows at all
+    is broken as a whole (code, cluster): then the batch fails, and no mail is blamed.
+
+    Below ``path``: ``done`` (what ``analyze`` returned), ``failed`` (the mails set
+    aside, whole, so that they can be tried again) and ``attempts`` (key, ok, error,
+    at) for ``status.retry_outcome``.  Every run writes folders of its own and empties
+    them first, so a run that is repeated replaces what it wrote.  Mails without a key
+    are analyzed and fail together, as one.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, analyze: Callable[[DataFrame], DataFrame], key: str,
+                 max_attempts: int = MAX_SEND_ATTEMPTS, first_pause: int = 60) -> None:
+        self.spark, self.path, self.analyze, self.key = spark, path, analyze, key
+        self.max_attempts, self.first_pause = max_attempts, first_pause
+
+    def run(self, mails: DataFrame, run: str, now: datetime) -> None:
+        """Analyze RECEIVED ``mails`` and write what comes out under the name of the run."""
+        for part in ("done", "failed", "attempts"):
+            _delete(self.spark, f"{self.path}/{part}/run={run}")
+        rows = settle(mails.where("status = 'RECEIVED'"), "received")
+        self._part(rows, run, bits=0, value=0, sound=False)
+        tried = rows.select(self.key).distinct()
+        if _exists(self.spark, f"{self.path}/failed/run={run}"):
+            blamed = self.spark.read.parquet(f"{self.path}/failed/run={run}").select(F.col(self.key).alias("analysis_key"), "analysis_error").distinct()
+            tried = tried.join(blamed, F.col(self.key).eqNullSafe(F.col("analysis_key")), "left").select(self.key, F.col("analysis_error").alias("error"))
+        else:
+            tried = tried.withColumn("error", F.lit(None).cast("string"))
+        tried.select(self.key, F.col("error").isNull().alias("ok"), "error", F.lit(now.isoformat(sep=" ")).cast("timestamp").alias("at")).write.parquet(
+            f"{self.path}/attempts/run={run}")
+        discard(rows)
+
+    def retry(self, run: str, now: datetime) -> None:
+        """Try those again whose pause is over and that have attempts left."""
+        self.run(self.due(now), run, now)
+
+    def outcomes(self) -> DataFrame:
+        """Per mail: attempts, status, last_error, next_retry (null if there is none).
+
+        DONE, RECEIVED (to be tried again) or ANALYSIS_FAILED.  The pause doubles with every attempt.
+        """
+        log = self._table("attempts")
+        tried = retry_outcome(log, self.key, "at", "run", self.max_attempts).join(
+            log.groupBy(self.key).agg(F.max("at").alias("last_at")), self.key)
+        status = F.when(F.col("status") == "SENT", "DONE").when(F.col("status") == "FAILED", "ANALYSIS_FAILED").otherwise("RECEIVED")
+        pause = F.make_dt_interval(secs=F.lit(self.first_pause) * F.pow(F.lit(2), F.col("attempts") - 1))
+        return tried.select(self.key, "attempts", status.alias("status"), "last_error",
+                            F.when(status == "RECEIVED", F.col("last_at") + pause).alias("next_retry"))
+
+    def due(self, now: datetime) -> DataFrame:
+        """The failed mails, each once, that may be tried again at ``now``."""
+        held = self.outcomes().where(F.col("next_retry") <= F.lit(now.isoformat(sep=" ")).cast("timestamp")).select(self.key)
+        return self._table("failed").drop("run", "part", "analysis_error").dropDuplicates([self.key]).join(held, self.key, "left_semi")
+
+    def done(self) -> DataFrame:
+        return self._table("done").drop("run", "part")
+
+    def _part(self, rows: DataFrame, run: str, bits: int, value: int, sound: bool) -> None:
+        part = f"run={run}/part={bits}-{value}"
+        number = F.xxhash64(self.key)
+        try:
+            self.analyze(rows).write.mode("overwrite").parquet(f"{self.path}/done/{part}")
+            return
+        except Exception as error:
+            _delete(self.spark, f"{self.path}/done/{part}")
+            if not sound:
+                self.analyze(rows.limit(0)).write.mode("overwrite").parquet(f"{self.path}/done/{part}")
+            low, high = rows.agg(F.min(number), F.max(number)).first()
+            if low == high or bits == 62:
+                rows.withColumn("analysis_error", F.lit(_reason(error))).write.mode("overwrite").parquet(f"{self.path}/failed/{part}")
+                return
+        for bit in (0, 1):
+            half = value | bit << bits
+            self._part(rows.where(F.pmod(number, F.lit(1 << bits + 1)) == half), run, bits + 1, half, True)
+
+    def _table(self, name: str) -> DataFrame:
+        """What all runs wrote; ``failed`` is empty while no mail has failed."""
+        if name == "failed" and not _exists(self.spark, f"{self.path}/failed"):
+            return self._table("attempts").limit(0)
+        return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(f"{self.path}/{name}")
+
+
+def analyze_isolated(mails: DataFrame, path: str, analysis: Analysis, now: Callable[[], datetime]) -> None:
+    """Every micro-batch through ``analysis``; a batch that is run again replaces its own folders."""
+    run_batches(mails, path, lambda batch, batch_id: analysis.run(batch, f"batch{batch_id:09d}", now()))
+
+
+def _reason(error: Exception) -> str:
+    """The message of the innermost cause that the analysis named, cut to the length of a stored error."""
+    lines = [line.strip() for line in str(error).splitlines() if line.strip()]
+    named = [line for line in lines if line.startswith(("[USER_RAISED_EXCEPTION]", "ValueError:", "RuntimeError:"))]
+    return (named or lines or [type(error).__name__])[0].partition(" SQLSTATE:")[0][:ERROR_CHARS]
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def state_session(spark: SparkSession) -> SparkSession:
     """A session for stateful Python operators, which need the RocksDB state store;
     the caller's own settings stay as they are."""

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusdesk.sources.files import poll_files
@@ -120,3 +121,48 @@ def test_task_functions_travel_with_the_job():
     import corpusdesk
 
     assert corpusdesk.__name__ in cloudpickle.list_registry_pickle_by_value()
+
+
+def failing(rows):
+    """Lengths of bodies; a mail of three letters x cannot be analyzed."""
+    chars = F.when(F.col("body") == "xxx", F.raise_error(F.lit("three x"))).otherwise(F.length("body"))
+    return rows.select("id", chars.cast("long").alias("chars"))
+
+
+def test_only_mails_that_throw_are_set_aside(spark, tmp_path):
+    now = dt.datetime(2024, 1, 1, 12)
+    mails = spark.createDataFrame([(i, "xxx" if i in (7, 23) else "ok" * i, "RECEIVED") for i in range(40)] + [(99, "xxx", "SENT")], "id long, body string, status string")
+    analysis = jobs.Analysis(spark, str(tmp_path / "a"), failing, "id")
+    for _ in range(2):      # the same run again replaces what it wrote
+        analysis.run(mails, "first", now)
+        state = {r["id"]: r for r in analysis.outcomes().collect()}
+        assert len(state) == 40 and {i for i, r in state.items() if r["status"] != "DONE"} == {7, 23}
+        assert analysis.done().count() == 38 and {r["id"] for r in analysis.done().collect()}.isdisjoint({7, 23})
+    assert state[7]["attempts"] == 1 and "three x" in state[7]["last_error"] and state[7]["next_retry"] == now + dt.timedelta(seconds=60)
+    assert analysis.due(now).count() == 0
+    analysis.retry("second", now + dt.timedelta(seconds=60))
+    state = {r["id"]: r for r in analysis.outcomes().collect()}
+    assert state[23]["attempts"] == 2 and state[23]["next_retry"] == now + dt.timedelta(seconds=60 + 120)
+    # One of them is mended before the last attempt.
+    analysis.analyze = lambda rows: failing(rows.withColumn("body", F.when(F.col("id") == 7, "now fine").otherwise(F.col("body"))))
+    analysis.retry("third", now + dt.timedelta(hours=1))
+    state = {r["id"]: r for r in analysis.outcomes().collect()}
+    assert (state[7]["status"], state[7]["last_error"], state[7]["attempts"]) == ("DONE", None, 3)
+    assert state[23]["status"] == "ANALYSIS_FAILED" and state[23]["next_retry"] is None
+    assert analysis.due(now + dt.timedelta(days=9)).count() == 0
+    assert {r["id"]: r["chars"] for r in analysis.done().collect()}[7] == 8
+
+
+def test_a_broken_analysis_blames_no_mail(spark, tmp_path):
+    mails = spark.createDataFrame([(1, "a", "RECEIVED"), (2, "b", "RECEIVED")], "id long, body string, status string")
+
+    def broken(rows):
+        raise ConnectionError("no model")
+
+    analysis = jobs.Analysis(spark, str(tmp_path / "b"), broken, "id")
+    with pytest.raises(ConnectionError):
+        analysis.run(mails, "first", dt.datetime(2024, 1, 1))
+    assert not (tmp_path / "b" / "failed").exists() and not (tmp_path / "b" / "attempts").exists()
+    analysis.analyze = failing
+    analysis.run(mails.limit(0), "first", dt.datetime(2024, 1, 1))
+    assert analysis.done().count() == 0 and analysis.outcomes().count() == 0 and analysis.due(dt.datetime(2025, 1, 1)).count() == 0
