@@ -15,7 +15,7 @@ from corpusdesk.plans.q_search import P, corpus
 from corpusdesk.plans.registry import duck, query, table
 from corpusdesk.sources.files import poll_files
 from corpusdesk.sources.workdir import new_path
-from corpusdesk.streaming import jobs, state
+from corpusdesk.streaming import jobs, messages, state
 
 
 FILES = 12
@@ -98,6 +98,21 @@ def history_stream(spark, sf):
     return latest.select("conv_id", F.explode("turns").alias("turn"))
 
 
+@query(f"""select x.conv_id, cast(x.turn as bigint) as turn, x.role, {o.mask("concat(x.text, ' ara +90 532 111 22 33')")} as content,
+ strftime(timestamp '2024-01-01 00:00:00' + to_seconds(cast(x.conv_id * 60 + x.turn as bigint)), '%Y-%m-%dT%H:%M:%S') as ts
+ from (select *, row_number() over (partition by conv_id order by turn desc) as rn,
+  sum(length(text) + 22) over (partition by conv_id order by turn desc) as size from conversations) x where rn <= 5 and (size <= 1500 or rn = 1)""")
+def history_messages_stream(spark, sf):
+    """The masked messages that are kept in state, trimmed to 5 messages and 1500 characters."""
+    own = jobs.state_session(spark)
+    at = "timestamp '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, conv_id * 60 + turn)"
+    rows = _stream(own, sf, "conversations").selectExpr(
+        "conv_id", "turn", "role", "concat(text, ' ara +90 532 111 22 33') as content", f"{at} as ts", "length(text) + 20 as size")
+    # Files come in any order of time, so the delay spans the whole table.
+    held = messages.run_histories(messages.stored_histories(rows, "5000 days", 5, 1500), new_path(spark, "messages"))
+    return held.select("conv_id", F.inline("messages"))
+
+
 _AUTO = f"(select mail_id, role, length(trim(body)) as n from {duck(_MAIL)} m)"
 
 

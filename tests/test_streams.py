@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusdesk.sources.files import poll_files
 from corpusdesk.sources.workdir import new_path
-from corpusdesk.streaming import jobs, state
+from corpusdesk.streaming import jobs, messages, state
 
 SCHEMA = "id long, user long, ts timestamp, kind string"
 
@@ -166,3 +166,37 @@ def test_a_broken_analysis_blames_no_mail(spark, tmp_path):
     analysis.analyze = failing
     analysis.run(mails.limit(0), "first", dt.datetime(2024, 1, 1))
     assert analysis.done().count() == 0 and analysis.outcomes().count() == 0 and analysis.due(dt.datetime(2025, 1, 1)).count() == 0
+
+
+SAID = "conv_id long, turn long, role string, content string, ts timestamp, size long"
+
+
+def said(spark, folder, rows):
+    """One file of (conversation, turn, content, day)."""
+    made = [(c, t, "user", text, d and dt.datetime(2024, 1, d), None if text is None else len(text)) for c, t, text, d in rows]
+    spark.createDataFrame(made, SAID).coalesce(1).write.mode("append").parquet(str(folder))
+
+
+def test_messages_are_kept_masked_and_leave_with_time(spark, tmp_path):
+    own = jobs.state_session(spark)
+    src, out = tmp_path / "src", new_path(spark, "t-messages")
+    run = lambda: {r["conv_id"]: [(m["turn"], m["content"], m["ts"]) for m in r["messages"]] for r in messages.run_histories(messages.stored_histories(
+        poll_files(own, str(src), own.createDataFrame([], SAID).schema, max_files=1), "1 day", 3, 1000, dt.timedelta(days=10)), out).collect()}
+    said(own, src, [(1, t, f"text {t}", 1 + t) for t in range(5)] + [(2, 0, "tel +90 532 111 22 33", 1), (None, 1, "x", 1), (3, None, "x", 1), (3, 1, "x", None)])
+    first = run()
+    assert set(first) == {1, 2}
+    assert [t for t, _, _ in first[1]] == [2, 3, 4] and first[1][0][1:] == ("text 2", "2024-01-03T00:00:00")
+    assert "532" not in first[2][0][1]
+    # A later message moves the watermark beyond the end of conversation 2 (January 11th) but not of 1 (15th).
+    said(own, src, [(4, 0, None, 13)])
+    said(own, src, [(1, 1, "left out before", 13)])
+    got = run()
+    assert set(got) == {1, 4} and [t for t, _, _ in got[1]] == [2, 3, 4] and got[4] == [(0, None, "2024-01-13T00:00:00")]
+    # Conversation 2 comes again: its old messages are gone for good.
+    said(own, src, [(2, 5, "new", 14)])
+    got = run()
+    assert got[2] == [(5, "new", "2024-01-14T00:00:00")]
+    # The message of the 13th has put off the end of conversation 1 to the 23rd.
+    said(own, src, [(5, 0, "far", 24)])
+    said(own, src, [(5, 1, "far", 26)])
+    assert set(run()) == {5}
