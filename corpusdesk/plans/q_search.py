@@ -133,7 +133,7 @@ def vector_topk_cells(spark, sf):
   partition by g.chunk_id order by list_cosine_similarity(g.v, p.v) desc, p.cell) = 1),
  asked as (select vec_id as query_id, list_reverse(embedding)::double[] as v from embeddings),
  visits as (select a.query_id, a.v, p.cell from asked a, pivots p where p.cell in (select cell from cells)
-  qualify row_number() over (partition by a.query_id order by list_cosine_similarity(a.v, p.v) desc, p.cell) <= 16),
+  qualify row_number() over (partition by a.query_id order by list_cosine_similarity(a.v, p.v) desc, p.cell) <= 40),
  found as (select query_id, chunk_id, round(1 - list_cosine_similarity(visits.v, cells.v), 9) as distance from visits join cells using (cell))
  select query_id, 0 as sub_no, chunk_id, round(distance, 6) as distance, row_number() over (partition by query_id order by found.distance, chunk_id) as rank
  from found qualify rank <= 50""")

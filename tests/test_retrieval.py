@@ -66,6 +66,18 @@ def test_approximate_recall(vector_case):
     assert hits / (20 * len(want)) > 0.8
 
 
+def test_approximate_recall_without_clusters(spark):
+    """Vectors in no particular place, as in the given tables; all 64 cells exist."""
+    rng = np.random.default_rng(8)
+    units = rng.normal(size=(4500, 24))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    chunks = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(units)], "chunk_id long, vec array<double>")
+    queries = chunks.where("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
+    got = ranked(vectors.vector_topk_ann(queries, chunks, KEYS, 24, 20))
+    want = {q: set(np.argsort(-(units @ units[q]), kind="stable")[:20]) for q in range(0, 4500, 50)}
+    assert sum(len(set(got[q]) & w) for q, w in want.items()) >= 0.9 * 20 * len(want)
+
+
 def test_cosine_distance_column(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
     assert df.select(vectors.cosine_distance(F.col("a"), F.col("b"))).first()[0] == pytest.approx(1 - 1 / math.sqrt(2))
