@@ -2,14 +2,15 @@
 
 Two exact ways, chosen by a checked size:
 
-* The query vectors fit a stated number of bytes: every task scans its own
-  vectors once against the query matrix and keeps k per query.  The corpus is
-  not shuffled; k rows per query and task are.
-* They do not fit: both sides are assigned to cells around pivots and meet in
-  an equi-join on the cell.  The triangle inequality rules out cells that cannot
-  hold a neighbour; full cells are cut into slices of bounded size.
-
-The approximate form visits only the nearest cells.
+* The query vectors with the k best of each fit a stated number of bytes: every
+  task scans its own vectors once against the query matrix and keeps k per query.
+  The corpus is not shuffled; k rows per query and task are.
+* They do not fit: both sides are dealt into blocks of bounded bytes and every
+  pair of blocks meets once.  A pair hands on k rows per query, whatever its size.
+
+For vectors known to cluster there are cells around pivots instead of blocks: the
+triangle inequality rules out cells that cannot hold a neighbour, and full cells
+are cut into slices.  The approximate form visits only the nearest cells.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ MAX_BROADCAST_BYTES = 32 * 1024 * 1024
 SLACK = 1e-6   # keeps rounding from ruling out a cell
 MERGE = 64
 BLOCK_QUERIES, BLOCK_ROWS = 256, 4096   # a block of distances is never larger
+QUERY_BYTES, CHUNK_BYTES = 8 * 1024 * 1024, 64 * 1024 * 1024   # vectors of a pair of blocks, as doubles
+LEAST_QUERIES = 2048   # more blocks than bytes ask for, so that all cores work, have at least so many
+PIECE_ROWS = 10_000   # rows that repeat a vector leave a task in pieces of so many
 
 
 def check_embeddings(df: DataFrame, dim: int, vec: str = "vec") -> tuple[DataFrame, DataFrame]:
@@ -81,17 +85,20 @@ def _schema(queries: DataFrame, chunks: DataFrame, keys: list[str], chunk_id: st
 
 def vector_topk(queries: DataFrame, chunks: DataFrame, keys: list[str], dim: int, k: int = SEARCH.pool,
                 chunk_id: str = "chunk_id", vec: str = "vec",
-                max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+                max_broadcast_bytes: int = MAX_BROADCAST_BYTES, clustered: bool = False) -> DataFrame:
     """(keys, chunk_id, distance, rank): exact k nearest, ties by chunk id.
 
     Vectors that ``check_embeddings`` would set aside, on either side, are left out.
+    ``clustered`` says that cells rule out much; it changes the way, not the result.
     """
     queries = queries.where(unusable(F.col(vec), dim).isNull()).select(*keys, vec)
     chunks = chunks.where(unusable(F.col(vec), dim).isNull()).select(chunk_id, vec)
-    room = max_broadcast_bytes // (8 * dim)
+    room = max_broadcast_bytes // (8 * (dim + 2 * k))
     if queries.limit(room + 1).count() <= room:
         return _scan_topk(queries, chunks, keys, k, chunk_id, vec)
-    return _cell_topk(queries, chunks, keys, k, chunk_id, vec, probe=None)
+    if clustered:
+        return _cell_topk(queries, chunks, keys, k, chunk_id, vec, probe=None)
+    return _block_topk(queries, chunks, keys, dim, k, chunk_id, vec)
 
 
 def vector_topk_ann(queries: DataFrame, chunks: DataFrame, keys: list[str], dim: int, k: int = SEARCH.pool,
@@ -134,16 +141,76 @@ def _scan_topk(queries, chunks, keys, k, chunk_id, vec) -> DataFrame:
                         i = np.concatenate([kept[q][1].astype(ids.dtype), ids])
                         pick = _best(d, i, k)
                         kept[q] = (d[pick], i[pick])
-        sizes = [len(d) for d, _ in kept]
-        if sum(sizes):
-            out = labels.iloc[np.repeat(np.arange(n), sizes)].reset_index(drop=True)
-            out[chunk_id] = np.concatenate([i for _, i in kept if len(i)])
-            out["distance"] = np.concatenate([d for d, _ in kept])
-            yield out
+        step = max(1, PIECE_ROWS // k)
+        for first in range(0, n, step):
+            some = kept[first:first + step]
+            sizes = [len(d) for d, _ in some]
+            if sum(sizes):
+                out = labels.iloc[first + np.repeat(np.arange(len(some)), sizes)].reset_index(drop=True)
+                out[chunk_id] = np.concatenate([i for _, i in some if len(i)])
+                out["distance"] = np.concatenate([d for d, _ in some])
+                yield out
 
     return _rank(chunks.mapInPandas(scan, schema), keys, chunk_id, k)
 
 
+def _nearest_rows(asked: np.ndarray, units: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) of the k nearest rows of every query, ties by row; no more than a block of distances at once."""
+    found: list[list[np.ndarray]] = [[], [], []]
+    for first in range(0, len(asked), BLOCK_QUERIES):
+        matrix = asked[first:first + BLOCK_QUERIES]
+        query, row, dist = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        worst = np.full(len(matrix), np.inf)
+        for at in range(0, len(units), BLOCK_ROWS):
+            raw = 1.0 - matrix @ units[at:at + BLOCK_ROWS].T
+            if at == 0 and raw.shape[1] > k:
+                worst = np.partition(raw, k - 1, axis=1)[:, k - 1]
+            # Rounding moves a distance by half a unit of its ninth digit at most.
+            q, r = np.nonzero(raw <= (worst + 2e-9)[:, None])
+            query, row, dist = np.concatenate([query, q]), np.concatenate([row, r + at]), np.concatenate([dist, np.round(raw[q, r], 9)])
+            order = np.lexsort((row, dist, query))
+            query, row, dist = query[order], row[order], dist[order]
+            place = np.arange(len(query)) - np.searchsorted(query, query)
+            best = place < k
+            query, row, dist, place = query[best], row[best], dist[best], place[best]
+            last = place == k - 1
+            worst[query[last]] = dist[last]
+        for part, new in zip(found, (query + first, row, dist)):
+            part.append(new)
+    return tuple(np.concatenate(part) for part in found)
+
+
+def _block_topk(queries, chunks, keys, dim, k, chunk_id, vec) -> DataFrame:
+    """Every block of queries meets every block of chunks; no task holds more than one pair of blocks."""
+    n, m = queries.count(), chunks.count()
+    busy = min(2 * queries.sparkSession.sparkContext.defaultParallelism, -(-n // LEAST_QUERIES))
+    q_parts = max(1, busy, -(-n * 8 * dim // QUERY_BYTES))
+    c_parts = max(1, -(-m * 8 * dim // CHUNK_BYTES))
+
+    def one(parts: int, *cols: str) -> Column:
+        return F.pmod(F.xxhash64(*cols), F.lit(parts)).cast("int")
+
+    def each(parts: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+
+    group = ["q_part", "c_part"]
+    left = queries.withColumn("q_part", one(q_parts, *keys)).withColumn("c_part", each(c_parts))
+    right = chunks.withColumn("c_part", one(c_parts, chunk_id)).withColumn("q_part", each(q_parts))
+
+    def nearest(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or c.empty:
+            return pd.DataFrame({name: [] for name in [*keys, chunk_id, "distance"]})
+        c = c.sort_values(chunk_id, ignore_index=True)
+        query, row, dist = _nearest_rows(_unit(q[vec]), _unit(c[vec]), k)
+        out = q[keys].iloc[query].reset_index(drop=True)
+        return out.assign(**{chunk_id: c[chunk_id].to_numpy()[row], "distance": dist})
+
+    found = left.select(*group, *keys, vec).groupBy(*group).cogroup(
+        right.select(*group, chunk_id, vec).groupBy(*group)
+    ).applyInPandas(nearest, _schema(queries, chunks, keys, chunk_id))
+    return _rank(found, keys, chunk_id, k)
+
+
 def _cell_topk(queries, chunks, keys, k, chunk_id, vec, probe: int | None,
                pivots: int = 256, slice_rows: int = 20_000) -> DataFrame:
     spark = chunks.sparkSession
@@ -191,7 +258,10 @@ def _cell_topk(queries, chunks, keys, k, chunk_id, vec, probe: int | None,
                 go = np.zeros(d.shape, dtype=bool)
                 np.put_along_axis(go, nearest, True, axis=1)
             q, c = np.nonzero(go)
-            yield b.iloc[q].reset_index(drop=True).assign(cell=s["cell"][c].astype("int32"))
+            # A vector is repeated for every cell, so a whole batch at once could be hundreds of times its size.
+            for at in range(0, len(q), PIECE_ROWS):
+                some = slice(at, at + PIECE_ROWS)
+                yield b.iloc[q[some]].reset_index(drop=True).assign(cell=s["cell"][c[some]].astype("int32"))
 
     visits = queries.mapInPandas(visit, StructType(queries.schema.fields + [StructField("cell", IntegerType())]))
 

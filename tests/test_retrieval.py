@@ -46,6 +46,47 @@ def test_cells_equal_brute_force_with_hot_cell_split(vector_case):
     assert ranked(found) == want
 
 
+@pytest.mark.parametrize("rows", [4, 64])
+def test_blocks_equal_brute_force(vector_case, monkeypatch, rows):
+    """Many pairs of blocks, and blocks of distances smaller than they are."""
+    queries, chunks, want = vector_case
+    monkeypatch.setattr(vectors, "QUERY_BYTES", 8 * 16 * rows)
+    monkeypatch.setattr(vectors, "CHUNK_BYTES", 8 * 16 * 3 * rows)
+    assert ranked(vectors.vector_topk(queries, chunks, KEYS, 16, 20, max_broadcast_bytes=0)) == want
+
+
+def test_nearest_rows_in_small_blocks(monkeypatch):
+    rng = np.random.default_rng(5)
+    units = rng.normal(size=(200, 8))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    units[50:90] = units[10]
+    monkeypatch.setattr(vectors, "BLOCK_QUERIES", 7)
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 16)
+    query, row, dist = vectors._nearest_rows(units[:23], units, 30)
+    every = np.round(1 - units[:23] @ units.T, 9)
+    assert [sorted(range(200), key=lambda r: (every[q, r], r))[:30] for q in range(23)] == row.reshape(23, 30).tolist()
+    assert (query == np.repeat(np.arange(23), 30)).all() and (dist == every[query, row]).all()
+
+
+def test_no_task_emits_a_batch_of_repeated_vectors(spark, vector_case, monkeypatch):
+    """Rows that repeat a vector, or the k best of many queries, leave a task in small pieces."""
+    queries, chunks, want = vector_case
+    monkeypatch.setattr(vectors, "PIECE_ROWS", 60)
+    sizes = spark.sparkContext.accumulator(0)
+
+    def counted(frame, fn, schema, whole=type(chunks).mapInPandas):
+        def watched(batches):
+            for piece in fn(batches):
+                sizes.add(int(len(piece) > 60 and "radius" not in piece))
+                yield piece
+        return whole(frame, watched, schema)
+
+    monkeypatch.setattr(type(chunks), "mapInPandas", counted)
+    assert ranked(vectors.vector_topk(queries, chunks, KEYS, 16, 20)) == want
+    assert ranked(vectors.vector_topk(queries, chunks, KEYS, 16, 20, max_broadcast_bytes=0, clustered=True)) == want
+    assert sizes.value == 0
+
+
 def test_more_neighbours_asked_than_rows(spark, vector_case):
     queries, chunks, _ = vector_case
     few = chunks.where("chunk_id < 7")
