@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusdesk.functions.text import decode_text, normalize_text, sniff_type
 from corpusdesk.operators import chunking, corpus
+from corpusdesk.params import MAX_UPLOAD_MB
 from corpusdesk.plans import derive, oracle as o
 from corpusdesk.plans.registry import duck, frame, query, table, texts
 from corpusdesk.sources import files, tables
@@ -28,9 +29,10 @@ def read_jsonl_kb(spark, sf):
 
 @query("select doc_id, length(text) as chars, md5(text) as digest, true as has_name from documents")
 def read_files(spark, sf):
+    """Files far below the upload limit, written from all documents; one document above the limit would be rejected."""
     path = new_path(spark, "files")
-    texts(spark, sf).select("doc_id", "text").write.json(path)
-    accepted, _ = files.read_files(spark, path + "/*.json")
+    files.write_json_parts(texts(spark, sf).select("doc_id", "text"), path, "doc_id", MAX_UPLOAD_MB * 1024 * 1024 // 4)
+    accepted, _ = files.read_files(spark, path + "/*/*/*.json")
     rows = accepted.select("name", F.explode(F.split(decode_text(F.col("content")), "\n")).alias("line")).where("line <> ''")
     parsed = rows.select("name", F.from_json("line", "doc_id bigint, text string").alias("r"))
     return parsed.select("r.doc_id", F.length("r.text").alias("chars"), F.md5("r.text").alias("digest"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corpusdesk.params import MAX_FETCH_PER_POLL, MAX_UPLOAD_MB
 
@@ -42,6 +42,24 @@ def export_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_json_parts(df: DataFrame, path: str, key: str, max_bytes: int) -> None:
+    """JSON lines in files (``path/*/*/*.json``) of at most ``max_bytes``, however large the table is.
+
+    A row goes to the file in which the bytes before it end, counted per shard in the
+    order of ``key``; one above half of ``max_bytes`` gets a file of its own.
+    """
+    half = max_bytes // 2
+    rows = df.select("*", (F.octet_length(F.to_json(F.struct(*df.columns))) + 1).cast("bigint").alias("_size"))
+    total = rows.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
+    shards = rows.withColumn("_shard", F.pmod(F.xxhash64(key), F.lit(total // (8 * max_bytes) + 1)))
+    large = F.col("_size") > half
+    before = Window.partitionBy("_shard").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    held = F.coalesce(F.sum(F.when(large, 0).otherwise(F.col("_size"))).over(before), F.lit(0))
+    alone = F.count_if(large).over(before)
+    files = shards.withColumn("_file", F.when(large, -1 - alone).otherwise(F.floor(held / half)))
+    files.drop("_size").write.partitionBy("_shard", "_file").json(path)
+
+
 def poll_files(spark: SparkSession, path: str, schema, fmt: str = "parquet",
                max_files: int = MAX_FETCH_PER_POLL) -> DataFrame:
     """Incremental source: at most ``max_files`` new files per poll."""

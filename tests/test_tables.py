@@ -288,3 +288,15 @@ def test_merge_and_route(spark):
     out = mailbox.route_department(req, mailbox.label_frame(spark, {"complaint": "d"}, "intent", "department"),
                                    mailbox.label_frame(spark, {"d": "m@x"}, "department", "mailbox"))
     assert {r["id"]: r["mailbox"] for r in out.collect()} == {1: "m@x", 2: None}
+
+
+def test_json_parts_stay_below_the_limit(spark, tmp_path):
+    """Files of a table of any size can be read again: none is above the limit unless one row is."""
+    rows = spark.range(3000).selectExpr("id as doc_id", "case when id % 500 = 7 then repeat('y', 6000) when id > 0 then repeat('é\"', cast(id % 90 as int)) end as text")
+    files.write_json_parts(rows, str(tmp_path / "parts"), "doc_id", 10_000)
+    sizes = [p.stat().st_size for p in (tmp_path / "parts").glob("*/*/*.json")]
+    assert max(sizes) <= 10_000 and len(sizes) < 3 * sum(sizes) / 10_000 + 50
+    accepted, rejected = files.read_files(spark, str(tmp_path / "parts") + "/*/*/*.json", max_mb=10_000 / 1024 / 1024)
+    assert rejected.count() == 0 and accepted.agg(F.sum("length")).first()[0] == sum(sizes)
+    back = spark.read.schema("doc_id long, text string").json(str(tmp_path / "parts") + "/*/*/*.json")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
