@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusdesk.functions.text import let, runs, tokenize
 from corpusdesk.params import SEARCH
-from corpusdesk.sources.workdir import fits
+from corpusdesk.sources.workdir import fits, settle
 
 PI2_6 = 1.64493406685   # limit of 1 + 1/4 + 1/9 + ...
 WORD_WEIGHT = 0.1       # weight of an unlabelled word
@@ -75,6 +75,9 @@ def _matches(lexemes: DataFrame, postings: DataFrame, chunk_id: str, salts: int,
         return postings.join(F.broadcast(lexemes), "lexeme")
     spread = postings.withColumn("salt", F.pmod(F.xxhash64(chunk_id), F.lit(salts)).cast("int"))
     repeated = lexemes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # Spark's estimate of the query side knows nothing of the repeats, and a small file of queries would be broadcast.
+    if not fits(lexemes, MAX_BROADCAST_LEXEMES // salts):
+        repeated = repeated.hint("merge")
     return spread.join(repeated, ["lexeme", "salt"])
 
 
@@ -102,10 +105,26 @@ def lexical_topk(queries: DataFrame, postings: DataFrame, keys: list[str], k: in
 
     score = sum of the weights of shared lexemes, divided by the number of query
     lexemes.  ``postings`` is an index (see ``write_index``) or the bare postings.
-    ``placed`` says that all postings of a chunk lie in one partition by chunk id.
+    ``placed`` says that all postings of a chunk lie in one partition by chunk id.  More
+    queries than may be broadcast then go in turns, each over the index where it lies;
+    the k best of a turn are written before the next one.
     """
     rows = postings if "weight" in postings.columns else weighted(postings, chunk_id)
-    found = _matches(query_lexemes(queries, keys), rows.select("lexeme", chunk_id, "weight"), chunk_id, salts, max_broadcast, placed)
+    lexemes, wanted = query_lexemes(queries, keys), rows.select("lexeme", chunk_id, "weight")
+    if not placed or not max_broadcast or fits(lexemes, max_broadcast):
+        return _best(_matches(lexemes, wanted, chunk_id, salts, max_broadcast, placed), keys, k, chunk_id)
+    turns = -(-5 * lexemes.count() // (4 * max_broadcast))
+    turn = F.pmod(F.xxhash64(*keys), F.lit(turns))
+    out = None
+    for n in range(turns):
+        found = wanted.join(F.broadcast(lexemes.where(turn == n)), "lexeme")
+        best = settle(_best(found, keys, k, chunk_id), "lexical")
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
+def _best(found: DataFrame, keys: list[str], k: int, chunk_id: str) -> DataFrame:
+    """The k best chunks of every query from its matches."""
     scored = found.groupBy(*keys, chunk_id).agg(F.round(F.sum(F.col("weight") / F.col("n_lexemes")), 9).alias("score"))
     best = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc(chunk_id))
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -150,6 +150,28 @@ def test_unusable_vectors_change_nothing(spark, vector_case):
     assert vectors.vector_topk_ann(asked, more, KEYS, 16, 20).select("query_id").distinct().count() == 40
 
 
+def test_many_questions_go_in_turns(spark):
+    """Beyond the broadcast limit an index is searched in place, turn by turn; no join repeats the questions."""
+    words = [f"w{chr(97 + i)}" for i in range(20)]
+    rng = random.Random(2)
+    chunks = corpus(spark, *(" ".join(rng.choices(words, k=12)) for _ in range(60)))
+    q = spark.createDataFrame([(i, " ".join(rng.choices(words, k=6))) for i in range(50)], "query_id long, text string")
+    postings = lexical.weighted(lexical.build_postings(chunks)).repartition(4, "chunk_id")
+    want = ranked(lexical.lexical_topk(q, postings, KEYS, 5, placed=True))
+    turns = lexical.lexical_topk(q, postings, KEYS, 5, placed=True, max_broadcast=40)
+    assert ranked(turns) == want and len(want) == 50
+    assert "salt" not in turns._jdf.queryExecution().toString()
+
+
+def test_a_large_question_side_is_never_broadcast_unasked(spark, monkeypatch):
+    """The salted join repeats its question side; Spark, seeing a small file, would broadcast it."""
+    monkeypatch.setattr(lexical, "MAX_BROADCAST_LEXEMES", 64)
+    chunks = corpus(spark, "alfa beta", "gama")
+    q = spark.createDataFrame([(i, "alfa beta gama") for i in range(9)], "query_id long, text string")
+    plan = lexical.lexical_topk(q, lexical.build_postings(chunks), KEYS, max_broadcast=0)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_lexical_score_by_hand_and_both_joins_agree(spark):
     chunks = corpus(spark, "alfa alfa beta", "beta gama", "delta")
     q = spark.createDataFrame([(1, "alfa beta alfa")], "query_id long, text string")
