@@ -200,4 +200,5 @@ def runs(tokens: Column) -> Column:
             F.get(s, p - 1).alias("lexeme"), (F.coalesce(F.get(at, k + 1), F.size(s) + 1) - p).alias("tf"))))
 
     empty = F.array().cast("array<struct<lexeme:string,tf:int>>")
-    return let(F.array_sort(tokens), lambda s: F.when(F.size(s) == 0, empty).otherwise(count(s)))
+    # sort_array compares strings natively; array_sort calls an interpreted comparison
+    return let(F.sort_array(tokens), lambda s: F.when(F.size(s) == 0, empty).otherwise(count(s)))

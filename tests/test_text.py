@@ -182,3 +182,15 @@ def test_sql_functions(spark):
       normalize_text('a\\n\\n\\n\\nb  c') n, cosine_distance(array(1d, 0d), array(0d, 1d)) d""").first()
     assert tuple(row) == ("tel [TEL_MASKED]", True, "a&b", "a\n\nb c", 1.0)
     assert [r["content"] for r in spark.sql("select * from chunk_text('a b c d e', 3, 1)").collect()] == ["a b c", "c d e"]
+
+
+def test_sorts_inside_rows_are_native(spark):
+    """array_sort compares by an interpreted function; strings and structs without nulls need none."""
+    from pyspark.sql import functions as F
+
+    from corpusdesk.functions import pii, text
+
+    rows = spark.createDataFrame([("b a b c a b",)], "t string")
+    df = rows.select(text.runs(F.split("t", " ")).alias("runs"), pii.dedupe_lines(F.col("t")), pii.drop_orphan_intros(F.col("t")))
+    assert "array_sort(" not in df._jdf.queryExecution().analyzed().toString()
+    assert [tuple(r) for r in df.first()["runs"]] == [("a", 2), ("b", 3), ("c", 1)]
