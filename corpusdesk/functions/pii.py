@@ -128,9 +128,9 @@ def dedupe_lines(text: Column) -> Column:
             & ((F.length(z["cur"]["key"]) <= REPEAT_MIN) | z["prev"].isNull() | (z["prev"] != z["cur"]["key"])),
         )
         back = F.transform(kept, lambda z: F.struct(z["cur"]["i"].alias("i"), z["cur"]["line"].alias("line")))
-        return _join(F.array_sort(back)["line"])
+        return _join(F.sort_array(back)["line"])
 
-    return let(F.array_sort(keyed), first_ones)
+    return let(F.sort_array(keyed), first_ones)
 
 
 def drop_orphan_intros(text: Column) -> Column:
@@ -151,7 +151,7 @@ def drop_orphan_intros(text: Column) -> Column:
             )
             return F.transform(kept, lambda z: z["cur"])
 
-        return _join(F.array_sort(F.concat(let(filled, keep), blank))["line"])
+        return _join(F.sort_array(F.concat(let(filled, keep), blank))["line"])
 
     return let(numbered, without_orphans)
 
