@@ -6,14 +6,22 @@ null when the target was not found.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from corpusdesk.functions import pii
 from corpusdesk.functions.text import fold_blanks, let, lines_of, lower_tr, strip
 
 KS = (1, 3, 7)
 SALTS = 16
-SHORT_BLOCKS = 8
+MAX_PASSAGES, MAX_PASSAGE_CHARS = 20_000, 8 * 1024 * 1024   # passages that go to every task at once
+PIECE_ROWS = 100_000    # pairs leave a task in pieces of about so many
+TOKEN = re.compile(r"\S+", re.ASCII)
 TOLERANCE = 1
 ADOPT_NET = 5
 
@@ -236,41 +244,103 @@ def labelled_intents(docs: DataFrame, questions: DataFrame, tags: str = "tags",
 def containing_documents(passages: DataFrame, docs: DataFrame, words: int = 5) -> DataFrame:
     """(question_id, doc_id) of documents that contain a passage word for word.
 
-    ``passages`` has (question_id, passage), ``docs`` (doc_id, text).  Candidates
-    share a run of words from the inside of the passage, found by an equi-join; they
-    are then compared in full.  The run has ``words`` words, or all but the first and
-    last word of a shorter passage.  Passages of one or two words have no inside; they
-    are looked for in every document, a block of them at a time.  A blank passage is
-    contained nowhere.  Runs that are frequent are spread over ``SALTS`` tasks.
+    ``passages`` has (question_id, passage), ``docs`` (doc_id, text).  A checked number of
+    passages goes to every task, which reads each document once and moves no text; see
+    ``_contained``.  Of a larger set those with ``words`` words or more inside are found by
+    an equi-join on a run of that many words, spread over ``SALTS`` tasks, and compared in
+    full; runs of shorter ones are too frequent for a join, and they go to the tasks in
+    turns.  A blank passage is contained nowhere.
     """
-    passages = passages.where(strip(F.col("passage")) != "")
+    passages = passages.where(strip(F.col("passage")) != "").select("question_id", "passage")
+    turns = _turns(passages)
+    if turns <= 1:
+        return _contained(passages, docs, words)
+
     def tokens(c: str) -> Column:
         return F.regexp_extract_all(F.col(c), F.lit(r"\S+"), F.lit(0))
 
-    sized = passages.withColumn("n", F.least(F.size(tokens("passage")) - 2, F.lit(words)))
-    found = None
-    lengths = [r.n for r in sized.select("n").distinct().collect()]  # at most words + 2 numbers
-    for n in sorted(x for x in lengths if x > 0):
-        asked = sized.where(F.col("n") == n)
-        anchors = asked.select("question_id", F.array_join(F.slice(tokens("passage"), 2, n), " ").alias("anchor"),
-                               F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        shingles = docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"), F.explode(let(
-            tokens("text"),
-            lambda w: F.when(F.size(w) >= n, F.array_distinct(F.transform(
-                F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))),
-        )).alias("anchor"))
-        pairs = shingles.join(anchors, ["anchor", "salt"]).select("question_id", "doc_id").distinct()
-        one = pairs.join(asked.select("question_id", "passage"), "question_id").join(docs, "doc_id").where(
-            F.contains("text", F.col("passage"))).select("question_id", "doc_id")
-        found = one if found is None else found.unionByName(one)
-    if any(x <= 0 for x in lengths):
-        blocks = sized.where("n <= 0").groupBy(F.pmod(F.xxhash64("question_id"), F.lit(SHORT_BLOCKS)).alias("block")).agg(
-            F.collect_list(F.struct("question_id", "passage")).alias("asked"))
-        for block in blocks.toLocalIterator():
-            asked = F.array(*(F.struct(F.lit(q).alias("question_id"), F.lit(p).alias("passage")) for q, p in block["asked"]))
-            hits = docs.select("doc_id", F.explode(F.filter(asked, lambda a: F.contains(F.col("text"), a["passage"]))).alias("a"))
-            one = hits.select("a.question_id", "doc_id")
-            found = one if found is None else found.unionByName(one)
-    if found is None:
-        return passages.select("question_id").join(docs.select("doc_id").limit(0), F.lit(False))
+    n = words
+    long = F.size(tokens("passage")) >= n + 2
+    asked = passages.where(long)
+    anchors = asked.select("question_id", F.array_join(F.slice(tokens("passage"), 2, n), " ").alias("anchor"),
+                           F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    shingles = docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"), F.explode(let(
+        tokens("text"),
+        lambda w: F.when(F.size(w) >= n, F.array_distinct(F.transform(
+            F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))),
+    )).alias("anchor"))
+    pairs = shingles.join(anchors, ["anchor", "salt"]).select("question_id", "doc_id").distinct()
+    found = pairs.join(asked, "question_id").join(docs, "doc_id").where(
+        F.contains("text", F.col("passage"))).select("question_id", "doc_id")
+    short = passages.where(~long)
+    turns = _turns(short)
+    turn = F.pmod(F.xxhash64("question_id", "passage"), F.lit(turns))
+    for i in range(turns):
+        found = found.unionByName(_contained(short.where(turn == i), docs, words))
     return found
+
+
+def _turns(passages: DataFrame) -> int:
+    """In how many parts passages may go to the tasks."""
+    n, chars = passages.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("passage")), F.lit(0))).first()
+    return max(-(-n // MAX_PASSAGES), -(-chars // MAX_PASSAGE_CHARS))
+
+
+def _contained(passages: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """``containing_documents`` for passages that fit into every task.
+
+    A passage of three words or more is compared where the words inside it, ``words`` at
+    most, stand in the document between fitting neighbours.  Shorter ones are looked for in
+    every document.
+    """
+    rows = passages.collect()
+    schema = StructType([passages.schema["question_id"], docs.schema["doc_id"]])
+    asked: dict[str, list[int]] = {}
+    for place, row in enumerate(rows):
+        asked.setdefault(row["passage"], []).append(place)
+    shared = docs.sparkSession.sparkContext.broadcast((list(asked), list(asked.values()), [row["question_id"] for row in rows]))
+    out = to_arrow_schema(schema)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, places, questions = shared.value
+        questions = pa.array(questions, out.field(0).type)
+        find = _finder(texts, words)
+        for batch in batches:
+            picked, sources = [], []
+            for row, text in enumerate(batch.column("text")):
+                for p in find(text.as_py()) if text.is_valid else ():
+                    picked += places[p]
+                    sources += [row] * len(places[p])
+                if len(picked) >= PIECE_ROWS or row + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [questions.take(pa.array(picked, pa.int64())), batch.column("doc_id").take(pa.array(sources, pa.int64()))], schema=out)
+                    picked, sources = [], []
+
+    return docs.select("doc_id", "text").mapInArrow(scan, schema)
+
+
+def _finder(passages: list[str], words: int) -> Callable[[str], list[int]]:
+    """text -> places of the passages that it contains."""
+    # first word inside -> number of words inside -> the words -> place, first and last word
+    inside: dict[str, dict[int, dict[str, list[tuple[int, str, str]]]]] = {}
+    short = []
+    for place, passage in enumerate(passages):
+        tokens = TOKEN.findall(passage)
+        n = min(len(tokens) - 2, words)
+        if n <= 0:
+            short.append((place, passage))
+            continue
+        inside.setdefault(tokens[1], {}).setdefault(n, {}).setdefault(" ".join(tokens[1:n + 1]), []).append((place, tokens[0], tokens[n + 1]))
+
+    def find(text: str) -> list[int]:
+        found = [place for place, passage in short if passage in text]
+        tokens = TOKEN.findall(text) if inside else []
+        likely: set[int] = set()
+        for at in range(1, len(tokens) - 1):
+            for n, runs in inside.get(tokens[at], {}).items():
+                if at + n < len(tokens):
+                    asked = runs.get(" ".join(tokens[at:at + n]), ())
+                    likely.update(p for p, first, last in asked if tokens[at - 1].endswith(first) and tokens[at + n].startswith(last))
+        return found + [p for p in likely if passages[p] in text]
+
+    return find

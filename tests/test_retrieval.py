@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusdesk.operators import fusion, lexical, vectors
+from corpusdesk.operators import evaluate, fusion, lexical, vectors
 from corpusdesk.operators.evaluate import containing_documents
 
 KEYS = ["query_id"]
@@ -286,3 +286,28 @@ def test_containing_documents_equals_plain_search(spark):
         spark.createDataFrame(list(enumerate(passages)), "question_id long, passage string"),
         spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert {tuple(r) for r in got.collect()} == {(i, j) for i, p in enumerate(passages) for j, t in enumerate(texts) if p in t}
+
+
+@pytest.mark.parametrize("at_once", [20_000, 3])
+def test_containing_documents_with_parts_of_words_and_all_white_space(spark, monkeypatch, at_once):
+    """Passages that begin or end inside words, and sets that go in turns."""
+    monkeypatch.setattr(evaluate, "MAX_PASSAGES", at_once)
+    texts = ["the quick\tbrown  fox jumps\nover the lazy dog", "quickbrown", "", None, "a\u2003b c", "the quick brown fox", "x the quick\tbrown"]
+    passages = ["quick", "ick", "k b", "k\tb", "ck\tbro", " quick", "quick ", "he quick\tbro", "  fox", "b c", "\u2003b", "quick\tbrown  fox jumps\nover the",
+                "fox jumps\nover the lazy d", "e quick brown f", " ", None, "quick"]
+    asked = [(i, p) for i, p in enumerate(passages)]
+    got = evaluate.containing_documents(
+        spark.createDataFrame(asked, "question_id long, passage string"),
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    want = [(i, j) for i, p in asked for j, t in enumerate(texts) if p is not None and p.strip() and t is not None and p in t]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_containing_documents_moves_no_text(spark):
+    """Passages go to the documents: no pair of a frequent word meets its text in a join."""
+    got = evaluate.containing_documents(
+        spark.createDataFrame([(0, "a b c"), (1, "b")], "question_id long, passage string"),
+        spark.createDataFrame([(0, "x a b c y")], "doc_id long, text string"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert sorted(map(tuple, got.collect())) == [(0, 0), (1, 0)]
