@@ -16,11 +16,11 @@ MAX_BROADCAST_LEXEMES = 200_000   # rows of (keys, lexeme), some 10 MB
 
 def build_postings(chunks: DataFrame, chunk_id: str = "chunk_id", content: str = "content") -> DataFrame:
     """(lexeme, chunk_id, tf, len).  A chunk's words are counted inside its row, so
-    building the index moves no data at all."""
-    counted = let(tokenize(F.col(content)), lambda t: F.struct(F.size(t).alias("len"), runs(t).alias("words")))
-    rows = chunks.select(chunk_id, counted.alias("c"))
-    return rows.select(chunk_id, F.col("c.len").alias("len"), F.explode("c.words").alias("w")).select(
-        "w.lexeme", chunk_id, "w.tf", "len")
+    building the index moves no data at all.  Each word brings the length along: as a
+    column beside the list it would take the whole list into every exploded row."""
+    words = let(tokenize(F.col(content)), lambda t: F.transform(runs(t), lambda w: F.struct(
+        w["lexeme"].alias("lexeme"), w["tf"].alias("tf"), F.size(t).alias("len"))))
+    return chunks.select(chunk_id, F.inline(words)).select("lexeme", chunk_id, "tf", "len")
 
 
 def document_frequencies(postings: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import collections
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -311,3 +312,13 @@ def test_containing_documents_moves_no_text(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
     assert sorted(map(tuple, got.collect())) == [(0, 0), (1, 0)]
+
+
+def test_exploded_postings_do_not_carry_the_words_of_their_chunk(spark):
+    """A list kept beside the exploded rows made an index of wide rows, square in the words of a chunk."""
+    chunks = spark.createDataFrame([(1, "kedi köpek kedi"), (2, "")], "chunk_id long, content string")
+    postings = lexical.weighted(lexical.build_postings(chunks))
+    plan = postings._jdf.queryExecution().executedPlan().toString()
+    beside = re.search(r"Generate \w+\(.*\), \[([^\]]*)\], false", plan).group(1)
+    assert re.sub(r"#\w+", "", beside) == "chunk_id"
+    assert sorted(tuple(r) for r in postings.select("lexeme", "chunk_id", "tf", "len").collect()) == [("kedi", 1, 2, 3), ("köpek", 1, 1, 3)]
