@@ -8,10 +8,12 @@ text goes in, one ``posexplode`` comes out, in the task that read the file.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from corpusdesk.functions.text import let, normalize_text, strip, word_count
 from corpusdesk.params import CHUNK, ChunkParams
@@ -26,6 +28,8 @@ CHAPTER = r"^[ \t]*([A-ZÇĞİÖŞÜ\w]+)\s+BÖLÜM[ \t]*$"
 PARAGRAPH = r"\(\s*(\d{1,2})\s*\)"
 SENTENCE_END = r"[.!?]\s+"
 
+PIECE_CHARS = 1024 * 1024   # chunks leave a task in pieces of about so many letters
+
 _HEAD_AT_START = r"(?iU)\A" + HEADING
 _SPLIT_HEADS = rf"(?imdU)(?=^{HEADING})(?<!^(?:{PREFIXES})\s{{1,2}})"
 
@@ -304,15 +308,39 @@ def _split_by_size(text: str, size: int, overlap: int, separators: tuple[str, ..
 def chunk_chars(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 size: int = CHUNK.words * CHUNK.chars_per_word,
                 overlap: int = CHUNK.overlap * CHUNK.chars_per_word) -> DataFrame:
-    """(doc, chunk_index, content): paragraphs, lines, words up to a character budget."""
-
-    @F.pandas_udf("array<string>")
-    def split_batch(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: list(_split_by_size(t, size, overlap, ("\n\n", "\n", " ", ""))))
-
-    return df.where(strip(F.col(text)) != "").select(
-        doc_id, F.posexplode(split_batch(F.col(text))).alias("chunk_index", "content")
-    )
+    """(doc, chunk_index, content): paragraphs, lines, words up to a character budget.
+
+    A task holds one text and ``PIECE_CHARS`` letters of chunks beside the batch that it
+    was given, not the chunks of all its texts.
+    """
+    schema = StructType([df.schema[doc_id], StructField("chunk_index", IntegerType()), StructField("content", StringType())])
+    return df.where(strip(F.col(text)) != "").select(doc_id, text).mapInArrow(_splitter(to_arrow_schema(schema), size, overlap), schema)
+
+
+def _splitter(schema: pa.Schema, size: int, overlap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of (doc, text) -> batches of chunks."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, places, chunks, letters = [], [], [], 0
+            for row, body in enumerate(batch.column(1)):
+                for place, chunk in enumerate(_split_by_size(body.as_py(), size, overlap, ("\n\n", "\n", " ", ""))):
+                    rows.append(row)
+                    places.append(place)
+                    chunks.append(chunk)
+                    letters += len(chunk)
+                    if letters >= PIECE_CHARS:
+                        yield _piece(batch.column(0), rows, places, chunks, schema)
+                        rows, places, chunks, letters = [], [], [], 0
+            if rows:
+                yield _piece(batch.column(0), rows, places, chunks, schema)
+
+    return split
+
+
+def _piece(ids: pa.Array, rows: list[int], places: list[int], chunks: list[str], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [ids.take(pa.array(rows, pa.int64())), pa.array(places, pa.int32()), pa.array(chunks, schema.field("content").type)], schema=schema)
 
 
 def split_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p: ChunkParams = CHUNK) -> DataFrame:

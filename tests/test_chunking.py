@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusdesk.functions.text import normalize_text
@@ -152,3 +153,15 @@ def test_normalize(spark):
     raw = "yönet-\nmelik\r\nA\xa0B​C  \t d \n\n\n\n e "
     got = spark.createDataFrame([(raw,)], "t string").select(normalize_text(F.col("t"))).first()[0]
     assert got == "yönetmelik\nA BC d\n\ne"
+
+
+def test_chunks_leave_a_task_in_pieces(monkeypatch):
+    """A batch of texts is never held a second time as all of its chunks."""
+    monkeypatch.setattr(ch, "PIECE_CHARS", 50)
+    texts = [f"{i} " + "abcd " * 40 for i in range(30)]
+    schema = pa.schema([("doc_id", pa.int64()), ("chunk_index", pa.int32()), ("content", pa.string())])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array(texts)], names=["doc_id", "text"])
+    pieces = list(ch._splitter(schema, 20, 0)([batch]))
+    assert len(pieces) > 30 and max(sum(map(len, p["content"].to_pylist())) for p in pieces) < 50 + 20
+    want = [(i, n, c) for i, t in enumerate(texts) for n, c in enumerate(ch._split_by_size(t, 20, 0, ("\n\n", "\n", " ", "")))]
+    assert [tuple(r.values()) for p in pieces for r in p.to_pylist()] == want
