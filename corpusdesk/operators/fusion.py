@@ -109,11 +109,13 @@ def hydrate_hits(hits: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFra
     """Fetch content and label (description, else file name) of the final rows.
 
     The hits, a few rows per query, are written first: their size is then known, and
-    they travel to the chunks instead of all chunks to them.
+    they travel to the chunks instead of all chunks to them.  Chunks that are a join
+    themselves are cut to the hits before it, so no other text is moved for it.
     """
     hits = settle(hits, "hits")
+    found = chunks.select("chunk_id", "content").join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi")
     label = F.coalesce(F.nullif(F.col("description"), F.lit("")), F.col("filename")).alias("label")
-    return hits.join(chunks.select("chunk_id", "content"), "chunk_id").join(
+    return hits.join(found, "chunk_id").join(
         docs.select("document_id", label), "document_id")
 
 

@@ -322,3 +322,17 @@ def test_exploded_postings_do_not_carry_the_words_of_their_chunk(spark):
     beside = re.search(r"Generate \w+\(.*\), \[([^\]]*)\], false", plan).group(1)
     assert re.sub(r"#\w+", "", beside) == "chunk_id"
     assert sorted(tuple(r) for r in postings.select("lexeme", "chunk_id", "tf", "len").collect()) == [("kedi", 1, 2, 3), ("köpek", 1, 1, 3)]
+
+
+def test_hydrating_moves_no_text_of_other_chunks(spark):
+    """Chunks whose vectors come by a join: the texts are cut to the hits below that join."""
+    texts = spark.createDataFrame([(i, f"text {i}") for i in range(9)], "chunk_id long, content string")
+    vecs = spark.createDataFrame([(i, [1.0]) for i in range(5)], "vec_id long, vec array<double>")
+    chunks = texts.join(vecs, texts.chunk_id == vecs.vec_id, "left")
+    docs = spark.createDataFrame([("d", "", "d.pdf")], "document_id string, description string, filename string")
+    hits = spark.createDataFrame([(1, 3, "d"), (1, 7, "d"), (2, 3, "d")], "query_id long, chunk_id long, document_id string")
+    got = fusion.hydrate_hits(hits, chunks, docs)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.find("LeftOuter") < plan.find("LeftSemi")
+    rows = sorted(tuple(r) for r in got.select("query_id", "chunk_id", "content", "label").collect())
+    assert rows == [(1, 3, "text 3", "d.pdf"), (1, 7, "text 7", "d.pdf"), (2, 3, "text 3", "d.pdf")]
