@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusdesk.functions.text import extractor_for, strip
-from corpusdesk.sources.workdir import settle
+from corpusdesk.sources.workdir import discard, settle
 
 REINDEX_STATES = ("INDEXED", "PENDING", "PROCESSING", "FAILED")
 
@@ -36,13 +36,16 @@ def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 def dedupe_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents whose content is not already held by a lower id; null contents are no copies.
 
-    Only hashes and ids meet.  What is left out, the surplus ids, is written and of
+    Only hashes and ids meet.  Hashes are written first, so a text that has to be worked
+    out is worked out once for them.  What is left out, the surplus ids, is written and of
     known size, so that the documents stay where they are if it is small; the last
     join is on the unique id, and a content with very many copies makes no large group.
     """
-    hashed = with_hash(docs.where(F.col(text).isNotNull()).select(doc_id, text), text).select(doc_id, "sha256")
+    written = settle(with_hash(docs.select(doc_id, text), text).select(doc_id, "sha256"), "hashes")
+    hashed = written.where("sha256 is not null")
     copied = hashed.groupBy("sha256").agg(F.min(doc_id).alias("keep_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     surplus = settle(hashed.join(copied, "sha256").where(F.col(doc_id) != F.col("keep_id")).select(doc_id), "surplus")
+    discard(written)
     return docs.join(surplus, doc_id, "left_anti")
 
 

@@ -10,7 +10,7 @@ from corpusdesk.params import MAX_UPLOAD_MB
 from corpusdesk.plans import derive, oracle as o
 from corpusdesk.plans.registry import duck, frame, query, table, texts
 from corpusdesk.sources import files, tables
-from corpusdesk.sources.workdir import new_path, settle
+from corpusdesk.sources.workdir import discard, new_path, settle
 
 
 @query("""select concat('doc ', doc_id) as title, case when lang = 'en' then source else '' end as tags, text as content
@@ -88,14 +88,18 @@ def index_documents(spark, sf):
     tables.write_chunks(chunking.chunk_words(docs), path, 8)
     body = F.when(F.col("source") == "src5", F.concat("text", F.lit("\x01"))).otherwise(F.col("text"))
     uploads = docs.select("doc_id", F.encode(body, "UTF-8").alias("content"), F.concat("source", F.lit(".txt")).alias("name"))
-    sniffed = uploads.withColumn("reason", sniff_type(F.col("content"), F.col("name"), F.lit("text/plain"))["reject_reason"])
-    even = sniffed.where("reason is null").select("doc_id", normalize_text(decode_text(F.col("content"))).alias("text"))
+    checked = uploads.withColumn("reason", sniff_type(F.col("content"), F.col("name"), F.lit("text/plain"))["reject_reason"])
+    # Four steps read what follows, and a filter on it would work it out again.
+    sniffed = settle(checked.select("doc_id", "reason", F.when(
+        F.col("reason").isNull(), normalize_text(decode_text(F.col("content")))).alias("text")), "uploads")
+    even = sniffed.where("reason is null").select("doc_id", "text")
     fresh = corpus.dedupe_documents(even)
     kept = settle(fresh.select("doc_id", F.lit(True).alias("kept")), "kept")
     outcomes = settle(sniffed.select("doc_id", "reason").join(kept, "doc_id", "left").select(
         "doc_id", F.coalesce("reason", F.when(F.col("kept").isNull(), "copy")).alias("error")), "outcomes")
     new = chunking.chunk_words(fresh, size=200, overlap=20)
     tables.replace_chunks_in_table(spark, path, new, outcomes, 8)
+    discard(sniffed)
     return tables.read_chunks(spark, path).select("doc_id", "chunk_index", "content")
 
 

@@ -7,12 +7,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from corpusdesk.functions.pii import mask_pii, pseudonymize
 from corpusdesk.params import ERROR_CHARS, RETENTION
 from corpusdesk.sources.snapshots import SnapshotTable
+from corpusdesk.sources.workdir import members
 
 
 def replace_chunks(old: DataFrame, new: DataFrame, outcomes: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """Chunks after re-indexing: documents that succeeded get the new ones, all
     others keep what they had.  ``outcomes`` has (doc_id, error), null = success."""
-    done = outcomes.where("error is null").select(doc_id)
+    done = members(outcomes.where("error is null"), doc_id)
     return old.join(done, doc_id, "left_anti").unionByName(new.join(done, doc_id, "left_semi"))
 
 

@@ -10,7 +10,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _local_fallback: dict[str, str] = {}
 
@@ -64,3 +64,17 @@ def discard(*tables: DataFrame) -> None:
 def fits(df: DataFrame, max_rows: int) -> bool:
     """Does the frame have at most ``max_rows`` rows?  Reads no more than that."""
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def members(ids: DataFrame, key: str, small: int = 200_000, share: int = 250_000) -> DataFrame:
+    """The distinct values of ``key`` in ``ids``, to look rows up in: no row of the other side is sorted.
+
+    Up to ``small`` of them go to every task.  More are dealt by value, about ``share`` to
+    a task, so what a task holds follows from that number, not from the rows it reads.
+    """
+    held = settle(ids.select(key).distinct(), "members")
+    n = held.count()
+    if n <= small:
+        return F.broadcast(held)
+    parts = max(-(-n // share), int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return held.repartition(parts, key).hint("shuffle_hash")

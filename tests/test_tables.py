@@ -90,6 +90,35 @@ def test_copies_do_not_move_the_texts(spark):
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
 
 
+def test_texts_are_worked_out_once_for_their_hashes(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def costly(i):
+        calls.add(1)
+        return "same" if i % 3 == 0 else f"t{i}"
+
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), costly("id").alias("text"))
+    fresh = corpus.dedupe_documents(docs)
+    assert calls.value == 300
+    assert fresh.count() == 201
+
+
+def test_replacing_chunks_of_many_documents_sorts_none(spark):
+    old = spark.range(0, 400_000, 1000).select(F.col("id").alias("doc_id"), F.lit(0).alias("chunk_index"), F.lit("old").alias("content"))
+    new = old.withColumn("content", F.lit("new"))
+    outcomes = spark.range(300_000).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("error"))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = tables.replace_chunks(old, new, outcomes)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+        assert {r["content"]: r["count"] for r in out.groupBy("content").count().collect()} == {"old": 100, "new": 300}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
 def test_asof_keeps_rows_without_key_or_time(spark):
     from corpusdesk.operators.windows import asof_join
 
