@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,3 +230,51 @@ def test_messages_are_kept_masked_and_leave_with_time(spark, tmp_path):
     said(own, src, [(5, 0, "far", 24)])
     said(own, src, [(5, 1, "far", 26)])
     assert set(run()) == {5}
+
+
+class Handle:
+    """One value of state, its accesses and the timers that are set."""
+
+    def __init__(self):
+        self.value, self.calls, self.timers = None, 0, []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+class Times(Handle):
+    """The timer at ``value`` fires under the watermark ``mark``."""
+
+    def __init__(self, value, mark):
+        self.value, self.mark = value, mark
+
+    getExpiryTimeInMs = lambda self: self.value
+    getCurrentWatermarkInMs = lambda self: self.mark
+
+
+def test_conversations_of_a_block_take_one_call(spark):
+    assert spark.range(-64, 128).groupBy(state.block_of(F.col("id")).alias("b")).count().where("count = 64").count() == 3
+    handle, histories = Handle(), state.History(2, 1500)
+    histories.init(handle)
+    for turns in ((1, 2), (0, 3)):
+        rows = pd.DataFrame([(c, t, 10) for c in range(64) for t in turns], columns=["conv_id", "turn", "size"])
+        (out,) = histories.handleInputRows((0,), iter([rows[:50], rows[50:]]), None)
+    assert handle.calls == 4
+    assert out["conv_id"].tolist() == list(range(64)) and set(map(tuple, out["turns"])) == {(2, 3)} and set(out["version"]) == {2}
