@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from datetime import timedelta
 
@@ -12,17 +13,21 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from corpusdesk.functions.pii import mask_pii
 from corpusdesk.params import MAX_HISTORY_CHARS, MAX_MESSAGES, RETENTION
 from corpusdesk.streaming.jobs import run_batches, thin
+from corpusdesk.streaming.state import block_of
 
 MESSAGE = "turn bigint, role string, content string, ts string"
-STORED_SCHEMA = f"conv_id bigint, messages array<struct<{', '.join(f.strip().replace(' ', ':') for f in MESSAGE.split(','))}>>, expired boolean"
+_FIELDS = ", ".join(f.strip().replace(" ", ":") for f in MESSAGE.split(","))
+STORED_SCHEMA = f"conv_id bigint, messages array<struct<{_FIELDS}>>, expired boolean"
+KEPT = f"array<struct<{_FIELDS}, size:bigint>>"
 
 
 class Messages(StatefulProcessor):
-    """The newest messages of a conversation within both limits, until ``keep_ms`` after the last of them.
+    """The newest messages within both limits, of each conversation of a block, until ``keep_ms`` after its last one.
 
     As in ``state.History`` messages may come in any order, and what is older than a
-    message that has been left out stays out.  The timer follows the latest message of
-    the conversation; when the watermark passes it, nothing of the conversation is left.
+    message that has been left out stays out.  The timer of a block follows the
+    conversation that ends first; when the watermark passes the end of a conversation,
+    nothing of it is left.
     """
 
     def __init__(self, max_messages: int, max_chars: int, keep_ms: int) -> None:
@@ -30,47 +35,69 @@ class Messages(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._kept = handle.getListState("kept", f"{MESSAGE}, size bigint")
-        self._ends = handle.getValueState("ends", "at bigint")
-        self._floor = handle.getValueState("floor", "turn bigint")
+        self._held = handle.getValueState("held", f"due bigint, convs array<struct<conv_id:bigint,ends:bigint,floor:bigint,kept:{KEPT}>>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = {int(m[0]): (int(m[0]), m[1], m[2], m[3], int(m[4])) for m in self._kept.get()}
-        floor = self._floor.get()[0] if self._floor.exists() else None
-        old = self._ends.get()[0] if self._ends.exists() else None
-        ends = old
+        due, held = self._load()
+        changed = {}
         for batch in rows:
-            ends = max(int(batch["at"].max()) + self._keep_ms, ends or 0)
-            for m in zip(batch["turn"], batch["role"], batch["content"], batch["shown"], batch["size"]):
-                if floor is None or m[0] > floor:
-                    kept[int(m[0])] = (int(m[0]), m[1], m[2], m[3], int(m[4]))
-            newest = sorted(kept)
-            if len(newest) > self._max_messages:
-                floor = newest[-self._max_messages - 1]
-                kept = {turn: kept[turn] for turn in newest[-self._max_messages:]}
+            come = defaultdict(list)
+            for conv, at, *m in zip(*(batch[c] for c in ("conv_id", "at", "turn", "role", "content", "shown", "size"))):
+                come[int(conv)].append((int(at), (int(m[0]), *m[1:4], int(m[4]))))
+            for conv, more in come.items():
+                ends, floor, kept = changed.get(conv) or held.get(conv) or (0, None, {})
+                ends = max(ends, max(at for at, _ in more) + self._keep_ms)
+                kept = kept | {m[0]: m for _, m in more if floor is None or m[0] > floor}
+                newest = sorted(kept)
+                if len(newest) > self._max_messages:
+                    floor = newest[-self._max_messages - 1]
+                    kept = {turn: kept[turn] for turn in newest[-self._max_messages:]}
+                changed[conv] = ends, floor, kept
+        for conv, (ends, floor, kept) in changed.items():
+            changed[conv] = ends, *self._fitting(floor, kept)
+        held |= changed
+        first = min(ends for ends, _, _ in held.values())
+        if first != due:
+            if due is not None:
+                self._handle.deleteTimer(due)
+            self._handle.registerTimer(first)
+        self._store(first, held)
+        names = ("turn", "role", "content", "ts")
+        yield pd.DataFrame({
+            "conv_id": list(changed), "expired": False,
+            "messages": [[dict(zip(names, m)) for m in kept.values()] for _, _, kept in changed.values()]})[["conv_id", "messages", "expired"]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        _, held = self._load()
+        # Ends before the watermark are due with the one whose timer it is.
+        over = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        gone = [conv for conv, (ends, _, _) in held.items() if ends <= over]
+        left = {conv: c for conv, c in held.items() if c[0] > over}
+        if left:
+            first = min(ends for ends, _, _ in left.values())
+            self._handle.registerTimer(first)
+            self._store(first, left)
+        else:
+            self._held.clear()
+        yield pd.DataFrame({"conv_id": gone, "messages": [[] for _ in gone], "expired": [True] * len(gone)})
+
+    def _load(self) -> tuple[int | None, dict[int, tuple]]:
+        """When the timer is due, and (ends, floor, messages by turn) of each conversation."""
+        due, convs = self._held.get() or (None, [])
+        return due, {conv: (ends, floor, {m[0]: tuple(m) for m in kept}) for conv, ends, floor, kept in convs}
+
+    def _store(self, due: int, held: dict[int, tuple]) -> None:
+        self._held.update((due, [(conv, ends, floor, list(kept.values())) for conv, (ends, floor, kept) in held.items()]))
+
+    def _fitting(self, floor: int | None, kept: dict[int, tuple]) -> tuple[int | None, dict[int, tuple]]:
         total, fitting = 0, []
         for turn in sorted(kept, reverse=True):
             total += kept[turn][4] + 2
             if fitting and total > self._max_chars:
                 floor = turn
                 break
-            fitting.append(kept[turn])
-        fitting.reverse()
-        self._kept.put(fitting)
-        if floor is not None:
-            self._floor.update((floor,))
-        if ends != old:
-            if old is not None:
-                self._handle.deleteTimer(old)
-            self._handle.registerTimer(ends)
-            self._ends.update((ends,))
-        names = ("turn", "role", "content", "ts")
-        yield pd.DataFrame({"conv_id": [key[0]], "messages": [[dict(zip(names, m)) for m in fitting]], "expired": [False]})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        for held in (self._kept, self._ends, self._floor):
-            held.clear()
-        yield pd.DataFrame({"conv_id": [key[0]], "messages": [[]], "expired": [True]})
+            fitting.append(turn)
+        return floor, {turn: kept[turn] for turn in reversed(fitting)}
 
     def close(self) -> None:
         pass
@@ -92,7 +119,7 @@ def stored_histories(messages: DataFrame, delay: str, max_messages: int = MAX_ME
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("shown"), F.unix_millis("ts").alias("at"),
         F.coalesce(F.col("size").cast("bigint"), F.lit(0)).alias("size"))
     newest = thin(masked, lambda rows: rows.sort_values("turn").groupby("conv_id").tail(max_messages))
-    return newest.withWatermark("ts", delay).groupBy("conv_id").transformWithStateInPandas(
+    return newest.withColumn("block", block_of(F.col("conv_id"))).withWatermark("ts", delay).groupBy("block").transformWithStateInPandas(
         statefulProcessor=Messages(max_messages, max_chars, int(keep.total_seconds() * 1000)),
         outputStructType=STORED_SCHEMA, outputMode="Update", timeMode="EventTime")
 

@@ -278,3 +278,19 @@ def test_conversations_of_a_block_take_one_call(spark):
         (out,) = histories.handleInputRows((0,), iter([rows[:50], rows[50:]]), None)
     assert handle.calls == 4
     assert out["conv_id"].tolist() == list(range(64)) and set(map(tuple, out["turns"])) == {(2, 3)} and set(out["version"]) == {2}
+
+
+def test_messages_of_a_block_end_one_by_one():
+    handle, held = Handle(), messages.Messages(3, 1500, 100)
+    held.init(handle)
+    columns = ["conv_id", "turn", "role", "content", "shown", "size", "at"]
+    rows = pd.DataFrame([(c, t, "user", f"{c} {t}", "", 10, 10 * c) for c in range(4) for t in range(5)], columns=columns)
+    (out,) = held.handleInputRows((0,), iter([rows]), None)
+    assert [[m["turn"] for m in ms] for ms in out["messages"]] == [[2, 3, 4]] * 4
+    assert handle.timers == [100] and handle.calls == 2
+    list(held.handleInputRows((0,), iter([rows[:1].assign(at=115)]), None))     # puts off the end of conversation 0
+    assert handle.timers == [110]
+    (out,) = held.handleExpiredTimer((0,), Times(None, 121), Times(110, None))
+    assert out["conv_id"].tolist() == [1, 2] and handle.timers == [110, 130]
+    (out,) = held.handleExpiredTimer((0,), Times(None, 500), Times(130, None))
+    assert sorted(out["conv_id"]) == [0, 3] and handle.value is None
