@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusdesk.params import RETENTION
 from corpusdesk.sources.snapshots import SnapshotTable
+from corpusdesk.sources.workdir import members
 
 EMPTY_MESSAGES = "[]"
 NEVER = "never"  # the partition of rows without an expiry date
@@ -143,7 +144,14 @@ def purge_counts(tables: dict[str, DataFrame], now: Column) -> DataFrame:
 
 def clear_drafts_of(drafts: DataFrame, conversations: DataFrame) -> DataFrame:
     """Null the encrypted fields of all drafts that belong to the conversations."""
-    hit = conversations.select("conversation_id").distinct().withColumn("_hit", F.lit(True))
+    return _cleared(drafts, _marked(conversations))
+
+
+def _marked(conversations: DataFrame) -> DataFrame:
+    return members(conversations, "conversation_id").withColumn("_hit", F.lit(True))
+
+
+def _cleared(drafts: DataFrame, hit: DataFrame) -> DataFrame:
     return drafts.join(hit, "conversation_id", "left").withColumn(
         "fields_enc", F.when(F.col("_hit").isNull(), F.col("fields_enc"))
     ).drop("_hit")
@@ -151,13 +159,13 @@ def clear_drafts_of(drafts: DataFrame, conversations: DataFrame) -> DataFrame:
 
 def erase_subject(conversations: DataFrame, drafts: DataFrame, requests: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """Right to erasure for every conversation in ``requests``; mail logs stay."""
-    hit = requests.select("conversation_id").distinct().withColumn("_hit", F.lit(True))
+    hit = _marked(requests)
     asked = F.col("_hit").isNotNull()
     erased = conversations.join(hit, "conversation_id", "left").withColumns({
         "messages": F.when(asked, EMPTY_MESSAGES).otherwise(F.col("messages")),
         "deleted_at": F.when(asked, now).otherwise(F.col("deleted_at")),
     }).drop("_hit")
-    return erased, clear_drafts_of(drafts, requests)
+    return erased, _cleared(drafts, hit)
 
 
 def clear_terminal_pii(df: DataFrame, columns: list[str], states: tuple[str, ...] = DRAFT_DONE) -> DataFrame:

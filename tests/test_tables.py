@@ -119,6 +119,26 @@ def test_replacing_chunks_of_many_documents_sorts_none(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
 
 
+def test_erasing_many_subjects_sorts_no_rows(spark):
+    convs = spark.range(0, 400_000, 1000).select(
+        F.col("id").alias("conversation_id"), F.lit("said").alias("messages"), F.lit(None).cast("timestamp").alias("deleted_at"))
+    drafts = convs.select("conversation_id", F.lit("enc").alias("fields_enc")).union(spark.createDataFrame([(None, "enc")], "id long, enc string"))
+    requests = spark.range(300_000).select(F.col("id").alias("conversation_id"))
+    now = F.lit("2024-02-01").cast("timestamp")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for asked in (requests.union(requests), requests.where("id < 2000")):     # dealt by id, to every task
+            gone = asked.where("conversation_id % 1000 = 0").distinct().count()
+            erased, cleared = retention.erase_subject(convs, drafts, asked, now)
+            for out in (erased, cleared):
+                assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+            assert erased.count() == 400 and erased.where("messages = '[]' and deleted_at is not null").count() == gone
+            assert cleared.count() == 401 and cleared.where("fields_enc is null").count() == gone
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
 def test_asof_keeps_rows_without_key_or_time(spark):
     from corpusdesk.operators.windows import asof_join
 
