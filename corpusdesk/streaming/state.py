@@ -19,7 +19,7 @@ BLOCK_BITS = 6
 def block_of(conv_id: Column) -> Column:
     """The block of a conversation: 64 neighbouring ids at most share a state.
 
-    A call of a stateful function in Python costs about 10 ms however few rows it gets,
+    A call of a stateful function in Python costs 5 to 10 ms however few rows it gets,
     so conversations that are called one by one spend their time on that alone.
     """
     return F.shiftright(conv_id, BLOCK_BITS)
