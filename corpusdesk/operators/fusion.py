@@ -105,18 +105,32 @@ def diversify(ranked: DataFrame, k: int = SEARCH.top_k, per_document: int = SEAR
     )
 
 
-def hydrate_hits(hits: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
+def hydrate_hits(hits: DataFrame, chunks: DataFrame, docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Fetch content and label (description, else file name) of the final rows.
 
     The hits, a few rows per query, are written first: their size is then known, and
     they travel to the chunks instead of all chunks to them.  Chunks that are a join
     themselves are cut to the hits before it, so no other text is moved for it.
+    Labels are joined before texts, which a join behind theirs would move again.
+
+    ``parts`` says that the texts of the hits are few enough to go to every task.  The hits
+    are dealt by query into so many parts before they meet them, and the rows, which repeat
+    a text for every query, are moved no more where a query's are gathered.
     """
     hits = settle(hits, "hits")
-    found = chunks.select("chunk_id", "content").join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    found = texts_of(hits, chunks)
     label = F.coalesce(F.nullif(F.col("description"), F.lit("")), F.col("filename")).alias("label")
-    return hits.join(found, "chunk_id").join(
-        docs.select("document_id", label), "document_id")
+    rest = [c for c in hits.columns if c not in ("document_id", "chunk_id")]
+    labelled = hits.join(docs.select("document_id", label), "document_id")
+    if parts:
+        labelled, found = labelled.repartition(parts, "query_id"), F.broadcast(found)
+    return labelled.join(found, "chunk_id").select(
+        "document_id", "chunk_id", *rest, "content", "label")
+
+
+def texts_of(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(chunk_id, content) of the chunks that are hits."""
+    return chunks.select("chunk_id", "content").join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi")
 
 
 def document_order(hits: DataFrame) -> DataFrame:

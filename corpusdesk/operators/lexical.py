@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from corpusdesk.functions.text import let, runs, tokenize
 from corpusdesk.params import SEARCH
@@ -12,6 +18,9 @@ PI2_6 = 1.64493406685   # limit of 1 + 1/4 + 1/9 + ...
 WORD_WEIGHT = 0.1       # weight of an unlabelled word
 SALTS = 32
 MAX_BROADCAST_LEXEMES = 200_000   # rows of (keys, lexeme), some 10 MB
+TURN = 5                 # a turn of a larger query set has so many times the rows that may be broadcast
+BLOCK_POSTINGS, LEAST_POSTINGS = 2_500_000, 1_000_000   # a task holds up to so many; less are not worth a task
+PIECE_ROWS = 100_000     # rows that leave a task at once
 
 
 def build_postings(chunks: DataFrame, chunk_id: str = "chunk_id", content: str = "content") -> DataFrame:
@@ -106,25 +115,119 @@ def lexical_topk(queries: DataFrame, postings: DataFrame, keys: list[str], k: in
     score = sum of the weights of shared lexemes, divided by the number of query
     lexemes.  ``postings`` is an index (see ``write_index``) or the bare postings.
     ``placed`` says that all postings of a chunk lie in one partition by chunk id.  More
-    queries than may be broadcast then go in turns, each over the index where it lies;
-    the k best of a turn are written before the next one.
+    queries than may be broadcast then go in turns, each over the whole index; the k best
+    of a turn are written before the next one.  A turn makes no row per match: every task
+    sums the scores of its chunks in arrays.
     """
     rows = postings if "weight" in postings.columns else weighted(postings, chunk_id)
     lexemes, wanted = query_lexemes(queries, keys), rows.select("lexeme", chunk_id, "weight")
     if not placed or not max_broadcast or fits(lexemes, max_broadcast):
         return _best(_matches(lexemes, wanted, chunk_id, salts, max_broadcast, placed), keys, k, chunk_id)
-    turns = -(-5 * lexemes.count() // (4 * max_broadcast))
+    lexemes = settle(lexemes, "lexemes")
+    turns = -(-lexemes.count() // (TURN * max_broadcast))
     turn = F.pmod(F.xxhash64(*keys), F.lit(turns))
+    n = wanted.count()
+    cores = wanted.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, -(-n // BLOCK_POSTINGS), min(cores, n // LEAST_POSTINGS))
     out = None
-    for n in range(turns):
-        found = wanted.join(F.broadcast(lexemes.where(turn == n)), "lexeme")
-        best = settle(_best(found, keys, k, chunk_id), "lexical")
+    for i in range(turns):
+        best = settle(_block_topk(lexemes.where(turn == i), wanted, keys, k, chunk_id, parts), "lexical")
         out = best if out is None else out.unionByName(best)
     return out
 
 
+def _block_topk(lexemes: DataFrame, wanted: DataFrame, keys: list[str], k: int, chunk_id: str, parts: int) -> DataFrame:
+    """The k best chunks of the queries of a turn.
+
+    Every task gets all queries and the postings of its share of the chunks, and hands on k rows per query.
+    """
+    asked = wanted.sparkSession.sparkContext.broadcast(_by_query(lexemes.toArrow(), keys))
+    schema = StructType([*(lexemes.schema[c] for c in keys), wanted.schema[chunk_id], StructField("score", DoubleType())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, vocabulary, words, parts_of = asked.value
+        held = [b for b in batches if b.num_rows]
+        if not held or not len(words):
+            return
+        postings = pa.Table.from_batches(held)
+        del held
+        word = pc.index_in(postings["lexeme"], value_set=vocabulary)
+        postings = postings.drop(["lexeme"]).append_column("word", word).filter(pc.is_valid(word))
+        if not postings.num_rows:
+            return
+        # Numbers of the chunks in the order of their ids, which settles ties; null comes first, as in Spark.
+        ids = postings[chunk_id].combine_chunks().dictionary_encode(null_encoding="encode")
+        by_id = pc.sort_indices(ids.dictionary, null_placement="at_start")
+        place = np.empty(len(by_id), np.int64)
+        place[by_id.to_numpy()] = np.arange(len(by_id))
+        word = postings["word"].to_numpy()
+        order = np.argsort(word, kind="stable")
+        chunk, weight = place[ids.indices.to_numpy()][order], postings["weight"].to_numpy()[order]
+        starts = np.searchsorted(word[order], np.arange(len(vocabulary) + 1)).tolist()
+        ids = ids.dictionary.take(by_id)
+        del postings, word, order
+
+        def piece(found: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            query = np.repeat([q for q, _, _ in found], [len(c) for _, c, _ in found])
+            columns = [labels[c].take(pa.array(query)).combine_chunks() for c in keys]
+            columns += [ids.take(pa.array(np.concatenate([c for _, c, _ in found]))), pa.array(np.concatenate([s for _, _, s in found]))]
+            return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+        found, n = [], 0
+        for query, summands in enumerate(parts_of):
+            score = np.zeros(len(ids))
+            for first, last, n_lexemes in summands:
+                spans = [slice(starts[w], starts[w + 1]) for w in words[first:last].tolist() if starts[w] < starts[w + 1]]
+                if spans:
+                    score += np.bincount(np.concatenate([chunk[x] for x in spans]),
+                                         np.concatenate([weight[x] for x in spans]), len(ids)) / n_lexemes
+            best, score = _highest(score, k)
+            if len(best):
+                found.append((query, best, score))
+                n += len(best)
+            if n >= PIECE_ROWS:
+                yield piece(found)
+                found, n = [], 0
+        if n:
+            yield piece(found)
+
+    return _first(wanted.repartition(parts, chunk_id).mapInArrow(scan, schema), keys, k, chunk_id)
+
+
+def _by_query(rows: pa.Table, keys: list[str]) -> tuple[pa.Table, pa.Array, np.ndarray, list[list[tuple[int, int, int]]]]:
+    """Query lexemes as (keys of the queries, vocabulary, words as numbers, per query the places of its words and their
+    number).  Rows with equal keys, null ones as well, are one query, whose texts are summed by their numbers of lexemes."""
+    query = np.zeros(rows.num_rows, np.int64)
+    for name in keys:
+        number = rows[name].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)
+        query = np.unique(query * (number.max(initial=0) + 1) + number, return_inverse=True)[1]
+    first, number = np.unique(query, return_index=True)[1], rows["n_lexemes"].to_numpy()
+    order = np.lexsort((number, query))
+    words = rows["lexeme"].combine_chunks().dictionary_encode()
+    query, number = query[order], number[order]
+    bounds = np.r_[0, np.flatnonzero((np.diff(query) != 0) | (np.diff(number) != 0)) + 1, len(order)] if len(order) else np.zeros(1, np.int64)
+    parts_of: list[list[tuple[int, int, int]]] = [[] for _ in first]
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        parts_of[query[a]].append((a, b, int(number[a])))
+    return rows.select(keys).take(pa.array(first)).combine_chunks(), words.dictionary, words.indices.to_numpy()[order], parts_of
+
+
+def _highest(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and rounded values of the k highest scores above zero, ties by place."""
+    least = np.partition(score, len(score) - k)[len(score) - k] if len(score) > k else 0.0
+    # Rounding moves a score by half a unit of its ninth digit at most.
+    near = np.flatnonzero(score >= least - 2e-9) if least > 2e-9 else np.flatnonzero(score)
+    value = np.round(score[near], 9)
+    order = np.lexsort((near, -value))[:k]
+    return near[order], value[order]
+
+
 def _best(found: DataFrame, keys: list[str], k: int, chunk_id: str) -> DataFrame:
     """The k best chunks of every query from its matches."""
     scored = found.groupBy(*keys, chunk_id).agg(F.round(F.sum(F.col("weight") / F.col("n_lexemes")), 9).alias("score"))
+    return _first(scored, keys, k, chunk_id)
+
+
+def _first(scored: DataFrame, keys: list[str], k: int, chunk_id: str) -> DataFrame:
     best = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc(chunk_id))
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -131,13 +131,13 @@ def analyze_batches(spark, sf):
             "intent": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double")}))
         subs = fusion.expand_queries(asked.select(F.col("mail_id").alias("query_id"), "text", "subject", "intent"))
         subs = subs.withColumn("vec", F.lit(None).cast("array<float>"))
-        hits = fusion.hydrate_hits(plan.search(subs, c, P, use_vectors=False), c.chunks, c.documents)
-        context = fusion.build_context(fusion.document_order(hits))
+        shown = plan.contexts_in_turns(plan.search(subs, c, P, use_vectors=False), c, lambda context: context.select(
+            F.col("query_id").alias("mail_id"), mail.context_preview(F.col("context"))["source_count"].alias("source_count")))
         seen = batch.select("mail_id", F.lit(None).cast("string").alias("reviewed_by"),
                             F.lit(None).cast("timestamp").alias("reviewed_at")).join(
-            context.select(F.col("query_id").alias("mail_id"), mail.context_preview(F.col("context")).alias("p")), "mail_id", "left")
+            shown, "mail_id", "left")
         done = mailbox.auto_approve(seen, settings, F.lit(derive.NOW_EVENTS).cast("timestamp"))
-        return done.select("mail_id", "status", F.coalesce("p.source_count", F.lit(0)).alias("sources"))
+        return done.select("mail_id", "status", F.coalesce("source_count", F.lit(0)).alias("sources"))
 
     missing = F.when(F.trim("body") == "", "body missing")
     done, failed = jobs.analyze_batches(mails, new_path(spark, "analyzed"), analyze, "mail_id", missing)

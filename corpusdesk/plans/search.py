@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
 from corpusdesk.operators import fusion, lexical, vectors
 from corpusdesk.params import SEARCH, SearchParams
-from corpusdesk.sources.workdir import settle
+from corpusdesk.sources.workdir import discard, settle
+
+MAX_BROADCAST_CHARS = 64 * 1024 * 1024   # texts that go to every task
+PART_CHARS = 32 * 1024 * 1024            # texts of the contexts that a task makes
+TURN_CHARS, TURN_HITS = 250_000_000, 1_000_000   # texts and hits of a turn
 
 
 @dataclass
@@ -68,3 +73,30 @@ def search(queries: DataFrame, corpus: Corpus, p: SearchParams = SEARCH, scores:
 def contexts(queries: DataFrame, corpus: Corpus, p: SearchParams = SEARCH, max_chars: int | None = None) -> DataFrame:
     hits = fusion.hydrate_hits(search(queries, corpus, p), corpus.chunks, corpus.documents)
     return fusion.build_context(fusion.document_order(hits), max_chars)
+
+
+def contexts_in_turns(hits: DataFrame, corpus: Corpus, use: Callable[[DataFrame], DataFrame], max_chars: int | None = None) -> DataFrame:
+    """``use`` of the contexts of ``hits``, for what is small beside the contexts.
+
+    A text goes into as many contexts as it is a hit of, so the contexts of a large batch are many times
+    its corpus.  Hits are ordered while they have no text, and the texts are looked up once.  Those of
+    checked size go to every task, and nothing else of the contexts is moved.  Others are joined in turns
+    of bounded size, and what ``use`` keeps of a turn is written before the next one.
+    """
+    hits = settle(fusion.document_order(hits), "ordered")
+    found = settle(fusion.texts_of(hits, corpus.chunks), "texts")
+    docs = settle(corpus.documents, "labels")
+    size = F.length("content")
+    one = found.agg(F.sum(size)).first()[0] or 0
+    n, chars = hits.join(found.select("chunk_id", size.alias("chars")), "chunk_id").agg(F.count(F.lit(1)), F.sum("chars")).first()
+    parts, turns = None, max(1, -(-n // TURN_HITS), -(-(chars or 0) // TURN_CHARS))
+    if one <= MAX_BROADCAST_CHARS:
+        parts, turns = max(1, -(-(chars or 0) // PART_CHARS)), 1
+    out = None
+    for i in range(turns):
+        some = settle(hits.where(F.pmod(F.xxhash64("query_id"), F.lit(turns)) == i), "turn")
+        kept = settle(use(fusion.build_context(fusion.hydrate_hits(some, found, docs, parts), max_chars)), "used")
+        out = kept if out is None else out.unionByName(kept)
+        discard(some)
+    discard(hits, found, docs)
+    return out

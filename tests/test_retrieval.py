@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusdesk.operators import evaluate, fusion, lexical, vectors
 from corpusdesk.operators.evaluate import containing_documents
+from corpusdesk.plans import search as plan
 
 KEYS = ["query_id"]
 
@@ -164,6 +165,32 @@ def test_many_questions_go_in_turns(spark):
     assert "salt" not in turns._jdf.queryExecution().toString()
 
 
+def test_turns_make_no_row_per_match(spark, monkeypatch):
+    """A turn sums scores inside the tasks, with the rows of the other way; keys and ids may repeat or be null."""
+    words = [f"w{chr(97 + i)}" for i in range(20)]
+    rng = random.Random(5)
+    texts = [(f"c{i % 55}" if i % 9 else None, " ".join(rng.choices(words, k=rng.randint(1, 12)))) for i in range(60)]
+    chunks = spark.createDataFrame([*texts, ("z1", "wa wb"), ("z0", "wa wb")], "chunk_id string, content string")
+    asked = [(i % 25 if i % 8 else None, i % 2, " ".join(rng.choices(words, k=rng.randint(1, 6)))) for i in range(60)]
+    q = spark.createDataFrame([*asked, (90, 0, "zz"), (91, 0, "wa wb"), (92, 0, None)], "query_id long, sub_no int, text string")
+    postings = lexical.weighted(lexical.build_postings(chunks)).repartition(4, "chunk_id")
+    keys = ["query_id", "sub_no"]
+    want = sorted(map(str, lexical.lexical_topk(q, postings, keys, 5, placed=True).collect()))
+
+    def matched(*_):
+        raise AssertionError("matches were made as rows")
+
+    monkeypatch.setattr(lexical, "_best", matched)
+    monkeypatch.setattr(lexical, "BLOCK_POSTINGS", 100)
+    monkeypatch.setattr(lexical, "PIECE_ROWS", 7)
+    for rows in (10, 60):
+        assert sorted(map(str, lexical.lexical_topk(q, postings, keys, 5, placed=True, max_broadcast=rows).collect())) == want
+    # a vocabulary that no chunk has, and chunks without postings
+    none = spark.createDataFrame([(i, 0, "zz yy xx") for i in range(9)], "query_id long, sub_no int, text string")
+    assert lexical.lexical_topk(none, postings, keys, 5, placed=True, max_broadcast=2).count() == 0
+    assert lexical.lexical_topk(q, postings.limit(0), keys, 5, placed=True, max_broadcast=10).count() == 0
+
+
 def test_a_large_question_side_is_never_broadcast_unasked(spark, monkeypatch):
     """The salted join repeats its question side; Spark, seeing a small file, would broadcast it."""
     monkeypatch.setattr(lexical, "MAX_BROADCAST_LEXEMES", 64)
@@ -270,6 +297,40 @@ def test_context_skips_what_does_not_fit(spark):
     assert fusion.build_context(hits).first()["n_sources"] == 3
 
 
+def hits_and_corpus(spark):
+    hits = spark.createDataFrame(
+        [(q, (q * 3 + n) % 11, f"d{(q * 3 + n) % 11 % 4}", (q * 3 + n) % 11, (q + n) % 5 / 10, n + 1) for q in range(30) for n in range(7)],
+        "query_id long, chunk_id long, document_id string, chunk_index long, score double, rank int")
+    chunks = spark.createDataFrame([(i, f"text {i} " * (i + 1)) for i in range(40)], "chunk_id long, content string")
+    docs = spark.createDataFrame([(f"d{i}", "" if i else "first", f"f{i}.pdf") for i in range(3)],
+                                 "document_id string, description string, filename string")
+    return hits, plan.Corpus(chunks, docs)
+
+
+def test_contexts_in_turns_are_the_contexts(spark, monkeypatch):
+    hits, own = hits_and_corpus(spark)
+    for chars in (None, 150):
+        want = sorted(map(tuple, fusion.build_context(
+            fusion.document_order(fusion.hydrate_hits(hits, own.chunks, own.documents)), chars).collect()))
+        for few, turn in ((1 << 20, 1 << 20), (0, 1 << 20), (0, 1000)):
+            monkeypatch.setattr(plan, "MAX_BROADCAST_CHARS", few)
+            monkeypatch.setattr(plan, "TURN_CHARS", turn)
+            turns = []
+            got = plan.contexts_in_turns(hits, own, lambda c: turns.append(1) or c, chars)
+            assert sorted(map(tuple, got.collect())) == want and len(want) == 30
+            assert len(turns) == 1 if turn > 1000 else len(turns) > 3
+    assert plan.contexts_in_turns(hits.limit(0), own, lambda c: c).count() == 0
+
+
+def test_texts_of_contexts_are_not_exchanged(spark):
+    """Few texts go to every task, and the rows that repeat them stay where the join made them."""
+    hits, own = hits_and_corpus(spark)
+    got = fusion.build_context(fusion.hydrate_hits(fusion.document_order(hits), own.chunks, own.documents, parts=3))
+    tree = got._jdf.queryExecution().executedPlan().toString()
+    joined = [n for n, line in enumerate(tree.splitlines()) if "BroadcastHashJoin" in line][0]
+    assert "ObjectHashAggregate" in tree and not re.search(r"Exchange hashpartitioning", "\n".join(tree.splitlines()[:joined]))
+
+
 def test_subject_joins_only_when_it_adds_something(spark):
     q = spark.createDataFrame([(1, "transkript istiyorum", "transkript"), (2, "belge", "  not itirazı "), (3, "a", None)],
                               "query_id long, text string, subject string")
