@@ -185,14 +185,15 @@ def lexical_topk_salted(spark, sf):
     return lexical.lexical_topk(q, c.postings, KEYS, max_broadcast=0)
 
 
-def _legs(spark, sf, subjects=True):
-    q, c = settle(queries(spark, sf, subjects), "queries"), corpus(spark, sf)
+def _legs(spark, sf):
+    q, c = settle(queries(spark, sf), "queries"), corpus(spark, sf)
     return q, c, settle(plan.candidates(q, c, P), "legs")
 
 
-@query(f"{search_sql(subjects=False)} select * from fused")
+@query(f"{search_sql()} select * from fused")
 def rrf_fuse(spark, sf):
-    return fusion.rrf_fuse(_legs(spark, sf, False)[2])
+    """Reciprocal ranks over all lists of all sub-queries of a question, its subject's as well."""
+    return fusion.rrf_fuse(_legs(spark, sf)[2])
 
 
 _HITS = "select query_id, chunk_id, document_id, chunk_index, score, rank from hits"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusdesk.operators import evaluate, fusion, lexical, vectors
 from corpusdesk.operators.evaluate import containing_documents
-from corpusdesk.plans import search as plan
+from corpusdesk.plans import q_search, search as plan
 
 KEYS = ["query_id"]
 
@@ -246,6 +246,23 @@ def test_fusion_does_not_depend_on_list_order(spark):
     assert a == b and a[7] == pytest.approx(1 / 63 + 1 / 61, abs=1e-9) and a[5] == pytest.approx(1 / 61, abs=1e-9)
 
 
+def test_registered_fusion_takes_the_lists_of_subjects(spark, tmp_path):
+    """The subject is a sub-query: what only its list holds is fused, too, and what both hold gets both ranks."""
+    tables = {
+        "documents": ([(1, "alfa beta", "en", "src1", 9), (2, "gama", "en", "src2", 4), (3, "delta", "en", "src1", 5)],
+                      "doc_id long, text string, lang string, source string, n_chars long"),
+        "benchmark": ([(1, "alfa"), (7, "alfa")], "item_id long, text string"),
+        "conversations": ([(1, 0, "user", "gama beta"), (1, 1, "user", "delta"), (7, 0, "assistant", "gama")],
+                          "conv_id long, turn long, role string, text string"),
+        "embeddings": ([(99, [1.0] * 64, 0)], "vec_id long, embedding array<float>, label int"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {(r["query_id"], r["chunk_id"]): r["score"] for r in q_search.rrf_fuse(spark, str(tmp_path)).collect() if r["query_id"] in (1, 7)}
+    # chunk 2, the shorter one, is first in the subject's word list; vector lists hold only chunks with a vector
+    assert got == {(1, 1): round(1 / 61 + 1 / 62, 9), (1, 2): round(1 / 61, 9), (7, 1): round(1 / 61, 9)}
+
+
 def test_gate_needs_both_signals(spark):
     stats = spark.createDataFrame(
         [(1, True, 0.9, 0), (2, True, 0.9, 3), (3, True, 0.2, 0), (4, False, None, 0), (5, True, None, 0)],
