@@ -146,15 +146,16 @@ def _block_topk(lexemes: DataFrame, wanted: DataFrame, keys: list[str], k: int,
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, vocabulary, words, parts_of = asked.value
-        held = [b for b in batches if b.num_rows]
-        if not held or not len(words):
+        if not len(words):
             return
-        postings = pa.Table.from_batches(held)
-        del held
-        word = pc.index_in(postings["lexeme"], value_set=vocabulary)
-        postings = postings.drop(["lexeme"]).append_column("word", word).filter(pc.is_valid(word))
-        if not postings.num_rows:
+        held = []
+        for some in _gathered(batches, PIECE_ROWS):
+            word = pc.index_in(some["lexeme"], value_set=vocabulary)
+            held.append(some.drop(["lexeme"]).append_column("word", word).filter(pc.is_valid(word)))
+        if not any(some.num_rows for some in held):
             return
+        postings = pa.concat_tables(held)
+        del held
         # Numbers of the chunks in the order of their ids, which settles ties; null comes first, as in Spark.
         ids = postings[chunk_id].combine_chunks().dictionary_encode(null_encoding="encode")
         by_id = pc.sort_indices(ids.dictionary, null_placement="at_start")
@@ -194,6 +195,19 @@ def _block_topk(lexemes: DataFrame, wanted: DataFrame, keys: list[str], k: int,
     return _first(wanted.repartition(parts, chunk_id).mapInArrow(scan, schema), keys, k, chunk_id)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The batches as tables of ``rows`` rows or more, the last one aside."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
 def _by_query(rows: pa.Table, keys: list[str]) -> tuple[pa.Table, pa.Array, np.ndarray, list[list[tuple[int, int, int]]]]:
     """Query lexemes as (keys of the queries, vocabulary, words as numbers, per query the places of its words and their
     number).  Rows with equal keys, null ones as well, are one query, whose texts are summed by their numbers of lexemes."""
