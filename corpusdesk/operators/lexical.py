@@ -19,7 +19,7 @@ WORD_WEIGHT = 0.1       # weight of an unlabelled word
 SALTS = 32
 MAX_BROADCAST_LEXEMES = 200_000   # rows of (keys, lexeme), some 10 MB
 TURN = 5                 # a turn of a larger query set has so many times the rows that may be broadcast
-BLOCK_POSTINGS, LEAST_POSTINGS = 2_500_000, 1_000_000   # a task holds up to so many; less are not worth a task
+BLOCK_POSTINGS, LEAST_POSTINGS = 1_250_000, 500_000   # a task holds up to so many; less are not worth a task
 PIECE_ROWS = 100_000     # rows that leave a task at once
 
 
@@ -159,7 +159,7 @@ def _block_topk(lexemes: DataFrame, wanted: DataFrame, keys: list[str], k: int,
         # Numbers of the chunks in the order of their ids, which settles ties; null comes first, as in Spark.
         ids = postings[chunk_id].combine_chunks().dictionary_encode(null_encoding="encode")
         by_id = pc.sort_indices(ids.dictionary, null_placement="at_start")
-        place = np.empty(len(by_id), np.int64)
+        place = np.empty(len(by_id), np.int32)
         place[by_id.to_numpy()] = np.arange(len(by_id))
         word = postings["word"].to_numpy()
         order = np.argsort(word, kind="stable")
